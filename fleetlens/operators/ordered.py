@@ -1,0 +1,72 @@
+"""Row-order operators that stay parallel when one key holds most of the rows.
+
+A plain ``Window.partitionBy(key)`` sorts all rows of a key in one task.  Here the
+rows are range-sorted once across the cluster and numbered; windows then run over
+fixed-size chunks of that numbering, each chunk extended by the few neighbouring
+rows its frames reach into.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from fleetlens.session import pin
+
+CHUNK_ROWS = 65_536
+_ROW_BITS = 33  # fixed value: monotonically_increasing_id keeps the row number in the low 33 bits
+
+
+def number_rows(df: DataFrame, order: Sequence[str], name: str = "row_index") -> DataFrame:
+    """Add a gap-free row number, 0 for the first row in ``order`` (a total order).
+
+    The sorted rows are pinned, so the per-partition counts and the rows they
+    number come from the same copy.  The offsets table has one row per partition,
+    which bounds what is broadcast.
+    """
+    placed = pin(df.orderBy(*order).withColumn("_pos", F.monotonically_increasing_id()))
+    part = F.shiftright("_pos", _ROW_BITS)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    counted = sorted((r["_part"], r["_n"]) for r in sizes.collect())
+    start, offsets = 0, []
+    for index, rows in counted:
+        offsets.append((index, start))
+        start += rows
+    table = df.sparkSession.createDataFrame(offsets, "_part bigint, _start bigint")
+    local = F.col("_pos").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    return (
+        placed.withColumn("_part", part)
+        .join(F.broadcast(table), "_part")
+        .withColumn(name, F.col("_start") + local)
+        .drop("_pos", "_part", "_start")
+    )
+
+
+def chunked(
+    numbered: DataFrame,
+    before: int = 0,
+    after: int = 0,
+    rows: int = CHUNK_ROWS,
+    index: str = "row_index",
+) -> DataFrame:
+    """Assign numbered rows to chunks of ``rows``, copying edge rows to the neighbours.
+
+    ``before`` / ``after`` say how many rows back / ahead the frames reach.  Copies
+    carry ``ghost = true`` and must be dropped after the window has run.
+    """
+    size = max(rows, before, after, 1)
+    home = F.floor(F.col(index) / size)
+    slot = F.col(index) % size
+    targets = F.array(
+        home,
+        F.when((slot < after) & (home > 0), home - 1),
+        F.when(slot >= size - before, home + 1),
+    )
+    return (
+        numbered.withColumn("_home", home)
+        .withColumn("chunk", F.explode(F.array_compact(targets)))
+        .withColumn("ghost", F.col("chunk") != F.col("_home"))
+        .drop("_home")
+    )
