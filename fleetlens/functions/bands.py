@@ -118,14 +118,18 @@ def freshness_band(age_s: Column) -> Column:
 
 
 def age_label(age_s: Column) -> Column:
-    """``42s ago``, ``3.5m ago``, ``2.0h ago``, ``n/a``."""
-    minutes = F.format_string("%.1fm ago", age_s.cast("double") / 60)
-    hours = F.format_string("%.1fh ago", age_s.cast("double") / 3600)
+    """``42s ago``, ``3.5m ago``, ``2.0h ago``, ``n/a``; exact ties round to even."""
+    seconds = age_s.cast("double")
+
+    def shown(value: Column, digits: int, unit: str) -> Column:
+        plain = F.translate(F.format_number(value, digits), ",", "")
+        return F.concat(plain, F.lit(f"{unit} ago"))
+
     return (
         F.when(age_s.isNull(), F.lit("n/a"))
-        .when(age_s < 60, F.format_string("%.0fs ago", age_s.cast("double")))
-        .when(age_s < 3600, minutes)
-        .otherwise(hours)
+        .when(seconds < 60, shown(seconds, 0, "s"))
+        .when(seconds < 3600, shown(seconds / 60, 1, "m"))
+        .otherwise(shown(seconds / 3600, 1, "h"))
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ISO_MILLIS = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"  # fixed value: stored text form of a time
@@ -55,6 +55,13 @@ def before(as_of: Column | datetime | str | int, **parts: int) -> Column:
     return instant(as_of) - span
 
 
+def rows_since(df: DataFrame, column: str, bound: Column) -> DataFrame:
+    """Rows at or after ``bound``; prunes partitions when the table has ``event_date``."""
+    if column == "event_time" and "event_date" in df.columns:
+        df = df.where(F.col("event_date") >= F.to_date(bound))
+    return df.where(F.col(column) >= bound)
+
+
 def lag_seconds(earlier: Column, later: Column) -> Column:
     """Whole seconds from ``earlier`` to ``later``, both cut to the second first."""
     return F.unix_timestamp(later) - F.unix_timestamp(earlier)

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions.expr import as_number, before, instant
+from fleetlens.functions.expr import as_number, before, instant, rows_since
 from fleetlens.functions.scores import HORIZONS, blended_score, horizon_expand, rule_flag
 from fleetlens.operators.latest import latest_by_key
 from fleetlens.schemas import ANOMALY_SCORES, FAULT_PREDICTIONS
@@ -44,7 +44,7 @@ def score_windows(
         raise ValueError(f"modes must name some of {MODES}")
     member = [F.when(F.col("event_time") >= since[m], F.lit(m)) for m in wanted]
     widest = reduce(F.least, (since[m] for m in wanted)) if len(wanted) > 1 else since[wanted[0]]
-    return silver.where(F.col("event_time") >= widest).withColumn(
+    return rows_since(silver, "event_time", widest).withColumn(
         "inference_type", F.explode(F.array_compact(F.array(*member)))
     )
 
