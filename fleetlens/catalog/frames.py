@@ -18,6 +18,7 @@ from fleetlens.session import shared_dir, use_utc
 from fleetlens.streaming import jobs
 
 TIE = ("event_id",)
+NUDGE = 1e-9
 _AS_OF: dict[str, int] = {}
 
 
@@ -166,7 +167,9 @@ def tidy(df: DataFrame) -> DataFrame:
         kind = field.dataType.simpleString()
         column = F.col(f"`{field.name}`")
         if kind == "double":
-            column = F.round(column, 6)
+            # The nudge keeps sums that differ in their last bit (order of addition)
+            # from landing on different sides of a rounding edge; the SQL has it too.
+            column = F.round(column + F.lit(NUDGE), 6)
         elif kind == "timestamp":
             column = column.cast("timestamp_ntz")
         shaped.append(column.alias(field.name))

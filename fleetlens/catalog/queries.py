@@ -12,8 +12,10 @@ from fleetlens.catalog.frames import TIE, Frames, tidy
 from fleetlens.functions import bands
 from fleetlens.functions.expr import instant
 from fleetlens.functions.scores import horizon_expand, rule_flag
+from fleetlens.ml import fault_model, isolation_forest
+from fleetlens.ml.isolation_forest import IsolationForest, IsolationForestModel
+from fleetlens.ml.store import ModelStore
 from fleetlens.operators import gold, labels, latest, metrics, percentiles, quality, scoring
-
 from fleetlens.plans import reports, requests, semantic
 from fleetlens.schemas import FAULT_PREDICTIONS, SILVER, align_schema
 from fleetlens.sinks.jdbc import mirror_counts, valid_mirror_rows
@@ -692,6 +694,70 @@ def sr_create(f):
     return requests.sr_create(wanted, "b1", f.as_of)
 
 
+# ---- models ---------------------------------------------------------------------------------
+
+
+def _fault_model(f: Frames) -> tuple[fault_model.FaultModel, DataFrame]:
+    rows = fault_model.training_frame(f.silver, f.as_of, horizon_s=20)
+    return fault_model.FaultModel.fit(rows), rows
+
+
+@query
+def fault_train(f):
+    return fault_model.describe(_fault_model(f)[0], f.spark)
+
+
+@query
+def fault_metrics(f):
+    model, rows = _fault_model(f)
+    found = model.metrics(rows)
+    return rows.agg(F.count(F.lit(1)).alias("train_rows"), *[F.lit(v).alias(k) for k, v in found.items()])
+
+
+@query
+def fault_score(f):
+    model, _ = _fault_model(f)
+    segments = scoring.score_windows(scoring.drop_incomplete(f.silver), f.as_of)
+    return scoring.prediction_rows(model.score(segments), model.run_id, instant(f.as_of))
+
+
+@query
+def fault_train_guard(f):
+    store = ModelStore(f.spark, f.work_dir())
+    trained = fault_model.train_or_reuse(f.silver, f.as_of, store)
+    healthy = f.silver.where("state = 'RUN'").withColumn("fault_code", F.lit(None).cast("string"))
+    reused = fault_model.train_or_reuse(healthy, f.as_of, store)
+    same = F.lit(reused.run_id == trained.run_id).alias("reused_last_model")
+    return f.silver.agg(F.count(F.lit(1)).alias("rows"), same)
+
+
+@query
+def anomaly_train(f):
+    model = IsolationForest().fit(isolation_forest.training_frame(f.silver, f.as_of))
+    return f.spark.createDataFrame(model.nodes, isolation_forest.NODES)
+
+
+@query
+def anomaly_score_model(f):
+    rows = isolation_forest.training_frame(f.silver, f.as_of)
+    model = IsolationForest().fit(rows)
+    segments = scoring.score_windows(rows, f.as_of)
+    return scoring.anomaly_rows(model.decision(segments), model.run_id, instant(f.as_of))
+
+
+@query
+def model_registry_lookup(f):
+    store = ModelStore(f.spark, f.work_dir())
+    rows = isolation_forest.training_frame(f.silver, f.as_of)
+    first = IsolationForest(n_trees=20).fit(rows).save(store)
+    second = IsolationForest(n_trees=20, seed=7).fit(rows).save(store)
+    found = IsolationForestModel.load_latest(store)
+    newest = found.run_id == max(first.run_id, second.run_id)
+    return found.decision(rows).agg(
+        F.lit(newest).alias("newest_found"), F.count(F.lit(1)).alias("rows_scored")
+    )
+
+
 # ---- streams --------------------------------------------------------------------------------
 
 
