@@ -14,7 +14,7 @@ from fleetlens.operators import gold, scoring
 from fleetlens.operators.silver import silver_clean
 from fleetlens.plans import semantic
 from fleetlens.schemas import SERVICE_REQUESTS, align_schema
-from fleetlens.session import shared_dir, use_utc
+from fleetlens.session import shared_dir, prepare
 from fleetlens.streaming import jobs
 
 TIE = ("event_id",)
@@ -24,11 +24,11 @@ _AS_OF: dict[str, int] = {}
 
 class Frames:
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark = use_utc(spark)
+        self.spark = prepare(spark)
         self.sf_dir = sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
 
     @cached_property
     def fx(self) -> DataFrame:
@@ -103,7 +103,9 @@ class Frames:
         newest = semantic.machine_health(
             semantic.latest_windows(self.gold), self.anomaly, self.fault, tiebreak=TIE
         )
-        return semantic.current_status(self.status10, newest, self.dim, self.as_of, TIE)
+        # The machines of the status windows are those of silver; Spark reuses their shuffle.
+        dim = semantic.dim_machine(self.latest)
+        return semantic.current_status(self.status10, newest, dim, self.as_of, TIE)
 
     @cached_property
     def latency(self) -> DataFrame:
@@ -160,17 +162,23 @@ class Frames:
         return silver_clean(fixture.bronze(fixture.telemetry(self.event_stream)), TIE)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Shuffle a table of so few splits that most cores would idle; large ones stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, df.columns[0]) if df.rdd.getNumPartitions() * 8 <= cores else df
+
+
 def tidy(df: DataFrame) -> DataFrame:
     """Doubles to six digits and times without a zone, so that engines compare equal."""
     shaped = []
     for field in df.schema.fields:
         kind = field.dataType.simpleString()
-        column = F.col(f"`{field.name}`")
         if kind == "double":
             # The nudge keeps sums that differ in their last bit (order of addition)
             # from landing on different sides of a rounding edge; the SQL has it too.
-            column = F.round(column + F.lit(NUDGE), 6)
+            shaped.append(f"round(`{field.name}` + {NUDGE}D, 6) as `{field.name}`")
         elif kind == "timestamp":
-            column = column.cast("timestamp_ntz")
-        shaped.append(column.alias(field.name))
-    return df.select(*shaped)
+            shaped.append(f"cast(`{field.name}` as timestamp_ntz) as `{field.name}`")
+        else:
+            shaped.append(f"`{field.name}`")
+    return df.selectExpr(*shaped)

@@ -354,7 +354,7 @@ _ORACLES = {
         "prob_fault_next_5m",
     ),
     # ---- projections, filters, predicates
-    "silver_clean_events": _q(f"select {_SILVER_COLUMNS} from silver", _SENSOR_DOUBLES),
+    "silver_clean": _q(f"select {_SILVER_COLUMNS} from silver", _SENSOR_DOUBLES),
     "dq_expectations": _q(
         " union all ".join(
             f"select '{rule}' as rule, count(*) filter (not coalesce({test}, false)) as violations, "
@@ -419,7 +419,7 @@ _ORACLES = {
     "fault_classify": _q(f"""select event_id, cause, case when fault_code = 'BEARING_WEAR' then 'MANUAL_FAULT' else cause end as cause_manual
  from (select *, case when current_amps >= 12 then 'OVERCURRENT' when vibration_mm_s >= 9.5 and rpm > 2000 then 'BEARING_WEAR'
  when temp_c >= 85 then 'OVERTEMP' else 'VIBRATION' end as cause from silver where {_FAULTY})"""),
-    "rule_flag_events": _q(f"select event_id, {_RULE} as rule_flag from silver"),
+    "rule_flag": _q(f"select event_id, {_RULE} as rule_flag from silver"),
     "rule_alerts": _q("""select machine_id, event_time, vibration_mm_s, temp_c, rpm, state,
  'streaming_anomaly' as alert_type, (select t from now) as detected_at from silver
  where vibration_mm_s > 8 and temp_c > 85 and state = 'RUN'"""),
@@ -431,7 +431,7 @@ _ORACLES = {
     "drop_incomplete": _q("""select event_id, machine_id from fx where machine_id is not null and vibration_mm_s is not null
  and temp_c is not null and throughput_cpm is not null and rpm is not null and current_amps is not null
  and humidity_pct is not null"""),
-    "valid_mirror_rows_kept": _q("""select machine_id, epoch_ms(device_ms) as last_event_time, event_id from fx
+    "valid_mirror_rows": _q("""select machine_id, epoch_ms(device_ms) as last_event_time, event_id from fx
  where machine_id <> '' and device_ms is not null"""),
     "valid_mirror_counts": _q("""select count(*) as row_count, count(*) filter (ok) as valid_rows,
  count(*) filter (not ok) as invalid_rows, max(epoch_ms(device_ms)) filter (ok) as source_watermark
@@ -794,7 +794,7 @@ _ORACLES = {
         "select event_id, rule_flag, anomaly_score, anomaly_score >= 0.7 as is_anomaly from scorable",
         "anomaly_score",
     ),
-    "horizon_expand_events": _q(
+    "horizon_expand": _q(
         """select event_id, p as p_5m, 1 - pow(1 - p, 12) as p_1h, 1 - pow(1 - p, 288) as p_24h,
  1 - pow(1 - p, 2016) as p_7d from (select event_id, humidity_pct / 7100 as p from silver)""",
         "p_5m p_1h p_24h p_7d",
@@ -806,6 +806,18 @@ _ORACLES = {
     "last_scored_ts": _q("select max(scored_at) as last_scored_at from anomaly"),
     # ---- sinks, mirror, checks
     "upsert_parquet": _q("select machine_id, last_event_time, state, temp_c, rpm from latest"),
+    "sink_append": _q("""select machine_id, event_time, vibration_mm_s, temp_c, rpm, state,
+ 'streaming_anomaly' as alert_type, (select t from now) as detected_at from silver
+ where vibration_mm_s > 8 and temp_c > 85 and state = 'RUN'"""),
+    "sr_bulk_load": _q("""select status, priority, request_type, count(*) as requests from requests group by all"""),
+    "validate_outputs": _q(
+        " union all ".join(
+            f"select '{t}' as table_name, count(*) as row_count from {t}"
+            for t in ("bronze", "silver", "gold", "anomaly", "fault")
+        )
+    ),
+    "dry_run_validate": _q("""select count(*) as row_count, count(*) as valid_rows, 0::bigint as invalid_rows,
+ max(last_event_time) as source_watermark from cur"""),
     "score_publish": _q(
         """select * from anomaly
  qualify row_number() over (partition by machine_id order by event_time desc, event_id desc) = 1""",
@@ -840,6 +852,11 @@ _ORACLES = {
     "stream_silver": _q(f"select {_SILVER_COLUMNS} from silver", _SENSOR_DOUBLES),
     "stream_gold_health": _q(
         f"""select {_GOLD_COLUMNS}, anomaly_score, is_anomaly, rule_based_risk_score from gold
+ where window_end <= {_SINCE.format("2 minute")}""",
+        f"{_OEE_NUMBERS} anomaly_score rule_based_risk_score",
+    ),
+    "stream_late_data": _q(
+        f"""select {_GOLD_COLUMNS}, anomaly_score, is_anomaly, rule_based_risk_score from gold
  where window_end <= {_SINCE.format("2 minute")}""",
         f"{_OEE_NUMBERS} anomaly_score rule_based_risk_score",
     ),

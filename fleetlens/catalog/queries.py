@@ -19,7 +19,7 @@ from fleetlens.operators import gold, labels, latest, metrics, percentiles, qual
 from fleetlens.plans import reports, requests, semantic
 from fleetlens.schemas import FAULT_PREDICTIONS, SILVER, align_schema
 from fleetlens.sinks.jdbc import mirror_counts, valid_mirror_rows
-from fleetlens.sinks.keyed import KeyedTable, export_training
+from fleetlens.sinks.keyed import KeyedTable, append, export_training
 from fleetlens.sources import bronze, serial
 from fleetlens.streaming import jobs
 
@@ -27,7 +27,8 @@ _QUERIES: dict[str, Callable[[Frames], DataFrame]] = {}
 
 
 def query(fn: Callable[[Frames], DataFrame]) -> Callable[[Frames], DataFrame]:
-    _QUERIES[fn.__name__] = fn
+    """Register under the function's name; a trailing underscore only avoids a clash."""
+    _QUERIES[fn.__name__.rstrip("_")] = fn
     return fn
 
 
@@ -116,7 +117,7 @@ def optional_cols(f):
 
 
 @query
-def silver_clean_events(f):
+def silver_clean_(f):
     return f.silver
 
 
@@ -235,7 +236,7 @@ def fault_classify(f):
 
 
 @query
-def rule_flag_events(f):
+def rule_flag_(f):
     return f.silver.select(*TIE, rule_flag().alias("rule_flag"))
 
 
@@ -274,7 +275,7 @@ def _mirror_input(f: Frames) -> DataFrame:
 
 
 @query
-def valid_mirror_rows_kept(f):
+def valid_mirror_rows_(f):
     return valid_mirror_rows(_mirror_input(f))
 
 
@@ -595,7 +596,7 @@ def blend_score(f):
 
 
 @query
-def horizon_expand_events(f):
+def horizon_expand_(f):
     shares = horizon_expand(F.col("humidity_pct") / F.lit(7100.0))
     return f.silver.select(*TIE, *[p.alias(f"p_{label}") for label, p in shares.items()])
 
@@ -631,6 +632,36 @@ def upsert_parquet(f):
     return table.read()
 
 
+@query
+def sink_append(f):
+    """Alerts appended in two loads."""
+    path, alerts = f.work_dir(), scoring.rule_alerts(f.silver, f.as_of)
+    append(alerts.where("rpm < 2300"), path)
+    append(alerts.where("rpm >= 2300"), path)
+    return f.spark.read.parquet(path)
+
+
+@query
+def sr_bulk_load(f):
+    path = f.work_dir()
+    append(f.requests, path)
+    loaded = f.spark.read.parquet(path)
+    return loaded.groupBy("status", "priority", "request_type").agg(F.count(F.lit(1)).alias("requests"))
+
+
+@query
+def validate_outputs(f):
+    tables = {"bronze": f.bronze, "silver": f.silver, "gold": f.gold, "anomaly": f.anomaly, "fault": f.fault}
+    found = ops.validate_outputs(tables, ["bronze", "silver", "anomaly", "fault"], ["gold"])
+    assert not found["warnings"]
+    return ops.table_counts(tables)
+
+
+@query
+def dry_run_validate(f):
+    return mirror_counts(f.status)
+
+
 @query
 def score_publish(f):
     table = KeyedTable(f.spark, f.work_dir(), ("machine_id",), ("event_time",))
@@ -800,6 +831,18 @@ def stream_gold_health(f):
     return _finish(done, f"{work}/out", f)
 
 
+@query
+def stream_late_data(f):
+    """Rows sent again hours late must not change the windows already published."""
+    work = f.work_dir()
+    append(f.silver, f"{work}/in")
+    source = jobs.stream_table(f.spark, f"{work}/in", f.silver.schema)
+    jobs.start_health(source, f"{work}/out", f"{work}/cp").awaitTermination()
+    hours_old = F.unix_micros("event_time") <= f.as_of - 2 * 3_600_000_000
+    append(f.silver.where(hours_old), f"{work}/in")
+    return _finish(jobs.start_health(source, f"{work}/out", f"{work}/cp"), f"{work}/out", f)
+
+
 @query
 def stream_status_10s(f):
     work = f.work_dir()

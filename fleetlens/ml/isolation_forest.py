@@ -24,9 +24,10 @@ from fleetlens.session import pin
 
 KIND = "anomaly"
 TRAINING_DAYS = 2
-NODES = "tree int, node int, feature int, threshold double, left int, right int, length double"
+NODES = "tree int, node int, depth int, feature int, threshold double, length double"
 _SPARE = 1.5  # draw this many times the rows needed, then keep exactly the sample size
 _BUCKETS = 1 << 20
+_BLOCK = 1024  # rows scored at a time, so that the work arrays stay in the CPU cache
 
 
 def average_path(n: float) -> float:
@@ -39,27 +40,46 @@ def average_path(n: float) -> float:
 
 
 def grow(x: np.ndarray, tree: int, rng: np.random.Generator) -> list[tuple]:
-    """Split at random until rows are alone or the depth limit is reached."""
+    """Split at random until rows are alone or the depth limit is reached.
+
+    Nodes are numbered like a heap (children of i are 2i + 1 and 2i + 2); a leaf has
+    feature -1 and carries its path length.
+    """
     limit = int(np.ceil(np.log2(max(2, len(x)))))
-    nodes: list[list] = []
-    todo = [(np.arange(len(x)), 0, -1, 0)]
+    nodes = []
+    todo = [(0, 0, np.arange(len(x)))]
     while todo:
-        rows, depth, parent, side = todo.pop()
-        index = len(nodes)
-        if parent >= 0:
-            nodes[parent][side] = index
+        node, depth, rows = todo.pop()
         low, high = x[rows].min(axis=0), x[rows].max(axis=0)
         varying = np.flatnonzero(high > low)
-        if depth >= limit or len(rows) <= 1 or len(varying) == 0:
-            nodes.append([tree, index, -1, 0.0, index, index, depth + average_path(len(rows))])
+        if depth >= limit or len(varying) == 0:
+            nodes.append((tree, node, depth, -1, 0.0, depth + average_path(len(rows))))
             continue
         feature = int(rng.choice(varying))
-        threshold = float(rng.uniform(low[feature], high[feature]))
+        # Below the highest value, so that neither side is empty.
+        threshold = min(float(rng.uniform(low[feature], high[feature])), np.nextafter(high[feature], low[feature]))
         goes_left = x[rows, feature] <= threshold
-        nodes.append([tree, index, feature, threshold, -1, -1, 0.0])
-        todo.append((rows[goes_left], depth + 1, index, 4))
-        todo.append((rows[~goes_left], depth + 1, index, 5))
-    return [tuple(n) for n in nodes]
+        nodes.append((tree, node, depth, feature, threshold, 0.0))
+        todo.append((2 * node + 1, depth + 1, rows[goes_left]))
+        todo.append((2 * node + 2, depth + 1, rows[~goes_left]))
+    return nodes
+
+
+def mean_path(
+    x: np.ndarray, feature: np.ndarray, threshold: np.ndarray, length: np.ndarray
+) -> np.ndarray:
+    """Mean path length of each row over all trees; all trees step down together."""
+    trees, inner = feature.shape
+    rows, width = x.shape
+    tree_start = np.arange(trees, dtype=np.int64) * inner
+    row_start = np.arange(rows, dtype=np.int64)[:, None] * width
+    at = np.zeros((rows, trees), dtype=np.int64)
+    for _ in range((inner + 1).bit_length() - 1):
+        spot = tree_start + at
+        reading = x.ravel().take(row_start + feature.ravel().take(spot))
+        at = 2 * at + 1 + (reading > threshold.ravel().take(spot))
+    leaf = np.arange(trees, dtype=np.int64) * (inner + 1) + (at - inner)
+    return length.ravel().take(leaf).mean(axis=1)
 
 
 @dataclass(frozen=True)
@@ -119,43 +139,37 @@ class IsolationForestModel:
     features: tuple[str, ...]
     run_id: str = "unsaved"
 
-    def _arrays(self) -> dict[str, np.ndarray]:
-        """Tables as (tree, node) arrays padded to the widest tree."""
-        shape = (int(self.nodes["tree"].nunique()), int(self.nodes["node"].max()) + 1)
-        ranks = self.nodes["tree"].rank(method="dense").astype(int).to_numpy() - 1
-        out = {}
-        for name, kind in (
-            ("feature", np.int32),
-            ("threshold", float),
-            ("left", np.int32),
-            ("right", np.int32),
-            ("length", float),
-        ):
-            table = np.zeros(shape, dtype=kind)
-            table[ranks, self.nodes["node"].to_numpy()] = self.nodes[name].to_numpy()
-            out[name] = table
-        return out
+    def _tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Perfect trees of equal depth: split features, split values, path length per leaf.
+
+        A leaf above the bottom hands every row down its left edge.
+        """
+        deepest = int(self.nodes["depth"].max())
+        trees = self.nodes["tree"].rank(method="dense").astype(int).to_numpy() - 1
+        shape = (trees.max() + 1, 2**deepest - 1)
+        feature, threshold = np.zeros(shape, dtype=np.int32), np.full(shape, np.inf)
+        length = np.zeros((shape[0], 2**deepest))
+        split = self.nodes["feature"].to_numpy() >= 0
+        node = self.nodes["node"].to_numpy()
+        feature[trees[split], node[split]] = self.nodes["feature"].to_numpy()[split]
+        threshold[trees[split], node[split]] = self.nodes["threshold"].to_numpy()[split]
+        # Left-most descendant of node i, k levels down, is (i + 1) * 2^k - 1.
+        below = deepest - self.nodes["depth"].to_numpy()[~split]
+        bottom = (node[~split] + 1) * 2**below - 2**deepest
+        length[trees[~split], bottom] = self.nodes["length"].to_numpy()[~split]
+        return feature, threshold, length
 
     def decision(self, df: DataFrame, name: str = "raw") -> DataFrame:
         """Add the decision value: negative for unusual rows.  Features must not be NULL."""
-        tables = df.sparkSession.sparkContext.broadcast(self._arrays())
+        tables = df.sparkSession.sparkContext.broadcast(self._tables())
         scale, offset = average_path(self.sample) or 1.0, self.offset
 
         @F.pandas_udf(T.DoubleType())
         def value(*columns: pd.Series) -> pd.Series:
-            t = tables.value
             x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
-            trees = np.arange(t["feature"].shape[0])
-            at = np.zeros((len(x), len(trees)), dtype=np.int32)
-            row = np.arange(len(x))[:, None]
-            while True:
-                feature = t["feature"][trees, at]
-                inner = feature >= 0
-                if not inner.any():
-                    break
-                left = x[row, np.where(inner, feature, 0)] <= t["threshold"][trees, at]
-                at = np.where(left, t["left"][trees, at], t["right"][trees, at])
-            path = t["length"][trees, at].mean(axis=1)
+            path = np.concatenate(
+                [mean_path(x[i : i + _BLOCK], *tables.value) for i in range(0, len(x), _BLOCK)] or [x[:, 0]]
+            )
             return pd.Series(-np.exp2(-path / scale) - offset)
 
         return df.withColumn(name, value(*[F.col(c).cast("double") for c in self.features]))

@@ -128,8 +128,7 @@ def status_windows(
     return picked.select(
         "machine_id",
         F.col("_row.event_time").alias("last_event_time"),
-        *[F.col(f"_row.{c}") for c in STATUS_VALUES],
-        *[F.col(f"_row.{c}") for c in tiebreak],
+        *[f"_row.{c}" for c in (*STATUS_VALUES, *tiebreak)],
     )
 
 

@@ -29,7 +29,7 @@ def latest_by_key(
     """One row per ``keys``: the one with the greatest ``order`` values."""
     rest = [c for c in df.columns if c not in keys]
     picked = df.groupBy(*keys).agg(newest(rest, order, tiebreak).alias("_row"))
-    return picked.select(*[F.col(c) if c in keys else F.col(f"_row.`{c}`") for c in df.columns])
+    return picked.select(*[c if c in keys else f"_row.`{c}`" for c in df.columns])
 
 
 def changed_rows(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -49,6 +49,6 @@ def changed_rows(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFra
     met = both.groupBy(*keys).agg(before.alias("_before"), after.alias("_after"))
     return met.where("_after is not null and not (_before <=> _after)").select(
         *keys,
-        *[F.col(f"_after.`{c}`") for c in payload],
+        *[f"_after.`{c}`" for c in payload],
         F.when(F.col("_before").isNull(), "insert").otherwise("update").alias("change"),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.expr import clamp, lag_seconds, parse_time
-from fleetlens.schemas import SENSORS, SILVER
+from fleetlens.schemas import BRONZE, SILVER, align_schema
 
 # Reading assumed when a device does not send the sensor.
 DEFAULTS = {
@@ -30,31 +30,25 @@ def silver_clean(bronze: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     (before its default, so an unknown current gives an unknown power).  ``keep``
     names further bronze columns to pass through, e.g. a tie-breaker.
     """
-    timed = bronze.withColumns(
+    stored = align_schema(bronze, BRONZE, keep_extra=True)
+    timed = stored.withColumns(
         {
             "_sent": parse_time(F.col("ts")),
             "_queued": parse_time(F.col("iothub_enqueued_time")),
             "_stored": parse_time(F.col("ingest_ts")),
         }
     ).withColumn("event_time", F.coalesce("_sent", "_queued"))
-    sensor = {name: F.col(name).cast(SILVER[name].dataType) for name in SENSORS}
-    values = {
-        name: F.coalesce(col, F.lit(DEFAULTS[name])) if name in DEFAULTS else col
-        for name, col in sensor.items()
-    }
-    values["load_pct"] = F.coalesce(
-        sensor["load_pct"], clamp(F.col("throughput_cpm") / F.lit(FULL_LOAD_CPM_PER_PCT), 0, 100)
-    )
-    values["power_kw"] = F.coalesce(
-        sensor["power_kw"], sensor["current_amps"] * F.lit(KW_PER_AMP)
-    )
+    values = {name: F.coalesce(name, F.lit(usual)) for name, usual in DEFAULTS.items()}
     values |= {
+        "load_pct": F.coalesce(
+            F.col("load_pct"), clamp(F.col("throughput_cpm") / F.lit(FULL_LOAD_CPM_PER_PCT), 0, 100)
+        ),
+        "power_kw": F.coalesce(F.col("power_kw"), F.col("current_amps") * F.lit(KW_PER_AMP)),
         "iothub_device_id": F.col("machine_id"),
         "enqueued_time": F.col("_queued"),
         "ingest_ts": F.col("_stored"),
         "device_to_hub_ms": lag_seconds(F.col("event_time"), F.col("_queued")) * 1000,
         "hub_to_bridge_ms": lag_seconds(F.col("_queued"), F.col("_stored")) * 1000,
     }
-    return timed.where("machine_id is not null and event_time is not null").select(
-        *[values.get(f.name, F.col(f.name)).alias(f.name) for f in SILVER.fields], *keep
-    )
+    columns = [values[n].alias(n) if n in values else n for n in SILVER.names]
+    return timed.where("machine_id is not null and event_time is not null").select(*columns, *keep)

@@ -121,7 +121,8 @@ def _latest_scores(
 ) -> DataFrame:
     known = align_schema(scores, schema, keep_extra=True)
     newest = latest_by_key(known, ["machine_id"], list(order), tiebreak)
-    return newest.select(*[F.col(c).alias(c if c == "machine_id" else f"{prefix}_{c}") for c in schema.names])
+    named = {c: f"{prefix}_{c}" for c in schema.names if c != "machine_id"}
+    return newest.select(*schema.names).withColumnsRenamed(named)
 
 
 def machine_health(
@@ -140,19 +141,18 @@ def machine_health(
     f = _latest_scores(fault, FAULT_PREDICTIONS, order, "f", tiebreak)
     joined = gold.join(a, "machine_id", "left").join(f, "machine_id", "left")
     risk = F.coalesce("f_prob_fault_next_5m", "rule_based_risk_score")
-    ml = {c: F.col(f"f_{c}") for c in ML_COLUMNS if "_fault_next_" in c}
-    ml |= {
+    named = {f"f_{c}": c for c in ML_COLUMNS if "_fault_next_" in c and not c.endswith("_5m")}
+    for kind, short in (("anomaly", "a"), ("fault", "f")):
+        named |= {f"{short}_{c}": f"{kind}_{c}" for c in ("inference_type", "model_run_id", "scored_at")}
+    chosen = {
         "anomaly_score": F.coalesce("a_anomaly_score", "anomaly_score"),
         "is_anomaly": F.coalesce("a_is_anomaly", "is_anomaly"),
         "prob_fault_next_5m": risk,
         "predicted_fault_next_5m": F.coalesce(F.col("f_predicted_fault_next_5m"), risk >= 0.5),
         "last_ml_score_time": F.greatest("a_scored_at", "f_scored_at"),
     }
-    for kind, short in (("anomaly", "a"), ("fault", "f")):
-        for name in ("inference_type", "model_run_id", "scored_at"):
-            ml[f"{kind}_{name}"] = F.col(f"{short}_{name}")
     measured = [c for c in HEALTH_COLUMNS if c not in (*ML_COLUMNS, "rule_based_risk_score")]
-    return joined.select(*measured, *[ml[c].alias(c) for c in ML_COLUMNS])
+    return joined.withColumns(chosen).withColumnsRenamed(named).select(*measured, *ML_COLUMNS)
 
 
 def current_status(

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _TYPES = {
@@ -87,15 +86,15 @@ def missing_columns(existing: list[str], wanted: T.StructType) -> list[T.StructF
 def align_schema(df: DataFrame, wanted: T.StructType, keep_extra: bool = False) -> DataFrame:
     """Select ``wanted`` in order; a column the input lacks becomes a typed NULL."""
     have = {name.lower(): name for name in df.columns}
-    cols = []
+    shaped = []
     for field in wanted.fields:
-        source = have.get(field.name.lower())
-        value = F.lit(None) if source is None else F.col(f"`{source}`")
-        cols.append(value.cast(field.dataType).alias(field.name))
+        known = field.name.lower() in have
+        source = f"`{have[field.name.lower()]}`" if known else "null"
+        shaped.append(f"cast({source} as {field.dataType.simpleString()}) as `{field.name}`")
     if keep_extra:
         named = {field.name.lower() for field in wanted.fields}
-        cols += [F.col(f"`{name}`") for low, name in have.items() if low not in named]
-    return df.select(*cols)
+        shaped += [f"`{name}`" for low, name in have.items() if low not in named]
+    return df.selectExpr(*shaped)
 
 
 def ensure_table(spark: SparkSession, name: str, wanted: T.StructType) -> list[str]:

@@ -112,9 +112,13 @@ def publish_scores(
 
 
 def export_training(rows: DataFrame, path: str) -> dict[str, str]:
-    """Write labelled rows as JSON lines, CSV with header and Parquet."""
+    """Write labelled rows as Parquet, JSON lines and CSV with header.
+
+    The labels are worked out once; the text formats are written from the Parquet copy.
+    """
     targets = {kind: f"{path}/{kind}" for kind in ("json", "csv", "parquet")}
-    rows.write.mode("overwrite").json(targets["json"])
-    rows.write.mode("overwrite").option("header", True).csv(targets["csv"])
     rows.write.mode("overwrite").parquet(targets["parquet"])
+    stored = rows.sparkSession.read.schema(rows.schema).parquet(targets["parquet"])
+    stored.write.mode("overwrite").json(targets["json"])
+    stored.write.mode("overwrite").option("header", True).csv(targets["csv"])
     return targets

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from fleetlens import ops
 from fleetlens.schemas import BRONZE, MIRROR_STATUS
 from fleetlens.sinks import jdbc
+from fleetlens.streaming import jobs
 from tests.conftest import at
 
 
@@ -70,6 +71,20 @@ def test_dry_run_and_nothing_valid_write_nothing(frames):
     assert db.log == []
 
 
+def test_continuous_sync_mirrors_every_change(spark, frames, tmp_path):
+    """The change feed of the latest-status stream drives the mirror, batch by batch."""
+    rows = frames.latest.drop("telemetry_lag_seconds")
+    rows.coalesce(1).write.parquet(str(tmp_path / "src"))
+    db = Database()
+    sync = lambda batch, number: jdbc.upsert_jdbc(batch, db.write, db.execute)
+    source = jobs.stream_table(spark, str(tmp_path / "src"), rows.schema)
+    out, cp = str(tmp_path / "out"), str(tmp_path / "cp")
+    jobs.start_latest(source, out, cp, on_change=sync).awaitTermination()
+    staged = db.staged["machine_current_status_staging"]
+    assert {r["machine_id"] for r in staged} == {r["machine_id"] for r in rows.collect()}
+    assert db.log.count(("execute", 2)) == 1
+
+
 def test_bulk_load_bounds_connections(frames):
     parts = []
     jdbc.bulk_load(frames.requests.repartition(20), "t", lambda df, t: parts.append(df.rdd.getNumPartitions()), 4)
