@@ -14,7 +14,7 @@ from fleetlens.operators import gold, scoring
 from fleetlens.operators.silver import silver_clean
 from fleetlens.plans import semantic
 from fleetlens.schemas import SERVICE_REQUESTS, align_schema
-from fleetlens.session import shared_dir, prepare
+from fleetlens.session import prepare, shared_dir, stored
 from fleetlens.streaming import jobs
 
 TIE = ("event_id",)
@@ -40,6 +40,10 @@ class Frames:
 
     @cached_property
     def bronze(self) -> DataFrame:
+        return fixture.bronze(self.fx, text=False)
+
+    @cached_property
+    def bronze_text(self) -> DataFrame:
         return fixture.bronze(self.fx)
 
     @cached_property
@@ -92,7 +96,8 @@ class Frames:
 
     @cached_property
     def dim(self) -> DataFrame:
-        return semantic.dim_machine(self.silver)
+        """Stored, so that joins of whole event tables know how large it is."""
+        return stored(semantic.dim_machine(self.silver))
 
     @cached_property
     def health(self) -> DataFrame:
@@ -159,7 +164,7 @@ class Frames:
 
     @property
     def silver_stream(self) -> DataFrame:
-        return silver_clean(fixture.bronze(fixture.telemetry(self.event_stream)), TIE)
+        return silver_clean(fixture.bronze(fixture.telemetry(self.event_stream), text=False), TIE)
 
 
 def spread(df: DataFrame) -> DataFrame:

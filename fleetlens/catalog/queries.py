@@ -16,6 +16,7 @@ from fleetlens.ml import fault_model, isolation_forest
 from fleetlens.ml.isolation_forest import IsolationForest, IsolationForestModel
 from fleetlens.ml.store import ModelStore
 from fleetlens.operators import gold, labels, latest, metrics, percentiles, quality, scoring
+from fleetlens.operators.silver import silver_clean
 from fleetlens.plans import reports, requests, semantic
 from fleetlens.schemas import FAULT_PREDICTIONS, SILVER, align_schema
 from fleetlens.sinks.jdbc import mirror_counts, valid_mirror_rows
@@ -118,7 +119,7 @@ def optional_cols(f):
 
 @query
 def silver_clean_(f):
-    return f.silver
+    return silver_clean(f.bronze_text, TIE)
 
 
 @query
@@ -139,7 +140,7 @@ def hop_latency_silver(f):
 
 @query
 def hop_latency_events(f):
-    return f.latency
+    return semantic.hop_latency(f.bronze_text, f.dim)
 
 
 @query
@@ -162,7 +163,7 @@ def telemetry_between(f):
 
 @query
 def dim_machine(f):
-    return f.dim
+    return semantic.dim_machine(f.silver)
 
 
 def _banded(f: Frames, **columns) -> DataFrame:
@@ -451,7 +452,7 @@ add(
 )
 add("hop_breakdown", lambda f: reports.hop_breakdown(f.latency, f.as_of))
 add("gold_lag_summary", lambda f: reports.gold_lag_summary(f.latest))
-add("bronze_recent", lambda f: reports.bronze_recent(f.bronze, f.as_of))
+add("bronze_recent", lambda f: reports.bronze_recent(f.bronze_text, f.as_of))
 add("freshness_summary", lambda f: reports.freshness_summary(f.status, f.as_of))
 add("latency_percentiles_approx", lambda f: reports.lag_percentiles_approx(f.status))
 add("risk_mix", lambda f: reports.risk_mix(f.status, f.as_of))
@@ -506,7 +507,8 @@ def label_future_fault_20s(f):
 
 @query
 def label_next_rows(f):
-    return labels.label_next_rows(f.silver, 3, ["event_time", *TIE]).select(*TIE, "label_fault_next_5m")
+    rows = f.silver.select("machine_id", "event_time", "state", "fault_code", *TIE)
+    return labels.label_next_rows(rows, 3, ["event_time", *TIE]).select(*TIE, "label_fault_next_5m")
 
 
 def _polls(f: Frames) -> DataFrame:

@@ -60,14 +60,19 @@ def _iso(millis: str):
     return iso_time(F.timestamp_millis(F.col(millis)))
 
 
-def bronze(fx: DataFrame) -> DataFrame:
-    """Bronze rows as the parser would write them (without the message text)."""
+def bronze(fx: DataFrame, text: bool = True) -> DataFrame:
+    """Bronze rows as the parser would write them, without the message text.
+
+    With ``text=False`` the three times are timestamps, as in a landing table that
+    stores them typed.
+    """
     named = [f.name for f in PAYLOAD.fields if f.name != "ts"]
+    time = _iso if text else (lambda millis: F.timestamp_millis(F.col(millis)))
     return fx.where("machine_id is not null").select(
         *named,
-        F.coalesce(_iso("device_ms"), _iso("enqueued_ms")).alias("ts"),
-        _iso("enqueued_ms").alias("iothub_enqueued_time"),
-        _iso("ingest_ms").alias("ingest_ts"),
+        F.coalesce(time("device_ms"), time("enqueued_ms")).alias("ts"),
+        time("enqueued_ms").alias("iothub_enqueued_time"),
+        time("ingest_ms").alias("ingest_ts"),
         "event_id",
     )
 

@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ISO_MILLIS = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"  # fixed value: stored text form of a time
 
@@ -33,6 +34,11 @@ def parse_time(text: Column) -> Column:
     return F.try_to_timestamp(text)
 
 
+def as_time(df: DataFrame, name: str) -> Column:
+    """Column ``name`` of ``df`` as a time: parsed when it is text, as it is otherwise."""
+    return parse_time(F.col(name)) if df.schema[name].dataType == T.StringType() else F.col(name)
+
+
 def iso_time(instant: Column) -> Column:
     return F.date_format(instant, ISO_MILLIS)
 

@@ -108,6 +108,7 @@ def label_next_rows(
 
     ``order`` must be total within a machine (add a tie-breaker).  Rows of one
     machine are neighbours in the global numbering, so the block method applies.
+    The rows are sorted with all their columns: select the needed ones first.
     """
     numbered = number_rows(df, [key, *order], "_row")
     marked = numbered.withColumn("_hit", is_fault() if fault is None else fault)

@@ -8,29 +8,46 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.operators.percentiles import histogram, weighted_percentile
+from fleetlens.operators.percentiles import (
+    histogram,
+    sample_metric,
+    samples,
+    weighted,
+    weighted_percentiles,
+)
+
+
+@dataclass(frozen=True)
+class Of:
+    """Measure: avg, min or max of an integer column."""
+
+    how: str
+    column: str
 
 
 @dataclass(frozen=True)
 class Percentile:
-    """Measure: exact percentile ``q`` of a column."""
+    """Measure: exact percentile ``q`` of an integer column."""
 
     column: str
     q: float
 
 
+COUNT = "count(1)"
+
+
 @dataclass(frozen=True)
 class MetricView:
     """Named dimensions and measures over one source.
 
     ``dimensions`` and ``measures`` map a name to a SQL expression over the source;
-    a measure may also be a :class:`Percentile`.  A query always aggregates source
-    rows, so ratios and averages are right at every grain.
+    a measure may also be :class:`Of` or :class:`Percentile`.  A query always
+    aggregates source rows, so ratios and averages are right at every grain.
     """
 
     name: str
     dimensions: Mapping[str, str]
-    measures: Mapping[str, str | Percentile]
+    measures: Mapping[str, str | Of | Percentile]
 
     def query(
         self,
@@ -46,27 +63,40 @@ class MetricView:
         if unknown:
             raise KeyError(f"{self.name} has no {unknown}")
         rows = source if where is None else source.where(where)
-        plain = {n: F.expr(self.measures[n]) for n in names if isinstance(self.measures[n], str)}
-        ranked = {n: self.measures[n] for n in names if isinstance(self.measures[n], Percentile)}
         dims = [F.expr(self.dimensions[d]).alias(d) for d in by]
-        if approx:
-            plain |= {
-                n: F.percentile_approx(m.column, F.lit(m.q), F.lit(10_000)) for n, m in ranked.items()
-            }
-            ranked = {}
-        parts = []
-        if plain or not ranked:
-            parts.append(rows.groupBy(*dims).agg(*[c.alias(n) for n, c in plain.items()]))
-        if ranked:
-            columns = {m.column: F.col(m.column) for m in ranked.values()}
-            counted = histogram(rows.select(*dims, *columns), by, columns)
-            values = [weighted_percentile(m.column, m.q).alias(n) for n, m in ranked.items()]
-            parts.append(counted.groupBy(*by).agg(*values))
-        if len(parts) == 1:
-            return parts[0].select(*by, *names)
-        # One row per group from each part: merged by grouping, which keeps NULL dimensions.
-        merged = parts[0].unionByName(parts[1], allowMissingColumns=True)
-        return merged.groupBy(*by).agg(*[F.max(n).alias(n) for n in names])
+        wanted = {n: self.measures[n] for n in names}
+        if approx or not any(isinstance(m, Percentile) for m in wanted.values()):
+            return rows.groupBy(*dims).agg(*[_plain(m).alias(n) for n, m in wanted.items()])
+        return self._counted(rows, dims, by, wanted)
+
+    def _counted(self, rows: DataFrame, dims, by: Sequence[str], wanted: Mapping) -> DataFrame:
+        """All measures from one pass that counts equal values before it aggregates."""
+        mixed = [n for n, m in wanted.items() if isinstance(m, str) and m != COUNT]
+        if mixed:
+            raise ValueError(f"ask for {mixed} apart from percentiles")
+        columns = {m.column: F.col(m.column) for m in wanted.values() if not isinstance(m, str)}
+        counted = histogram(rows.select(*dims, *columns), by, columns | sample_metric())
+        asked: dict[str, list[float]] = {}
+        for m in wanted.values():
+            if isinstance(m, Percentile):
+                asked.setdefault(m.column, []).append(m.q)
+        cells = [weighted_percentiles(c, qs).alias(f"_{c}") for c, qs in asked.items()]
+        outputs = []
+        for name, m in wanted.items():
+            if isinstance(m, Percentile):
+                outputs.append(F.get(f"_{m.column}", F.lit(asked[m.column].index(m.q))).alias(name))
+            else:
+                cells.append((weighted(m.column)[m.how] if isinstance(m, Of) else samples()).alias(name))
+                outputs.append(name)
+        return counted.groupBy(*by).agg(*cells).select(*by, *outputs)
+
+
+def _plain(measure: str | Of | Percentile) -> Column:
+    if isinstance(measure, Of):
+        return F.expr(f"{measure.how}({measure.column})")
+    if isinstance(measure, Percentile):
+        return F.percentile_approx(measure.column, F.lit(measure.q), F.lit(10_000))
+    return F.expr(measure)
 
 
 def _time_dimensions(column: str, prefix: str, hour: bool = True) -> dict[str, str]:
@@ -183,9 +213,9 @@ LATENCY = MetricView(
         **_time_dimensions("device_ts", "device"),
     },
     {
-        "record_count": "count(1)",
+        "record_count": COUNT,
         **{
-            f"{how}_{name}": f"{how}({column})"
+            f"{how}_{name}": Of(how, column)
             for how in ("avg", "min", "max")
             for name, column in _HOPS.items()
         },

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.operators.ordered import number_rows
+from fleetlens.session import pin
+
+BROADCAST_ROWS = 200_000  # rows of a name and a position: a few megabytes
+SAMPLE = "sample"
 
 
 def histogram(df: DataFrame, by: Sequence[str], values: Mapping[str, Column]) -> DataFrame:
@@ -25,6 +29,16 @@ def histogram(df: DataFrame, by: Sequence[str], values: Mapping[str, Column]) ->
     )
 
 
+def sample_metric() -> dict[str, Column]:
+    """A constant metric: its count is the number of rows, also of rows with NULL values."""
+    return {SAMPLE: F.lit(1).cast("bigint")}
+
+
+def samples() -> Column:
+    """Rows behind a histogram that has the :func:`sample_metric`."""
+    return F.coalesce(F.sum(F.when(F.col("metric") == SAMPLE, F.col("n"))), F.lit(0))
+
+
 def weighted(metric: str) -> dict[str, Column]:
     """Aggregates of one metric over :func:`histogram` rows."""
     mine = F.col("metric") == metric
@@ -32,10 +46,13 @@ def weighted(metric: str) -> dict[str, Column]:
     return {"avg": F.sum(value * n) / F.sum(n), "min": F.min(value), "max": F.max(value)}
 
 
-def weighted_percentile(metric: str, q: float) -> Column:
-    """Exact linear-interpolated percentile; the state is distinct values, not rows."""
+def weighted_percentiles(metric: str, qs: Sequence[float]) -> Column:
+    """Array of exact, linearly interpolated percentiles of one metric.
+
+    One buffer serves all ``qs``; it holds the distinct values, not the rows.
+    """
     value = F.when(F.col("metric") == metric, F.col("value"))
-    return F.percentile(value, F.lit(q), F.col("n"))
+    return F.percentile(value, F.array(*[F.lit(q) for q in qs]), F.col("n"))
 
 
 def order_statistics(
@@ -47,8 +64,8 @@ def order_statistics(
     group is ever gathered in one place.
     """
     numbered = number_rows(df.where(F.col(value).isNotNull()).select(*by, value), [*by, value])
-    spans = numbered.groupBy(*by).agg(
-        F.min("row_index").alias("_first"), F.count(F.lit(1)).alias("_n")
+    spans = pin(
+        numbered.groupBy(*by).agg(F.min("row_index").alias("_first"), F.count(F.lit(1)).alias("_n"))
     )
     wanted = [
         F.struct(
@@ -60,6 +77,9 @@ def order_statistics(
         for name, q in picks.items()
     ]
     spots = spans.select(F.inline(F.array(*wanted)))
+    # Few groups: look their positions up in place instead of shuffling all rows.
+    if spans.count() * len(picks) <= BROADCAST_ROWS:
+        spots = F.broadcast(spots)
     found = numbered.join(spots, "row_index")
     return found.groupBy(*by).agg(
         *[F.max(F.when(F.col("_pick") == name, F.col(value))).alias(name) for name in picks]

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from fleetlens.functions.expr import clamp, lag_seconds, parse_time
-from fleetlens.schemas import BRONZE, SILVER, align_schema
+from fleetlens.functions.expr import as_time, clamp, lag_seconds
+from fleetlens.schemas import PAYLOAD, SILVER, align_schema
 
 # Reading assumed when a device does not send the sensor.
 DEFAULTS = {
@@ -18,6 +19,7 @@ DEFAULTS = {
     "pressure_bar": 2.5,
     "flow_rate_lpm": 40.0,
 }
+READINGS = T.StructType([f for f in PAYLOAD.fields if f.name != "ts"])
 FULL_LOAD_CPM_PER_PCT = 1.2
 KW_PER_AMP = 0.365
 
@@ -25,19 +27,17 @@ KW_PER_AMP = 0.365
 def silver_clean(bronze: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """One typed row per event that has a machine and a readable time.
 
+    The three times may be text or timestamps; sensors a landing table lacks are NULL.
+
     Projection and filter only, so it runs unchanged on a stream.  A missing load
     is estimated from throughput and a missing power from the measured current
     (before its default, so an unknown current gives an unknown power).  ``keep``
     names further bronze columns to pass through, e.g. a tie-breaker.
     """
-    stored = align_schema(bronze, BRONZE, keep_extra=True)
-    timed = stored.withColumns(
-        {
-            "_sent": parse_time(F.col("ts")),
-            "_queued": parse_time(F.col("iothub_enqueued_time")),
-            "_stored": parse_time(F.col("ingest_ts")),
-        }
-    ).withColumn("event_time", F.coalesce("_sent", "_queued"))
+    times = {"_sent": "ts", "_queued": "iothub_enqueued_time", "_stored": "ingest_ts"}
+    timed = bronze.withColumns({k: as_time(bronze, c) for k, c in times.items()})
+    timed = align_schema(timed.drop(*times.values()), READINGS, keep_extra=True)
+    timed = timed.withColumn("event_time", F.coalesce("_sent", "_queued"))
     values = {name: F.coalesce(name, F.lit(usual)) for name, usual in DEFAULTS.items()}
     values |= {
         "load_pct": F.coalesce(

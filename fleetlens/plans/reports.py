@@ -12,9 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.bands import maintenance_band, risk_band, sensor_status
-from fleetlens.functions.expr import before, count_if, instant, parse_time, rows_since
+from fleetlens.functions.expr import as_time, before, count_if, instant, rows_since
 from fleetlens.operators.metrics import SAVED_MEASURES
-from fleetlens.operators.percentiles import histogram, weighted, weighted_percentile
+from fleetlens.operators.percentiles import (
+    histogram,
+    sample_metric,
+    samples,
+    weighted,
+    weighted_percentiles,
+)
 from fleetlens.plans.semantic import AsOf, with_line
 from fleetlens.schemas import HORIZON_LABELS
 
@@ -315,28 +321,32 @@ def latency_stats(
     recent = latency.where(F.col("device_ts") >= before(as_of, minutes=minutes))
     chosen = in_lists(recent, machine_id=machines, state=states, line_name=lines)
     counted = histogram(chosen, ["machine_id"], _hop_values())
+    cells = _hop_cells(("avg", "max"))
+    found = counted.groupBy("machine_id").agg(*cells, samples().alias("sample_count"))
+    return _with_p50_p95(found, HOPS)
+
+
+def _hop_cells(kinds: Sequence[str], metrics: Sequence[str] = tuple(HOPS)) -> list[Column]:
+    """Per metric the asked aggregates (averages in whole ms) and its p50 and p95 as a pair."""
     cells = []
-    for short in HOPS:
+    for short in metrics:
         found = weighted(short)
-        cells += [
-            F.round(found["avg"], 0).alias(f"avg_{short}_ms"),
-            found["max"].alias(f"max_{short}_ms"),
-            F.round(weighted_percentile(short, 0.5), 0).alias(f"p50_{short}_ms"),
-            F.round(weighted_percentile(short, 0.95), 0).alias(f"p95_{short}_ms"),
-        ]
-    return counted.groupBy("machine_id").agg(*cells, _samples().alias("sample_count"))
+        found["avg"] = F.round(found["avg"], 0)
+        cells += [found[k].alias(f"{k}_{short}_ms") for k in kinds]
+        cells.append(weighted_percentiles(short, (0.5, 0.95)).alias(f"_{short}"))
+    return cells
 
 
-_SAMPLE = "sample"
+def _with_p50_p95(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    columns = {}
+    for short in metrics:
+        for i, name in enumerate(("p50", "p95")):
+            columns[f"{name}_{short}_ms"] = F.round(F.get(f"_{short}", F.lit(i)), 0)
+    return df.withColumns(columns).drop(*[f"_{short}" for short in metrics])
 
 
 def _hop_values() -> dict[str, Column]:
-    """The hops plus a constant metric that counts rows, also those with a NULL hop."""
-    return {**{k: F.col(c) for k, c in HOPS.items()}, _SAMPLE: F.lit(1).cast("bigint")}
-
-
-def _samples() -> Column:
-    return F.coalesce(F.sum(F.when(F.col("metric") == _SAMPLE, F.col("n"))), F.lit(0))
+    return {k: F.col(c) for k, c in HOPS.items()} | sample_metric()
 
 
 def fleet_latency_rollup(stats: DataFrame) -> DataFrame:
@@ -350,31 +360,17 @@ def fleet_latency_rollup(stats: DataFrame) -> DataFrame:
 def hop_breakdown(latency: DataFrame, as_of: AsOf, minutes: int = 20) -> DataFrame:
     """One row: p50, p95, min, max and avg of each hop over the last minutes."""
     recent = latency.where(F.col("device_ts") > before(as_of, minutes=minutes))
-    cells = []
-    for short in HOPS:
-        found = weighted(short)
-        cells += [
-            F.round(weighted_percentile(short, 0.5), 0).alias(f"p50_{short}_ms"),
-            F.round(weighted_percentile(short, 0.95), 0).alias(f"p95_{short}_ms"),
-            found["min"].alias(f"min_{short}_ms"),
-            found["max"].alias(f"max_{short}_ms"),
-            F.round(found["avg"], 0).alias(f"avg_{short}_ms"),
-        ]
-    return histogram(recent, [], _hop_values()).agg(_samples().alias("sample_count"), *cells)
+    counted = histogram(recent, [], _hop_values())
+    found = counted.agg(samples().alias("sample_count"), *_hop_cells(("min", "max", "avg")))
+    return _with_p50_p95(found, HOPS)
 
 
 def gold_lag_summary(latest: DataFrame) -> DataFrame:
     """One row: machines and p50, p95, min, max, avg of their telemetry lag."""
-    values = {"lag": F.col("telemetry_lag_ms"), _SAMPLE: F.lit(1).cast("bigint")}
-    found = weighted("lag")
-    return histogram(latest, [], values).agg(
-        _samples().alias("machine_count"),
-        F.round(weighted_percentile("lag", 0.5), 0).alias("p50_lag_ms"),
-        F.round(weighted_percentile("lag", 0.95), 0).alias("p95_lag_ms"),
-        found["min"].alias("min_lag_ms"),
-        found["max"].alias("max_lag_ms"),
-        F.round(found["avg"], 0).alias("avg_lag_ms"),
-    )
+    values = {"lag": F.col("telemetry_lag_ms")} | sample_metric()
+    cells = _hop_cells(("min", "max", "avg"), ["lag"])
+    found = histogram(latest, [], values).agg(samples().alias("machine_count"), *cells)
+    return _with_p50_p95(found, ["lag"])
 
 
 def latency_by_machine(silver: DataFrame, as_of: AsOf, hours: int = 1, n: int = 20) -> DataFrame:
@@ -394,7 +390,7 @@ def latency_by_machine(silver: DataFrame, as_of: AsOf, hours: int = 1, n: int =
 
 def bronze_recent(bronze: DataFrame, as_of: AsOf, minutes: int = 20) -> DataFrame:
     """Rows landed in the last minutes and the span they cover."""
-    landed = bronze.select(parse_time(F.col("ingest_ts")).alias("landed"))
+    landed = bronze.select(as_time(bronze, "ingest_ts").alias("landed"))
     recent = landed.where(F.col("landed") > before(as_of, minutes=minutes))
     return recent.agg(
         _rows().alias("recent_records"),

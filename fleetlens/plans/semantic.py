@@ -15,11 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.expr import (
+    as_time,
     before,
     instant,
     lag_millis,
     lag_seconds,
-    parse_time,
     rows_since,
 )
 from fleetlens.operators.gold import HEALTH_COLUMNS, STATUS_VALUES
@@ -80,7 +80,7 @@ def with_line(df: DataFrame, dim: DataFrame) -> DataFrame:
 def hop_latency(
     bronze: DataFrame, dim: DataFrame, hub: str = "hub", store: str = "bronze"
 ) -> DataFrame:
-    """Per event the milliseconds device → hub → store, from the three stored text times.
+    """Per event the milliseconds device → hub → store, from the three stored times.
 
     ``hub`` and ``store`` name the hops, so the view can carry a site's own column names.
     """
@@ -88,7 +88,7 @@ def hop_latency(
     timed = bronze.dropna(subset=list(stages.values())).select(
         "machine_id",
         "state",
-        *[parse_time(F.col(text)).alias(name) for name, text in stages.items()],
+        *[as_time(bronze, column).alias(name) for name, column in stages.items()],
     )
     device, queued, stored = (F.col(name) for name in stages)
     return with_line(timed, dim).select(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +44,17 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back.
+
+    Unlike a checkpoint the copy is columnar and has file statistics, so Spark knows its
+    size before it plans a join: a small lookup table is broadcast, a large one is not.
+    """
+    path = f"{shared_dir(df.sparkSession)}/fleetlens-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and continue from the copy.
 

@@ -110,7 +110,7 @@ def test_payload_fields_are_all_in_the_messages(frames):
 
 
 def test_message_path_equals_typed_path(frames):
-    typed = frames.bronze
+    typed = frames.bronze_text
     parsed = parse_bronze(frames.raw, F.col("ingested"), ("event_id",)).select(*typed.columns)
     assert parsed.exceptAll(typed).count() == 0 and typed.exceptAll(parsed).count() == 0
 

@@ -126,8 +126,8 @@ def test_a_failing_batch_stops_the_query_and_is_replayed(spark, frames, tmp_path
 
 def test_silver_stream_reports_rule_violations(spark, frames, tmp_path):
     src, out, cp = (str(tmp_path / n) for n in ("src", "out", "cp"))
-    frames.bronze.coalesce(1).write.parquet(src)
-    query = jobs.start_silver(stream(spark, src, frames.bronze.schema), out, cp, keep=TIE)
+    frames.bronze_text.coalesce(1).write.parquet(src)
+    query = jobs.start_silver(stream(spark, src, frames.bronze_text.schema), out, cp, keep=TIE)
     query.awaitTermination()
     seen = [p["observedMetrics"]["row_quality"] for p in query.recentProgress if p["numInputRows"]]
     assert seen[0]["rows_checked"] == frames.silver.count()
