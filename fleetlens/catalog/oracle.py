@@ -494,6 +494,7 @@ _ORACLES = {
         f"{_OEE_NUMBERS} fault_rate",
     ),
     "gold_oee": _q(f"select {_GOLD_COLUMNS} from gold", _OEE_NUMBERS),
+    "gold_oee_from_messages": _q(f"select {_GOLD_COLUMNS} from gold", _OEE_NUMBERS),
     "gold_anomaly_rule": _q(
         "select machine_id, window_start, anomaly_score, is_anomaly from gold", "anomaly_score"
     ),

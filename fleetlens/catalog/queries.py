@@ -368,6 +368,15 @@ def gold_oee(f):
     return f.gold.select(*columns)
 
 
+@query
+def gold_oee_from_messages(f):
+    """The whole path: message text, bronze, silver, windows, OEE."""
+    parsed = bronze.parse_bronze(f.raw, F.col("ingested"))
+    windows = gold.machine_health_windows(silver_clean(parsed))
+    columns = [c for c in gold.HEALTH_COLUMNS if c not in ("anomaly_score", "is_anomaly", "rule_based_risk_score")]
+    return windows.select(*columns)
+
+
 @query
 def gold_anomaly_rule(f):
     return f.gold.select("machine_id", "window_start", "anomaly_score", "is_anomaly")

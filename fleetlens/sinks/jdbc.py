@@ -163,8 +163,11 @@ def jdbc_executor(
 def bulk_load(
     df: DataFrame, table: str, write: Callable[[DataFrame, str], None], writers: int = 8
 ) -> None:
-    """Load a large frame with a bounded number of database connections."""
-    write(df.coalesce(writers), table)
+    """Load a large frame with a bounded number of database connections.
+
+    A shuffle, not a coalesce, so that only the writing is limited to ``writers`` tasks.
+    """
+    write(df.repartition(writers), table)
 
 
 def upsert_jdbc(
