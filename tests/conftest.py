@@ -20,7 +20,7 @@ def spark():
         SparkSession.builder.master("local[8]")
         .appName("fleetlens-tests")
         .config("spark.ui.enabled", "false")
-        # No Python call site per column expression: plans build in half the time.
+        # No Python call site per column expression: plans build faster.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", "8")
