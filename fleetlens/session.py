@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 # The JVM does not compile methods over 8,000 bytes of bytecode (HotSpot default).
@@ -66,3 +69,38 @@ def pin(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = 1_000_000, max_bytes: int = 64 << 20) -> DataFrame:
+    """Hint a broadcast only after counting rows and bytes; beyond the bound Spark shuffles.
+
+    ``df`` should be a stored table, since it is read once more for the count.
+    """
+    sizes = [
+        F.octet_length(F.col(f"`{f.name}`")) if f.dataType.typeName() in ("string", "binary") else F.lit(16)
+        for f in df.schema.fields
+    ]
+    width = sum((F.coalesce(size, F.lit(0)) for size in sizes), F.lit(0))
+    found = df.agg(F.count(F.lit(1)).alias("n"), F.sum(width.cast("long")).alias("bytes")).first()
+    return F.broadcast(df) if found.n <= max_rows and (found.bytes or 0) <= max_bytes else df
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once per context.
+
+    Python functions that run on executors are found by module name, so the workers need
+    the package whatever folder the driver was started in.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_fleetlens_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="fleetlens-")), "fleetlens.zip")
+    with zipfile.ZipFile(archive, "w") as packed:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    packed.write(path, os.path.relpath(path, os.path.dirname(package)))
+    sc.addPyFile(archive)
+    sc._fleetlens_shipped = True
