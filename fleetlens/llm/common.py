@@ -30,6 +30,19 @@ def in_fold(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))
 
 
+#: Stands for a null id where ids pass through pandas, which has no null integers.
+NO_ID = -(2**63)
+
+
+def known_id(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("long"), F.lit(NO_ID))
+
+
+def real_id(doc_id: str) -> Column:
+    """The inverse of ``known_id``."""
+    return F.nullif(F.col(doc_id), F.lit(NO_ID)).alias(doc_id)
+
+
 def clean_text(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import clean_text
+from fleetlens.llm.common import clean_text, known_id, real_id
 
 #: At most about this many labelled rows are learned from.
 SAMPLE = 12_000
@@ -171,6 +171,17 @@ def score_toxicity(documents: DataFrame, model: ToxicityModel, threshold: float
             )
 
     docs = documents.select(
-        F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), clean_text(F.col("text")).alias("text")
+        known_id(F.col("doc_id")).alias("doc_id"), F.xxhash64("text").alias("text_hash"), clean_text(F.col("text")).alias("text")
     )
-    return docs.mapInPandas(run, schema)
+    found = docs.mapInPandas(run, schema)
+    return found.select(real_id("doc_id"), "text_hash", "score", "predicted", "sentences")
+
+
+def keep_clean(documents: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of ``documents``, all columns, that score below ``threshold``."""
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series([model.score(text)[0] for text in texts], dtype=float)
+
+    return documents.where(score(clean_text(F.col("text"))) < threshold)
