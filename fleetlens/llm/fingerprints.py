@@ -191,7 +191,8 @@ def with_next(documents: DataFrame, ranges: int) -> DataFrame:
     """
     docs = documents.select(known_id(F.col("doc_id")).alias("key"), clean_text(F.col("text")).alias("text"))
     shares = [k / ranges for k in range(1, ranges)]
-    cuts = sorted({int(x) for x in documents.select(F.col("doc_id").cast("double")).approxQuantile("doc_id", shares, 0.2 / ranges)})
+    ids = documents.select(F.col("doc_id").cast("double"))
+    cuts = sorted({int(x) for x in ids.approxQuantile("doc_id", shares, 0.2 / ranges)}) if shares else []
 
     @F.pandas_udf("int")
     def part(keys: pd.Series) -> pd.Series:
