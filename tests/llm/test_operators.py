@@ -165,36 +165,82 @@ def test_licenses(spark):
 # --- op 3 ------------------------------------------------------------------------------
 
 
-def test_suffix_tree_lm(docs):
-    held = [r for r in rows_of(docs) if zlib.crc32(str(r[0]).encode()) % 5 == 1]
+def brute_tree(texts, head, bits, min_seen):
+    """The tree from plain counts: {context: (seen, {word: times})} of the retained contexts, and P."""
+    sequences = [[*(t or "").encode().lower().split(), b"\n"] for t in texts]
+    counts = Counter(w for s in sequences for w in s)
+    n, v, d = sum(counts.values()), len(counts), 0.75
+    frequent = set(head)
+    states = {}
+
+    def p(word, history):
+        for k in (2, 1):
+            context = tuple(history[-k:])
+            if len(context) == k and context in states:
+                seen, listed = states[context]
+                rest = d * len(listed) + seen - sum(listed.values())
+                return (max(listed.get(word, 0) - d, 0) + rest * p(word, context[1:])) / seen
+        return (counts[word] - d) / n if counts[word] else d * v / n
+
+    for k in (1, 2):
+        nexts = {}
+        for s in sequences:
+            for i in range(k, len(s)):
+                nexts.setdefault(tuple(s[i - k : i]), Counter())[s[i]] += 1
+        new = {}
+        for context, after in nexts.items():
+            seen = sum(after.values())
+            if not set(context) <= frequent or seen < min_seen:
+                continue
+            if k == 2 and states.get(context[:1], (0, {}))[1].get(context[1], 0) < min_seen:
+                continue
+            listed = {w: c for w, c in after.items() if c >= 2 and w in frequent}
+            if not listed:
+                continue
+            rest = d * len(listed) + seen - sum(listed.values())
+            gain = (seen - sum(listed.values())) * math.log2(rest / seen) if seen > sum(listed.values()) else 0
+            for w, c in listed.items():
+                short = p(w, context[1:])
+                gain += c * math.log2((max(c - 1 - d, 0) + rest * short) / (seen * short))
+            if gain >= bits:
+                new[context] = (seen, listed)
+        states |= new
+    return counts, states, p
+
+
+@pytest.mark.parametrize("head", [100_000, 20])
+def test_suffix_tree_lm(spark, docs, head):
     train = docs.where("coalesce(crc32(cast(doc_id as string)) % 5 <> 1, true)")
-    model, vocabulary = suffix_tree_lm.train(train)
-    counts = Counter()
-    for doc_id, text in rows_of(train):
-        counts.update([*(text or "").encode().lower().split(), b"\n"])
-    assert (model.n, model.v) == (sum(counts.values()), len(counts))
-    got = suffix_tree_lm.score_texts(docs, model, vocabulary).collect()
-    assert len(got) == docs.count() and held
-    want = {}
+    tree, vocabulary = suffix_tree_lm.train(train, head=head, bits=4, min_seen=3)
+    assert len(tree.words) <= head and sum(len(level.contexts) for level in tree.levels) >= 3
+    head_words = [w.encode() for w in tree.words]
+    counts, states, p = brute_tree([t for _, t in rows_of(train)], head_words, 4, 3)
+    assert (tree.n, tree.v) == (sum(counts.values()), len(counts))
+    assert sum(len(level.contexts) for level in tree.levels) == len(states)
+    want = Counter()
     for doc_id, text in rows_of(docs):
         tokens = [*(text or "").encode().lower().split(), b"\n"]
-        base = sum(math.log10((counts[t] + 0.5) / (model.n + 0.5 * (model.v + 1))) for t in tokens)
-        score = sum(model.score(counts[t], model.tree.spelled(t.decode())) for t in tokens)
-        want.setdefault(doc_id, set()).add((len(tokens), sum(t in counts for t in tokens), round(base, 6), round(score, 6)))
-    for row in got:
-        assert (row.n_tokens, row.n_known, round(row.base_score, 6), round(row.score, 6)) in want[row.doc_id]
+        base = sum(math.log10((counts[t] + 0.5) / (tree.n + 0.5 * (tree.v + 1))) for t in tokens)
+        score = sum(math.log10(p(t, tokens[:i])) for i, t in enumerate(tokens))
+        want[doc_id, len(tokens), sum(t in counts for t in tokens), round(base, 5), round(score, 5)] += 1
+    got = suffix_tree_lm.score_texts(docs, tree, vocabulary).collect()
+    assert Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 5), round(r.score, 5)) for r in got) == want
 
 
-def test_suffix_tree_lm_join_path_and_empty_training(docs, empty):
-    model, vocabulary = suffix_tree_lm.train(docs, head=5)
-    assert len(model.head) <= 5
-    full, _ = suffix_tree_lm.train(docs)
-    one = {(r.doc_id, r.n_tokens): round(r.score, 6) for r in suffix_tree_lm.score_texts(docs, model, vocabulary).collect()}
-    two = {(r.doc_id, r.n_tokens): round(r.score, 6) for r in suffix_tree_lm.score_texts(docs, full, vocabulary).collect()}
-    assert one == two
+def test_suffix_tree_lm_without_training(docs, empty):
     nothing, vocabulary = suffix_tree_lm.train(empty)
     assert nothing.n == 0
-    assert all(r.n_known == 0 and r.base_score == 0 for r in suffix_tree_lm.score_texts(docs, nothing, vocabulary).collect())
+    assert all(r.n_known == 0 and r.base_score == r.score == 0 for r in suffix_tree_lm.score_texts(docs, nothing, vocabulary).collect())
+    tree, vocabulary = suffix_tree_lm.train(docs)
+    assert suffix_tree_lm.score_texts(empty, tree, vocabulary).collect() == []
+
+
+def test_suffix_tree_lm_held_out(spark):
+    import __spark_entry__ as entry_point
+
+    found = entry_point.queries()["op3_suffix_tree_lm"](spark, "/root/testdata/sf0.01").where("held_out")
+    score, base = found.selectExpr("sum(score)", "sum(base_score)").first()
+    assert score > 0.95 * base
 
 
 # --- op 4 ------------------------------------------------------------------------------
