@@ -14,9 +14,19 @@ from fleetlens.session import ship
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables; Python workers get the package first."""
+#: Rows of an Arrow batch; texts are long, and a worker holds a batch several times over.
+BATCH_ROWS = 2000
+
+
+def ready(spark: SparkSession) -> None:
+    """Python workers get the package, and batches they can hold."""
     ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the given tables, in a session that is ready."""
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
