@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
 #: Bytes worked on at a time; longer texts are cut into overlapping pieces.
-BUFFER = 1 << 20
+BUFFER = 1 << 19
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 #: A random 64-bit number for each byte value.
 BYTE_IDS = np.random.default_rng(20240229).integers(0, 2**64, 256, dtype=np.uint64)
@@ -54,7 +54,7 @@ class Pieces:
     lengths: np.ndarray
 
 
-def pieces(texts: list[bytes], overlap: int = 0, buffer: int = BUFFER) -> Iterator[Pieces]:
+def pieces(texts: Iterable[bytes], overlap: int = 0, buffer: int = BUFFER) -> Iterator[Pieces]:
     """Cut ``texts`` into buffers; pieces of one text share ``overlap`` bytes with the next."""
     held: list[tuple[int, int, bytes]] = []
     size = 0

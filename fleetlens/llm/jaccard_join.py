@@ -39,9 +39,9 @@ from fleetlens.session import bounded_broadcast, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
-TREES = 20
+TREES = 32
 DEEPEST = 8
-RECALL = 0.999
+RECALL = 0.99999
 BLOCK = 512
 BLOCK_SHINGLES = 2_000_000
 

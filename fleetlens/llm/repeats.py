@@ -28,7 +28,7 @@ rows give no rows; other columns are not looked at.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -63,7 +63,7 @@ def _rounds(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return half, mix(half[: -4 * q], half[4 * q :])
 
 
-def _runs(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, ...]]:
+def _runs(texts: Iterable[bytes], length: int) -> Iterator[tuple[np.ndarray, ...]]:
     """``(row, pos, n, bucket, ctx, w)`` of the runs of each text."""
     width = length // 2 + 1
     for part in pieces(texts, overlap=length - 1):
@@ -176,18 +176,20 @@ def repeat_spans(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rid = frame["rid"].to_numpy()
-            for row, pos, n, bucket, context, weight in _runs([t.encode() for t in frame["text"]], length):
+            for row, pos, n, bucket, context, weight in _runs((t.encode() for t in frame["text"]), length):
                 columns = (rid[row], pos, n, signed(bucket), signed(context), weight)
                 yield pd.DataFrame(dict(zip(("rid", "pos", "n", "bucket", "ctx", "w"), columns)))
 
     runs = stored(docs.mapInPandas(find, _RUNS))
-    shared = runs.groupBy("bucket").agg(F.sum("w").alias("total")).where("total >= 2").select("bucket")
+    # Stored, so that both sides of the join have a shuffle of their own and a hot bucket is split.
+    shared = stored(runs.groupBy("bucket").agg(F.sum("w").alias("total")).where("total >= 2").select("bucket"))
     hit = stored(runs.drop("w").join(shared, "bucket"))
     classes = hit.groupBy("bucket", "ctx").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("rid", "pos", "n")).alias("first"))
     classes = stored(classes)
     whole = hit.join(classes.where("size >= 2").select("bucket", "ctx"), ["bucket", "ctx"]).select("rid", "pos", "n")
     # Round 3: one run of each class stands for it where some class has a single run.
-    open_buckets = classes.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes"), F.min("size").alias("least")).where("least = 1")
+    open_buckets = classes.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes"), F.min("size").alias("least"))
+    open_buckets = stored(open_buckets.where("least = 1"))
     probes = classes.join(open_buckets, "bucket").select(
         "first.rid",
         F.struct(
@@ -246,17 +248,17 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            data = [text.encode() for text in frame["text"]]
             spans = [np.frombuffer(s or b"", dtype=np.int64).reshape(-1, 2) for s in frame["spans"]]
-            kept = []
-            for text, pairs in zip(data, spans):
+            kept, sizes = [], []
+            for text, pairs in zip(map(str.encode, frame["text"]), spans):
+                sizes.append(len(text))
                 edges = [0, *pairs.ravel().tolist(), len(text)]
                 kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
             yield pd.DataFrame(
                 {
                     "doc_id": frame["doc_id"],
                     "text_hash": frame["text_hash"],
-                    "n_bytes": [len(text) for text in data],
+                    "n_bytes": sizes,
                     "spans": [[{"start": a, "end": b} for a, b in pairs.tolist()] for pairs in spans],
                     "kept": kept,
                 }
