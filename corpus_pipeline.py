@@ -11,14 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import in_fold, table
+from fleetlens.llm.common import in_fold, ready, table
 from fleetlens.llm.decontaminate import contamination
 from fleetlens.llm.jaccard_join import jaccard_join
 from fleetlens.llm.secrets import mask_secrets
 from fleetlens.llm.secrets import train as train_secrets
 from fleetlens.llm.sentence_pieces import decode, encode
 from fleetlens.llm.toxicity import keep_clean, train_toxicity
-from fleetlens.session import bounded_broadcast, ship, stored
+from fleetlens.session import bounded_broadcast, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -45,7 +45,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Documents without an id or without words are in no group and stay.
     """
-    ship(spark)
+    ready(spark)
     found = stored(jaccard_join(docs))
     rejected = _named(found.where("class_id <> doc_id"))
     kept = docs.join(rejected, _same(rejected), "left_anti")
@@ -66,7 +66,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced by a mask; ``n_chars`` follows a changed text."""
-    ship(spark)
+    ready(spark)
     masked = mask_secrets(docs.withColumn("text_before", F.col("text")), train_secrets(docs))
     changed = ~F.col("text").eqNullSafe(F.col("text_before"))
     n_chars = F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
@@ -75,7 +75,7 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_pieces, pieces, text``: the encoded documents and the texts their pieces decode to."""
-    ship(spark)
+    ready(spark)
     decoded = decode(encode(docs))
     return decoded.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), "pieces", "text")
 
