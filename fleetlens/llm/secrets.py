@@ -40,10 +40,10 @@ from fleetlens.llm.common import clean_text, known_id, real_id
 #: At most about this many documents are learned from.
 SAMPLE = 12_000
 #: Windows of each kind and the tokens on either side that are kept of them.
-WINDOWS = 3000
+WINDOWS = 1500
 REACH = 12
 CUES = 200
-ROUNDS = 150
+ROUNDS = 120
 KINDS = ("assign", "access", "hex")
 FIELD = "crf"
 
