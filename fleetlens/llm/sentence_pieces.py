@@ -27,6 +27,7 @@ are not looked at.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,6 +48,8 @@ MARK = "▁"
 OWN_MARK = "\ud800"
 _NONE = float("-inf")
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+#: Where a word starts after another one.
+_START = re.compile(f"(?<=[^{MARK}]){MARK}")
 
 
 @dataclass
@@ -77,6 +80,17 @@ class Pieces:
         self.marks_start = all(MARK not in p.lstrip(MARK) for p in self.scores)
         self.spelled = {i: piece.replace(MARK, " ").encode() for piece, (_, i) in self.scores.items()}
         self.spelled |= {i: bytes([value]) for value, i in enumerate(self.byte_ids)}
+        #: Scores by piece, and no score for what only begins a piece.
+        self.steps: dict[str, float | None] = {p[:n]: None for p in self.scores for n in range(1, len(p))}
+        self.steps |= {piece: score for piece, (score, _) in self.scores.items()}
+        self.words = WordCache(self)
+
+    def __getstate__(self) -> tuple:
+        return self.scores, self.byte_ids, self.unknown
+
+    def __setstate__(self, state: tuple) -> None:
+        self.scores, self.byte_ids, self.unknown = state
+        self.__post_init__()
 
     def ids_of(self, piece: str) -> list[int]:
         found = self.scores.get(piece)
@@ -90,18 +104,22 @@ class Pieces:
         ``best[i]`` is the best sum that ends at place i, ``lengths[i]`` the length of the
         last piece, 0 where the place was given.
         """
-        scores, longest, end = self.scores, self.longest, len(text)
+        steps, end = self.steps, len(text)
         for at in range(stop):
             here = best[at]
             if here == _NONE:
                 continue
-            single = False
-            for to in range(at + 1, min(at + longest, end) + 1):
-                found = scores.get(text[at:to])
-                if found:
-                    single |= to == at + 1
-                    if here + found[0] > best[to]:
-                        best[to], lengths[to] = here + found[0], to - at
+            single, to = False, at
+            while to < end:
+                to += 1
+                score = steps.get(text[at:to], _NONE)
+                if score is None:
+                    continue
+                if score == _NONE:
+                    break
+                single |= to == at + 1
+                if here + score > best[to]:
+                    best[to], lengths[to] = here + score, to - at
             if not single and here + self.unknown > best[at + 1]:
                 best[at + 1], lengths[at + 1] = here + self.unknown, 1
 
@@ -113,67 +131,115 @@ class Pieces:
             at -= lengths[at]
         return at, [i for piece in reversed(pieces) for i in self.ids_of(piece)]
 
-    def segment(self, text: str) -> list[int]:
-        """Best pieces of a stretch on its own."""
+    def segment(self, text: str) -> tuple[float, list[int]]:
+        """Best sum and pieces of a stretch on its own."""
         best, lengths = [0.0] + [_NONE] * len(text), bytearray(len(text) + 1)
         self.forward(text, len(text), best, lengths)
-        return self.back(text, len(text), lengths)[1]
+        return best[-1], self.back(text, len(text), lengths)[1]
 
-    def transfer(self, chunk: str, ahead: str) -> np.ndarray:
-        """Best sums from entry state to exit state."""
-        width, size = self.longest, len(chunk)
-        text = chunk + ahead
-        result = np.full((width, width), _NONE)
+    def cuts(self, chunk: str) -> tuple[int, int] | None:
+        """First and last place of a chunk that no piece crosses, beyond the entry states."""
+        if not self.marks_start:
+            return None
+        inner = [m.start() for m in _START.finditer(chunk, self.longest)]
+        return (inner[0], inner[-1]) if inner else None
 
-        def sums(start: int, stop: int, end: int) -> list[float]:
-            best = [_NONE] * (end + 1)
-            best[start] = 0.0
-            self.forward(text[:end], stop, best, bytearray(end + 1))
-            return best
+    def through(self, chunk: str, ahead: str, entry: list[float]) -> tuple[list[float], list[int], bytes]:
+        """Best sums at the exit states, the entry state each leads to (-1: none), and back pointers.
 
-        # Up to the first place no piece crosses each entry goes alone, from there all go together.
-        cut = next((i for i in range(width, size) if text[i] == MARK and text[i - 1] != MARK), None) if self.marks_start else None
+        ``entry`` are the best sums at the entry states.  Between the first and the last
+        place that no piece crosses the words are on their own and have no pointers.
+        """
+        text, size = chunk + ahead, len(chunk)
+        cut = self.cuts(chunk)
         if cut is None:
-            for entry in range(min(width, size + 1)):
-                tail = sums(entry, size, len(text))[size:]
-                result[entry, : len(tail)] = tail[:width]
-            return result
-        best = [_NONE] * (len(text) + 1 - cut)
-        best[0] = 0.0
-        self.forward(text[cut:], size - cut, best, bytearray(len(best)))
-        tail = np.array(best[size - cut :][:width])
-        for entry in range(width):
-            result[entry, : len(tail)] = sums(entry, cut, cut)[cut] + tail
-        return result
+            best, lengths = [_NONE] * (len(text) + 1), bytearray(len(text) + 1)
+            best[: len(entry)] = entry[: len(best)]
+            self.forward(text, size, best, lengths)
+            leads = []
+            for at in range(size, size + self.longest):
+                if at >= len(best) or best[at] == _NONE:
+                    leads.append(-1)
+                    continue
+                while lengths[at]:
+                    at -= lengths[at]
+                leads.append(at)
+            return best[size : size + self.longest], leads, bytes(lengths)
+        first, last = cut
+        best, before = [_NONE] * (first + 1), bytearray(first + 1)
+        best[: len(entry)] = entry[: len(best)]
+        self.forward(text[:first], first, best, before)
+        total, start = best[first], first
+        while before[start]:
+            start -= before[start]
+        total += sum(self.words[word][0] for word in _WORD.findall(chunk[first:last]))
+        end, after = [total] + [_NONE] * (len(text) - last), bytearray(len(text) - last + 1)
+        self.forward(text[last:], size - last, end, after)
+        exits = end[size - last :][: self.longest]
+        leads = [start if score != _NONE else -1 for score in exits]
+        return exits, leads + [-1] * (self.longest - len(leads)), bytes(before) + bytes(after)
 
+    def transfer(self, chunk: str, ahead: str) -> np.ndarray:
+        """Best sums from entry state to exit state."""
+        width = self.longest
+        result = np.full((width, width), _NONE)
+        for state in range(min(width, len(chunk) + 1)):
+            if state and (cut := self.cuts(chunk)):
+                # Beyond the first such place all entries go together.
+                best = [_NONE] * (cut[0] + 1)
+                for at in (0, state):
+                    sums = [_NONE] * (cut[0] + 1)
+                    sums[at] = 0.0
+                    self.forward(chunk[: cut[0]], cut[0], sums, bytearray(len(sums)))
+                    best[at] = sums[-1]
+                result[state] = result[0] - best[0] + best[state] if best[0] != _NONE else _NONE
+                continue
+            exits = self.through(chunk, ahead, [_NONE] * state + [0.0])[0]
+            result[state, : len(exits)] = exits
+        return result
 
-def shown(text: str) -> str:
-    """A text as pieces see it: a mark before it and for every space."""
-    return MARK + text.replace(MARK, OWN_MARK).replace(" ", MARK) if text else ""
+    def trace(self, chunk: str, ahead: str, exit_: int, lengths: bytes) -> list[int]:
+        """Ids of the pieces that start in a chunk, from its exit state and back pointers."""
+        text, size = chunk + ahead, len(chunk)
+        cut = self.cuts(chunk)
+        if cut is None:
+            return self.back(text, size + exit_, lengths)[1]
+        first, last = cut
+        packed = b"".join([self.words[word][1] for word in _WORD.findall(chunk[first:last])])
+        head = self.back(text[:first], first, lengths[: first + 1])[1]
+        tail = self.back(text[last:], size - last + exit_, lengths[first + 1 :])[1]
+        return [*head, *np.frombuffer(packed, dtype=np.int32).tolist(), *tail]
 
 
 class WordCache(dict):
-    """Packed ids by word; emptied when it holds too many."""
+    """Best sum and packed ids by word, computed once; emptied when it holds too many."""
 
-    def __init__(self, pieces: Pieces, most: int = 300_000) -> None:
+    def __init__(self, pieces: Pieces, most: int = 400_000) -> None:
         super().__init__()
         self.pieces, self.most = pieces, most
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, word: str) -> tuple[float, bytes]:
         if len(self) >= self.most:
             self.clear()
-        packed = np.array(self.pieces.segment(word), dtype=np.int32).tobytes()
+        score, ids = self.pieces.segment(word)
+        found = (score, array("i", ids).tobytes())
         if len(word) < 64:
-            self[word] = packed
-        return packed
+            self[word] = found
+        return found
+
+
+def shown(text: str) -> str:
+    """A text as pieces see it: a mark before it and for every space."""
+    return MARK + text.replace(MARK, OWN_MARK).replace(" ", MARK) if text else ""
 
 
-def encode_text(text: str, cache: WordCache) -> np.ndarray:
+def encode_text(text: str, pieces: Pieces) -> np.ndarray:
     """Ids of one text."""
     text = shown(text)
-    if not cache.pieces.marks_start:
-        return np.array(cache.pieces.segment(text), dtype=np.int32)
-    return np.frombuffer(b"".join([cache[word] for word in _WORD.findall(text)]), dtype=np.int32)
+    if not pieces.marks_start:
+        return np.array(pieces.segment(text)[1], dtype=np.int32)
+    words = pieces.words
+    return np.frombuffer(b"".join([words[word][1] for word in _WORD.findall(text)]), dtype=np.int32)
 
 
 def _chunks(frames: Iterator[pd.DataFrame], size: int, ahead: int) -> Iterator[pd.DataFrame]:
@@ -223,26 +289,12 @@ def _giants(texts: DataFrame, shared, longest: int, chunk: int) -> DataFrame:
 
     def pointers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            pieces, packed, maps = shared.value, [], []
-            for body, ahead, entry in zip(frame["body"], frame["ahead"], frame["entry"]):
-                body = _text(body)
-                text = body + _text(ahead)
-                best, lengths = [_NONE] * (len(text) + 1), bytearray(len(text) + 1)
-                given = np.frombuffer(entry).tolist()[: len(best)]
-                best[: len(given)] = given
-                pieces.forward(text, len(body), best, lengths)
-                leads = []
-                for exit_ in range(longest):
-                    at = len(body) + exit_
-                    if at >= len(best) or best[at] == _NONE:
-                        leads.append(-1)
-                        continue
-                    while lengths[at]:
-                        at -= lengths[at]
-                    leads.append(at)
-                packed.append(bytes(lengths))
-                maps.append(leads)
-            yield frame[["row_key", "chunk", "body", "ahead"]].assign(lengths=packed, leads=maps)
+            found = [
+                shared.value.through(_text(body), _text(ahead), np.frombuffer(entry).tolist())[1:]
+                for body, ahead, entry in zip(frame["body"], frame["ahead"], frame["entry"])
+            ]
+            leads, lengths = [leads for leads, _ in found], [lengths for _, lengths in found]
+            yield frame[["row_key", "chunk", "body", "ahead"]].assign(lengths=lengths, leads=leads)
 
     def exits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in groups(frames, ["row_key"]):
@@ -254,10 +306,10 @@ def _giants(texts: DataFrame, shared, longest: int, chunk: int) -> DataFrame:
 
     def trace(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            found = []
-            for body, ahead, lengths, exit_ in zip(frame["body"], frame["ahead"], frame["lengths"], frame["exit"]):
-                body = _text(body)
-                found.append(shared.value.back(body + _text(ahead), len(body) + exit_, lengths)[1])
+            found = [
+                shared.value.trace(_text(body), _text(ahead), exit_, lengths)
+                for body, ahead, lengths, exit_ in zip(frame["body"], frame["ahead"], frame["lengths"], frame["exit"])
+            ]
             yield frame[["row_key", "chunk"]].assign(pieces=found)
 
     def by_text(df: DataFrame) -> DataFrame:
@@ -288,12 +340,11 @@ def encode(documents: DataFrame, path: str = MODEL, giant: int = GIANT, chunk: i
     is_giant = F.length("text") > giant
 
     def ordinary(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = WordCache(shared.value)
         for frame in frames:
             # Small steps: the ids of a batch take more room than its texts.
             for first in range(0, len(frame), 1000):
                 part = frame.iloc[first : first + 1000]
-                yield part.drop(columns="text").assign(pieces=[encode_text(text, cache) for text in part["text"]])
+                yield part.drop(columns="text").assign(pieces=[encode_text(text, shared.value) for text in part["text"]])
 
     schema = "doc_id long, text_hash long, pieces array<int>"
     short = docs.where(~is_giant).mapInPandas(ordinary, schema)
@@ -306,17 +357,17 @@ def encode(documents: DataFrame, path: str = MODEL, giant: int = GIANT, chunk: i
 
 def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
     """``encoded`` with ``text``, spelled by its ``pieces``; unknown ids spell nothing."""
-    shared = encoded.sparkSession.sparkContext.broadcast(Pieces.load(path).spelled)
+    spelled = Pieces.load(path).spelled
+    shared = encoded.sparkSession.sparkContext.broadcast([spelled.get(i, b"") for i in range(max(spelled) + 1)])
 
     @F.pandas_udf("string")
     def spell(pieces: pd.Series) -> pd.Series:
         table = shared.value
-        size = max(table) + 1
-        spelled = [table.get(i, b"") for i in range(size)]
         found = []
         for ids in pieces:
-            ids = [] if ids is None else [i for i in ids.tolist() if 0 <= i < size]
-            found.append(b"".join([spelled[i] for i in ids]).decode("utf-8", "replace")[1:])
+            ids = np.zeros(0, dtype=np.int64) if ids is None else np.asarray(ids)
+            known = ids[(ids >= 0) & (ids < len(table))].tolist()
+            found.append(b"".join(map(table.__getitem__, known)).decode("utf-8", "replace")[1:])
         return pd.Series(found, dtype=object)
 
     return encoded.withColumn("text", spell("pieces"))

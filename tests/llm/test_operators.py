@@ -20,7 +20,7 @@ from fleetlens.llm.license_rules import scan_licenses
 from fleetlens.llm.repeats import remove_repeats
 from fleetlens.llm.secrets import mask_secrets, scan_secrets
 from fleetlens.llm.secrets import train as train_secrets
-from fleetlens.llm.sentence_pieces import Pieces, WordCache, decode, encode, encode_text
+from fleetlens.llm.sentence_pieces import Pieces, decode, encode, encode_text
 from fleetlens.llm.toxicity import score_toxicity, train_toxicity
 from fleetlens.llm.url_rules import judge_urls
 
@@ -304,8 +304,8 @@ def test_url_rules_without_pages(spark):
 
 
 def test_pieces_round_trip_and_chunks(docs):
-    cache = WordCache(Pieces.load())
-    want = Counter((doc_id, tuple(encode_text(text or "", cache).tolist())) for doc_id, text in rows_of(docs))
+    pieces = Pieces.load()
+    want = Counter((doc_id, tuple(encode_text(text or "", pieces).tolist())) for doc_id, text in rows_of(docs))
     for giant, chunk in ((32_768, 16_384), (50, 40)):
         coded = encode(docs, giant=giant, chunk=chunk)
         assert Counter((r.doc_id, tuple(r.pieces)) for r in coded.collect()) == want

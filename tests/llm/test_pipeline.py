@@ -8,7 +8,7 @@ import corpus_pipeline
 from fleetlens.llm.common import in_fold
 from fleetlens.llm.secrets import TypeCache, find_spans, redact
 from fleetlens.llm.secrets import train as train_secrets
-from fleetlens.llm.sentence_pieces import Pieces, WordCache, encode_text
+from fleetlens.llm.sentence_pieces import Pieces, encode_text
 from fleetlens.llm.toxicity import train_toxicity
 from pyspark.sql import functions as F
 from tests.llm.test_operators import brute_links, texts, words_in
@@ -45,12 +45,12 @@ def brute_force(spark, docs):
     clean = [r for r in single if not contaminated(r.text, windows)]
     field = train_secrets(spark.createDataFrame([tuple(r) for r in clean], COLUMNS))
     cache = TypeCache(field) if field else None
-    words = WordCache(Pieces.load())
+    pieces = Pieces.load()
     out = Counter()
     for row in clean:
         text = row.text or ""
         text = redact(text, [(a, b) for a, b, _ in sum(find_spans(text, field, cache), [])])
-        out[row.doc_id, tuple(encode_text(text, words).tolist()), text] += 1
+        out[row.doc_id, tuple(encode_text(text, pieces).tolist()), text] += 1
     return out
 
 
