@@ -80,9 +80,14 @@ class Pieces:
         self.marks_start = all(MARK not in p.lstrip(MARK) for p in self.scores)
         self.spelled = {i: piece.replace(MARK, " ").encode() for piece, (_, i) in self.scores.items()}
         self.spelled |= {i: bytes([value]) for value, i in enumerate(self.byte_ids)}
-        #: Scores by piece, and no score for what only begins a piece.
-        self.steps: dict[str, float | None] = {p[:n]: None for p in self.scores for n in range(1, len(p))}
-        self.steps |= {piece: score for piece, (score, _) in self.scores.items()}
+        #: Trie of the pieces: per character ``(score, id, further characters)``, without a score inside.
+        self.trie: dict[str, tuple] = {}
+        for piece, (score, i) in self.scores.items():
+            level = self.trie
+            for letter in piece[:-1]:
+                level = level.setdefault(letter, (None, -1, {}))[2]
+            known = level.get(piece[-1])
+            level[piece[-1]] = (score, i, known[2] if known else {})
         self.words = WordCache(self)
 
     def __getstate__(self) -> tuple:
@@ -104,24 +109,25 @@ class Pieces:
         ``best[i]`` is the best sum that ends at place i, ``lengths[i]`` the length of the
         last piece, 0 where the place was given.
         """
-        steps, end = self.steps, len(text)
+        trie, unknown = self.trie, self.unknown
+        letters = list(text)
         for at in range(stop):
             here = best[at]
             if here == _NONE:
                 continue
-            single, to = False, at
-            while to < end:
-                to += 1
-                score = steps.get(text[at:to], _NONE)
-                if score is None:
-                    continue
-                if score == _NONE:
+            level, to, single = trie, at, False
+            for letter in letters[at:at + self.longest]:
+                node = level.get(letter)
+                if node is None:
                     break
-                single |= to == at + 1
-                if here + score > best[to]:
-                    best[to], lengths[to] = here + score, to - at
-            if not single and here + self.unknown > best[at + 1]:
-                best[at + 1], lengths[at + 1] = here + self.unknown, 1
+                score, _, level = node
+                to += 1
+                if score is not None:
+                    single |= to == at + 1
+                    if here + score > best[to]:
+                        best[to], lengths[to] = here + score, to - at
+            if not single and here + unknown > best[at + 1]:
+                best[at + 1], lengths[at + 1] = here + unknown, 1
 
     def back(self, text: str, at: int, lengths: bytes) -> tuple[int, list[int]]:
         """Ids of the pieces that end at ``at``, and the given place they start from."""
@@ -133,9 +139,31 @@ class Pieces:
 
     def segment(self, text: str) -> tuple[float, list[int]]:
         """Best sum and pieces of a stretch on its own."""
-        best, lengths = [0.0] + [_NONE] * len(text), bytearray(len(text) + 1)
-        self.forward(text, len(text), best, lengths)
-        return best[-1], self.back(text, len(text), lengths)[1]
+        size, trie, unknown, longest = len(text), self.trie, self.unknown, self.longest
+        best, start, ids = [_NONE] * (size + 1), [0] * (size + 1), [-1] * (size + 1)
+        best[0] = 0.0
+        for at in range(size):
+            here, level, to = best[at], trie, at
+            for letter in text[at : at + longest]:
+                node = level.get(letter)
+                if node is None:
+                    break
+                score, i, level = node
+                to += 1
+                if score is not None and here + score > best[to]:
+                    best[to], start[to], ids[to] = here + score, at, i
+            # Every place is reached: a character without a piece costs the unknown score.
+            if here + unknown > best[at + 1] and text[at] not in self.scores:
+                best[at + 1], start[at + 1], ids[at + 1] = here + unknown, at, -1
+        pieces, at = [], size
+        while at:
+            if ids[at] >= 0:
+                pieces.append(ids[at])
+            else:
+                pieces += self.ids_of(text[start[at] : at])[::-1]
+            at = start[at]
+        pieces.reverse()
+        return best[size], pieces
 
     def cuts(self, chunk: str) -> tuple[int, int] | None:
         """First and last place of a chunk that no piece crosses, beyond the entry states."""
@@ -183,19 +211,21 @@ class Pieces:
         """Best sums from entry state to exit state."""
         width = self.longest
         result = np.full((width, width), _NONE)
-        for state in range(min(width, len(chunk) + 1)):
-            if state and (cut := self.cuts(chunk)):
-                # Beyond the first such place all entries go together.
-                best = [_NONE] * (cut[0] + 1)
-                for at in (0, state):
-                    sums = [_NONE] * (cut[0] + 1)
-                    sums[at] = 0.0
-                    self.forward(chunk[: cut[0]], cut[0], sums, bytearray(len(sums)))
-                    best[at] = sums[-1]
-                result[state] = result[0] - best[0] + best[state] if best[0] != _NONE else _NONE
-                continue
-            exits = self.through(chunk, ahead, [_NONE] * state + [0.0])[0]
-            result[state, : len(exits)] = exits
+        cut = self.cuts(chunk)
+        if cut is None:
+            for state in range(min(width, len(chunk) + 1)):
+                exits = self.through(chunk, ahead, [_NONE] * state + [0.0])[0]
+                result[state, : len(exits)] = exits
+            return result
+        # Beyond the first place that no piece crosses all entries go together.
+        to_cut = []
+        for state in range(width):
+            best = [_NONE] * (cut[0] + 1)
+            best[state] = 0.0
+            self.forward(chunk[: cut[0]], cut[0], best, bytearray(len(best)))
+            to_cut.append(best[-1])
+        exits = np.array(self.through(chunk, ahead, [0.0])[0]) - to_cut[0]
+        result[:, : len(exits)] = np.array(to_cut)[:, None] + exits
         return result
 
     def trace(self, chunk: str, ahead: str, exit_: int, lengths: bytes) -> list[int]:
