@@ -14,14 +14,16 @@ from fleetlens.session import ship
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-#: Rows of an Arrow batch; texts are long, and a worker holds a batch several times over.
+#: Rows and bytes of an Arrow batch; texts are long, and a worker holds a batch several times over.
 BATCH_ROWS = 2000
+BATCH_BYTES = 8 << 20
 
 
 def ready(spark: SparkSession) -> None:
     """Python workers get the package, and batches they can hold."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -88,6 +88,10 @@ class Pieces:
                 level = level.setdefault(letter, (None, -1, {}))[2]
             known = level.get(piece[-1])
             level[piece[-1]] = (score, i, known[2] if known else {})
+        self.score_of = np.zeros(max(self.spelled) + 1)
+        # The first byte of a character bears its score; 0x80 to 0xBF continue one.
+        self.score_of[[i for value, i in enumerate(self.byte_ids) if not 0x80 <= value < 0xC0]] = self.unknown
+        self.score_of[[i for _, i in self.scores.values()]] = [score for score, _ in self.scores.values()]
         self.words = WordCache(self)
 
     def __getstate__(self) -> tuple:
@@ -165,6 +169,10 @@ class Pieces:
         pieces.reverse()
         return best[size], pieces
 
+    def sum_of(self, packed: bytes) -> float:
+        """Sum of scores of packed ids; a character in bytes costs the unknown score once."""
+        return float(self.score_of[np.frombuffer(packed, dtype=np.int32)].sum())
+
     def cuts(self, chunk: str) -> tuple[int, int] | None:
         """First and last place of a chunk that no piece crosses, beyond the entry states."""
         if not self.marks_start:
@@ -200,7 +208,7 @@ class Pieces:
         total, start = best[first], first
         while before[start]:
             start -= before[start]
-        total += sum(self.words[word][0] for word in _WORD.findall(chunk[first:last]))
+        total += self.sum_of(b"".join([self.words[word] for word in _WORD.findall(chunk[first:last])]))
         end, after = [total] + [_NONE] * (len(text) - last), bytearray(len(text) - last + 1)
         self.forward(text[last:], size - last, end, after)
         exits = end[size - last :][: self.longest]
@@ -235,25 +243,28 @@ class Pieces:
         if cut is None:
             return self.back(text, size + exit_, lengths)[1]
         first, last = cut
-        packed = b"".join([self.words[word][1] for word in _WORD.findall(chunk[first:last])])
+        packed = b"".join([self.words[word] for word in _WORD.findall(chunk[first:last])])
         head = self.back(text[:first], first, lengths[: first + 1])[1]
         tail = self.back(text[last:], size - last + exit_, lengths[first + 1 :])[1]
         return [*head, *np.frombuffer(packed, dtype=np.int32).tolist(), *tail]
 
 
 class WordCache(dict):
-    """Best sum and packed ids by word, computed once; emptied when it holds too many."""
+    """Packed ids by word.  A full cache becomes the older one, whose words are looked up once more."""
 
-    def __init__(self, pieces: Pieces, most: int = 400_000) -> None:
+    def __init__(self, pieces: Pieces, most: int = 80_000) -> None:
         super().__init__()
         self.pieces, self.most = pieces, most
+        self.older: dict[str, bytes] = {}
 
-    def __missing__(self, word: str) -> tuple[float, bytes]:
-        if len(self) >= self.most:
-            self.clear()
-        score, ids = self.pieces.segment(word)
-        found = (score, array("i", ids).tobytes())
+    def __missing__(self, word: str) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            found = array("i", self.pieces.segment(word)[1]).tobytes()
         if len(word) < 64:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
             self[word] = found
         return found
 
@@ -269,7 +280,7 @@ def encode_text(text: str, pieces: Pieces) -> np.ndarray:
     if not pieces.marks_start:
         return np.array(pieces.segment(text)[1], dtype=np.int32)
     words = pieces.words
-    return np.frombuffer(b"".join([words[word][1] for word in _WORD.findall(text)]), dtype=np.int32)
+    return np.frombuffer(b"".join([words[word] for word in _WORD.findall(text)]), dtype=np.int32)
 
 
 def _chunks(frames: Iterator[pd.DataFrame], size: int, ahead: int) -> Iterator[pd.DataFrame]:
