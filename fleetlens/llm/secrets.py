@@ -308,23 +308,28 @@ def fit(texts: Iterator[str], rounds: int = ROUNDS) -> Field | None:
 
 
 def _marginals(score: np.ndarray, moves: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tag probabilities of every token, and expected transitions, by forward and backward sums."""
-    rows, width, _ = score.shape
-    ahead, back = np.zeros_like(score), np.zeros_like(score)
-    add = lambda x, axis: np.logaddexp.reduce(x, axis=axis)
-    ahead[:, 0] = score[:, 0] + np.array([0, 0, _FORBIDDEN])
+    """Tag probabilities of every token, and expected transitions, by forward and backward products.
+
+    Each step is scaled to sum to one; the scales cancel where a token's shares are formed.
+    """
+    _, width, _ = score.shape
+    local, step = np.exp(score - score.max(axis=2, keepdims=True)), np.exp(moves)
+    scaled = lambda x: x / x.sum(axis=1, keepdims=True)
+    ahead, back = np.empty_like(local), np.ones_like(local)
+    ahead[:, 0] = scaled(local[:, 0] * np.array([1.0, 1.0, 0.0]))
     for at in range(1, width):
-        step = add(ahead[:, at - 1, :, None] + moves[None], 1) + score[:, at]
-        ahead[:, at] = np.where(there[:, at, None], step, ahead[:, at - 1])
+        moved = scaled((ahead[:, at - 1] @ step) * local[:, at])
+        ahead[:, at] = np.where(there[:, at, None], moved, ahead[:, at - 1])
     for at in range(width - 2, -1, -1):
-        step = add(moves[None] + (score[:, at + 1] + back[:, at + 1])[:, None, :], 2)
-        back[:, at] = np.where(there[:, at + 1, None], step, back[:, at + 1])
-    total = add(ahead[:, -1], 1)
-    share = np.exp(ahead + back - total[:, None, None])
+        moved = scaled((local[:, at + 1] * back[:, at + 1]) @ step.T)
+        back[:, at] = np.where(there[:, at + 1, None], moved, back[:, at + 1])
+    share = ahead * back
+    share /= share.sum(axis=2, keepdims=True)
     pairs = np.zeros((3, 3))
     for at in range(1, width):
-        joint = ahead[:, at - 1, :, None] + moves[None] + (score[:, at] + back[:, at])[:, None, :] - total[:, None, None]
-        pairs += np.exp(joint[there[:, at]]).sum(axis=0)
+        live = there[:, at]
+        joint = ahead[live, at - 1, :, None] * step * (local[live, at] * back[live, at])[:, None, :]
+        pairs += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
     return share, pairs
 
 
