@@ -40,7 +40,7 @@ from fleetlens.llm.common import clean_text, groups, known_id, real_id
 from fleetlens.session import stored
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-GIANT = 32_768
+GIANT = 65_536
 CHUNK = 16_384
 UNKNOWN = 10.0
 MARK = "▁"
@@ -180,11 +180,12 @@ class Pieces:
         inner = [m.start() for m in _START.finditer(chunk, self.longest)]
         return (inner[0], inner[-1]) if inner else None
 
-    def through(self, chunk: str, ahead: str, entry: list[float]) -> tuple[list[float], list[int], bytes]:
+    def through(self, chunk: str, ahead: str, entry: list[float], inner: bool = True) -> tuple[list[float], list[int], bytes]:
         """Best sums at the exit states, the entry state each leads to (-1: none), and back pointers.
 
         ``entry`` are the best sums at the entry states.  Between the first and the last
-        place that no piece crosses the words are on their own and have no pointers.
+        place that no piece crosses the words are on their own and have no pointers; without
+        ``inner`` their sum, the same for all states, is left out.
         """
         text, size = chunk + ahead, len(chunk)
         cut = self.cuts(chunk)
@@ -208,7 +209,8 @@ class Pieces:
         total, start = best[first], first
         while before[start]:
             start -= before[start]
-        total += self.sum_of(b"".join([self.words[word] for word in _WORD.findall(chunk[first:last])]))
+        if inner:
+            total += self.sum_of(b"".join([self.words[word] for word in _WORD.findall(chunk[first:last])]))
         end, after = [total] + [_NONE] * (len(text) - last), bytearray(len(text) - last + 1)
         self.forward(text[last:], size - last, end, after)
         exits = end[size - last :][: self.longest]
@@ -331,7 +333,7 @@ def _giants(texts: DataFrame, shared, longest: int, chunk: int) -> DataFrame:
     def pointers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             found = [
-                shared.value.through(_text(body), _text(ahead), np.frombuffer(entry).tolist())[1:]
+                shared.value.through(_text(body), _text(ahead), np.frombuffer(entry).tolist(), inner=False)[1:]
                 for body, ahead, entry in zip(frame["body"], frame["ahead"], frame["entry"])
             ]
             leads, lengths = [leads for leads, _ in found], [lengths for _, lengths in found]

@@ -306,7 +306,7 @@ def test_url_rules_without_pages(spark):
 def test_pieces_round_trip_and_chunks(docs):
     pieces = Pieces.load()
     want = Counter((doc_id, tuple(encode_text(text or "", pieces).tolist())) for doc_id, text in rows_of(docs))
-    for giant, chunk in ((32_768, 16_384), (50, 40)):
+    for giant, chunk in ((65_536, 16_384), (50, 40)):
         coded = encode(docs, giant=giant, chunk=chunk)
         assert Counter((r.doc_id, tuple(r.pieces)) for r in coded.collect()) == want
     back = Counter((r.doc_id, r.text) for r in decode(coded).collect())
