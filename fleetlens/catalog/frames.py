@@ -28,7 +28,7 @@ class Frames:
         self.sf_dir = sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return spread(self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     @cached_property
     def fx(self) -> DataFrame:
@@ -72,10 +72,9 @@ class Frames:
 
     @cached_property
     def scorable(self) -> DataFrame:
-        """Events of well-formed machine ids with a stand-in decision value."""
+        """All events with a stand-in decision value."""
         raw = (F.lit(60.0) - F.col("temp_c")) / F.lit(40.0)
-        named = self.silver.where(F.col("machine_id").rlike(r"^MC-\d{4}$"))
-        return named.withColumn("raw", raw).withColumn("inference_type", F.lit("batch"))
+        return self.silver.withColumn("raw", raw).withColumn("inference_type", F.lit("batch"))
 
     @cached_property
     def anomaly(self) -> DataFrame:
@@ -167,12 +166,6 @@ class Frames:
         return silver_clean(fixture.bronze(fixture.telemetry(self.event_stream), text=False), TIE)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Shuffle a table of so few splits that most cores would idle; large ones stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, df.columns[0]) if df.rdd.getNumPartitions() * 8 <= cores else df
-
-
 def tidy(df: DataFrame) -> DataFrame:
     """Doubles to six digits and times without a zone, so that engines compare equal."""
     shaped = []

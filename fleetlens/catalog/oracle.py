@@ -124,7 +124,7 @@ _CTES = {
  qualify row_number() over (partition by machine_id order by event_time desc, event_id desc) = 1""",
     "scorable": f"""select *, {_RULE} as rule_flag,
  {_clamp(f"{_MODEL} * 0.7::double + {_RULE} * 0.3::double")} as anomaly_score
- from silver where regexp_full_match(machine_id, 'MC-[0-9]{{4}}')""",
+ from silver""",
     "anomaly": """select machine_id, event_time, anomaly_score, anomaly_score >= 0.7 as is_anomaly,
  'batch' as inference_type, 'fixture' as model_run_id, (select t from now) as scored_at, event_id
  from scorable""",
@@ -194,6 +194,10 @@ def _q(sql: str, doubles: str = "") -> str:
     return _PRELUDE + sql
 
 
+_COMPLETE = " and ".join(
+    f"{c} is not null"
+    for c in "vibration_mm_s temp_c throughput_cpm rpm current_amps humidity_pct state".split()
+)
 _HORIZONS = ("5m", "1h", "24h", "7d")
 _P = " ".join(f"prob_fault_next_{h}" for h in _HORIZONS)
 _SENSOR_DOUBLES = (
@@ -270,7 +274,7 @@ _BREAKDOWN = ", ".join(
     for s, c in _SHORT.items()
 )
 _SINCE = "(select t - interval {} from now)"
-_EXPORT = f"""select machine_id, {_SENSORS}, state, fault_code, device_to_hub_ms, hub_to_bridge_ms, event_id,
+_EXPORT = f"""select unnest(['parquet', 'json', 'csv']) as format, event_time, machine_id, {_SENSORS}, state, fault_code, device_to_hub_ms, hub_to_bridge_ms, event_id,
  case when exists (select 1 from silver n where n.machine_id = s.machine_id
    and (coalesce(n.state = 'FAULT', false) or n.fault_code is not null)
    and epoch_ms(n.event_time) // 1000 between epoch_ms(s.event_time) // 1000 + 1 and epoch_ms(s.event_time) // 1000 + 300)
@@ -314,7 +318,7 @@ def _band(column: str, cuts: str, rest: str = "NORMAL") -> str:
 
 _ORACLES = {
     # ---- sources and ingestion
-    "bronze_parse_json": _q(f"select {_BRONZE_OUT} from bronze", _SENSOR_DOUBLES),
+    "bronze_parse_json": _q(f"select {_BRONZE_OUT}, machine_id as raw_body from bronze", _SENSOR_DOUBLES),
     "bronze_malformed": _q("""select count(*) as received, count(*) filter (event_id % 17 <> 0) as parsed,
  count(*) filter (event_id % 17 = 0) as malformed,
  count(*) filter (event_id % 17 <> 0 and machine_id is null) as without_machine from fx"""),
@@ -764,7 +768,7 @@ _ORACLES = {
     "sr_total": _q("""select count(*) as total_count from requests
  where status in ('OPEN', 'IN_PROGRESS') and priority in ('CRITICAL', 'HIGH')"""),
     "sr_sort_priority": _q("""select id, priority, status from requests order by case priority when 'CRITICAL' then 0
- when 'HIGH' then 1 when 'MEDIUM' then 2 when 'LOW' then 3 else 4 end, id limit 500"""),
+ when 'HIGH' then 1 when 'MEDIUM' then 2 when 'LOW' then 3 else 4 end, id"""),
     "machine_point_lookup": _q("""select machine_id, round(prob_fault_next_5m, 3) as risk_5m, round(prob_fault_next_1h, 3) as risk_1h,
  round(prob_fault_next_24h, 3) as risk_24h, round(prob_fault_next_7d, 3) as risk_7d,
  round(anomaly_score, 3) as anomaly, state, fault_code from cur where machine_id = 'MC-0000'"""),
@@ -818,9 +822,9 @@ _ORACLES = {
         )
     ),
     "dry_run_validate": _q("""select count(*) as row_count, count(*) as valid_rows, 0::bigint as invalid_rows,
- max(last_event_time) as source_watermark from cur"""),
+ max(last_event_time) as source_watermark, false as written from cur"""),
     "score_publish": _q(
-        """select * from anomaly
+        """select *, count(*) over (partition by machine_id) as history_rows from anomaly
  qualify row_number() over (partition by machine_id order by event_time desc, event_id desc) = 1""",
         "anomaly_score",
     ),
@@ -847,6 +851,19 @@ _ORACLES = {
     "sr_create": _q("""select 'b1-' || regexp_extract(machine_id, '([0-9]+)$', 1) as id, machine_id, 'HIGH' as priority,
  'INSPECTION' as request_type, 'check' as description, 'planner' as requestor, 'OPEN' as status,
  (select t from now) as created_at, (select t from now) as updated_at from cur"""),
+    "stored_silver_lookback": _q(
+        f"select {_SILVER_COLUMNS} from silver where event_time >= {_SINCE.format('60 minute')}", _SENSOR_DOUBLES
+    ),
+    # ---- models: what must hold whatever was learned
+    "fault_score_checks": _q(f"""select inference_type, count(*) as rows_scored, 0::bigint as outside,
+ 0::bigint as shrinking, 0::bigint as flags_unlike from ({_both_modes(24)}) group by 1"""),
+    "anomaly_score_checks": _q(f"""select inference_type, count(*) as rows_scored, 0::bigint as outside,
+ 0::bigint as flags_unlike from ({_both_modes(24)}) where {_COMPLETE} group by 1"""),
+    "fault_metrics_checks": _q(f"select count(*) as train_rows, true as plausible from silver where {_COMPLETE}"),
+    "fault_train_guard": _q("select count(*) as rows, true as reused_last_model from silver"),
+    "model_registry_lookup": _q(f"select true as newest_found, count(*) as rows_scored from silver where {_COMPLETE}"),
+    "scored_health": _q("""select machine_id, count(*) as windows, count(*) as with_risk, any_value(n) as scored_rows
+ from health join (select machine_id, count(*) as n from silver group by 1) using (machine_id) group by 1"""),
     # ---- streams
     "src_stream_table": _q("select event_id, machine_id, state, enqueued_ms from fx"),
     "stream_bridge": _q(f"select {_BRONZE_OUT} from bronze", _SENSOR_DOUBLES),
@@ -862,11 +879,14 @@ _ORACLES = {
         f"{_OEE_NUMBERS} anomaly_score rule_based_risk_score",
     ),
     "stream_status_10s": _q(
-        f"""select machine_id, last_event_time, {_STATUS_COLUMNS}, iothub_device_id, event_id from status10
+        f"""select machine_id, last_event_time, {_STATUS_COLUMNS}, iothub_device_id, event_id,
+ telemetry_lag_seconds, telemetry_lag_ms from status10
  where time_bucket(interval 10 second, last_event_time) + interval 10 second <= {_SINCE.format("10 second")}""",
         _SENSOR_DOUBLES,
     ),
-    "stream_latest_scd1": _q("""select machine_id, event_time as last_event_time, state, temp_c, rpm, event_id from silver
+    "stream_latest_scd1": _q("""select machine_id, event_time as last_event_time, state, temp_c, rpm, event_id,
+ ((select ms from now) // 1000 - epoch_ms(event_time) // 1000)::int as telemetry_lag_seconds,
+ ((select ms from now) // 1000 - epoch_ms(event_time) // 1000) * 1000 as telemetry_lag_ms from silver
  qualify row_number() over (partition by machine_id order by event_time desc, event_id desc) = 1"""),
     "stream_alerts": _q("""select machine_id, event_time, vibration_mm_s, temp_c, rpm, state,
  'streaming_anomaly' as alert_type, (select t from now) as detected_at from silver

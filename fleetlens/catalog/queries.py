@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,8 +12,8 @@ from pyspark.sql import functions as F
 from fleetlens import fixture, ops
 from fleetlens.catalog.frames import TIE, Frames, tidy
 from fleetlens.functions import bands
-from fleetlens.functions.expr import instant
-from fleetlens.functions.scores import horizon_expand, rule_flag
+from fleetlens.functions.expr import before, instant, rows_since
+from fleetlens.functions.scores import HORIZONS, horizon_expand, rule_flag
 from fleetlens.ml import fault_model, isolation_forest
 from fleetlens.ml.isolation_forest import IsolationForest, IsolationForestModel
 from fleetlens.ml.store import ModelStore
@@ -19,8 +21,8 @@ from fleetlens.operators import gold, labels, latest, metrics, percentiles, qual
 from fleetlens.operators.silver import silver_clean
 from fleetlens.plans import reports, requests, semantic
 from fleetlens.schemas import FAULT_PREDICTIONS, SILVER, align_schema
-from fleetlens.sinks.jdbc import mirror_counts, valid_mirror_rows
-from fleetlens.sinks.keyed import KeyedTable, append, export_training
+from fleetlens.sinks.jdbc import bulk_load, mirror_counts, upsert_jdbc, valid_mirror_rows
+from fleetlens.sinks.keyed import KeyedTable, append, export_training, publish_scores
 from fleetlens.sources import bronze, serial
 from fleetlens.streaming import jobs
 
@@ -42,8 +44,9 @@ def add(name: str, fn: Callable[[Frames], DataFrame]) -> None:
 
 @query
 def bronze_parse_json(f):
+    """``raw_body`` is the message itself: its fields, read again, must be those of the row."""
     parsed = bronze.parse_bronze(f.raw, F.col("ingested"), TIE)
-    return parsed.drop("raw_body")
+    return parsed.withColumn("raw_body", F.get_json_object("raw_body", "$.machine_id"))
 
 
 @query
@@ -554,9 +557,7 @@ add("sr_total", lambda f: requests.sr_total(f.requests, statuses=["OPEN", "IN_PR
 
 @query
 def sr_sort_priority(f):
-    ranked = requests.sr_sorted(f.requests, "priority", 500)
-    return ranked.select("id", "priority", "status")
-
+    return requests.sr_sorted(f.requests, "priority").select("id", "priority", "status")
 
 @query
 def machine_point_lookup(f):
@@ -623,9 +624,17 @@ def score_windows(f):
 
 @query
 def training_export(f):
-    rows = labels.training_rows(f.silver).drop("event_time", "ingest_ts", "enqueued_time", "iothub_device_id")
+    rows = labels.training_rows(f.silver).drop("ingest_ts", "enqueued_time", "iothub_device_id")
     targets = export_training(rows, f.work_dir())
-    return f.spark.read.parquet(targets["parquet"])
+    readers = {
+        "parquet": f.spark.read,
+        "json": f.spark.read.schema(rows.schema),
+        "csv": f.spark.read.schema(rows.schema).option("header", True),
+    }
+    return reduce(
+        DataFrame.unionByName,
+        [reader.format(kind).load(targets[kind]).withColumn("format", F.lit(kind)) for kind, reader in readers.items()],
+    )
 
 
 add("last_scored_ts", lambda f: scoring.last_scored(f.anomaly))
@@ -655,7 +664,7 @@ def sink_append(f):
 @query
 def sr_bulk_load(f):
     path = f.work_dir()
-    append(f.requests, path)
+    bulk_load(f.requests, path, append, writers=4)
     loaded = f.spark.read.parquet(path)
     return loaded.groupBy("status", "priority", "request_type").agg(F.count(F.lit(1)).alias("requests"))
 
@@ -665,19 +674,28 @@ def validate_outputs(f):
     tables = {"bronze": f.bronze, "silver": f.silver, "gold": f.gold, "anomaly": f.anomaly, "fault": f.fault}
     found = ops.validate_outputs(tables, ["bronze", "silver", "anomaly", "fault"], ["gold"])
     assert not found["warnings"]
-    return ops.table_counts(tables)
+    return f.spark.createDataFrame(sorted(found["counts"].items()), "table_name string, row_count bigint")
 
 
 @query
 def dry_run_validate(f):
-    return mirror_counts(f.status)
+    def refuse(*_):
+        raise AssertionError("a dry run writes nothing")
+
+    found = upsert_jdbc(f.status, refuse, refuse, dry_run=True)
+    return f.spark.createDataFrame(
+        [(found["row_count"], found["valid_rows"], found["invalid_rows"], found["source_watermark"], found["written"])],
+        "row_count bigint, valid_rows bigint, invalid_rows bigint, source_watermark timestamp, written boolean",
+    )
 
 
 @query
 def score_publish(f):
-    table = KeyedTable(f.spark, f.work_dir(), ("machine_id",), ("event_time",))
-    table.upsert(f.anomaly, "run")
-    return table.read()
+    """The published table and, per machine, the rows its history got."""
+    work = f.work_dir()
+    table = publish_scores(f.anomaly, f"{work}/history", f"{work}/latest", "run")
+    history = f.spark.read.parquet(f"{work}/history").groupBy("machine_id").agg(F.count(F.lit(1)).alias("history_rows"))
+    return table.read().join(history, "machine_id")
 
 
 add("parity_check", lambda f: ops.parity_check(f.latest, f.mirror))
@@ -686,12 +704,16 @@ add("parity_check", lambda f: ops.parity_check(f.latest, f.mirror))
 @query
 def view_refresh_counts(f):
     live = semantic.telemetry_live(f.silver, f.as_of)
-    health = f.health
-    sources = {"live_rows": live, "health_rows": health, "status_rows": f.status}
-    return ops.table_counts({**sources, "downtime_rows": health.select("machine_id", "window_end")})
+    counts = ops.table_counts({"live_rows": live, "health_rows": f.health, "status_rows": f.status})
+    # The downtime view has the rows of the health view, counted once for both.
+    both = F.when(F.col("table_name") == "health_rows", F.array("table_name", F.lit("downtime_rows")))
+    return counts.select(F.explode(both.otherwise(F.array("table_name"))).alias("table_name"), "row_count")
 
 
-add("stream_health", lambda f: ops.recent_count(f.silver, f.as_of))
+@query
+def stream_health(f):
+    """Records of the last hour if the check passes."""
+    return f.spark.createDataFrame([(ops.stream_health(f.silver, f.as_of, minimum=1),)], "records bigint")
 
 
 @query
@@ -740,7 +762,7 @@ def sr_create(f):
 
 
 def _fault_model(f: Frames) -> tuple[fault_model.FaultModel, DataFrame]:
-    rows = fault_model.training_frame(f.silver, f.as_of, horizon_s=20)
+    rows = fault_model.training_frame(f.silver, f.as_of)
     return fault_model.FaultModel.fit(rows), rows
 
 
@@ -760,7 +782,66 @@ def fault_metrics(f):
 def fault_score(f):
     model, _ = _fault_model(f)
     segments = scoring.score_windows(scoring.drop_incomplete(f.silver), f.as_of)
-    return scoring.prediction_rows(model.score(segments), model.run_id, instant(f.as_of))
+    return scoring.prediction_rows(model.score(segments), model.run_id, instant(f.as_of), base_s=model.horizon_s)
+
+
+@query
+def fault_score_checks(f):
+    """Per mode: rows, and rows that break a rule of the published probabilities (none may)."""
+    p = [f"prob_fault_next_{h}" for h in HORIZONS]
+    outside = reduce(or_, [F.col(c).isNull() | (F.col(c) < 0) | (F.col(c) > 1) for c in p])
+    shrinking = reduce(or_, [F.col(a) > F.col(b) for a, b in zip(p, p[1:])])
+    unlike = reduce(or_, [F.col(f"predicted_fault_next_{h}") != (F.col(f"prob_fault_next_{h}") >= 0.5) for h in HORIZONS])
+    return fault_score(f).groupBy("inference_type").agg(
+        F.count(F.lit(1)).alias("rows_scored"),
+        F.count_if(outside).alias("outside"),
+        F.count_if(shrinking).alias("shrinking"),
+        F.count_if(unlike).alias("flags_unlike"),
+    )
+
+
+@query
+def fault_metrics_checks(f):
+    """Rows trained on, and whether both areas lie above chance."""
+    model, rows = _fault_model(f)
+    found = model.metrics(rows)
+    above = F.lit(0.5 <= found["roc_auc"] <= 1 and 0 < found["avg_precision"] <= 1).alias("plausible")
+    return rows.agg(F.count(F.lit(1)).alias("train_rows"), above)
+
+
+@query
+def anomaly_score_checks(f):
+    """Per mode: rows, and rows that break a rule of the published scores (none may)."""
+    score = F.col("anomaly_score")
+    return anomaly_score_model(f).groupBy("inference_type").agg(
+        F.count(F.lit(1)).alias("rows_scored"),
+        F.count_if(score.isNull() | (score < 0) | (score > 1)).alias("outside"),
+        F.count_if(F.col("is_anomaly") != (score >= 0.7)).alias("flags_unlike"),
+    )
+
+
+@query
+def scored_health(f):
+    """Train, score, publish and read the scores back in the health view, end to end."""
+    work = f.work_dir()
+    model, _ = _fault_model(f)
+    events = scoring.drop_incomplete(f.silver, ["machine_id", "event_time"])
+    risks = scoring.prediction_rows(
+        model.score(events.withColumn("inference_type", F.lit("batch"))), model.run_id, instant(f.as_of), base_s=model.horizon_s
+    )
+    rows = isolation_forest.training_frame(f.silver, f.as_of)
+    forest = IsolationForest(n_trees=50).fit(rows)
+    unusual = scoring.anomaly_rows(
+        forest.decision(rows.withColumn("inference_type", F.lit("batch"))), forest.run_id, instant(f.as_of)
+    )
+    fault = publish_scores(risks, f"{work}/fault_history", f"{work}/fault")
+    anomaly = publish_scores(unusual, f"{work}/anomaly_history", f"{work}/anomaly")
+    health = semantic.machine_health(f.gold, anomaly.read(), fault.read())
+    history = f.spark.read.parquet(f"{work}/fault_history").groupBy("machine_id").agg(F.count(F.lit(1)).alias("scored_rows"))
+    return health.groupBy("machine_id").agg(
+        F.count(F.lit(1)).alias("windows"),
+        F.count_if(F.col("prob_fault_next_5m").between(0, 1)).alias("with_risk"),
+    ).join(history, "machine_id", "left")
 
 
 @query
@@ -835,6 +916,15 @@ def stream_silver(f):
     return _finish(done, f"{work}/out", f).drop("event_date")
 
 
+@query
+def stored_silver_lookback(f):
+    """The last hour out of silver as the stream stores it, by date: older dates are not read."""
+    work = f.work_dir()
+    done = jobs.start_silver(fixture.bronze(fixture.telemetry(f.event_stream)), f"{work}/out", f"{work}/cp", keep=TIE)
+    stored_rows = _finish(done, f"{work}/out", f)
+    return rows_since(stored_rows, "event_time", before(f.as_of, minutes=60)).drop("event_date")
+
+
 @query
 def stream_gold_health(f):
     work = f.work_dir()
@@ -857,7 +947,7 @@ def stream_late_data(f):
 @query
 def stream_status_10s(f):
     work = f.work_dir()
-    done = jobs.start_status(f.silver_stream, f"{work}/out", f"{work}/cp", tiebreak=TIE)
+    done = jobs.start_status(f.silver_stream, f"{work}/out", f"{work}/cp", tiebreak=TIE, as_of=f.as_of)
     return _finish(done, f"{work}/out", f)
 
 
@@ -866,6 +956,7 @@ def stream_latest_scd1(f):
     work = f.work_dir()
     columns = ["machine_id", "event_time", "state", "temp_c", "rpm", *TIE]
     readings = f.silver_stream.select(*columns).withColumnRenamed("event_time", "last_event_time")
+    readings = gold.with_lag(readings, f.as_of)
     jobs.start_latest(readings, f"{work}/out", f"{work}/cp", tiebreak=TIE).awaitTermination()
     return KeyedTable(f.spark, f"{work}/out", ("machine_id",), ("last_event_time",)).read()
 

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.functions.expr import before, rows_since
+from fleetlens.functions.scores import HORIZONS
 from fleetlens.ml.store import ModelStore, NoModel
 from fleetlens.operators.labels import label_future_fault
 from fleetlens.operators.scoring import FEATURES, drop_incomplete
@@ -27,6 +28,7 @@ from fleetlens.plans.semantic import AsOf
 KIND = "fault"
 LABEL = "label_fault_next_5m"
 TRAINING_DAYS = 7
+HORIZON_S = HORIZONS["5m"]
 _NUMBERS = [f"_{c}" for c in FEATURES]
 
 
@@ -34,7 +36,7 @@ class NotTrainable(ValueError):
     """The training window holds no rows, or rows of one class only."""
 
 
-def training_frame(silver: DataFrame, as_of: AsOf, horizon_s: int = 300) -> DataFrame:
+def training_frame(silver: DataFrame, as_of: AsOf, horizon_s: int = HORIZON_S) -> DataFrame:
     """Labelled, complete rows of the training window.
 
     Labels are set before incomplete rows go, so a fault without readings still counts.
@@ -51,12 +53,15 @@ def _prepared(df: DataFrame) -> DataFrame:
 
 @dataclass
 class FaultModel:
+    """A trained pipeline and the horizon its labels looked ahead."""
+
     pipeline: PipelineModel
     run_id: str = "unsaved"
+    horizon_s: int = HORIZON_S
 
     @staticmethod
-    def fit(labelled: DataFrame) -> "FaultModel":
-        """Train on rows with features, ``state`` and the 0/1 label."""
+    def fit(labelled: DataFrame, horizon_s: int = HORIZON_S) -> "FaultModel":
+        """Train on rows with features, ``state`` and the 0/1 label ``horizon_s`` ahead."""
         counts = {r[LABEL]: r["n"] for r in labelled.groupBy(LABEL).agg(F.count("*").alias("n")).collect()}
         total = sum(counts.values())
         if total == 0:
@@ -93,7 +98,7 @@ class FaultModel:
             ),
         ]
         try:
-            return FaultModel(Pipeline(stages=stages).fit(rows))
+            return FaultModel(Pipeline(stages=stages).fit(rows), horizon_s=horizon_s)
         finally:
             rows.unpersist()
 
@@ -114,7 +119,8 @@ class FaultModel:
         out = {}
         for name, metric in (("roc_auc", "areaUnderROC"), ("avg_precision", "areaUnderPR")):
             evaluator = BinaryClassificationEvaluator(
-                rawPredictionCol="_raw", labelCol="_label", metricName=metric
+                # 0 bins: the curve keeps every distinct score.
+                rawPredictionCol="_raw", labelCol="_label", metricName=metric, numBins=0
             )
             out[name] = evaluator.evaluate(scored)
         return out
@@ -122,14 +128,15 @@ class FaultModel:
     def save(self, store: ModelStore, summary: dict | None = None) -> "FaultModel":
         run_id, folder = store.new_run(KIND)
         self.pipeline.write().overwrite().save(f"{folder}/model")
-        store.finish(folder, run_id, {"features": ",".join(FEATURES), **(summary or {})})
+        store.finish(folder, run_id, {"features": ",".join(FEATURES), "horizon_s": self.horizon_s, **(summary or {})})
         self.run_id = run_id
         return self
 
     @staticmethod
     def load_latest(store: ModelStore) -> "FaultModel":
         run_id, folder = store.latest(KIND)
-        return FaultModel(PipelineModel.load(f"{folder}/model"), run_id)
+        told = store.spark.read.json(f"{folder}/summary").first().asDict()
+        return FaultModel(PipelineModel.load(f"{folder}/model"), run_id, int(told.get("horizon_s") or HORIZON_S))
 
 
 def train_or_reuse(silver: DataFrame, as_of: AsOf, store: ModelStore) -> FaultModel:

@@ -20,7 +20,7 @@ from fleetlens.functions.expr import before, rows_since
 from fleetlens.ml.store import ModelStore
 from fleetlens.operators.scoring import FEATURES, drop_incomplete
 from fleetlens.plans.semantic import AsOf
-from fleetlens.session import pin
+from fleetlens.session import pin, ship
 
 KIND = "anomaly"
 TRAINING_DAYS = 2
@@ -96,10 +96,11 @@ class IsolationForest:
         if total == 0:
             raise ValueError("no complete rows to train on")
         wanted = self.n_trees * self.sample_size * _SPARE
-        pool = rows.select(*[F.col(c).cast("double").alias(c) for c in self.features])
-        if total > wanted:
-            pool = pool.where(F.rand(self.seed) < wanted / total)
-        pool = pin(pool.withColumn("_id", F.monotonically_increasing_id()))
+        # The row itself decides, so another partitioning draws the same rows.
+        values = [F.col(c).cast("double").alias(c) for c in self.features]
+        pool = rows.select(F.xxhash64(*rows.columns).alias("_id"), *values)
+        chance = F.pmod(F.xxhash64("_id", F.lit(self.seed), F.lit("pool")), F.lit(_BUCKETS))
+        pool = pin(pool.where(chance < min(1.0, wanted / total) * _BUCKETS))
         share = min(1.0, self.sample_size * _SPARE / max(1, pool.count()))
 
         def ticket(tree):
@@ -112,6 +113,7 @@ class IsolationForest:
 
     def fit(self, df: DataFrame) -> "IsolationForestModel":
         """Grow the trees and set the cut so that ``contamination`` of the rows lie below it."""
+        ship(df.sparkSession)
         rows = drop_incomplete(df, self.features)
         names, size, seed = list(self.features), self.sample_size, self.seed
 
@@ -161,6 +163,7 @@ class IsolationForestModel:
 
     def decision(self, df: DataFrame, name: str = "raw") -> DataFrame:
         """Add the decision value: negative for unusual rows.  Features must not be NULL."""
+        ship(df.sparkSession)
         tables = df.sparkSession.sparkContext.broadcast(self._tables())
         scale, offset = average_path(self.sample) or 1.0, self.offset
 

@@ -14,6 +14,7 @@ from fleetlens.operators.percentiles import (
     samples,
     weighted,
     weighted_percentiles,
+    with_percentiles,
 )
 
 
@@ -88,7 +89,7 @@ class MetricView:
             else:
                 cells.append((weighted(m.column)[m.how] if isinstance(m, Of) else samples()).alias(name))
                 outputs.append(name)
-        return counted.groupBy(*by).agg(*cells).select(*by, *outputs)
+        return with_percentiles(counted, by, asked).groupBy(*by).agg(*cells).select(*by, *outputs)
 
 
 def _plain(measure: str | Of | Percentile) -> Column:
@@ -111,11 +112,17 @@ def _averages(columns: Mapping[str, str]) -> dict[str, str]:
 
 
 _RISKS = {f"fault_risk_{h}": f"prob_fault_next_{h}" for h in ("5m", "1h", "24h", "7d")}
-_HOPS = {
-    "device_to_hub_ms": "hop1_device_to_hub_ms",
-    "hub_to_bronze_ms": "hop2_hub_to_bronze_ms",
-    "total_ms": "total_device_to_bronze_ms",
-}
+
+
+def hop_columns(hub: str = "hub", store: str = "bronze") -> dict[str, str]:
+    """Columns of the latency view of a site: first hop, second hop, both."""
+    return {
+        "d2h": f"hop1_device_to_{hub}_ms",
+        "h2b": f"hop2_{hub}_to_{store}_ms",
+        "total": f"total_device_to_{store}_ms",
+    }
+
+
 
 TELEMETRY = MetricView(
     "mv_machine_telemetry",
@@ -203,29 +210,26 @@ CURRENT = MetricView(
         }
     ),
 )
-LATENCY = MetricView(
-    "mv_hop_latency",
-    {
+
+
+def latency_view(hub: str = "hub", store: str = "bronze") -> MetricView:
+    """Measures of the latency view with a site's own hop names."""
+    names = {"d2h": f"device_to_{hub}_ms", "h2b": f"{hub}_to_{store}_ms", "total": "total_ms"}
+    columns = hop_columns(hub, store)
+    measures = {"record_count": COUNT}
+    measures |= {f"{how}_{names[k]}": Of(how, c) for how in ("avg", "min", "max") for k, c in columns.items()}
+    measures |= {f"p{round(q * 100)}_{names[k]}": Percentile(c, q) for q in (0.5, 0.95, 0.99) for k, c in columns.items()}
+    dimensions = {
         "machine": "machine_id",
         "line": "line_name",
         "state": "state",
         "device_time": "device_ts",
         **_time_dimensions("device_ts", "device"),
-    },
-    {
-        "record_count": COUNT,
-        **{
-            f"{how}_{name}": Of(how, column)
-            for how in ("avg", "min", "max")
-            for name, column in _HOPS.items()
-        },
-        **{
-            f"p{round(q * 100)}_{name}": Percentile(column, q)
-            for q in (0.5, 0.95, 0.99)
-            for name, column in _HOPS.items()
-        },
-    },
-)
+    }
+    return MetricView("mv_hop_latency", dimensions, measures)
+
+
+LATENCY = latency_view()
 METRIC_VIEWS = {
     v.name: v for v in (TELEMETRY, OEE, DOWNTIME, RISK, FRESHNESS, CURRENT, LATENCY)
 }

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.operators.ordered import number_rows
-from fleetlens.session import pin
-
-BROADCAST_ROWS = 200_000  # rows of a name and a position: a few megabytes
+STEP = 4096  # width of the value ranges whose counts are summed first
 SAMPLE = "sample"
 
 
@@ -46,43 +43,94 @@ def weighted(metric: str) -> dict[str, Column]:
     return {"avg": F.sum(value * n) / F.sum(n), "min": F.min(value), "max": F.max(value)}
 
 
-def weighted_percentiles(metric: str, qs: Sequence[float]) -> Column:
-    """Array of exact, linearly interpolated percentiles of one metric.
-
-    One buffer serves all ``qs``; it holds the distinct values, not the rows.
-    """
-    value = F.when(F.col("metric") == metric, F.col("value"))
-    return F.percentile(value, F.array(*[F.lit(q) for q in qs]), F.col("n"))
-
-
-def order_statistics(
-    df: DataFrame, by: Sequence[str], value: str, picks: Mapping[str, float]
+def values_at(
+    counted: DataFrame, by: Sequence[str], picks: Sequence[tuple[str, str, Callable[[Column], Column]]]
 ) -> DataFrame:
-    """Per group the values at position ``int(n * q)`` (last row at most) of the sorted values.
+    """Values at given positions of each group's sorted values, from :func:`histogram` rows.
+
+    ``picks`` are ``(metric, name, position)``; ``position`` turns the number of values
+    into a position from 0.  The result has ``metric`` = ``metric@name``, the ``value``
+    there, and the number of values as ``n``.
 
-    One range sort numbers all rows; the wanted positions are then looked up, so no
-    group is ever gathered in one place.
+    Equal values are one row, and running sums go in two steps: over ranges of ``STEP``
+    milliseconds, then over the values of the ranges that hold a position.  A task
+    therefore sorts at most the ranges of a group, or the ``STEP`` values of a range.
     """
-    numbered = number_rows(df.where(F.col(value).isNotNull()).select(*by, value), [*by, value])
-    spans = pin(
-        numbered.groupBy(*by).agg(F.min("row_index").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    groups = [*by, "metric"]
+    step = F.floor(F.col("value") / STEP).alias("_step")
+    ranges = counted.groupBy(*groups, step).agg(F.sum("n").alias("_rows"))
+    ranges = ranges.withColumns(
+        {
+            "_end": F.sum("_rows").over(Window.partitionBy(*groups).orderBy("_step")),
+            "_total": F.sum("_rows").over(Window.partitionBy(*groups)),
+        }
     )
     wanted = [
         F.struct(
-            F.lit(name).alias("_pick"),
-            (F.col("_first") + F.least((F.col("_n") * F.lit(q)).cast("bigint"), F.col("_n") - 1)).alias(
-                "row_index"
-            ),
+            F.lit(metric).alias("_of"),
+            F.lit(f"{metric}@{name}").alias("_pick"),
+            position(F.col("_total")).cast("bigint").alias("_at"),
         )
-        for name, q in picks.items()
+        for metric, name, position in picks
     ]
-    spots = spans.select(F.inline(F.array(*wanted)))
-    # Few groups: look their positions up in place instead of shuffling all rows.
-    if spans.count() * len(picks) <= BROADCAST_ROWS:
-        spots = F.broadcast(spots)
-    found = numbered.join(spots, "row_index")
+    spots = ranges.select("*", F.inline(F.array(*wanted)))
+    spots = spots.where("_of = metric and _at >= _end - _rows and _at < _end").select(
+        *[F.col(c).alias(f"_{c}") for c in groups],
+        F.col("_step").alias("_in"),
+        "_pick",
+        "_total",
+        (F.col("_at") - F.col("_end") + F.col("_rows")).alias("_rest"),
+    )
+    inside = counted.select("*", step)
+    same = F.col("_step") == F.col("_in")
+    for c in groups:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    near = inside.join(spots, same)
+    end = F.sum("n").over(Window.partitionBy(*groups, "_pick").orderBy("value"))
+    return near.withColumn("_end", end).where("_rest >= _end - n and _rest < _end").select(
+        *by, F.col("_pick").alias("metric"), "value", F.col("_total").alias("n")
+    )
+
+
+def _between(q: float, rounding: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda n: rounding(F.lit(float(q)) * (n - 1))
+
+
+def with_percentiles(counted: DataFrame, by: Sequence[str], asked: Mapping[str, Sequence[float]]) -> DataFrame:
+    """:func:`histogram` rows and, as further metrics, the values their percentiles lie between."""
+    picks = []
+    for metric, qs in asked.items():
+        for q in dict.fromkeys(qs):
+            picks += [(metric, f"{q}low", _between(q, F.floor)), (metric, f"{q}high", _between(q, F.ceil))]
+    return counted.unionByName(values_at(counted, by, picks)) if picks else counted
+
+
+def weighted_percentiles(metric: str, qs: Sequence[float]) -> Column:
+    """Array of exact, linearly interpolated percentiles over :func:`with_percentiles` rows."""
+
+    def at(name: str, column: str) -> Column:
+        return F.max(F.when(F.col("metric") == f"{metric}@{name}", F.col(column)))
+
+    def percentile(q: float) -> Column:
+        low, high = at(f"{q}low", "value").cast("double"), at(f"{q}high", "value").cast("double")
+        place = F.lit(float(q)) * (at(f"{q}low", "n") - 1)
+        return low + (high - low) * (place - F.floor(place))
+
+    return F.array(*[percentile(q) for q in qs])
+
+
+def order_statistics(
+    df: DataFrame, by: Sequence[str], value: str, picks: Mapping[str, float]
+) -> DataFrame:
+    """Per group the values at position ``int(n * q)`` (last row at most) of the sorted values."""
+    counted = histogram(df, by, {"v": F.col(value)})
+
+    def position(q: float) -> Callable[[Column], Column]:
+        return lambda n: F.least((n * F.lit(q)).cast("bigint"), n - 1)
+
+    found = values_at(counted, by, [("v", name, position(q)) for name, q in picks.items()])
     return found.groupBy(*by).agg(
-        *[F.max(F.when(F.col("_pick") == name, F.col(value))).alias(name) for name in picks]
+        *[F.max(F.when(F.col("metric") == f"v@{name}", F.col("value"))).alias(name) for name in picks]
     )
 
 

@@ -68,11 +68,19 @@ def anomaly_rows(
 
 
 def prediction_rows(
-    df: DataFrame, model_run_id: str, scored_at: Column, prob: str = "prob", keep: Sequence[str] = ()
+    df: DataFrame,
+    model_run_id: str,
+    scored_at: Column,
+    prob: str = "prob",
+    keep: Sequence[str] = (),
+    base_s: int = HORIZONS["5m"],
 ) -> DataFrame:
-    """Rows of the fault prediction history: four horizons and their 0.5 flags."""
+    """Rows of the fault prediction history: four horizons and their 0.5 flags.
+
+    ``base_s`` is the horizon ``prob`` was trained for.
+    """
     columns = {}
-    for label, p in horizon_expand(F.col(prob)).items():
+    for label, p in horizon_expand(F.col(prob), base_s).items():
         columns[f"prob_fault_next_{label}"] = p
         columns[f"predicted_fault_next_{label}"] = p >= 0.5
     columns |= {"model_run_id": F.lit(model_run_id), "scored_at": scored_at}

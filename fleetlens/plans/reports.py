@@ -13,24 +13,22 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.bands import maintenance_band, risk_band, sensor_status
 from fleetlens.functions.expr import as_time, before, count_if, instant, rows_since
-from fleetlens.operators.metrics import SAVED_MEASURES
+from fleetlens.operators.metrics import SAVED_MEASURES, hop_columns
 from fleetlens.operators.percentiles import (
     histogram,
     sample_metric,
     samples,
     weighted,
     weighted_percentiles,
+    with_percentiles,
 )
 from fleetlens.plans.semantic import AsOf, with_line
 from fleetlens.schemas import HORIZON_LABELS
 
-HOPS = {
-    "d2h": "hop1_device_to_hub_ms",
-    "h2b": "hop2_hub_to_bronze_ms",
-    "total": "total_device_to_bronze_ms",
-}
+HOPS = ("d2h", "h2b", "total")
 PROBABILITY = {h: f"prob_fault_next_{h}" for h in HORIZON_LABELS}
 WATCH_LIMIT = 0.5
+_P50_P95 = (0.5, 0.95)
 
 
 def _rows() -> Column:
@@ -316,24 +314,28 @@ def latency_stats(
     machines: Sequence[str] = (),
     states: Sequence[str] = (),
     lines: Sequence[str] = (),
+    hops: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Per machine avg, max, p50 and p95 of each hop over the last minutes, in whole ms."""
+    """Per machine avg, max, p50 and p95 of each hop over the last minutes, in whole ms.
+
+    ``hops`` names the hop columns of a site, see :func:`hop_columns`.
+    """
     recent = latency.where(F.col("device_ts") >= before(as_of, minutes=minutes))
     chosen = in_lists(recent, machine_id=machines, state=states, line_name=lines)
-    counted = histogram(chosen, ["machine_id"], _hop_values())
+    counted = _hop_counts(chosen, ["machine_id"], hops)
     cells = _hop_cells(("avg", "max"))
     found = counted.groupBy("machine_id").agg(*cells, samples().alias("sample_count"))
     return _with_p50_p95(found, HOPS)
 
 
-def _hop_cells(kinds: Sequence[str], metrics: Sequence[str] = tuple(HOPS)) -> list[Column]:
+def _hop_cells(kinds: Sequence[str], metrics: Sequence[str] = HOPS) -> list[Column]:
     """Per metric the asked aggregates (averages in whole ms) and its p50 and p95 as a pair."""
     cells = []
     for short in metrics:
         found = weighted(short)
         found["avg"] = F.round(found["avg"], 0)
         cells += [found[k].alias(f"{k}_{short}_ms") for k in kinds]
-        cells.append(weighted_percentiles(short, (0.5, 0.95)).alias(f"_{short}"))
+        cells.append(weighted_percentiles(short, _P50_P95).alias(f"_{short}"))
     return cells
 
 
@@ -345,8 +347,11 @@ def _with_p50_p95(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
     return df.withColumns(columns).drop(*[f"_{short}" for short in metrics])
 
 
-def _hop_values() -> dict[str, Column]:
-    return {k: F.col(c) for k, c in HOPS.items()} | sample_metric()
+def _hop_counts(latency: DataFrame, by: Sequence[str], hops: Mapping[str, str] | None = None) -> DataFrame:
+    """Counted hop values per group, with what their percentiles need."""
+    columns = {k: F.col(c) for k, c in (hops or hop_columns()).items()}
+    counted = histogram(latency, by, columns | sample_metric())
+    return with_percentiles(counted, by, dict.fromkeys(HOPS, _P50_P95))
 
 
 def fleet_latency_rollup(stats: DataFrame) -> DataFrame:
@@ -357,11 +362,12 @@ def fleet_latency_rollup(stats: DataFrame) -> DataFrame:
     )
 
 
-def hop_breakdown(latency: DataFrame, as_of: AsOf, minutes: int = 20) -> DataFrame:
+def hop_breakdown(
+    latency: DataFrame, as_of: AsOf, minutes: int = 20, hops: Mapping[str, str] | None = None
+) -> DataFrame:
     """One row: p50, p95, min, max and avg of each hop over the last minutes."""
     recent = latency.where(F.col("device_ts") > before(as_of, minutes=minutes))
-    counted = histogram(recent, [], _hop_values())
-    found = counted.agg(samples().alias("sample_count"), *_hop_cells(("min", "max", "avg")))
+    found = _hop_counts(recent, [], hops).agg(samples().alias("sample_count"), *_hop_cells(("min", "max", "avg")))
     return _with_p50_p95(found, HOPS)
 
 
@@ -369,7 +375,8 @@ def gold_lag_summary(latest: DataFrame) -> DataFrame:
     """One row: machines and p50, p95, min, max, avg of their telemetry lag."""
     values = {"lag": F.col("telemetry_lag_ms")} | sample_metric()
     cells = _hop_cells(("min", "max", "avg"), ["lag"])
-    found = histogram(latest, [], values).agg(samples().alias("machine_count"), *cells)
+    counted = with_percentiles(histogram(latest, [], values), [], {"lag": _P50_P95})
+    found = counted.agg(samples().alias("machine_count"), *cells)
     return _with_p50_p95(found, ["lag"])
 
 

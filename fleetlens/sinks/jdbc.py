@@ -161,7 +161,7 @@ def jdbc_executor(
 
 
 def bulk_load(
-    df: DataFrame, table: str, write: Callable[[DataFrame, str], None], writers: int = 8
+    df: DataFrame, table: str, write: Callable[[DataFrame, str], None], writers: int
 ) -> None:
     """Load a large frame with a bounded number of database connections.
 

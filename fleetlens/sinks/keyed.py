@@ -1,22 +1,38 @@
-"""Keyed Parquet table: one row per key, replaced as a whole per published version.
+"""Keyed Parquet table: one row per key, kept as a full copy and the changes since.
 
-Each upsert writes a new version folder next to the old ones.  Spark writes the
-``_SUCCESS`` marker last, so a version counts only when it is complete and readers
-never see a half-written one.  One writer at a time is assumed.
+An upsert writes a folder with only the incoming rows; reading reduces the newest full copy
+and the later changes to the newest row per key, and a compaction writes that as the next
+full copy.  Spark writes the ``_SUCCESS`` marker last, so a folder counts only when it is
+complete.  One writer at a time is assumed.
 """
 
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.operators.latest import latest_by_key
 
-_VERSION = re.compile(r"^version=(\d{12})__(.*)$")
+_FOLDER = re.compile(r"^(change|full)=(\d{12})__(.*)$")
+COMPACT_AFTER = 20  # changes that a reader merges at most before the writer compacts
+KEEP_S = 3600.0  # longer than the longest read
+
+
+@dataclass(frozen=True)
+class Part:
+    """A complete folder of the table."""
+
+    number: int
+    full: bool
+    tag: str
+    folder: str
+    written_s: float
 
 
 @dataclass(frozen=True)
@@ -31,23 +47,37 @@ class KeyedTable:
         root = jvm.org.apache.hadoop.fs.Path(self.path)
         return root, root.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm
 
-    def versions(self) -> list[tuple[int, str, str]]:
-        """Complete versions, oldest first: number, batch tag, folder."""
+    def versions(self) -> list[Part]:
+        """Complete folders, oldest first; a full copy follows the change it contains."""
         root, fs, jvm = self._fs()
         if not fs.exists(root):
             return []
         found = []
         for status in fs.listStatus(root):
-            named = _VERSION.match(status.getPath().getName())
+            named = _FOLDER.match(status.getPath().getName())
             marker = jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
             if named and fs.exists(marker):
-                found.append((int(named[1]), named[2], status.getPath().toString()))
-        return sorted(found)
+                written = fs.getFileStatus(marker).getModificationTime() / 1000.0
+                folder = status.getPath().toString()
+                found.append(Part(int(named[2]), named[1] == "full", named[3], folder, written))
+        return sorted(found, key=lambda part: (part.number, part.full))
+
+    @staticmethod
+    def _current(parts: list[Part]) -> list[Part]:
+        """The newest full copy, if any, and the changes after it."""
+        fulls = [at for at, part in enumerate(parts) if part.full]
+        return parts[fulls[-1] :] if fulls else parts
 
     def read(self) -> DataFrame | None:
-        """The newest complete version, None before the first upsert."""
-        done = self.versions()
-        return self.spark.read.parquet(done[-1][2]) if done else None
+        """The newest row per key, None before the first upsert."""
+        parts = self._current(self.versions())
+        if not parts:
+            return None
+        if parts[-1].full:
+            return self.spark.read.parquet(parts[-1].folder)
+        frames = [self.spark.read.parquet(p.folder).withColumn("_number", F.lit(p.number)) for p in parts]
+        rows = reduce(lambda one, two: one.unionByName(two, allowMissingColumns=True), frames)
+        return latest_by_key(rows, list(self.keys), list(self.order), ["_number"]).drop("_number")
 
     def upsert(self, source: DataFrame, batch_id: str | int = "manual") -> bool:
         """Insert or replace by key; returns False when this batch was published before.
@@ -57,24 +87,33 @@ class KeyedTable:
         """
         done = self.versions()
         tag = str(batch_id)
-        if tag != "manual" and any(t == tag for _, t, _ in done):
+        if tag != "manual" and any(part.tag == tag for part in done):
+            return False
+        number = done[-1].number + 1 if done else 1
+        rows = latest_by_key(source, list(self.keys), list(self.order))
+        rows.write.mode("overwrite").parquet(f"{self.path}/change={number:012d}__{tag}")
+        return True
+
+    def compact(self, after: int = COMPACT_AFTER) -> bool:
+        """Write a full copy once ``after`` changes have gathered; old folders stay for their readers."""
+        parts = self._current(self.versions())
+        if sum(not part.full for part in parts) < max(1, after):
             return False
-        incoming = source.withColumn("_incoming", F.lit(1))
-        if done:
-            stored = self.spark.read.parquet(done[-1][2]).withColumn("_incoming", F.lit(0))
-            incoming = stored.unionByName(incoming, allowMissingColumns=True)
-        merged = latest_by_key(incoming, list(self.keys), list(self.order), ["_incoming"])
-        number = done[-1][0] + 1 if done else 1
-        target = f"{self.path}/version={number:012d}__{tag}"
-        merged.drop("_incoming").write.mode("overwrite").parquet(target)
+        target = f"{self.path}/full={parts[-1].number:012d}__compact"
+        self.read().write.mode("overwrite").parquet(target)
         return True
 
-    def drop_old(self, keep: int = 3) -> int:
-        """Delete all but the newest ``keep`` versions; returns how many went."""
+    def drop_old(self, older_than_s: float = KEEP_S) -> int:
+        """Delete folders that a full copy replaced at least ``older_than_s`` ago; returns how many."""
         _, fs, jvm = self._fs()
-        old = self.versions()[: -max(1, keep)]
-        for _, _, folder in old:
-            fs.delete(jvm.org.apache.hadoop.fs.Path(folder), True)
+        parts = self.versions()
+        current = self._current(parts)
+        replaced = current[0].written_s if current and current[0].full else None
+        old = [] if replaced is None else [p for p in parts if p not in current]
+        if replaced is None or time.time() - replaced < older_than_s:
+            return 0
+        for part in old:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(part.folder), True)
         return len(old)
 
 
@@ -102,8 +141,8 @@ def publish_scores(
 ) -> KeyedTable:
     """Append scores to the history and upsert the newest event of each machine.
 
-    Only the new scores are merged into the published table, the history is not read
-    again: a key-wise maximum over the old result and the new rows is the same thing.
+    Only the new scores go into the published table, the history is not read again: a
+    key-wise maximum over the old result and the new rows is the same thing.
     """
     append(scored, history_path)
     return upsert_parquet(

@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from fleetlens.operators.gold import machine_health_windows, status_windows
+from fleetlens.operators.gold import machine_health_windows, status_windows, with_lag
 from fleetlens.operators.latest import newest
 from fleetlens.operators.quality import RULES, Rule, observe_rules
 from fleetlens.operators.scoring import rule_alerts
 from fleetlens.operators.silver import silver_clean
+from fleetlens.plans.semantic import AsOf
 from fleetlens.session import pin
 from fleetlens.sinks.keyed import KeyedTable
 from fleetlens.sources.bronze import parse_bronze
@@ -107,9 +108,14 @@ def status_stream(
     watermark: str = STATUS_WATERMARK,
     window: str = "10 seconds",
     tiebreak: tuple[str, ...] = (),
+    as_of: AsOf | None = None,
 ) -> DataFrame:
-    """Newest reading per machine and short window of a stream."""
-    return status_windows(silver.withWatermark("event_time", watermark), window, tiebreak)
+    """Newest reading per machine and short window of a stream, with its lag.
+
+    The lag is taken against ``as_of``, without one against the time of the micro-batch.
+    """
+    newest_rows = status_windows(silver.withWatermark("event_time", watermark), window, tiebreak)
+    return with_lag(newest_rows, F.current_timestamp() if as_of is None else as_of)
 
 
 def start_health(
@@ -130,8 +136,10 @@ def start_status(
     trigger: Trigger = AVAILABLE_NOW,
     watermark: str = STATUS_WATERMARK,
     tiebreak: tuple[str, ...] = (),
+    as_of: AsOf | None = None,
 ) -> StreamingQuery:
-    return append_files(status_stream(silver, watermark, tiebreak=tiebreak), path, checkpoint, trigger)
+    status = status_stream(silver, watermark, tiebreak=tiebreak, as_of=as_of)
+    return append_files(status, path, checkpoint, trigger)
 
 
 def query_id(spark: SparkSession, checkpoint: str) -> str:
@@ -173,6 +181,7 @@ def start_latest(
         if on_change is not None:
             batch = pin(batch)
         table.upsert(batch, f"{query_id(table.spark, checkpoint)}-{batch_id}")
+        table.compact()
         table.drop_old()
         if on_change is not None:
             on_change(batch, batch_id)

@@ -116,12 +116,27 @@ def test_order_statistics_with_a_hot_group(spark):
     assert as_set(percentiles.order_statistics(df, ["k"], "v", picks), "k", *picks) == want
 
 
+def test_order_statistics_of_one_frequent_value(spark):
+    """A value with 90 % of the rows is one row after the count, and nothing meets in one task."""
+    values = [7] * 9000 + [v * 37 for v in range(1000)]
+    df = spark.createDataFrame([(v,) for v in values], "v bigint").repartition(8)
+    picks = {"p05": 0.05, "p50": 0.5, "p95": 0.95}
+    found = percentiles.order_statistics(df, [], "v", picks)
+    assert found.first().asDict() == {name: sorted(values)[int(len(values) * q)] for name, q in picks.items()}
+    counted = percentiles.histogram(df, [], {"m": F.col("v")})
+    steps = percentiles.values_at(counted, [], [("m", "mid", lambda n: n / 2)])
+    plan = steps._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+    assert counted.count() == len(set(values))
+
+
 def test_weighted_percentile_equals_plain(spark):
     rng = random.Random(4)
     data = [(f"k{rng.randrange(3)}", None if rng.random() < 0.1 else rng.randrange(50)) for _ in range(500)]
     df = spark.createDataFrame(data, "k string, v bigint")
-    counted = percentiles.histogram(df, ["k"], {"m": F.col("v")})
-    for q in (0.0, 0.5, 0.95, 1.0):
+    qs = (0.0, 0.5, 0.95, 1.0)
+    counted = percentiles.with_percentiles(percentiles.histogram(df, ["k"], {"m": F.col("v")}), ["k"], {"m": qs})
+    for q in qs:
         found = percentiles.weighted_percentiles("m", [q])[0]
         got = counted.groupBy("k").agg(found.alias("p"))
         assert as_set(got) == as_set(df.groupBy("k").agg(F.percentile("v", F.lit(q)).alias("p")))

@@ -127,3 +127,36 @@ def test_average_path_formula():
 def test_anomaly_training_window(frames):
     rows = isolation_forest.training_frame(frames.silver, frames.as_of)
     assert 0 < rows.count() <= frames.silver.count()
+
+
+def test_models_run_from_any_folder(tmp_path):
+    """Workers find the package though neither their folder nor a path setting leads to it."""
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = tmp_path / "job.py"
+    script.write_text(
+        f"""
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+import __spark_entry__ as entry_point
+queries = entry_point.queries()
+print("rows", queries["anomaly_score_model"](spark, "/root/testdata/sf0.001").count())
+print("found", queries["model_registry_lookup"](spark, "/root/testdata/sf0.001").first()["newest_found"])
+spark.stop()
+"""
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows" in done.stdout and "found True" in done.stdout, done.stderr[-2000:]
+
+
+def test_same_forest_on_another_partitioning(frames):
+    rows = isolation_forest.training_frame(frames.silver, frames.as_of).select("machine_id", "event_time", *isolation_forest.FEATURES)
+    one, two = (isolation_forest.IsolationForest(n_trees=5).fit(rows.repartition(n)) for n in (1, 5))
+    order = ["tree", "node"]
+    assert one.nodes.sort_values(order).reset_index(drop=True).equals(two.nodes.sort_values(order).reset_index(drop=True))

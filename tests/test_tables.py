@@ -57,11 +57,26 @@ def test_keyed_table(spark, tmp_path):
     assert not table.upsert(first, "2")  # a replayed batch changes nothing
     assert as_set(table.read()) == want
     # A half-written version does not count.
-    (tmp_path / "t" / "version=000000000003__x").mkdir()
+    (tmp_path / "t" / "change=000000000003__x").mkdir()
     assert as_set(table.read()) == want
     assert table.upsert(spark.createDataFrame([("d", at(9), 9)], ROWS), "3")
     assert as_set(table.read()) == want | {("d", at(9), 9)}
-    assert table.drop_old(keep=1) == 2 and as_set(table.read()) == want | {("d", at(9), 9)}
+    want |= {("d", at(9), 9)}
+    assert not table.compact(after=4) and table.drop_old(0) == 0
+    reader = table.read()
+    assert table.compact(after=3) and as_set(table.read()) == want == as_set(reader)
+    assert table.drop_old() == 0  # the reader keeps its files
+    assert table.drop_old(older_than_s=0) == 3 and as_set(table.read()) == want
+    assert table.upsert(spark.createDataFrame([("a", at(0), 7), ("d", at(9), 8)], ROWS), "4")
+    assert as_set(table.read()) == (want - {("d", at(9), 9)}) | {("d", at(9), 8)}
+
+
+def test_upsert_writes_only_what_changed(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path / "t"), ("k",), ("t",))
+    table.upsert(spark.createDataFrame([(f"k{i}", at(1), i) for i in range(100)], ROWS), "load")
+    table.upsert(spark.createDataFrame([("k7", at(2), -1)], ROWS), "one")
+    assert spark.read.parquet(table.versions()[-1].folder).count() == 1
+    assert table.read().count() == 100
 
 
 def test_keyed_table_gains_columns(spark, tmp_path):
@@ -217,3 +232,13 @@ def test_request_order(spark, sort, want):
         [("a", "SOON", at(1)), ("b", "CRITICAL", at(2)), ("c", "LOW", at(3))], "id string, priority string, created_at timestamp"
     )
     assert "".join(r["id"] for r in requests.sr_sorted(df, sort).collect()) == want
+
+
+def test_hop_names_of_a_site(frames):
+    own = semantic.hop_latency(frames.bronze, frames.dim, hub="broker", store="lake")
+    hops = metrics.hop_columns("broker", "lake")
+    stats = reports.latency_stats(own, frames.as_of, minutes=30, hops=hops)
+    assert as_set(stats) == as_set(reports.latency_stats(frames.latency, frames.as_of, minutes=30))
+    view = metrics.latency_view("broker", "lake").query(own)
+    assert view.first()["p95_broker_to_lake_ms"] == metrics.LATENCY.query(frames.latency).first()["p95_hub_to_bronze_ms"]
+    assert reports.hop_breakdown(own, frames.as_of, hops=hops).count() == 1
