@@ -6,6 +6,10 @@ ordered rules.  Sentences that are not known do not appear in the sequence, so a
 be spread over a document.  Rules are tried in order and use up what they match: a longer
 rule stands before the shorter ones it contains.
 
+Known sentences are found as published, too: wrapped before any character, behind comment
+marks, and with the sentence ends they have inside (``software: you``).  Where such a passage
+begins and ends as a sentence does, it is put on one line of its own before the text is cut.
+
 Defined results: null and empty texts have no sentences and no licence; repeated rows and
 equal texts get equal answers row by row; of several licences all are reported, in rule
 order.  Other columns of the input are not looked at.
@@ -13,6 +17,8 @@ order.  Other columns of the input are not looked at.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,10 +49,13 @@ SENTENCES = {
     "and the following disclaimer",
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions "
     "and the following disclaimer in the documentation and/or other materials provided with the distribution",
+    "bsd-name": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+    "promote products derived from this software without specific prior written permission",
     "reserved": "All rights reserved",
 }
 #: Ordered rules, ``(licence, identifiers in order)``.
 RULES = [
+    ("BSD-3-Clause", ["bsd-use", "bsd-source", "bsd-binary", "bsd-name"]),
     ("BSD-2-Clause", ["bsd-use", "bsd-source", "bsd-binary"]),
     ("Apache-2.0", ["apache-header", "apache-comply", "apache-copy"]),
     ("GPL-3.0-or-later", ["gpl-free", "gpl-hope"]),
@@ -63,6 +72,8 @@ RULES = [
     ("CC-BY-4.0", ["cc-by"]),
     ("all-rights-reserved", ["reserved"]),
 ]
+#: Known sentences that a notice joins without a sentence end.
+JOINED = [("apache-header", "apache-comply")]
 #: A line break before a small letter only wraps a sentence.
 WRAP = r"\n[ \t]*([a-z])"
 #: A sentence ends at a line break, or at .!? or : before white space or the end.
@@ -79,6 +90,44 @@ def _key(sentence: str) -> str:
     return " ".join(kept.split())
 
 
+#: What is neither a word, a sentence end nor a line break: white space, quotes, comment marks.
+_FILL = r"[^A-Za-z0-9.!?:\n\x{80}-\x{10FFFF}]"
+#: Before a passage: the beginning, an empty line, a sentence end, or a line break if it begins with a capital.
+_BEFORE = (
+    rf"(?:(?<=\A{_FILL}{{0,20}})|(?<=\n{_FILL}{{0,20}}\n{_FILL}{{0,20}})"
+    rf"|(?<=[.!?:]\s{{1,4}}{_FILL}{{0,20}})|(?<=\n{_FILL}{{0,20}})(?-i:(?=[A-Z])))(?<![A-Za-z0-9\x{{80}}-\x{{10FFFF}}])"
+)
+#: After a passage: a sentence end, an empty line or the end.
+_AFTER = rf"(?={_FILL}*(?:[.!?:]+(?:\s|\z)|\n{_FILL}*(?:\n|\z)|\z))"
+
+
+def passage(sentence: str) -> str:
+    """Pattern of a published sentence, each gap between its words wrapped or not.
+
+    A gap may hold the sentence ends it has as published, and one line break; two before an
+    address, which stands in a paragraph of its own.
+    """
+    words = re.findall(r"[A-Za-z0-9]+", sentence)
+    gaps = re.findall(r"[^A-Za-z0-9]+", sentence.strip(" .!?:;"))
+    pattern = words[0]
+    for gap, word in zip(gaps, words[1:]):
+        fill = _FILL.replace(".!?:", "".join(c for c in ".!?:" if c not in gap))
+        breaks = 2 if word == "http" else 1
+        pattern += rf"(?={fill}|\n){fill}*+(?:\n{fill}*+){{0,{breaks}}}{word}"
+    return rf"(?i)(?={words[0]}){_BEFORE}{pattern}{_AFTER}"
+
+
+def unwrap(text: Column, sentences: dict[str, str]) -> Column:
+    """``text`` with every passage that is a known sentence on one line, as a sentence of its own."""
+    found = [((name,), sentence) for name, sentence in sentences.items()]
+    found += [(names, "; ".join(sentences[n] for n in names)) for names in JOINED if all(n in sentences for n in names)]
+    for names, sentence in found:
+        if _key(sentence):
+            plain = "".join(f". {_key(sentences[name])}" for name in names)
+            text = F.regexp_replace(text, passage(sentence), plain + ". ")
+    return text
+
+
 def scan_licenses(
     documents: DataFrame, sentences: dict[str, str] | None = None, rules: list[tuple[str, list[str]]] | None = None
 ) -> DataFrame:
@@ -89,7 +138,7 @@ def scan_licenses(
     sentences = sentences if sentences is not None else SENTENCES
     rules = rules if rules is not None else RULES
     known = {_key(text): name for name, text in sentences.items()}
-    parts = F.split(F.regexp_replace(clean_text(F.col("text")), WRAP, r" $1"), ENDS)
+    parts = F.split(F.regexp_replace(unwrap(clean_text(F.col("text")), sentences), WRAP, r" $1"), ENDS)
     keys = F.filter(F.transform(parts, sentence_key), lambda s: s.isin(list(known)) if known else F.lit(False))
     names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair]) if known else F.lit(None)
     found = F.transform(keys, lambda s: names[s]) if known else F.array().cast("array<string>")

@@ -16,7 +16,7 @@ from fleetlens.llm import fingerprints, suffix_tree_lm
 from fleetlens.llm.decontaminate import contamination
 from fleetlens.llm.graph import components
 from fleetlens.llm.jaccard_join import jaccard_join
-from fleetlens.llm.license_rules import scan_licenses
+from fleetlens.llm.license_rules import SENTENCES, scan_licenses
 from fleetlens.llm.repeats import remove_repeats
 from fleetlens.llm.secrets import mask_secrets, scan_secrets
 from fleetlens.llm.secrets import train as train_secrets
@@ -162,6 +162,85 @@ def test_licenses(spark):
     assert {r.doc_id: (r.sentences, r.licenses) for r in found} == {k: (s, l) for k, (_, s, l) in cases.items()}
 
 
+APACHE_NOTICE = """Copyright 2024 Someone
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+"""
+GPL_NOTICE = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+MIT_NOTICE = """The MIT License (MIT)
+
+Copyright (c) 2024 Someone
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the
+Software.
+"""
+BSD_NOTICE = """Copyright (c) 2024, Someone
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// ", ";; "])
+def test_published_notices(spark, mark):
+    notices = {
+        "Apache-2.0": (APACHE_NOTICE, ["apache-header", "apache-comply", "apache-copy"]),
+        "GPL-3.0-or-later": (GPL_NOTICE, ["gpl-free", "gpl-hope"]),
+        "MIT": (MIT_NOTICE, ["mit-name", "mit-notice"]),
+        "BSD-3-Clause": (BSD_NOTICE, ["bsd-use", "bsd-source", "bsd-binary", "bsd-name"]),
+        "BSD-2-Clause": (BSD_NOTICE.split("3.")[0], ["bsd-use", "bsd-source", "bsd-binary"]),
+    }
+    rows = [(name, "".join(f"{mark}{line}".rstrip() + "\n" for line in text.splitlines())) for name, (text, _) in notices.items()]
+    found = scan_licenses(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert {r.doc_id: (r.sentences, r.licenses) for r in found} == {name: (ids, [name]) for name, (_, ids) in notices.items()}
+    assert all(r.rest == [] for r in found)
+
+
+def test_every_known_sentence_wrapped_anywhere(spark):
+    rows, want = [], {}
+    for name, sentence in SENTENCES.items():
+        words = sentence.split(" ")
+        for cut in range(len(words)):
+            # The empty line before keeps a small first letter from joining the line above.
+            rows.append((len(rows), "Some code\n\n" + " ".join(words[:cut]) + "\n" * (cut > 0) + " ".join(words[cut:]) + ".\nMore"))
+            want[rows[-1][0]] = [name]
+    # Part of a longer sentence, or another sentence cut in two.
+    for text in ("Not\nall rights reserved.", "All rights\n\nreserved.", "All rights reserved;\nor none.", "All rights.\nReserved.", "All rights reserved\nby us."):
+        rows.append((len(rows), text))
+        want[rows[-1][0]] = []
+    found = scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.sentences for r in found} == want
+
+
 # --- op 3 ------------------------------------------------------------------------------
 
 
