@@ -11,8 +11,9 @@ The best tags are found by Viterbi.
 
 Training marks the tokens inside pattern matches as begin and inside and all others as
 outside, on at most about ``SAMPLE`` documents, chosen by a hash of their text, and keeps
-only windows around matches, around tokens with digits, and around some other tokens.
-Scanning reads every whole text.
+only windows around matches, around tokens with digits, and around some other tokens: at most
+``WINDOWS`` of each kind, chosen over all those documents by a hash of text and place, and of
+one text at most ``OF_A_TEXT``.  Scanning reads every whole text.
 
 A line is decoded only if some token's best inside score, with twice the largest gain any
 transition can add, beats outside; otherwise all tags are outside, which is also what
@@ -25,6 +26,8 @@ field that overlaps a pattern's span is dropped; other columns are not looked at
 
 from __future__ import annotations
 
+import hashlib
+import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -40,10 +43,11 @@ from fleetlens.llm.common import clean_text, known_id, real_id
 #: At most about this many documents are learned from.
 SAMPLE = 12_000
 #: Windows of each kind and the tokens on either side that are kept of them.
-WINDOWS = 1500
+WINDOWS = 3000
+OF_A_TEXT = 16
 REACH = 12
 CUES = 200
-ROUNDS = 120
+ROUNDS = 150
 KINDS = ("assign", "access", "hex")
 FIELD = "crf"
 
@@ -211,9 +215,14 @@ def field_spans(text: str, field: Field, cache: TypeCache) -> list[tuple[int, in
     return found
 
 
-def _windows(texts: Iterator[str]) -> Iterator[tuple[int, list, list, str]]:
-    """``(kind, tokens, tags, file)`` around matches (0), tokens with digits (1) and others (2)."""
+def _windows(texts: Iterator[str], of_a_text: int) -> Iterator[tuple[int, int, list, list, str]]:
+    """``(kind, key, tokens, tags, file)`` around matches (0), tokens with digits (1) and others (2).
+
+    The key is a hash of text and place; of each kind, the smallest of a text are given.
+    """
     for text in texts:
+        name = hashlib.blake2b(text.encode(), digest_size=16).digest()
+        places: dict[int, list] = {0: [], 1: [], 2: []}
         spans = base_spans(text)
         values = []
         for start, end, kind in spans:
@@ -241,16 +250,32 @@ def _windows(texts: Iterator[str]) -> Iterator[tuple[int, list, list, str]]:
                 kind = 2
             else:
                 continue
-            low, high = max(0, at - REACH), at + REACH + 1
-            yield kind, tokens[low:high], tags[low:high], file
+            if tokens[max(0, at - REACH)] == "\n":
+                continue
+            key = int.from_bytes(hashlib.blake2b(b"%d" % at, key=name, digest_size=8).digest())
+            places[kind].append((key, at))
+        for kind, found in places.items():
+            for key, at in heapq.nsmallest(of_a_text, found):
+                low, high = max(0, at - REACH), at + REACH + 1
+                yield kind, key, tokens[low:high], tags[low:high], file
 
 
-def fit(texts: Iterator[str], rounds: int = ROUNDS) -> Field | None:
-    """The field of largest penalised likelihood on the windows, by gradient steps."""
+def _chosen(texts: Iterator[str], windows: int, of_a_text: int) -> dict[int, list]:
+    """The windows of smallest key of each kind, by key."""
     kept: dict[int, list] = {0: [], 1: [], 2: []}
-    for kind, tokens, tags, file in _windows(texts):
-        if len(kept[kind]) < WINDOWS and "\n" not in tokens[:1]:
-            kept[kind].append((tokens, tags, file))
+    for turn, (kind, key, *window) in enumerate(_windows(texts, of_a_text)):
+        # The largest key on top; the second number only keeps windows from being compared.
+        entry = (-key, -turn, window)
+        if len(kept[kind]) < windows:
+            heapq.heappush(kept[kind], entry)
+        elif entry[0] > kept[kind][0][0]:
+            heapq.heapreplace(kept[kind], entry)
+    return {kind: [window for *_, window in sorted(found, key=lambda e: -e[0])] for kind, found in kept.items()}
+
+
+def fit(texts: Iterator[str], rounds: int = ROUNDS, windows: int = WINDOWS, of_a_text: int = OF_A_TEXT) -> Field | None:
+    """The field of largest penalised likelihood on the windows, by gradient steps."""
+    kept = _chosen(texts, windows, of_a_text)
     if not kept[0]:
         return None
     data = kept[0] + kept[1] + kept[2]
@@ -333,7 +358,7 @@ def _marginals(score: np.ndarray, moves: np.ndarray, there: np.ndarray) -> tuple
     return share, pairs
 
 
-def train(documents: DataFrame, sample: int = SAMPLE) -> Field | None:
+def train(documents: DataFrame, sample: int = SAMPLE, windows: int = WINDOWS) -> Field | None:
     """Fit in one task on at most about ``sample`` distinct texts, read as a stream."""
     import pickle
 
@@ -344,7 +369,7 @@ def train(documents: DataFrame, sample: int = SAMPLE) -> Field | None:
     chosen = chosen.repartition(1).sortWithinPartitions(F.xxhash64("text"), "text")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        field = fit(text for frame in frames for text in frame["text"])
+        field = fit((text for frame in frames for text in frame["text"]), windows=windows)
         yield pd.DataFrame({"field": [pickle.dumps(field)]})
 
     found = chosen.mapInPandas(run, "field binary").collect()
