@@ -1,16 +1,17 @@
-"""N-gram Jaccard join: MinHash LSH forest, then exact verification.
+"""N-gram Jaccard join: MinHash banding, then exact verification.
 
 A text is the set of its runs of ``SHINGLE`` words (words as in the decontamination: digits,
 letters a-z after lower-casing A-Z, and anything beyond ASCII); a text of fewer words, but
 not none, is one shingle.  Texts with the same word sequence are one class and enter the
-forest once.
+banding once.
 
-The forest has ``TREES`` prefix tries.  A text's label in a tree is a sequence of minimum
-hashes; texts are candidates where their labels share a prefix.  The prefix starts at
-``DEEPEST`` hashes and is shortened until the recall of pairs at the threshold,
-1 - (1 - s^depth)^trees, reaches the target; the tries are stored as sorted prefixes, one
-row per tree and text.  Prefixes shared by several texts link them to the smallest one, and
-the components of those links are the candidate clusters.
+The dealt LSH forest is a fixed banding here.  A text's label in each of ``TREES`` trees is a
+sequence of minimum hashes; texts are candidates where their labels share a prefix.  The
+prefix length is the longest, up to ``DEEPEST``, at which the recall of pairs at the
+threshold, 1 - (1 - s^depth)^trees, reaches the target.  It depends on the parameters alone
+(5 with those given), so only hashes up to it are made, one key per tree and text, and no
+tries are stored or shortened.  Keys shared by several texts link them to the smallest one,
+and the components of those links are the candidate clusters.
 
 Verification is exact, on the shingle sets, inside each cluster: every text's set travels
 once to each block pair of its cluster, a block holding at most about ``BLOCK`` texts or
@@ -272,7 +273,7 @@ def jaccard_join(
         F.first("shingles").alias("shingles"),
     )
     texts = stored(texts.select(F.col("name1").alias("node"), "name2", "first.*", "copies", "shingles"))
-    # The tries: sorted prefixes, one per tree; a shared prefix links its texts to the smallest.
+    # One key per tree; a shared key links its texts to the smallest.
     prefixes = sketch.join(texts.select("node", "name2", "doc_id", "text_hash"), ["name2", "doc_id", "text_hash"])
     prefixes = stored(prefixes.where("name1 = node").select("node", F.explode("keys").alias("prefix")))
     shared = prefixes.groupBy("prefix").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
