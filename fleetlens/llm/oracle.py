@@ -86,6 +86,44 @@ select words.id as doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0)
 from words left join covered using (row_key) left join items using (row_key) where side = 'd'
 """
 
+#: CRC-32 of the digits of ``conv_id``, bit by bit (0xEDB88320, all ones before and after).
+_CRC = """xor(list_reduce(
+    list_prepend(4294967295, flatten(list_transform(string_split(cast(conv_id as varchar), ''), lambda c: [ascii(c)::bigint, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1))), 4294967295)"""
+
+TRIE_SQL = f"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as r, coalesce(text, '') as x from conversations where conv_id is not null),
+own as (
+  select conv_id, list({{'r': r, 'x': x}} order by turn nulls first, md5(strlen(r) || ':' || r || x)) as own, {_CRC} % 9 as h
+  from turns group by conv_id),
+rebuilt as (
+  select a.conv_id, list_concat(list_slice(coalesce(b.own, []), 1, a.h), list_slice(a.own, a.h + 1, len(a.own))) as seq
+  from own a left join own b on b.conv_id = a.conv_id - a.conv_id % 5),
+paths as (
+  select conv_id, d, list_slice(seq, 1, d) as p, d = len(seq) as ends
+  from (select *, unnest(range(0, len(seq) + 1)) as d from rebuilt)),
+nodes as (
+  select row_number() over () as node, * from (
+    select d, p, min(conv_id) as conv_id, count(*) as n_convs, case when d > 0 then strlen(p[d].x) else 0 end as last,
+      coalesce(string_agg(conv_id, ',' order by conv_id) filter (ends), '') as ids
+    from paths group by d, p)),
+members as (select paths.conv_id, node, nodes.d, n_convs, last from paths join nodes using (d, p)),
+below as (
+  select distinct v.node, u.node as lower, u.n_convs, u.last from members v join members u on u.conv_id = v.conv_id and u.d >= v.d),
+edges as (
+  select distinct v.node as parent, u.node as child from members v join members u on u.conv_id = v.conv_id and u.d = v.d + 1),
+children as (select parent, count(*) as n_children from edges group by parent),
+sums as (
+  select node, cast(sum((n_convs - 1) * last) as bigint) as saved_tokens,
+    count(*) filter (lower not in (select parent from edges)) as n_leaves
+  from below group by node)
+select n.conv_id, n.d as depth, top.conv_id as parent_conv_id, n.n_convs, coalesce(n_children, 0) as n_children, n_leaves,
+  saved_tokens, sha256(n.ids) as ends_sha256
+from nodes n join sums using (node) left join children on children.parent = n.node
+  left join edges on edges.child = n.node left join nodes top on top.node = edges.parent
+"""
+
 
 def llm_oracles() -> dict[str, str]:
-    return {"op2_license_rules": license_sql(), "op4_url_rules": URL_SQL, "op7_decontaminate": DECONTAMINATE_SQL}
+    return {"op2_license_rules": license_sql(), "op4_url_rules": URL_SQL, "op7_decontaminate": DECONTAMINATE_SQL, "op12_prefix_trie": TRIE_SQL}

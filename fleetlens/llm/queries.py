@@ -13,12 +13,15 @@ from fleetlens.llm.decontaminate import contamination
 from fleetlens.llm.fingerprints import spliced_fingerprints
 from fleetlens.llm.jaccard_join import jaccard_join
 from fleetlens.llm.license_rules import scan_licenses
+from fleetlens.llm.prefix_trie import prefix_trie
 from fleetlens.llm.repeats import remove_repeats
 from fleetlens.llm.secrets import KINDS, scan_secrets
 from fleetlens.llm.secrets import train as train_secrets
 from fleetlens.llm.sentence_pieces import decode, encode
+from fleetlens.llm.sharding import shard_documents
 from fleetlens.llm.toxicity import score_toxicity, train_toxicity
 from fleetlens.llm.url_rules import judge_urls
+from fleetlens.llm.whitening import whiten
 
 #: The url rules of the query, ``(host, path, verdict)``.
 URL_RULES = [
@@ -152,6 +155,29 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whiten(table(spark, sf_dir, "embeddings"))
+    facts = ["component", "n", "deviation", "whitened", "explained", "identity_error"]
+    return found.select(F.col("id").alias("vec_id"), *facts)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = shard_documents(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jaccard_join": op1_jaccard_join,
@@ -164,4 +190,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secrets": op8_secrets,
         "op9_toxicity": op9_toxicity,
         "op10_fingerprints": op10_fingerprints,
+        "op11_whitening": op11_whitening,
+        "op12_prefix_trie": op12_prefix_trie,
+        "op13_shards": op13_shards,
     }
