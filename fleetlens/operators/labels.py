@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.expr import as_number, is_fault
-from fleetlens.operators.ordered import CHUNK_ROWS, chunked, number_rows
+from fleetlens.operators.carry import BUCKET_S, bucketed, changes, hit_ahead
 
 # Default fault limits of temperature, vibration and current.
 TEMP_LIMIT, VIBRATION_LIMIT, CURRENT_LIMIT = 85.0, 9.5, 12.0
@@ -103,41 +103,31 @@ def label_next_rows(
     name: str = "label_fault_next_5m",
     key: str = "machine_id",
     fault: Column | None = None,
+    bucket_s: float = BUCKET_S,
 ) -> DataFrame:
     """1 if any of the machine's next ``n`` rows is a fault, else 0.
 
-    ``order`` must be total within a machine (add a tie-breaker).  Rows of one
-    machine are neighbours in the global numbering, so the block method applies.
-    The rows are sorted with all their columns: select the needed ones first.
+    ``order`` starts with the event time and must be total within a machine (add a
+    tie-breaker).  The rows of a machine are cut into buckets of ``bucket_s`` seconds; a
+    bucket's last ``n`` rows meet in one boundary row.
     """
-    numbered = number_rows(df, [key, *order], "_row")
-    marked = numbered.withColumn("_hit", is_fault() if fault is None else fault)
-    return _reach_labels(marked, [key], "_row", max(1, n), name).select(*df.columns, name)
+    marked = df.withColumn("_hit", F.coalesce(is_fault() if fault is None else fault, F.lit(False)))
+    found = hit_ahead(bucketed(marked, [key], order[0], bucket_s), [key], order, "_hit", max(1, n))
+    return found.select(*df.columns, F.col("_near").cast("int").alias(name))
 
 
 def change_points(
-    polls: DataFrame,
-    key: str,
-    poll_time: str,
-    value: str,
-    rows: int = CHUNK_ROWS,
+    polls: DataFrame, key: str, poll_time: str, value: str, bucket_s: float = BUCKET_S
 ) -> DataFrame:
     """The polls at which ``value`` differs from the previous non-null poll of the key.
 
     The first value of a key is the baseline and is not reported.  Adds ``lag_ms``,
     the age of the new value when it was first seen, to 0.1 ms.
     """
-    seen = polls.where(F.col(value).isNotNull())
-    near = chunked(number_rows(seen, [key, poll_time, value]), before=1, rows=rows)
-    w = Window.partitionBy("chunk", key).orderBy("row_index")
-    previous = near.withColumn("_previous", F.lag(value).over(w))
+    seen = bucketed(polls.where(F.col(value).isNotNull()), [key], poll_time, bucket_s)
     lag_ms = (F.unix_micros(F.col(poll_time)) - F.unix_micros(F.col(value))) / F.lit(1000.0)
-    return (
-        previous.where(F.col(value) != F.col("_previous"))
-        .where("not ghost")
-        .withColumn("lag_ms", F.round(lag_ms, 1))
-        .select(*polls.columns, "lag_ms")
-    )
+    found = changes(seen, [key], [poll_time, value], value)
+    return found.withColumn("lag_ms", F.round(lag_ms, 1)).select(*polls.columns, "lag_ms")
 
 
 def training_rows(

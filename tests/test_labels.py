@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetlens.operators import labels, percentiles
-from fleetlens.operators.ordered import chunked, number_rows
+from fleetlens.operators.carry import bucketed
 from tests.conftest import as_set, at
 
 
@@ -65,28 +65,74 @@ def test_next_rows_matches_brute_force(spark, n):
     assert as_set(got, "event_id", "label_fault_next_5m") == want
 
 
-def test_row_numbers_are_gap_free(spark):
-    df = spark.range(1000).select((F.col("id") * 37 % 1000).alias("v")).repartition(13)
-    got = sorted((r["row_index"], r["v"]) for r in number_rows(df, ["v"]).collect())
-    assert got == [(i, i) for i in range(1000)]
-    assert number_rows(df.where("v < 0"), ["v"]).count() == 0
-
-
-def test_chunks_cover_their_neighbours(spark):
-    df = spark.range(10).withColumnRenamed("id", "row_index")
-    got = as_set(chunked(df, before=1, after=2, rows=4), "row_index", "chunk", "ghost")
-    assert {(i, i // 4, False) for i in range(10)} <= got
-    assert got - {(i, i // 4, False) for i in range(10)} == {
-        (3, 1, True), (7, 2, True), (4, 0, True), (5, 0, True), (8, 1, True), (9, 1, True),
-    }
+@pytest.mark.parametrize("bucket_s", [0.5, 7, 100, 10_000])
+def test_next_rows_across_buckets(spark, bucket_s):
+    """Buckets with fewer rows than ``n``, with all rows, rows without time and without machine."""
+    rows = machine_rows(seed=5, n=400)
+    data = [(m, at(s), "FAULT" if f else "RUN", None, i) for m, s, f, i in rows]
+    data += [("HOT", None, "RUN", None, 1000), ("HOT", None, "FAULT", None, 1001), ("HOT", None, None, None, 1002)]
+    data += [(None, at(k), "FAULT" if k % 9 == 0 else "RUN", None, 2000 + k) for k in range(40)]
+    df = spark.createDataFrame(
+        data, "machine_id string, event_time timestamp, state string, fault_code string, event_id int"
+    ).repartition(5)
+    want = set()
+    for m in {r[0] for r in data}:
+        mine = sorted((d for d in data if d[0] == m), key=lambda d: (d[1] is not None, d[1] or at(0), d[4]))
+        for k, d in enumerate(mine):
+            want.add((d[4], int(any(x[2] == "FAULT" for x in mine[k + 1 : k + 6]))))
+    got = labels.label_next_rows(df, 5, ["event_time", "event_id"], bucket_s=bucket_s)
+    assert as_set(got, "event_id", "label_fault_next_5m") == want
 
 
-@pytest.mark.parametrize("rows", [1, 3, 1000])
-def test_change_points(spark, rows):
+def row_exchanges(df, wide):
+    """Executed exchanges that carry the column ``wide``, each counted once, and the whole plan."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    lines = [line for line in final.splitlines() if "Exchange hashpartitioning" in line and "Reused" not in line]
+    return lines, final
+
+
+def test_row_order_operators_exchange_the_rows_once(spark, tmp_path):
+    rows = machine_rows(seed=6, n=3000)
+    path = str(tmp_path / "rows")
+    frame(spark, rows).write.parquet(path)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.read.parquet(path)
+        for got in (
+            labels.label_next_rows(df, 3, ["event_time", "event_id"], bucket_s=60),
+            labels.change_points(df.withColumn("seen", F.col("event_time")), "machine_id", "event_time", "seen", bucket_s=60),
+        ):
+            lines, plan = row_exchanges(got, "event_id")
+            by_rows = [line for line in lines if "REPARTITION_BY_COL" in line]
+            assert len(by_rows) == 1 and "ReusedExchange" in plan, plan
+            # The other exchanges carry one boundary row per bucket.
+            assert len(lines) <= 3, plan
+            assert "Checkpoint" not in plan and "Scan ExistingRDD" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_hot_machine_is_spread_over_its_buckets(spark):
+    """A third of the rows on one machine: no task of the row exchange holds them together."""
+    times = [("HOT" if i % 3 == 0 else f"M{i % 50}", at(i * 0.5), i) for i in range(20_000)]
+    df = spark.createDataFrame(times, "machine_id string, event_time timestamp, v int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        dealt = bucketed(df, ["machine_id"], "event_time", 60)
+        sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(sizes) < 2 * sum(sizes) / len(sizes)
+
+
+@pytest.mark.parametrize("bucket_s", [1, 25, 1000])
+def test_change_points(spark, bucket_s):
     seen = [(0, 1), (10, 1), (20, 2), (30, 2), (40, None), (50, 2), (60, 1), (70, 3)]
     polls = [("A", at(t + 100), None if v is None else at(v)) for t, v in seen] + [("B", at(100), at(9))]
     df = spark.createDataFrame(polls, "machine_id string, poll_time timestamp, seen timestamp")
-    got = labels.change_points(df, "machine_id", "poll_time", "seen", rows=rows)
+    got = labels.change_points(df, "machine_id", "poll_time", "seen", bucket_s=bucket_s)
     assert sorted(as_set(got, "poll_time", "seen", "lag_ms")) == [
         (at(120), at(2), 118000.0),
         (at(160), at(1), 159000.0),
@@ -94,6 +140,23 @@ def test_change_points(spark, rows):
     ]
 
 
+@pytest.mark.parametrize("bucket_s", [0.5, 30, 5000])
+def test_change_points_match_brute_force(spark, bucket_s):
+    rng = random.Random(8)
+    polls = []
+    for i in range(900):
+        machine = None if rng.random() < 0.05 else ("HOT" if rng.random() < 0.4 else f"M{rng.randrange(4)}")
+        polls.append((machine, at(rng.randrange(600)), None if rng.random() < 0.1 else at(rng.randrange(4)), i))
+    df = spark.createDataFrame(polls, "machine_id string, poll_time timestamp, seen timestamp, poll int").repartition(5)
+    want = set()
+    for m in {p[0] for p in polls}:
+        mine = sorted((p[1], p[2]) for p in polls if p[0] == m and p[2] is not None)
+        want |= {(m, *b) for a, b in zip(mine, mine[1:]) if a[1] != b[1]}
+    got = labels.change_points(df, "machine_id", "poll_time", "seen", bucket_s=bucket_s)
+    assert as_set(got, "machine_id", "poll_time", "seen") == want
+    assert got.columns == ["machine_id", "poll_time", "seen", "poll", "lag_ms"]
+
+
 def test_probe_samples_from_a_known_run(spark):
     lags = [124169.8, 100731.7, 121232.9, 133501.8]
     df = spark.createDataFrame([("A", v) for v in lags] + [("B", 5.0)], "machine_id string, lag_ms double")
