@@ -894,5 +894,38 @@ _ORACLES = {
 }
 
 
+_CLOSED = f"time_bucket(interval 5 minute, event_time) + interval 5 minute <= {_SINCE.format('2 minute')}"
+_TELEMETRY_AVERAGES = """count(*) as event_count, avg(temp_c) as avg_temp_c, avg(vibration_mm_s) as avg_vibration_mm_s,
+ avg(throughput_cpm) as avg_throughput_cpm, avg(load_pct) as avg_load_pct, avg(power_kw) as avg_power_kw,
+ avg(pressure_bar) as avg_pressure_bar, avg(flow_rate_lpm) as avg_flow_lpm"""
+_TELEMETRY_DOUBLES = (
+    "avg_temp_c avg_vibration_mm_s avg_throughput_cpm avg_load_pct avg_power_kw avg_pressure_bar avg_flow_lpm"
+)
+_HOPS3 = {
+    "device_to_hub_ms": "hop1_device_to_hub_ms",
+    "hub_to_bronze_ms": "hop2_hub_to_bronze_ms",
+    "total_ms": "total_device_to_bronze_ms",
+}
+_PARTIALS = {
+    "partials_telemetry": _ORACLES["mv_machine_telemetry"],
+    "partials_telemetry_stream": _q(
+        f"""select state, date_trunc('hour', event_time) as event_hour, {_TELEMETRY_AVERAGES}
+ from silver where {_CLOSED} group by all""",
+        _TELEMETRY_DOUBLES,
+    ),
+    "partials_risk": _ORACLES["mv_machine_risk"],
+    "partials_hop_latency": _q(
+        "select line_name as line, state, date_trunc('hour', device_ts) as device_hour, count(*) as record_count, "
+        + ", ".join(f"{how}({c}) as {how}_{n}" for how in ("avg", "min", "max") for n, c in _HOPS3.items())
+        + " from hops group by all",
+        " ".join(f"avg_{n}" for n in _HOPS3),
+    ),
+    "partials_sketch_checks": _q("select count(*) as record_count, 0::bigint as outside from hops"),
+    "stream_late_rows": _q(f"""select machine_id, count(*) as on_time, count(*) filter (old) as late,
+ count(*) + count(*) filter (old) as event_count
+ from (select machine_id, event_time <= (select t - interval 2 hour from now) as old from silver) group by 1"""),
+}
+
+
 def oracles() -> dict[str, str]:
-    return dict(_ORACLES)
+    return _ORACLES | _PARTIALS

@@ -6,21 +6,23 @@ from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens import fixture, ops
 from fleetlens.catalog.frames import TIE, Frames, tidy
 from fleetlens.functions import bands
-from fleetlens.functions.expr import before, instant, rows_since
+from fleetlens.functions.expr import as_number, before, instant, rows_since
 from fleetlens.functions.scores import HORIZONS, horizon_expand, rule_flag
 from fleetlens.ml import fault_model, isolation_forest
 from fleetlens.ml.isolation_forest import IsolationForest, IsolationForestModel
 from fleetlens.ml.store import ModelStore
 from fleetlens.operators import gold, labels, latest, metrics, percentiles, quality, scoring
+from fleetlens.operators.partials import Partials, rank_error
 from fleetlens.operators.silver import silver_clean
 from fleetlens.plans import reports, requests, semantic
 from fleetlens.schemas import FAULT_PREDICTIONS, SILVER, align_schema
+from fleetlens.session import stored
 from fleetlens.sinks.jdbc import bulk_load, mirror_counts, upsert_jdbc, valid_mirror_rows
 from fleetlens.sinks.keyed import KeyedTable, append, export_training, publish_scores
 from fleetlens.sources import bronze, serial
@@ -452,6 +454,53 @@ def measure_query_risk_day(f):
     return metrics.RISK.query(f.health, names, ["window_date"], where="window_end is not null")
 
 
+TELEMETRY_PARTIALS = Partials(metrics.TELEMETRY, ("machine_id", "state"), "event_time")
+LATENCY_PARTIALS = Partials(metrics.LATENCY, ("machine_id", "line_name", "state"), "device_ts")
+RISK_PARTIALS = Partials(metrics.RISK, ("machine_id",), "window_end")
+
+
+@query
+def partials_telemetry(f):
+    """The hourly telemetry measures out of stored five-minute partials."""
+    kept = stored(TELEMETRY_PARTIALS.build(f.silver))
+    return TELEMETRY_PARTIALS.query(kept, by=["machine", "state", "event_hour"])
+
+
+@query
+def partials_telemetry_stream(f):
+    """The same, kept up to date by a stream: all buckets that the watermark has closed."""
+    work = f.work_dir()
+    jobs.start_partials(f.silver_stream, TELEMETRY_PARTIALS, f"{work}/out", f"{work}/cp").awaitTermination()
+    return TELEMETRY_PARTIALS.query(f.spark.read.parquet(f"{work}/out"), by=["state", "event_hour"])
+
+
+@query
+def partials_risk(f):
+    return RISK_PARTIALS.query(stored(RISK_PARTIALS.build(f.health)), by=["machine", "window_date"])
+
+
+@query
+def partials_hop_latency(f):
+    """Counts, averages and extremes of the hops by hour, merged from partials."""
+    kept = stored(LATENCY_PARTIALS.build(f.latency))
+    names = [n for n in metrics.LATENCY.measures if not n.startswith("p")]
+    return LATENCY_PARTIALS.query(kept, names, by=["line", "state", "device_hour"])
+
+
+@query
+def partials_sketch_checks(f):
+    """Percentiles of sketches merged over the fleet whose rank is off by more than the stated error (none may)."""
+    hops = stored(f.latency.select("machine_id", "line_name", "state", "device_ts", *metrics.hop_columns().values()))
+    names = {n: m for n, m in metrics.LATENCY.measures.items() if isinstance(m, metrics.Percentile)}
+    found = LATENCY_PARTIALS.query(stored(LATENCY_PARTIALS.build(hops)), list(names)).first()
+    error = rank_error(LATENCY_PARTIALS.k)
+    off = []
+    for name, m in names.items():
+        below, upto = F.avg(as_number(F.col(m.column) < found[name])), F.avg(as_number(F.col(m.column) <= found[name]))
+        off.append(as_number((below > m.q + error) | (upto < m.q - error)))
+    return hops.agg(F.count(F.lit(1)).alias("record_count"), reduce(Column.__add__, off).cast("bigint").alias("outside"))
+
+
 add("fleet_kpis", lambda f: reports.fleet_kpis(f.status))
 add("fleet_summary", lambda f: reports.fleet_summary(f.status))
 add("downtime_by_line", lambda f: reports.downtime_by_line(f.health, f.dim, f.as_of))
@@ -944,6 +993,25 @@ def stream_late_data(f):
     return _finish(jobs.start_health(source, f"{work}/out", f"{work}/cp"), f"{work}/out", f)
 
 
+@query
+def stream_late_rows(f):
+    """Per machine: rows sent, on time and late, and rows of its corrected telemetry partials."""
+    work = f.work_dir()
+    append(f.silver, f"{work}/in")
+    source = jobs.stream_table(f.spark, f"{work}/in", f.silver.schema)
+    jobs.start_routed(source, f"{work}/out", f"{work}/cp").awaitTermination()
+    hours_old = F.unix_micros("event_time") <= f.as_of - 2 * 3_600_000_000
+    append(f.silver.where(hours_old), f"{work}/in")
+    routed = _finish(jobs.start_routed(source, f"{work}/out", f"{work}/cp"), f"{work}/out", f)
+    on_time, late = routed.where("late = 0"), routed.where("late = 1")
+    parts = TELEMETRY_PARTIALS.build(on_time).unionByName(TELEMETRY_PARTIALS.build(late))
+    counted = TELEMETRY_PARTIALS.query(parts, ["event_count"], ["machine"]).withColumnRenamed("machine", "machine_id")
+    sides = routed.groupBy("machine_id").agg(
+        F.count_if(F.col("late") == 0).alias("on_time"), F.sum("late").alias("late")
+    )
+    return sides.join(counted, "machine_id")
+
+
 @query
 def stream_status_10s(f):
     work = f.work_dir()

@@ -20,12 +20,25 @@ from fleetlens.operators.percentiles import (
 
 @dataclass(frozen=True)
 class Of:
-    """Measure: avg, min or max of an integer column."""
+    """Measure: avg, min, max, sum or count_if of a column; next to percentiles, of an integer column."""
 
     how: str
     column: str
 
 
+@dataclass(frozen=True)
+class Ratio:
+    """Measure: sum of one column over the sum of another, times ``scale``; NULL over 0."""
+
+    upper: str
+    lower: str
+    scale: int = 1
+
+    @property
+    def parts(self) -> tuple[Of, Of]:
+        return Of("sum", self.upper), Of("sum", self.lower)
+
+
 @dataclass(frozen=True)
 class Percentile:
     """Measure: exact percentile ``q`` of an integer column."""
@@ -42,13 +55,14 @@ class MetricView:
     """Named dimensions and measures over one source.
 
     ``dimensions`` and ``measures`` map a name to a SQL expression over the source;
-    a measure may also be :class:`Of` or :class:`Percentile`.  A query always
-    aggregates source rows, so ratios and averages are right at every grain.
+    a measure may also be :class:`Of`, :class:`Ratio` or :class:`Percentile`.  A query
+    aggregates source rows, so ratios and averages are right at every grain;
+    ``partials`` answers the same from stored partial aggregates.
     """
 
     name: str
     dimensions: Mapping[str, str]
-    measures: Mapping[str, str | Of | Percentile]
+    measures: Mapping[str, str | Of | Ratio | Percentile]
 
     def query(
         self,
@@ -72,7 +86,7 @@ class MetricView:
 
     def _counted(self, rows: DataFrame, dims, by: Sequence[str], wanted: Mapping) -> DataFrame:
         """All measures from one pass that counts equal values before it aggregates."""
-        mixed = [n for n, m in wanted.items() if isinstance(m, str) and m != COUNT]
+        mixed = [n for n, m in wanted.items() if isinstance(m, (str, Ratio)) and m != COUNT]
         if mixed:
             raise ValueError(f"ask for {mixed} apart from percentiles")
         columns = {m.column: F.col(m.column) for m in wanted.values() if not isinstance(m, str)}
@@ -92,9 +106,11 @@ class MetricView:
         return with_percentiles(counted, by, asked).groupBy(*by).agg(*cells).select(*by, *outputs)
 
 
-def _plain(measure: str | Of | Percentile) -> Column:
+def _plain(measure: str | Of | Ratio | Percentile) -> Column:
     if isinstance(measure, Of):
         return F.expr(f"{measure.how}({measure.column})")
+    if isinstance(measure, Ratio):
+        return F.expr(f"sum({measure.upper}) / nullif(sum({measure.lower}), 0) * {measure.scale}")
     if isinstance(measure, Percentile):
         return F.percentile_approx(measure.column, F.lit(measure.q), F.lit(10_000))
     return F.expr(measure)
@@ -107,8 +123,8 @@ def _time_dimensions(column: str, prefix: str, hour: bool = True) -> dict[str, s
     return out
 
 
-def _averages(columns: Mapping[str, str]) -> dict[str, str]:
-    return {name: f"avg({column})" for name, column in columns.items()}
+def _averages(columns: Mapping[str, str]) -> dict[str, Of]:
+    return {name: Of("avg", column) for name, column in columns.items()}
 
 
 _RISKS = {f"fault_risk_{h}": f"prob_fault_next_{h}" for h in ("5m", "1h", "24h", "7d")}
@@ -133,7 +149,7 @@ TELEMETRY = MetricView(
         **_time_dimensions("event_time", "event"),
     },
     {
-        "event_count": "count(1)",
+        "event_count": COUNT,
         **_averages(
             {
                 "avg_temp_c": "temp_c",
@@ -161,21 +177,21 @@ DOWNTIME = MetricView(
         **_time_dimensions("window_end", "window", hour=False),
     },
     {
-        "run_seconds": "sum(time_in_run_s)",
-        "stopped_seconds": "sum(time_in_stopped_s)",
-        "fault_seconds": "sum(time_in_fault_s)",
-        "downtime_seconds": f"sum({_DOWN})",
-        "downtime_pct": f"sum({_DOWN}) / nullif(sum(time_in_run_s + {_DOWN}), 0) * 100",
+        "run_seconds": Of("sum", "time_in_run_s"),
+        "stopped_seconds": Of("sum", "time_in_stopped_s"),
+        "fault_seconds": Of("sum", "time_in_fault_s"),
+        "downtime_seconds": Of("sum", _DOWN),
+        "downtime_pct": Ratio(_DOWN, f"time_in_run_s + {_DOWN}", 100),
     },
 )
 RISK = MetricView(
     "mv_machine_risk",
     dict(DOWNTIME.dimensions),
     {
-        "avg_anomaly_score": "avg(anomaly_score)",
+        "avg_anomaly_score": Of("avg", "anomaly_score"),
         **_averages({f"avg_{name}": column for name, column in _RISKS.items()}),
-        "high_risk_windows": "count_if(prob_fault_next_5m >= 0.5)",
-        "anomaly_windows": "count_if(is_anomaly)",
+        "high_risk_windows": Of("count_if", "prob_fault_next_5m >= 0.5"),
+        "anomaly_windows": Of("count_if", "is_anomaly"),
     },
 )
 _STATUS_DIMENSIONS = {
@@ -187,7 +203,7 @@ FRESHNESS = MetricView(
     "mv_machine_freshness",
     _STATUS_DIMENSIONS,
     {
-        f"{how}_{lag}": f"{how}({lag})"
+        f"{how}_{lag}": Of(how, lag)
         for how in ("avg", "max")
         for lag in ("telemetry_lag_seconds", "ml_lag_seconds", "telemetry_lag_ms", "ml_lag_ms")
     },

@@ -14,10 +14,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming.state import GroupState
 
 from fleetlens.operators.gold import machine_health_windows, status_windows, with_lag
 from fleetlens.operators.latest import newest
+from fleetlens.operators.partials import Partials
 from fleetlens.operators.quality import RULES, Rule, observe_rules
 from fleetlens.operators.scoring import rule_alerts
 from fleetlens.operators.silver import silver_clean
@@ -208,10 +210,114 @@ def start_alerts(
     return append_files(rule_alerts(silver, now), path, checkpoint, trigger)
 
 
-def dropped_late(query: StreamingQuery) -> int:
-    """Rows dropped so far because they arrived after the watermark."""
-    total = 0
-    for progress in query.recentProgress:
-        for operator in progress["stateOperators"]:
-            total += operator["numRowsDroppedByWatermark"]
-    return total
+# ---- late rows --------------------------------------------------------------------------------
+
+
+def route_late(
+    events: DataFrame,
+    window: str = "5 minutes",
+    watermark: str = HEALTH_WATERMARK,
+    key: str = "machine_id",
+    time: str = "event_time",
+) -> DataFrame:
+    """``events`` with ``late``: whether the window of the row had been published before it came.
+
+    The state of a key is the time up to which its windows are published: the query's
+    watermark, or what it was before a restart.  Nothing is dropped, so rows in are rows
+    out; a window query over the rows that are not late, with the same watermark, drops none.
+    """
+    width_ms = _seconds(window) * 1000
+    # pandas has no null among longs and would round large ones; as text they pass unchanged.
+    longs = [f.name for f in events.schema.fields if isinstance(f.dataType, T.LongType)]
+    passed = events.withColumns({c: F.col(c).cast("string") for c in longs}) if longs else events
+    schema = T.StructType([*passed.schema.fields, T.StructField("late", T.BooleanType())])
+
+    def route(_, frames, state: GroupState):
+        seen = state.get[0] if state.exists else 0
+        published = max(seen, state.getCurrentWatermarkMs())
+        state.update((published,))
+        for rows in frames:
+            at = rows[time].astype("datetime64[ms]").astype("int64")
+            end = (at // width_ms + 1) * width_ms
+            yield rows.assign(late=(end <= published) & rows[time].notna())
+
+    marked = passed.withWatermark(time, watermark).groupBy(key)
+    routed = marked.applyInPandasWithState(route, schema, "published long", "append", "NoTimeout")
+    return routed.select(
+        *[F.col(c).cast("bigint").alias(c) if c in longs else c for c in events.columns],
+        F.coalesce("late", F.lit(False)).alias("late"),
+    )
+
+
+def _seconds(interval: str) -> int:
+    number, unit = interval.split()
+    return int(number) * {"second": 1, "minute": 60, "hour": 3600, "day": 86_400}[unit.rstrip("s")]
+
+
+def start_routed(
+    events: DataFrame, path: str, checkpoint: str, trigger: Trigger = AVAILABLE_NOW, **kwargs
+) -> StreamingQuery:
+    """All events at ``path``, the late ones in a partition of their own (``late`` is 1 there, else 0)."""
+    routed = route_late(events, **kwargs).withColumn("late", F.col("late").cast("int"))
+    return append_files(routed, path, checkpoint, trigger, partition_by=("late",))
+
+
+def start_partials(
+    events: DataFrame,
+    partials: Partials,
+    path: str,
+    checkpoint: str,
+    trigger: Trigger = AVAILABLE_NOW,
+    watermark: str = HEALTH_WATERMARK,
+) -> StreamingQuery:
+    """Keep the partial aggregates of a metric view up to date, a row per key once its bucket is closed.
+
+    Late rows (:func:`route_late`) become partial rows of their own, ``partials.build(late)``,
+    in a table of corrections that the reader adds.
+    """
+    built = partials.build(events.withWatermark(partials.time, watermark))
+    return append_files(built, path, checkpoint, trigger)
+
+
+class LateCounter(StreamingQueryListener):
+    """Counts what stateful operators drop because it came after the watermark.
+
+    Every progress report is added up, however many there are; they arrive shortly after their
+    batch.  Spark counts what reaches the operator, so an aggregate reports late groups of a
+    batch (rows it has already combined), not rows: :func:`route_late` tells the rows.
+    ``with LateCounter(spark) as late: ...; late.dropped(query)``.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self._spark = spark
+        self._dropped: dict[str, int] = {}
+        self._batches: dict[str, int] = {}
+
+    def __enter__(self) -> LateCounter:
+        self._spark.streams.addListener(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._spark.streams.removeListener(self)
+
+    def dropped(self, query: StreamingQuery) -> int:
+        """Late rows or groups dropped since the counter began, over all runs of the query."""
+        return self._dropped.get(str(query.id), 0)
+
+    def batches(self, query: StreamingQuery) -> int:
+        return self._batches.get(str(query.id), 0)
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802 - names of the interface
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        query = str(event.progress.id)
+        late = sum(o.numRowsDroppedByWatermark for o in event.progress.stateOperators)
+        self._dropped[query] = self._dropped.get(query, 0) + late
+        self._batches[query] = self._batches.get(query, 0) + 1
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass

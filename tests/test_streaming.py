@@ -1,12 +1,17 @@
 """Streams against the batch operators: closed windows, restart, late rows, replay."""
 
+import os
+import time
+
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from fleetlens.operators import gold
 from fleetlens.operators.latest import latest_by_key
 from fleetlens.sinks.keyed import KeyedTable
 from fleetlens.streaming import jobs
-from tests.conftest import as_set
+from tests.conftest import as_set, at
 
 TIE = ("event_id",)
 
@@ -57,18 +62,78 @@ def test_restart_continues_from_the_checkpoint(spark, frames, tmp_path):
     assert as_set(got, *want.columns) == as_set(want) and got.count() == want.count()
 
 
-def test_late_rows_are_dropped_and_counted(spark, frames, tmp_path):
+LATE_KINDS = "machine_id string, event_time timestamp, big long, n int"
+
+
+def late_files(path, batches):
+    """A file per batch, a minute of one row per machine each; every fifth file also has rows an hour old."""
+    os.makedirs(path)
+    kinds = pa.schema([("machine_id", pa.string()), ("event_time", pa.timestamp("us", "UTC")), ("big", pa.int64()), ("n", pa.int32())])
+    sent = []
+    for k in range(batches):
+        rows = [(f"M{m}", at(60 * k + m), 2**60 + k, k if m else None) for m in range(3)]
+        if k % 5 == 4:
+            rows += [("M0", at(60 * k - 3600 + j), None, -1) for j in range(4)]
+        table = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kinds)], schema=kinds)
+        pq.write_table(table, f"{path}/{k:04d}.parquet")
+        os.utime(f"{path}/{k:04d}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
+        sent += rows
+    return sent
+
+
+def wait_for(test):
+    """Progress reports arrive shortly after their batch."""
+    end = time.time() + 20
+    while not test() and time.time() < end:
+        time.sleep(0.1)
+    return test()
+
+
+def per_window(df):
+    counted = df.withWatermark("event_time", "2 minutes").groupBy(F.window("event_time", "5 minutes")).agg(F.count("*").alias("n"))
+    return counted.select("window.start", "n")
+
+
+def test_late_rows_over_more_batches_than_reports_are_kept(spark, tmp_path):
+    src, plain, cp, out, ocp, windows, wcp = (str(tmp_path / n) for n in "src plain cp out ocp windows wcp".split())
+    sent = late_files(src, 105)
+    old = {r for r in sent if r[3] == -1}
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        source = stream(spark, src, LATE_KINDS, 1)
+        with jobs.LateCounter(spark) as late:
+            dropping = jobs.append_files(per_window(source), plain, cp, jobs.AVAILABLE_NOW)
+            dropping.awaitTermination()
+            assert wait_for(lambda: late.batches(dropping) >= 105)
+            # The old rows of a file are one group of the aggregate.
+            assert late.dropped(dropping) == len(old) / 4 and len(dropping.recentProgress) <= 100
+            # Kept apart instead: rows in are rows on time and late rows, each as it was sent.
+            jobs.start_routed(source, out, ocp).awaitTermination()
+            routed = spark.read.parquet(out)
+            assert as_set(routed, "machine_id", "event_time", "big", "n") == set(sent) and routed.count() == len(sent)
+            assert as_set(routed.where("late = 1"), "machine_id", "event_time", "big", "n") == old
+            accepted = stream(spark, out, routed.schema, 30).where("late = 0")
+            counting = jobs.append_files(per_window(accepted), windows, wcp, jobs.AVAILABLE_NOW)
+            counting.awaitTermination()
+            assert wait_for(lambda: late.batches(counting) >= 3) and late.dropped(counting) == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    want = as_set(routed.where("late = 0").groupBy(F.window("event_time", "5 minutes").start.alias("start")).count())
+    assert as_set(spark.read.parquet(windows), "start", "n") <= want
+    assert as_set(spark.read.parquet(windows)) == as_set(spark.read.parquet(plain))
+
+
+def test_a_restart_remembers_what_was_published(spark, frames, tmp_path):
     src, out, cp = (str(tmp_path / n) for n in ("src", "out", "cp"))
     silver = frames.silver
-    late = silver.where(F.col("event_time") < F.timestamp_micros(F.lit(frames.as_of - 7_200_000_000)))
+    old = F.col("event_time") < F.timestamp_micros(F.lit(frames.as_of - 7_200_000_000))
     silver.coalesce(1).write.parquet(src)
-    jobs.start_health(stream(spark, src, silver.schema), out, cp).awaitTermination()
-    before = spark.read.parquet(out).count()
-    late.coalesce(1).write.mode("append").parquet(src)
-    query = jobs.start_health(stream(spark, src, silver.schema), out, cp)
-    query.awaitTermination()
-    assert jobs.dropped_late(query) > 0
-    assert spark.read.parquet(out).count() == before
+    jobs.start_routed(stream(spark, src, silver.schema), out, cp).awaitTermination()
+    silver.where(old).coalesce(1).write.mode("append").parquet(src)
+    jobs.start_routed(stream(spark, src, silver.schema), out, cp).awaitTermination()
+    routed = spark.read.parquet(out)
+    assert as_set(routed.where("late = 1"), *silver.columns) == as_set(silver.where(old))
+    assert as_set(routed.where("late = 0"), *silver.columns) == as_set(silver)
 
 
 def test_latest_ignores_older_rows_and_replays(spark, frames, tmp_path):
