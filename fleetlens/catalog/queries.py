@@ -24,6 +24,7 @@ from fleetlens.plans import reports, requests, semantic
 from fleetlens.schemas import FAULT_PREDICTIONS, SILVER, align_schema
 from fleetlens.session import stored
 from fleetlens.sinks.jdbc import bulk_load, mirror_counts, upsert_jdbc, valid_mirror_rows
+from fleetlens.sinks import layout
 from fleetlens.sinks.keyed import KeyedTable, append, export_training, publish_scores
 from fleetlens.sources import bronze, serial
 from fleetlens.streaming import jobs
@@ -750,6 +751,13 @@ def score_publish(f):
 add("parity_check", lambda f: ops.parity_check(f.latest, f.mirror))
 
 
+@query
+def parity_differences(f):
+    columns = ["machine_id", "last_event_time", "state", "temp_c", "rpm", "fault_code"]
+    sides = [df.select(*columns) for df in (f.latest, f.mirror.where("machine_id <> 'MC-0005'"))]
+    return ops.parity_differences(*sides)
+
+
 @query
 def view_refresh_counts(f):
     live = semantic.telemetry_live(f.silver, f.as_of)
@@ -917,6 +925,17 @@ def anomaly_score_model(f):
     return scoring.anomaly_rows(model.decision(segments), model.run_id, instant(f.as_of))
 
 
+@query
+def anomaly_cut_checks(f):
+    """Rows trained on, and whether as many lie below the cut as the contamination says (ties may take some)."""
+    rows = isolation_forest.training_frame(f.silver, f.as_of)
+    forest = IsolationForest(n_trees=50)
+    decided = stored(forest.fit(rows).decision(rows).select("raw"))
+    n, below, upto = decided.agg(F.count("raw"), F.count_if(F.col("raw") < 0), F.count_if(F.col("raw") <= 0)).first()
+    exact = below <= int(n * forest.contamination) < upto
+    return f.spark.createDataFrame([(n, exact)], "train_rows bigint, exact_share boolean")
+
+
 @query
 def model_registry_lookup(f):
     store = ModelStore(f.spark, f.work_dir())
@@ -974,6 +993,18 @@ def stored_silver_lookback(f):
     return rows_since(stored_rows, "event_time", before(f.as_of, minutes=60)).drop("event_date")
 
 
+@query
+def stored_machine_lookup(f):
+    """One machine's last hours out of stored silver: some dates settled, the rest as the stream wrote them."""
+    work = f.work_dir()
+    live, settled = f"{work}/out", f"{work}/settled"
+    jobs.start_silver(fixture.bronze(fixture.telemetry(f.event_stream)), live, f"{work}/cp", keep=TIE).awaitTermination()
+    newest = f.spark.read.parquet(live).agg(F.max(layout.DATE)).first()[0]
+    layout.settle(f.spark, live, settled, layout.closed_before(newest, open_days=0))
+    rows = layout.read_layout(f.spark, live, settled)
+    return layout.machine_between(rows, "MC-0003", f.as_of - 7_200_000_000, f.as_of).drop(layout.DATE)
+
+
 @query
 def stream_gold_health(f):
     work = f.work_dir()

@@ -18,9 +18,10 @@ from pyspark.sql import types as T
 
 from fleetlens.functions.expr import before, rows_since
 from fleetlens.ml.store import ModelStore
+from fleetlens.operators.percentiles import exact_value_at
 from fleetlens.operators.scoring import FEATURES, drop_incomplete
 from fleetlens.plans.semantic import AsOf
-from fleetlens.session import pin, ship
+from fleetlens.session import pin, ship, stored
 
 KIND = "anomaly"
 TRAINING_DAYS = 2
@@ -127,8 +128,10 @@ class IsolationForest:
         nodes = drawn.groupBy("tree").applyInPandas(build, NODES).toPandas()
         per_tree = drawn.groupBy("tree").agg(F.count("*").alias("n")).agg(F.avg(F.least("n", F.lit(size))))
         model = IsolationForestModel(nodes, float(per_tree.first()[0]), 0.0, tuple(names))
-        cut = model.decision(rows, "_d").agg(F.percentile_approx("_d", F.lit(self.contamination), F.lit(10_000)))
-        return IsolationForestModel(nodes, model.sample, float(cut.first()[0]), tuple(names))
+        # Scored once and stored: the cut reads the scores a few times.
+        scores = stored(model.decision(rows, "_d").select("_d"))
+        cut = exact_value_at(scores, "_d", lambda n: int(n * self.contamination))
+        return IsolationForestModel(nodes, model.sample, cut, tuple(names))
 
 
 @dataclass(frozen=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,6 +53,73 @@ def parity_check(
     )
 
 
+def _fingerprint(columns: Sequence[str]) -> Column:
+    """A hash of a row that tells a null from any value, in every column."""
+    return F.xxhash64(*[x for c in columns for x in (F.col(c).isNull(), F.col(c))])
+
+
+def bucket_checksums(df: DataFrame, keys: Sequence[str], columns: Sequence[str], buckets: int) -> DataFrame:
+    """``bucket, n, check``: rows and an order-independent checksum per hash bucket of the keys.
+
+    The checksum adds up row hashes, so it can be kept with a table and compared without it.
+    """
+    row = _fingerprint(columns).cast("decimal(38,0)")
+    return df.groupBy(_bucket(keys, buckets).alias("bucket")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(row).alias("check")
+    )
+
+
+def _bucket(keys: Sequence[str], buckets: int) -> Column:
+    return F.pmod(_fingerprint(keys), F.lit(buckets))
+
+
+def unequal_buckets(left: DataFrame, right: DataFrame) -> list[int]:
+    """Buckets of two :func:`bucket_checksums` that differ; at most as many as there are buckets."""
+    there = left.select("bucket", "n", "check")
+    other = right.select(F.col("bucket").alias("b"), F.col("n").alias("n2"), F.col("check").alias("c2"))
+    met = there.join(other, there["bucket"] == other["b"], "full")
+    same = F.col("n").eqNullSafe(F.col("n2")) & F.col("check").eqNullSafe(F.col("c2"))
+    return sorted(r[0] for r in met.where(~same).select(F.coalesce("bucket", "b")).collect())
+
+
+def parity_differences(
+    left: DataFrame,
+    right: DataFrame,
+    key: str | Sequence[str] = "machine_id",
+    columns: Sequence[str] | None = None,
+    buckets: int = 1024,
+) -> DataFrame:
+    """Keys on which two copies differ: ``difference`` is missing_left, missing_right or unequal.
+
+    Both copies are read once for checksums per bucket; rows are compared only in buckets whose
+    checksums differ, in one aggregate per key.  A key with several rows is unequal when their
+    numbers or contents differ.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    compared = [c for c in left.columns if c in right.columns] if columns is None else [*keys, *columns]
+    sides = [df.select(*dict.fromkeys([*keys, *compared])) for df in (left, right)]
+    odd = unequal_buckets(*[bucket_checksums(df, keys, compared, buckets) for df in sides])
+    marked = [
+        df.where(_bucket(keys, buckets).isin(odd) if odd else F.lit(False)).select(
+            *keys, F.lit(name).alias("_side"), _fingerprint(compared).cast("decimal(38,0)").alias("_row")
+        )
+        for df, name in zip(sides, ("l", "r"))
+    ]
+    in_left, in_right = F.col("_side") == "l", F.col("_side") == "r"
+    per_key = marked[0].unionByName(marked[1]).groupBy(*keys).agg(
+        F.count_if(in_left).alias("left_rows"),
+        F.count_if(in_right).alias("right_rows"),
+        F.sum(F.when(in_left, F.col("_row"))).alias("_l"),
+        F.sum(F.when(in_right, F.col("_row"))).alias("_r"),
+    )
+    kind = (
+        F.when(F.col("right_rows") == 0, "missing_right")
+        .when(F.col("left_rows") == 0, "missing_left")
+        .when((F.col("left_rows") != F.col("right_rows")) | (F.col("_l") != F.col("_r")), "unequal")
+    )
+    return per_key.withColumn("difference", kind).where("difference is not null").drop("_l", "_r")
+
+
 def require_parity(left: DataFrame, right: DataFrame, **kwargs) -> dict:
     found = parity_check(left, right, **kwargs).first().asDict()
     if not found["counts_equal"]:

@@ -7,8 +7,9 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 # The JVM does not compile methods over 8,000 bytes of bytecode (HotSpot default).
@@ -71,16 +72,51 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_FIXED_BYTES = {
+    "boolean": 1, "byte": 1, "short": 2, "integer": 4, "long": 8, "float": 4, "double": 8, "date": 4,
+    "timestamp": 8, "timestamp_ntz": 8, "void": 1,
+}
+
+
+def _value_bytes(value: Column, kind: T.DataType) -> Column | None:
+    """Bytes of a value in a hash table, headers aside; None for a type that is not known."""
+    if kind.typeName() in _FIXED_BYTES:
+        return F.lit(8)
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.octet_length(value) + 8
+    if isinstance(kind, T.DecimalType):
+        return F.lit(24)
+    if isinstance(kind, T.ArrayType):
+        if kind.elementType.typeName() in _FIXED_BYTES:
+            return F.size(value) * F.lit(_FIXED_BYTES[kind.elementType.typeName()]) + 16
+        if _value_bytes(F.lit(None), kind.elementType) is None:
+            return None
+        each = F.transform(value, lambda v: F.coalesce(_value_bytes(v, kind.elementType).cast("long"), F.lit(0).cast("long")))
+        return F.aggregate(each, F.lit(16).cast("long"), lambda a, b: a + b)
+    if isinstance(kind, T.StructType):
+        parts = [_value_bytes(value[f.name], f.dataType) for f in kind.fields]
+        if any(part is None for part in parts):
+            return None
+        return sum((F.coalesce(p.cast("long"), F.lit(0)) for p in parts), F.lit(16).cast("long"))
+    if isinstance(kind, T.MapType):
+        sides = [
+            _value_bytes(side(value), T.ArrayType(t))
+            for side, t in ((F.map_keys, kind.keyType), (F.map_values, kind.valueType))
+        ]
+        return None if any(side is None for side in sides) else sides[0] + sides[1]
+    return None
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = 1_000_000, max_bytes: int = 64 << 20) -> DataFrame:
     """Hint a broadcast only after counting rows and bytes; beyond the bound Spark shuffles.
 
-    ``df`` should be a stored table, since it is read once more for the count.
+    Strings, arrays, maps and structs count with all they hold; a column of a type whose size is
+    not known gets no hint.  ``df`` should be a stored table, since it is read once more.
     """
-    sizes = [
-        F.octet_length(F.col(f"`{f.name}`")) if f.dataType.typeName() in ("string", "binary") else F.lit(16)
-        for f in df.schema.fields
-    ]
-    width = sum((F.coalesce(size, F.lit(0)) for size in sizes), F.lit(0))
+    sizes = [_value_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields]
+    if any(size is None for size in sizes):
+        return df
+    width = sum((F.coalesce(size.cast("long"), F.lit(8)) for size in sizes), F.lit(0))
     found = df.agg(F.count(F.lit(1)).alias("n"), F.sum(width.cast("long")).alias("bytes")).first()
     return F.broadcast(df) if found.n <= max_rows and (found.bytes or 0) <= max_bytes else df
 

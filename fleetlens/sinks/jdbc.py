@@ -7,9 +7,9 @@ database then merges staging into the target.  No row passes through the driver.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.functions.expr import count_if
@@ -68,31 +68,38 @@ def merge_statement(
     columns: Sequence[str],
     dialect: str = "postgresql",
     touch: str | None = "updated_at",
+    newer: str | None = None,
+    computed: Mapping[str, str] | None = None,
 ) -> str:
-    """Insert-or-update of ``columns`` from ``staging``; ``touch`` gets the current time."""
-    rest = [c for c in columns if c not in keys]
-    listed = ", ".join(columns)
+    """Insert-or-update of ``columns`` from ``staging``; ``touch`` gets the current time.
+
+    With ``newer``, a stored row whose value of that column is greater stays as it is.
+    ``computed`` are further columns and the SQL expression they are filled with.
+    """
+    more = dict(computed or {})
+    rest = [*[c for c in columns if c not in keys], *more]
     if dialect == "postgresql":
         sets = [f"{c} = EXCLUDED.{c}" for c in rest]
         if touch:
             sets.append(f"{touch} = CURRENT_TIMESTAMP")
+        guard = f" WHERE {table}.{newer} IS NULL OR EXCLUDED.{newer} >= {table}.{newer}" if newer else ""
         return (
-            f"INSERT INTO {table} ({listed}) SELECT {listed} FROM {staging} "
-            f"ON CONFLICT ({', '.join(keys)}) DO UPDATE SET {', '.join(sets)}"
+            f"INSERT INTO {table} ({', '.join([*columns, *more])}) "
+            f"SELECT {', '.join([*columns, *more.values()])} FROM {staging} "
+            f"ON CONFLICT ({', '.join(keys)}) DO UPDATE SET {', '.join(sets)}{guard}"
         )
     if dialect != "ansi":
         raise ValueError("dialect must be 'postgresql' or 'ansi'")
     match = " AND ".join(f"t.{k} = s.{k}" for k in keys)
-    sets = [f"{c} = s.{c}" for c in rest]
-    names, values = list(columns), [f"s.{c}" for c in columns]
+    values = {c: f"s.{c}" for c in columns} | more
     if touch:
-        sets.append(f"{touch} = CURRENT_TIMESTAMP")
-        names.append(touch)
-        values.append("CURRENT_TIMESTAMP")
+        values[touch] = "CURRENT_TIMESTAMP"
+    sets = [f"{c} = {v}" for c, v in values.items() if c not in keys]
+    guard = f" AND (t.{newer} IS NULL OR s.{newer} >= t.{newer})" if newer else ""
     return (
         f"MERGE INTO {table} t USING {staging} s ON {match} "
-        f"WHEN MATCHED THEN UPDATE SET {', '.join(sets)} "
-        f"WHEN NOT MATCHED THEN INSERT ({', '.join(names)}) VALUES ({', '.join(values)})"
+        f"WHEN MATCHED{guard} THEN UPDATE SET {', '.join(sets)} "
+        f"WHEN NOT MATCHED THEN INSERT ({', '.join(values)}) VALUES ({', '.join(values.values())})"
     )
 
 
@@ -106,21 +113,25 @@ def valid_mirror_rows(df: DataFrame) -> DataFrame:
     return df.where(_is_valid())
 
 
-def mirror_counts(df: DataFrame) -> DataFrame:
-    """One row: rows, valid rows, invalid rows and the newest valid event time."""
+def _figures() -> list[Column]:
+    """Rows, valid rows, invalid rows and the newest valid event time."""
     valid = F.coalesce(_is_valid(), F.lit(False))
-    return df.agg(
+    return [
         F.count(F.lit(1)).alias("row_count"),
         count_if(valid).alias("valid_rows"),
         count_if(~valid).alias("invalid_rows"),
         F.max(F.when(valid, F.col("last_event_time"))).alias("source_watermark"),
-    )
+    ]
+
+
+def mirror_counts(df: DataFrame) -> DataFrame:
+    """One row: rows, valid rows, invalid rows and the newest valid event time."""
+    return df.agg(*_figures())
 
 
-def mirror_rows(status: DataFrame, watermark) -> DataFrame:
-    """The mirrored columns of the valid rows, stamped with the source watermark."""
-    rows = align_schema(valid_mirror_rows(status), MIRROR_STATUS)
-    return rows.withColumn("source_watermark", F.lit(watermark).cast("timestamp"))
+def mirror_rows(status: DataFrame) -> DataFrame:
+    """The mirrored columns of the valid rows."""
+    return align_schema(valid_mirror_rows(status), MIRROR_STATUS)
 
 
 def jdbc_writer(url: str, properties: dict[str, str]) -> Callable[[DataFrame, str], None]:
@@ -182,17 +193,34 @@ def upsert_jdbc(
 ) -> dict:
     """Mirror ``status`` (one row per machine) and record the run; returns its counts.
 
+    ``status`` is evaluated once: the staging write itself is observed, so counts and watermark
+    are those of the rows it wrote, whatever the source does meanwhile.  The merge keeps stored
+    rows that are newer.  The run is recorded after the merge, with the time it took.
     ``write`` and ``execute`` come from :func:`jdbc_writer` and :func:`jdbc_executor`.
     With ``dry_run`` the rows are only counted and validated.
     """
     started = time.monotonic()
-    counts = mirror_counts(status).first().asDict()
-    if dry_run or counts["valid_rows"] == 0:
-        return counts | {"written": False}
-    rows = mirror_rows(status, counts["source_watermark"])
+    if dry_run:
+        return mirror_counts(status).first().asDict() | {"written": False}
+    seen = Observation(f"mirror of {table}")
+    rows = mirror_rows(status.observe(seen, *_figures()))
     staging = f"{table}_staging"
     write(rows, staging)
-    statements = [merge_statement(table, staging, ["machine_id"], rows.columns, dialect)]
+    counts = dict(seen.get)
+    if counts["valid_rows"] == 0:
+        return counts | {"written": False}
+    spark = rows.sparkSession
+    run = spark.range(1).select(
+        F.lit(instance_id).alias("instance_id"),
+        F.current_timestamp().alias("last_run_at"),
+        F.lit(counts["valid_rows"]).cast("bigint").alias("row_count"),
+        F.lit(counts["source_watermark"]).cast("timestamp").alias("source_watermark"),
+    )
+    write(run, "mirror_metadata_staging")
+    mark = {"source_watermark": "(SELECT MAX(source_watermark) FROM mirror_metadata_staging)"}
+    statements = [
+        merge_statement(table, staging, ["machine_id"], rows.columns, dialect, newer="last_event_time", computed=mark)
+    ]
     if dim is not None:
         write(dim.select("machine_id", "line_name"), "dim_machine_staging")
         columns = ["machine_id", "line_name"]
@@ -201,24 +229,13 @@ def upsert_jdbc(
                 "dim_machine", "dim_machine_staging", ["machine_id"], columns, dialect, touch=None
             )
         )
-    run = rows.sparkSession.range(1).select(
-        F.lit(instance_id).alias("instance_id"),
-        F.current_timestamp().alias("last_run_at"),
-        F.lit(counts["valid_rows"]).cast("bigint").alias("row_count"),
-        F.lit(counts["source_watermark"]).cast("timestamp").alias("source_watermark"),
-        F.lit(time.monotonic() - started).alias("execution_time_seconds"),
-        F.lit("SUCCESS").alias("status"),
-    )
-    write(run, "mirror_metadata_staging")
-    statements.append(
-        merge_statement(
-            "mirror_metadata",
-            "mirror_metadata_staging",
-            ["instance_id"],
-            run.columns,
-            dialect,
-            touch=None,
-        )
-    )
     execute(statements)
+    done = {"execution_time_seconds": f"{time.monotonic() - started:.3f}", "status": "'SUCCESS'"}
+    execute(
+        [
+            merge_statement(
+                "mirror_metadata", "mirror_metadata_staging", ["instance_id"], run.columns, dialect, touch=None, computed=done
+            )
+        ]
+    )
     return counts | {"written": True}

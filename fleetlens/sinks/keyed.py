@@ -104,15 +104,20 @@ class KeyedTable:
         return True
 
     def drop_old(self, older_than_s: float = KEEP_S) -> int:
-        """Delete folders that a full copy replaced at least ``older_than_s`` ago; returns how many."""
+        """Delete folders whose content a full copy has held for ``older_than_s``; returns how many.
+
+        A folder goes by the age of the first full copy after it, not of the newest one, so a
+        table that is compacted all the time stays bounded too.
+        """
         _, fs, jvm = self._fs()
         parts = self.versions()
-        current = self._current(parts)
-        replaced = current[0].written_s if current and current[0].full else None
-        old = [] if replaced is None else [p for p in parts if p not in current]
-        if replaced is None or time.time() - replaced < older_than_s:
-            return 0
-        for part in old:
+        now, replaced, old = time.time(), None, []
+        for part in reversed(parts):
+            if replaced is not None and now - replaced.written_s >= older_than_s:
+                old.append(part)
+            if part.full:
+                replaced = part
+        for part in reversed(old):
             fs.delete(jvm.org.apache.hadoop.fs.Path(part.folder), True)
         return len(old)
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,7 @@ from fleetlens.operators.silver import silver_clean
 from fleetlens.plans.semantic import AsOf
 from fleetlens.session import pin
 from fleetlens.sinks.keyed import KeyedTable
+from fleetlens.sinks.layout import DATE, bloom_options, with_date
 from fleetlens.sources.bronze import parse_bronze
 
 Trigger = dict
@@ -59,13 +61,29 @@ def append_files(
     trigger: Trigger,
     name: str | None = None,
     partition_by: tuple[str, ...] = (),
+    options: dict[str, str] | None = None,
 ) -> StreamingQuery:
+    """Append a stream to Parquet files; ``options`` go to the Parquet writer."""
     writer = df.writeStream.format("parquet").outputMode("append").trigger(**trigger)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if name:
         writer = writer.queryName(name)
-    return writer.option("path", path).option("checkpointLocation", checkpoint).start()
+    with _writer_settings(df.sparkSession, options or {}):
+        return writer.option("path", path).option("checkpointLocation", checkpoint).start()
+
+
+@contextmanager
+def _writer_settings(spark: SparkSession, options: dict[str, str]):
+    """The file sink of a stream takes its writer's settings from the session, when it is started."""
+    before = {name: spark.conf.get(name, None) for name in options}
+    for name, value in options.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def start_bronze(
@@ -91,13 +109,14 @@ def start_silver(
 ) -> StreamingQuery:
     """Bronze to silver; rule violations appear in the progress as ``row_quality``.
 
-    ``by_date`` partitions the files by ``event_date``, which look-back reads prune on.
+    ``by_date`` partitions the files by ``event_date``, which look-back reads prune on.  Files
+    have Bloom filters on the machine; ``sinks.layout.settle`` rewrites closed dates in order.
     """
     silver = observe_rules(silver_clean(bronze, keep), "row_quality", rules)
+    options = bloom_options()
     if not by_date:
-        return append_files(silver, path, checkpoint, trigger)
-    dated = silver.withColumn("event_date", F.to_date("event_time"))
-    return append_files(dated, path, checkpoint, trigger, partition_by=("event_date",))
+        return append_files(silver, path, checkpoint, trigger, options=options)
+    return append_files(with_date(silver), path, checkpoint, trigger, partition_by=(DATE,), options=options)
 
 
 def health_stream(silver: DataFrame, watermark: str = HEALTH_WATERMARK, **kwargs) -> DataFrame:

@@ -1,11 +1,15 @@
 """Latest rows, keyed tables, metric views, reports and requests."""
 
+import os
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from fleetlens.operators import latest, metrics
 from fleetlens.operators.scoring import rule_alerts, score_windows
 from fleetlens.plans import reports, requests, semantic
+from fleetlens.session import bounded_broadcast
 from fleetlens.sinks.keyed import KeyedTable, export_training, publish_scores, upsert_parquet
 from tests.conftest import as_set, at
 
@@ -71,6 +75,35 @@ def test_keyed_table(spark, tmp_path):
     assert as_set(table.read()) == (want - {("d", at(9), 9)}) | {("d", at(9), 8)}
 
 
+def test_old_folders_go_while_the_table_keeps_changing(spark, tmp_path):
+    """100 short batches: a folder goes by the age of the copy that replaced it, so few are left at any time."""
+    table = KeyedTable(spark, str(tmp_path / "t"), ("k",), ("t",))
+    batch = spark.createDataFrame([("a", at(1), 1)], ROWS).coalesce(1)
+    most, dropped = 0, 0
+    for number in range(100):
+        table.upsert(batch, f"b{number}")
+        table.compact(after=5)
+        dropped += table.drop_old(older_than_s=1.0)
+        most = max(most, len(list((tmp_path / "t").iterdir())))
+    assert dropped >= 80 and most <= 40
+    assert as_set(table.read()) == {("a", at(1), 1)}
+
+
+def test_only_folders_replaced_long_ago_go(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path / "t"), ("k",), ("t",))
+    for number in range(4):
+        table.upsert(spark.createDataFrame([("a", at(number), number)], ROWS), f"b{number}")
+        if number % 2:
+            table.compact(after=1)
+    names = [(p.number, p.full) for p in table.versions()]
+    assert names == [(1, False), (2, False), (2, True), (3, False), (4, False), (4, True)]
+    first_copy = tmp_path / "t" / "full=000000000002__compact" / "_SUCCESS"
+    hour_ago = time.time() - 3700
+    os.utime(first_copy, (hour_ago, hour_ago))
+    assert table.drop_old() == 2  # what the first copy replaced; the second copy is too young
+    assert [(p.number, p.full) for p in table.versions()] == names[2:]
+
+
 def test_upsert_writes_only_what_changed(spark, tmp_path):
     table = KeyedTable(spark, str(tmp_path / "t"), ("k",), ("t",))
     table.upsert(spark.createDataFrame([(f"k{i}", at(1), i) for i in range(100)], ROWS), "load")
@@ -242,3 +275,22 @@ def test_hop_names_of_a_site(frames):
     view = metrics.latency_view("broker", "lake").query(own)
     assert view.first()["p95_broker_to_lake_ms"] == metrics.LATENCY.query(frames.latency).first()["p95_hub_to_bronze_ms"]
     assert reports.hop_breakdown(own, frames.as_of, hops=hops).count() == 1
+
+
+def test_broadcast_counts_what_nested_columns_hold(spark):
+    def hinted(df, **bounds):
+        return "broadcast" in bounded_broadcast(df, **bounds)._jdf.queryExecution().logical().toString().lower()
+
+    wide = spark.range(10).select("id", F.array_repeat(F.lit(1.0), 100_000).alias("v"))  # 8 MB
+    assert not hinted(wide, max_bytes=1 << 20) and hinted(wide, max_bytes=64 << 20)
+    names = spark.range(10).select(F.array_repeat(F.lit("x" * 1000), 1000).alias("names"))  # 10 MB
+    assert not hinted(names, max_bytes=1 << 20)
+    nested = spark.range(10).select(F.struct(F.array_repeat(F.lit(1), 100_000).alias("a"), F.lit("b").alias("b")).alias("s"))
+    assert not hinted(nested, max_bytes=1 << 20) and hinted(nested)
+    mapped = spark.range(10).select(F.create_map(F.lit("k"), F.repeat(F.lit("v"), 500_000)).alias("m"))
+    assert not hinted(mapped, max_bytes=1 << 20) and hinted(mapped)
+    assert hinted(spark.range(1000)) and not hinted(spark.range(1000), max_rows=999)
+    empty = spark.createDataFrame([(None, None)], "a array<array<string>>, s struct<x: decimal(9,2)>")
+    assert hinted(empty)
+    unknown = spark.sql("select parse_json('[1]') as v")
+    assert not hinted(unknown)
