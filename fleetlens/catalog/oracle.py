@@ -934,6 +934,18 @@ _PARTIALS = {
  from latest l full join (select * from mirror where machine_id <> 'MC-0005') r on l.machine_id = r.machine_id
  group by 1) where difference is not null"""),
     "anomaly_cut_checks": _q(f"select count(*) as train_rows, true as exact_share from silver where {_COMPLETE}"),
+    "stream_change_feed": _q("""select machine_id, event_time as last_event_time, state, temp_c, rpm, event_id,
+ case when first_even and event_id % 2 = 1 then 2 else 1 end::bigint as version, 1::bigint as inserts
+ from (select *, bool_or(event_id % 2 = 0) over (partition by machine_id) as first_even from silver)
+ qualify row_number() over (partition by machine_id order by event_time desc, event_id desc) = 1"""),
+    "sink_retry_batch": _ORACLES["stream_alerts"],
+    "score_incremental": _q(f"""with rows as (select * from silver where {_COMPLETE}),
+ scored as (
+  select 'batch' as mode, event_id, event_time from rows where event_time >= (select t - interval 3 hour from now)
+  union all
+  select 'realtime', event_id, event_time from rows where event_time >= (select t - interval 70 minute from now))
+ select mode as inference_type, count(*) as rows_scored, count(distinct event_id) as events_scored, max(event_time) as mark
+ from scored group by 1""").replace("with rows as", ", rows as", 1),
     "stream_late_rows": _q(f"""select machine_id, count(*) as on_time, count(*) filter (old) as late,
  count(*) + count(*) filter (old) as event_count
  from (select machine_id, event_time <= (select t - interval 2 hour from now) as old from silver) group by 1"""),

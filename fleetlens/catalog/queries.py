@@ -16,6 +16,7 @@ from fleetlens.functions.expr import as_number, before, instant, rows_since
 from fleetlens.functions.scores import HORIZONS, horizon_expand, rule_flag
 from fleetlens.ml import fault_model, isolation_forest
 from fleetlens.ml.isolation_forest import IsolationForest, IsolationForestModel
+from fleetlens.ml.scoring_log import ScoringLog, score_new
 from fleetlens.ml.store import ModelStore
 from fleetlens.operators import gold, labels, latest, metrics, percentiles, quality, scoring
 from fleetlens.operators.partials import Partials, rank_error
@@ -26,8 +27,9 @@ from fleetlens.session import stored
 from fleetlens.sinks.jdbc import bulk_load, mirror_counts, upsert_jdbc, valid_mirror_rows
 from fleetlens.sinks import layout
 from fleetlens.sinks.keyed import KeyedTable, append, export_training, publish_scores
+from fleetlens.sinks.retry import FolderSink
 from fleetlens.sources import bronze, serial
-from fleetlens.streaming import jobs
+from fleetlens.streaming import feed, jobs
 
 _QUERIES: dict[str, Callable[[Frames], DataFrame]] = {}
 
@@ -1060,6 +1062,47 @@ def stream_latest_scd1(f):
     return KeyedTable(f.spark, f"{work}/out", ("machine_id",), ("last_event_time",)).read()
 
 
+@query
+def stream_change_feed(f):
+    """The table a change feed leads to, after two deliveries, with the number of changes and inserts."""
+    work = f.work_dir()
+    columns = ["machine_id", "event_time", "state", "temp_c", "rpm", *TIE]
+    readings = f.silver.select(*columns).withColumnRenamed("event_time", "last_event_time")
+    for part in (0, 1):
+        append(readings.where(F.col("event_id") % 2 == part), f"{work}/in")
+        source = jobs.stream_table(f.spark, f"{work}/in", readings.schema)
+        done = feed.start_change_feed(source, f"{work}/out", f"{work}/cp", tiebreak="event_id")
+        changes = _finish(done, f"{work}/out", f)
+    counted = changes.groupBy("machine_id").agg(
+        F.max("version").alias("version"), F.count_if(F.col("change") == "insert").alias("inserts")
+    )
+    return feed.apply_feed(changes).join(counted, "machine_id")
+
+
+@query
+def sink_retry_batch(f):
+    """Alerts to a folder outside Spark's writers: a token and a file per partition."""
+    work = f.work_dir()
+    alerts = scoring.rule_alerts(f.silver_stream, instant(f.as_of))
+    jobs.start_to_sink(alerts, FolderSink(f"{work}/out"), f"{work}/cp", "event_time", 4).awaitTermination()
+    return f.spark.read.schema(alerts.schema).parquet(f"{work}/out")
+
+
+@query
+def score_incremental(f):
+    """Scores of two runs an hour apart, the second repeated: rows and scores per mode."""
+    log, rows = ScoringLog(f.spark, f.work_dir()), isolation_forest.training_frame(f.silver, f.as_of)
+    model = IsolationForest(n_trees=20).fit(rows)
+    earlier = f.as_of - 3_600_000_000
+    known = rows.where(F.unix_micros("event_time") <= earlier)
+    score_new(known, model, log, earlier, "first", batch_hours=2, keep=TIE)
+    for _ in range(2):
+        score_new(rows, model, log, f.as_of, "second", batch_hours=2, realtime_minutes=90, keep=TIE)
+    return log.read().groupBy("inference_type").agg(
+        F.count(F.lit(1)).alias("rows_scored"), F.countDistinct("event_id").alias("events_scored"), F.max("event_time").alias("mark")
+    )
+
+
 @query
 def stream_alerts(f):
     work = f.work_dir()

@@ -28,6 +28,7 @@ from fleetlens.plans.semantic import AsOf
 from fleetlens.session import pin
 from fleetlens.sinks.keyed import KeyedTable
 from fleetlens.sinks.layout import DATE, bloom_options, with_date
+from fleetlens.sinks.retry import PartitionSink, write_partitions
 from fleetlens.sources.bronze import parse_bronze
 
 Trigger = dict
@@ -36,12 +37,15 @@ EVERY_SECOND: Trigger = {"processingTime": "1 second"}
 HEALTH_WATERMARK, STATUS_WATERMARK = "2 minutes", "10 seconds"
 
 
+ROCKSDB = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+}
+
+
 def use_rocksdb(spark: SparkSession) -> None:
     """Keep streaming state on executor disks instead of their heaps."""
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
+    for name, value in ROCKSDB.items():
+        spark.conf.set(name, value)
 
 
 def stream_table(
@@ -69,13 +73,13 @@ def append_files(
         writer = writer.partitionBy(*partition_by)
     if name:
         writer = writer.queryName(name)
-    with _writer_settings(df.sparkSession, options or {}):
+    with started_with(df.sparkSession, options or {}):
         return writer.option("path", path).option("checkpointLocation", checkpoint).start()
 
 
 @contextmanager
-def _writer_settings(spark: SparkSession, options: dict[str, str]):
-    """The file sink of a stream takes its writer's settings from the session, when it is started."""
+def started_with(spark: SparkSession, options: dict[str, str]):
+    """Session settings that a stream keeps from its start, as its file writer's or its state's."""
     before = {name: spark.conf.get(name, None) for name in options}
     for name, value in options.items():
         spark.conf.set(name, value)
@@ -229,6 +233,23 @@ def start_alerts(
     return append_files(rule_alerts(silver, now), path, checkpoint, trigger)
 
 
+def start_to_sink(
+    df: DataFrame,
+    sink: PartitionSink,
+    checkpoint: str,
+    key: str,
+    parts: int,
+    trigger: Trigger = AVAILABLE_NOW,
+    **kwargs,
+) -> StreamingQuery:
+    """A stream to a sink outside Spark, with tokens and retries per partition (``sinks.retry``)."""
+
+    def publish(batch: DataFrame, batch_id: int) -> None:
+        write_partitions(batch, sink, f"{query_id(batch.sparkSession, checkpoint)}-{batch_id}", key, parts, **kwargs)
+
+    return df.writeStream.trigger(**trigger).option("checkpointLocation", checkpoint).foreachBatch(publish).start()
+
+
 # ---- late rows --------------------------------------------------------------------------------
 
 
@@ -245,7 +266,7 @@ def route_late(
     watermark, or what it was before a restart.  Nothing is dropped, so rows in are rows
     out; a window query over the rows that are not late, with the same watermark, drops none.
     """
-    width_ms = _seconds(window) * 1000
+    width_ms = seconds_of(window) * 1000
     # pandas has no null among longs and would round large ones; as text they pass unchanged.
     longs = [f.name for f in events.schema.fields if isinstance(f.dataType, T.LongType)]
     passed = events.withColumns({c: F.col(c).cast("string") for c in longs}) if longs else events
@@ -268,7 +289,8 @@ def route_late(
     )
 
 
-def _seconds(interval: str) -> int:
+def seconds_of(interval: str) -> int:
+    """Seconds of an interval such as ``5 minutes``."""
     number, unit = interval.split()
     return int(number) * {"second": 1, "minute": 60, "hour": 3600, "day": 86_400}[unit.rstrip("s")]
 
