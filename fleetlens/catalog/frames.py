@@ -19,7 +19,7 @@ from fleetlens.streaming import jobs
 
 TIE = ("event_id",)
 NUDGE = 1e-9
-_AS_OF: dict[str, int] = {}
+_AS_OF: dict[tuple, int] = {}
 
 
 class Frames:
@@ -52,11 +52,14 @@ class Frames:
 
     @property
     def as_of(self) -> int:
-        """Newest event time in microseconds, the "now" of every query."""
-        if self.sf_dir not in _AS_OF:
-            newest = self.silver.agg(F.unix_micros(F.max("event_time")))
-            _AS_OF[self.sf_dir] = newest.first()[0]
-        return _AS_OF[self.sf_dir]
+        """Newest event time in microseconds, the "now" of every query; found again when the file changes."""
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.sf_dir}/events.parquet")
+        status = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        key = (self.sf_dir, status.getModificationTime(), status.getLen())
+        if key not in _AS_OF:
+            _AS_OF[key] = self.silver.agg(F.unix_micros(F.max("event_time"))).first()[0]
+        return _AS_OF[key]
 
     @cached_property
     def gold(self) -> DataFrame:
@@ -113,7 +116,7 @@ class Frames:
 
     @cached_property
     def latency(self) -> DataFrame:
-        return semantic.hop_latency(self.bronze, self.dim)
+        return semantic.hop_latency(self.bronze)
 
     @cached_property
     def mirror(self) -> DataFrame:

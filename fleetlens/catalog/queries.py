@@ -148,7 +148,7 @@ def hop_latency_silver(f):
 
 @query
 def hop_latency_events(f):
-    return semantic.hop_latency(f.bronze_text, f.dim)
+    return semantic.hop_latency(f.bronze_text)
 
 
 @query
@@ -333,7 +333,7 @@ def latency_with_line(f):
 
 @query
 def drilldown(f):
-    return reports.drilldown(f.status, f.dim)
+    return reports.drilldown(f.status)
 
 
 @query
@@ -506,7 +506,7 @@ def partials_sketch_checks(f):
 
 add("fleet_kpis", lambda f: reports.fleet_kpis(f.status))
 add("fleet_summary", lambda f: reports.fleet_summary(f.status))
-add("downtime_by_line", lambda f: reports.downtime_by_line(f.health, f.dim, f.as_of))
+add("downtime_by_line", lambda f: reports.downtime_by_line(f.health, None, f.as_of))
 add("downtime_by_machine", lambda f: reports.downtime_by_machine(f.health, f.as_of))
 add("latency_by_machine", lambda f: reports.latency_by_machine(f.silver, f.as_of))
 add("latency_stats", lambda f: reports.latency_stats(f.latency, f.as_of, minutes=30, states=("RUN", "FAULT")))

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetlens.session import stored
+
 STEP = 4096  # width of the value ranges whose counts are summed first
 SAMPLE = "sample"
 
@@ -97,8 +100,11 @@ def _between(q: float, rounding: Callable[[Column], Column]) -> Callable[[Column
 
 
 def with_percentiles(counted: DataFrame, by: Sequence[str], asked: Mapping[str, Sequence[float]]) -> DataFrame:
-    """:func:`histogram` rows and, as further metrics, the values their percentiles lie between."""
-    picks = []
+    """:func:`histogram` rows and, as further metrics, the values their percentiles lie between.
+
+    The counts are stored, since they are needed three times and far fewer than the rows.
+    """
+    picks, counted = [], stored(counted)
     for metric, qs in asked.items():
         for q in dict.fromkeys(qs):
             picks += [(metric, f"{q}low", _between(q, F.floor)), (metric, f"{q}high", _between(q, F.ceil))]
@@ -123,7 +129,11 @@ def order_statistics(
     df: DataFrame, by: Sequence[str], value: str, picks: Mapping[str, float]
 ) -> DataFrame:
     """Per group the values at position ``int(n * q)`` (last row at most) of the sorted values."""
-    counted = histogram(df, by, {"v": F.col(value)})
+    return ranked_values(stored(histogram(df, by, {"v": F.col(value)})), by, picks)
+
+
+def ranked_values(counted: DataFrame, by: Sequence[str], picks: Mapping[str, float]) -> DataFrame:
+    """:func:`order_statistics` of the metric ``v`` of :func:`histogram` rows."""
 
     def position(q: float) -> Callable[[Column], Column]:
         return lambda n: F.least((n * F.lit(q)).cast("bigint"), n - 1)
@@ -177,13 +187,26 @@ def exact_value_at(df: DataFrame, value: str, position: Callable[[int], int], bi
 
 
 def probe_stats(samples: DataFrame, by: Sequence[str], value: str = "lag_ms") -> DataFrame:
-    """Samples, min, p50, mean, p95, max and sample deviation per group."""
-    plain = samples.where(F.col(value).isNotNull()).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("samples"),
-        F.min(value).alias("min_ms"),
-        F.avg(value).alias("mean_ms"),
-        F.max(value).alias("max_ms"),
-        F.when(F.count(F.lit(1)) > 1, F.stddev_samp(value)).alias("stdev_ms"),
+    """Samples, min, p50, mean, p95, max and sample deviation per group, from one pass over the samples.
+
+    That pass counts equal values; the counts are stored and everything else is worked out of them.
+    """
+    counted = stored(histogram(samples, by, {"v": F.col(value)}))
+    n, v = F.col("n"), F.col("value")
+    plain = counted.groupBy(*by).agg(
+        F.sum("n").alias("samples"),
+        F.min("value").alias("min_ms"),
+        (F.sum(v * n) / F.sum("n")).alias("mean_ms"),
+        F.max("value").alias("max_ms"),
+    )
+    ranked = ranked_values(counted, by, {"p50_ms": 0.5, "p95_ms": 0.95})
+    # The squares are of distances from the mean, so they do not cancel.
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    mine = plain.select(*[F.col(c).alias(f"_{c}") for c in by], "mean_ms", "samples")
+    spread = counted.join(mine, reduce(Column.__and__, same)) if by else counted.crossJoin(mine)
+    squares = spread.groupBy(*by).agg(
+        F.when(F.max("samples") > 1, F.sqrt(F.sum((v - F.col("mean_ms")) ** 2 * n) / (F.max("samples") - 1))).alias("stdev_ms")
     )
-    ranked = order_statistics(samples, by, value, {"p50_ms": 0.5, "p95_ms": 0.95})
-    return plain.join(ranked, list(by))
+    if not by:
+        return plain.crossJoin(squares).crossJoin(ranked)
+    return plain.join(squares, list(by)).join(ranked, list(by))

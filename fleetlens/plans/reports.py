@@ -237,7 +237,7 @@ def over_threshold(status: DataFrame, column: str, limit: float) -> DataFrame:
     return found.select("machine_id", "line_name", *rounded(status, shown), "state", "fault_code")
 
 
-def drilldown(status: DataFrame, dim: DataFrame) -> DataFrame:
+def drilldown(status: DataFrame, dim: DataFrame | None = None) -> DataFrame:
     """Every machine with all readings, risks and its maintenance band."""
     band = maintenance_band(*[F.col(PROBABILITY[h]) for h in ("5m", "24h", "7d")])
     order = [f"-{PROBABILITY[h]}" for h in ("7d", "24h", "5m")] + ["-last_event_time"]
@@ -284,7 +284,7 @@ def downtime_by_machine(health: DataFrame, as_of: AsOf, hours: int = 1) -> DataF
     return recent.groupBy("machine_id").agg(F.sum(down).alias("downtime_s"))
 
 
-def downtime_by_line(health: DataFrame, dim: DataFrame, as_of: AsOf, days: int = 1) -> DataFrame:
+def downtime_by_line(health: DataFrame, dim: DataFrame | None, as_of: AsOf, days: int = 1) -> DataFrame:
     """Downtime per line; windows are summed per machine before they meet the lines."""
     recent = health.where(F.col("window_end") >= before(as_of, days=days))
     per_machine = recent.groupBy("machine_id").agg(

@@ -73,12 +73,15 @@ def dim_machine(silver: DataFrame) -> DataFrame:
     return silver.select("machine_id").distinct().withColumn("line_name", line_name(F.col("machine_id")))
 
 
-def with_line(df: DataFrame, dim: DataFrame) -> DataFrame:
+def with_line(df: DataFrame, dim: DataFrame | None = None) -> DataFrame:
+    """``df`` with the line of its machine, from ``dim`` or, without one, by the rule ``dim`` is made by."""
+    if dim is None:
+        return df.withColumn("line_name", line_name(F.col("machine_id")))
     return df.join(dim.select("machine_id", "line_name"), "machine_id", "left")
 
 
 def hop_latency(
-    bronze: DataFrame, dim: DataFrame, hub: str = "hub", store: str = "bronze"
+    bronze: DataFrame, dim: DataFrame | None = None, hub: str = "hub", store: str = "bronze"
 ) -> DataFrame:
     """Per event the milliseconds device → hub → store, from the three stored times.
 

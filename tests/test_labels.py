@@ -214,3 +214,15 @@ def test_threshold_and_cause(spark):
     assert [tuple(r) for r in got] == [
         (True, "OVERTEMP"), (True, "BEARING_WEAR"), (True, "VIBRATION"), (True, "OVERCURRENT"), (False, "VIBRATION"),
     ]
+
+
+def test_exact_value_at_any_position(spark):
+    rng = random.Random(9)
+    tiny = 5e-324
+    values = [rng.gauss(0, 1) for _ in range(700)] + [0.25] * 200 + [1e300, -1e300, tiny, 2 * tiny, float("inf"), float("-inf"), float("-inf")]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "v double").repartition(4)
+    for at_ in (0, 1, 2, 3, 400, 500, 650, len(values) - 2, len(values) - 1, len(values) + 50):
+        assert percentiles.exact_value_at(df, "v", lambda n: at_, bins=16) == sorted(values)[min(at_, len(values) - 1)]
+    assert percentiles.exact_value_at(df.where("v is null"), "v", lambda n: 0) is None
+    few = spark.createDataFrame([(0.0,), (tiny,), (tiny,), (3 * tiny,)], "v double")
+    assert [percentiles.exact_value_at(few, "v", lambda n: k) for k in range(4)] == [0.0, tiny, tiny, 3 * tiny]
