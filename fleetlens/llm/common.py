@@ -42,6 +42,12 @@ def in_fold(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))
 
 
+def by_hash(share: float, *columns) -> Column:
+    """True for about ``share`` of the values of ``columns``, however small; equal values go together."""
+    place = F.xxhash64(*columns).cast("double") / F.lit(2.0**64) + F.lit(0.5)
+    return place < F.lit(float(share)) if share < 1 else F.lit(True)
+
+
 #: Stands for a null id where ids pass through pandas, which has no null integers.
 NO_ID = -(2**63)
 

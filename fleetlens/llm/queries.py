@@ -17,7 +17,7 @@ from fleetlens.llm.prefix_trie import prefix_trie
 from fleetlens.llm.repeats import remove_repeats
 from fleetlens.llm.secrets import KINDS, scan_secrets
 from fleetlens.llm.secrets import train as train_secrets
-from fleetlens.llm.sentence_pieces import decode, encode
+from fleetlens.llm.sentence_pieces import encode
 from fleetlens.llm.sharding import shard_documents
 from fleetlens.llm.toxicity import score_toxicity, train_toxicity
 from fleetlens.llm.url_rules import judge_urls
@@ -74,7 +74,7 @@ def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every text, and whether decoding them gives the text back."""
-    decoded = decode(encode(table(spark, sf_dir, "documents")))
+    decoded = encode(table(spark, sf_dir, "documents"), spell=True)
     return decoded.select(
         "doc_id",
         F.size("pieces").cast("long").alias("n_pieces"),

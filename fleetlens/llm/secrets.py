@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import clean_text, known_id, real_id
+from fleetlens.llm.common import by_hash, clean_text, known_id, real_id
 
 #: At most about this many documents are learned from.
 SAMPLE = 12_000
@@ -365,7 +365,7 @@ def train(documents: DataFrame, sample: int = SAMPLE, windows: int = WINDOWS) ->
     texts = documents.select(clean_text(F.col("text")).alias("text"))
     total = documents.count()
     share = min(1.0, sample / max(total, 1))
-    chosen = texts.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000)).distinct()
+    chosen = texts.where(by_hash(share, "text")).distinct()
     chosen = chosen.repartition(1).sortWithinPartitions(F.xxhash64("text"), "text")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

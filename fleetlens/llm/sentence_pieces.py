@@ -40,9 +40,13 @@ from fleetlens.llm.common import clean_text, groups, known_id, real_id
 from fleetlens.session import stored
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-GIANT = 65_536
+GIANT = 32_768
 CHUNK = 16_384
 UNKNOWN = 10.0
+#: Characters of the texts that are encoded before their pieces are handed on.
+STEP = 1 << 20
+#: Words whose pieces a worker remembers, twice over.
+WORDS = 200_000
 MARK = "▁"
 #: Stands for a mark that belongs to the text; no valid text holds a lone surrogate.
 OWN_MARK = "\ud800"
@@ -93,6 +97,7 @@ class Pieces:
         self.score_of[[i for value, i in enumerate(self.byte_ids) if not 0x80 <= value < 0xC0]] = self.unknown
         self.score_of[[i for _, i in self.scores.values()]] = [score for score, _ in self.scores.values()]
         self.words = WordCache(self)
+        self.table: list[bytes] | None = None
 
     def __getstate__(self) -> tuple:
         return self.scores, self.byte_ids, self.unknown
@@ -101,6 +106,12 @@ class Pieces:
         self.scores, self.byte_ids, self.unknown = state
         self.__post_init__()
 
+    def spell(self, ids: np.ndarray) -> str:
+        """The text of pieces; unknown ids spell nothing."""
+        if self.table is None:
+            self.table = [self.spelled.get(i, b"") for i in range(max(self.spelled) + 1)]
+        return _spell(ids, self.table)
+
     def ids_of(self, piece: str) -> list[int]:
         found = self.scores.get(piece)
         if found:
@@ -254,7 +265,7 @@ class Pieces:
 class WordCache(dict):
     """Packed ids by word.  A full cache becomes the older one, whose words are looked up once more."""
 
-    def __init__(self, pieces: Pieces, most: int = 80_000) -> None:
+    def __init__(self, pieces: Pieces, most: int = WORDS) -> None:
         super().__init__()
         self.pieces, self.most = pieces, most
         self.older: dict[str, bytes] = {}
@@ -370,8 +381,24 @@ def _giants(texts: DataFrame, shared, longest: int, chunk: int) -> DataFrame:
     return traced.groupBy("row_key").agg(F.flatten(F.transform(ordered, lambda x: x["pieces"])).alias("pieces"))
 
 
-def encode(documents: DataFrame, path: str = MODEL, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
-    """One row per document row: ``doc_id, text_hash, pieces``."""
+def _steps(lengths: list[int], most: int = STEP) -> list[tuple[int, int]]:
+    """Runs of rows with at most about ``most`` characters, and at least one row each."""
+    cuts, held = [0], 0
+    for at, size in enumerate(lengths):
+        if held and held + size > most:
+            cuts.append(at)
+            held = 0
+        held += size
+    return list(zip(cuts, [*cuts[1:], len(lengths)]))
+
+
+def encode(
+    documents: DataFrame, path: str = MODEL, giant: int = GIANT, chunk: int = CHUNK, spell: bool = False
+) -> DataFrame:
+    """One row per document row: ``doc_id, text_hash, pieces``; with ``spell`` also ``text``, what the pieces decode to.
+
+    Encoding and decoding at once, the workers hold one vocabulary, and pieces go to them once.
+    """
     spark: SparkSession = documents.sparkSession
     vocabulary = Pieces.load(path)
     if chunk < vocabulary.longest:
@@ -383,19 +410,28 @@ def encode(documents: DataFrame, path: str = MODEL, giant: int = GIANT, chunk: i
     is_giant = F.length("text") > giant
 
     def ordinary(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value
         for frame in frames:
             # Small steps: the ids of a batch take more room than its texts.
-            for first in range(0, len(frame), 1000):
-                part = frame.iloc[first : first + 1000]
-                yield part.drop(columns="text").assign(pieces=[encode_text(text, shared.value) for text in part["text"]])
+            for first, last in _steps(frame["text"].str.len().tolist()):
+                part = frame.iloc[first:last]
+                found = [encode_text(text, known) for text in part["text"]]
+                part = part.drop(columns="text").assign(pieces=found)
+                yield part.assign(text=[known.spell(ids) for ids in found]) if spell else part
 
-    schema = "doc_id long, text_hash long, pieces array<int>"
+    schema = "doc_id long, text_hash long, pieces array<int>" + (", text string" if spell else "")
     short = docs.where(~is_giant).mapInPandas(ordinary, schema)
     # Giant texts are stored with their key, so the key is the same in every later stage.
     large = stored(docs.where(is_giant).withColumn("row_key", F.monotonically_increasing_id()))
     long = large.drop("text").join(_giants(large.select("row_key", "text"), shared, vocabulary.longest, chunk), "row_key")
-    both = short.unionByName(long.select("doc_id", "text_hash", "pieces"))
-    return both.select(real_id("doc_id"), "text_hash", "pieces")
+    long = long.select("doc_id", "text_hash", "pieces")
+    both = short.unionByName(decode(long, path) if spell else long)
+    return both.select(real_id("doc_id"), "text_hash", "pieces", *(["text"] if spell else []))
+
+
+def _spell(ids: np.ndarray, table: list[bytes]) -> str:
+    known = ids[(ids >= 0) & (ids < len(table))].tolist()
+    return b"".join(map(table.__getitem__, known)).decode("utf-8", "replace")[1:]
 
 
 def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
@@ -405,12 +441,8 @@ def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
 
     @F.pandas_udf("string")
     def spell(pieces: pd.Series) -> pd.Series:
-        table = shared.value
-        found = []
-        for ids in pieces:
-            ids = np.zeros(0, dtype=np.int64) if ids is None else np.asarray(ids)
-            known = ids[(ids >= 0) & (ids < len(table))].tolist()
-            found.append(b"".join(map(table.__getitem__, known)).decode("utf-8", "replace")[1:])
+        none = np.zeros(0, dtype=np.int64)
+        found = [_spell(none if ids is None else np.asarray(ids), shared.value) for ids in pieces]
         return pd.Series(found, dtype=object)
 
     return encoded.withColumn("text", spell("pieces"))

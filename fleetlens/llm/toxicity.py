@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import clean_text, known_id, real_id
+from fleetlens.llm.common import by_hash, clean_text, known_id, real_id
 
 #: At most about this many labelled rows are learned from.
 SAMPLE = 12_000
@@ -126,7 +126,7 @@ def training_rows(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE)
     total = marks.count()
     share = min(1.0, sample / max(total, 1))
     # The hash of the id decides before texts are read into the join.
-    kept = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    kept = marks.where(by_hash(share, "doc_id"))
     docs = documents.select("doc_id", clean_text(F.col("text")).alias("text"))
     return docs.join(kept, "doc_id").groupBy("text").agg(F.max("label").alias("label"))
 

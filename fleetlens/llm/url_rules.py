@@ -8,13 +8,14 @@ interval touches, and one sweep over a range keeps the stack of active rules.  O
 the url's path decides: the longest rule whose path the url's path starts with wins.
 
 The ranges come from a sample of the keys, which decides how even the load is and nothing
-else.  The sort key holds the row's id, so one host, or one url, with a third of all rows
-is cut into several ranges.
+else.  The sort key holds the row's number, so one host, or one repeated row, with a third of
+all rows is cut into several ranges.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, and no rule
 fits it; rules without a host are ignored; rules of equal length are decided by host length, then by text; equal
 rules with different verdicts block; without a fitting rule the verdict is ``default``;
 repeated rows are judged row by row; an empty rule table leaves every url to the default.
+Ids of any type, null and very large ones, come back as they are (they travel as text).
 Labels are compared as they stand after lower-casing A-Z; a port belongs to the last label.
 """
 
@@ -27,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import ascii_lower
+from fleetlens.llm.common import ascii_lower, by_hash
 
 #: Sampled keys per range.
 SAMPLE_PER_RANGE = 100
@@ -52,7 +53,7 @@ def _bounds(keys: DataFrame, ranges: int) -> list[tuple[str, int]]:
     total = keys.count()
     share = min(1.0, ranges * SAMPLE_PER_RANGE / max(total, 1))
     # A hash chooses, not a random number: a second run cuts at the same places.
-    chosen = keys.where(F.pmod(F.xxhash64("key", "row_key"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    chosen = keys.where(by_hash(share, "key", "row_key"))
     points = sorted((row.key, row.row_key) for row in chosen.collect())
     step = len(points) / ranges
     return [points[int(step * k)] for k in range(1, ranges) if points]
@@ -68,9 +69,11 @@ def judge_urls(
     spark = pages.sparkSession
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     host, path = url_parts(F.col("url"))
-    urls = pages.select(F.col(id_column).alias("id"), host.alias("host"), path.alias("path"))
+    kind = pages.schema[id_column].dataType
+    # pandas has no null among whole numbers and would round large ones, so ids travel as text.
+    urls = pages.select(F.col(id_column).cast("string").alias("id"), host.alias("host"), path.alias("path"))
     urls = urls.withColumn("key", F.concat(host_key(F.col("host")), F.lit(" "), "path"))
-    urls = urls.withColumn("row_key", F.xxhash64("id", "key"))
+    urls = urls.withColumn("row_key", F.xxhash64(F.monotonically_increasing_id()))
     cuts = _bounds(urls.select("key", "row_key"), ranges)
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -85,10 +88,10 @@ def judge_urls(
             frame = frame.assign(part=[list(range(a, b + 1)) for a, b in zip(low, high)])
             yield frame.explode("part").astype({"part": "int64"})
 
-    schema = "part int, kind int, key string, row_key long, id long, host string, path string, verdict string"
+    schema = "part int, kind int, key string, row_key long, id string, host string, path string, verdict string"
     empty = F.lit(None)
     sweep = urls.select("key", "row_key", "id", "host", "path").mapInPandas(
-        place, "key string, row_key long, id long, host string, path string, part int"
+        place, "key string, row_key long, id string, host string, path string, part int"
     )
     sweep = sweep.select("part", F.lit(1).alias("kind"), "key", "row_key", "id", "host", "path", empty.cast("string").alias("verdict"))
     own = rules.select(ascii_lower(F.coalesce("host", F.lit(""))).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict")
@@ -96,7 +99,7 @@ def judge_urls(
     own = own.select(host_key(F.col("host")).alias("key"), "host", "path", "verdict")
     own = own.mapInPandas(touch, "key string, host string, path string, verdict string, part int")
     own = own.select(
-        "part", F.lit(0).alias("kind"), "key", F.lit(-(2**63)).alias("row_key"), empty.cast("long").alias("id"), "host", "path", "verdict"
+        "part", F.lit(0).alias("kind"), "key", F.lit(-(2**63)).alias("row_key"), empty.cast("string").alias("id"), "host", "path", "verdict"
     )
     both = sweep.unionByName(own).repartition(ranges, "part").sortWithinPartitions("part", "key", "kind", "row_key")
 
@@ -123,5 +126,5 @@ def judge_urls(
                 out.append((page, host, path, best[2], best[3]))
             yield pd.DataFrame(out, columns=["id", "host", "path", "rule", "verdict"])
 
-    judged = both.mapInPandas(run, "id long, host string, path string, rule string, verdict string")
-    return judged.withColumnRenamed("id", id_column)
+    judged = both.mapInPandas(run, "id string, host string, path string, rule string, verdict string")
+    return judged.select(F.col("id").cast(kind).alias(id_column), "host", "path", "rule", "verdict")

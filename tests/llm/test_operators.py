@@ -13,6 +13,7 @@ import numpy as np
 import pytest
 
 from fleetlens.llm import fingerprints, suffix_tree_lm
+from fleetlens.llm.common import by_hash
 from fleetlens.llm.decontaminate import contamination
 from fleetlens.llm.graph import components
 from fleetlens.llm.jaccard_join import jaccard_join
@@ -374,6 +375,29 @@ def test_url_rules(spark, rules):
         assert found == {i: brute_verdict(url, rules) for i, url, *_ in rows}
 
 
+def test_url_rules_give_every_id_back(spark):
+    """Ids beyond 2^53, negative, null and repeated ones, and ids that are text."""
+    ids = [2**60 + 1, 2**60 + 2, 2**63 - 1, -(2**63), -5, 0, None, None, 7, 7]
+    rows = [(i, url) for i in ids for url in URLS[3:9]] + [(9, URLS[4])] * 300
+    table = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    want = Counter((i, *brute_verdict(url, RULES)) for i, url in rows)
+    for ranges in (1, 5):
+        found = judge_urls(spark.createDataFrame(rows, "page_id long, url string").repartition(3), table, ranges=ranges)
+        assert found.schema["page_id"].dataType.simpleString() == "bigint"
+        assert Counter(tuple(r) for r in found.collect()) == want
+    named = spark.createDataFrame([(f"p{i}", url) for i, url in rows], "page_id string, url string")
+    assert Counter(tuple(r) for r in judge_urls(named, table).collect()) == Counter((f"p{i}", *brute_verdict(u, RULES)) for i, u in rows)
+
+
+def test_samples_by_hash_hold_rows_at_any_size(spark):
+    """A share below a millionth still takes about that share; equal values go together."""
+    numbers = spark.range(4_000_000)
+    assert numbers.where(by_hash(0.25e-6 * 40, "id")).count() in range(15, 75)
+    assert numbers.where(by_hash(1.0, "id")).count() == 4_000_000
+    twice = spark.range(1000).union(spark.range(1000)).where(by_hash(0.3, "id")).groupBy("id").count()
+    assert {r["count"] for r in twice.collect()} == {2} and 200 < twice.count() < 400
+
+
 def test_url_rules_without_pages(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     assert judge_urls(pages, spark.createDataFrame(RULES, "host string, path string, verdict string"), ranges=3).collect() == []
@@ -385,11 +409,14 @@ def test_url_rules_without_pages(spark):
 def test_pieces_round_trip_and_chunks(docs):
     pieces = Pieces.load()
     want = Counter((doc_id, tuple(encode_text(text or "", pieces).tolist())) for doc_id, text in rows_of(docs))
-    for giant, chunk in ((65_536, 16_384), (50, 40)):
+    texts_back = Counter((doc_id, text or "") for doc_id, text in rows_of(docs))
+    for giant, chunk in ((32_768, 16_384), (50, 40)):
         coded = encode(docs, giant=giant, chunk=chunk)
         assert Counter((r.doc_id, tuple(r.pieces)) for r in coded.collect()) == want
-    back = Counter((r.doc_id, r.text) for r in decode(coded).collect())
-    assert back == Counter((doc_id, text or "") for doc_id, text in rows_of(docs))
+        both = encode(docs, giant=giant, chunk=chunk, spell=True).collect()
+        assert Counter((r.doc_id, tuple(r.pieces)) for r in both) == want
+        assert Counter((r.doc_id, r.text) for r in both) == texts_back
+    assert Counter((r.doc_id, r.text) for r in decode(coded).collect()) == texts_back
 
 
 # --- op 6 ------------------------------------------------------------------------------
