@@ -16,7 +16,7 @@ from fleetlens.llm.decontaminate import contamination
 from fleetlens.llm.jaccard_join import jaccard_join
 from fleetlens.llm.secrets import mask_secrets
 from fleetlens.llm.secrets import train as train_secrets
-from fleetlens.llm.sentence_pieces import decode, encode
+from fleetlens.llm.sentence_pieces import encode
 from fleetlens.llm.toxicity import keep_clean, train_toxicity
 from fleetlens.session import bounded_broadcast, stored
 
@@ -65,18 +65,23 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets replaced by a mask; ``n_chars`` follows a changed text."""
+    """All documents, secrets replaced by a mask; ``n_chars``, if there is one, follows a changed text."""
     ready(spark)
-    masked = mask_secrets(docs.withColumn("text_before", F.col("text")), train_secrets(docs))
-    changed = ~F.col("text").eqNullSafe(F.col("text_before"))
-    n_chars = F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return masked.withColumn("n_chars", n_chars).select(*docs.columns)
+    before = "text_before"
+    while before in docs.columns:
+        before += "_"
+    masked = mask_secrets(docs.withColumn(before, F.col("text")), train_secrets(docs))
+    if "n_chars" in docs.columns:
+        changed = ~F.col("text").eqNullSafe(F.col(before))
+        n_chars = F.when(changed, F.length("text")).otherwise(F.col("n_chars"))
+        masked = masked.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType))
+    return masked.select(*docs.columns)
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_pieces, pieces, text``: the encoded documents and the texts their pieces decode to."""
     ready(spark)
-    decoded = decode(encode(docs))
+    decoded = encode(docs, spell=True)
     return decoded.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), "pieces", "text")
 
 
