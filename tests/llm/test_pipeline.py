@@ -78,3 +78,16 @@ def test_stages_on_an_empty_table(spark):
     docs = spark.createDataFrame([], COLUMNS)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SMALL).collect() == []
+
+
+def test_the_secret_stage_keeps_every_column(spark):
+    """Columns named like the stage's own, and documents without a character count."""
+    kinds = "doc_id long, text string, text_before string, text_before_ string, n_chars int"
+    rows = [(1, "password=abcdefgh12 x", "KEEPME", "AND ME", 21), (2, "plain", None, "x", 5), (3, None, "y", None, None)]
+    docs = spark.createDataFrame(rows, kinds)
+    found = {r.doc_id: r for r in corpus_pipeline.hide_secrets(spark, docs, SMALL).collect()}
+    assert found[1].text_before == "KEEPME" and found[1].text_before_ == "AND ME"
+    assert "abcdefgh12" not in found[1].text and found[1].n_chars == len(found[1].text)
+    assert (found[2].text, found[2].text_before, found[2].n_chars) == ("plain", None, 5)
+    bare = corpus_pipeline.hide_secrets(spark, docs.drop("n_chars"), SMALL)
+    assert bare.columns == ["doc_id", "text", "text_before", "text_before_"] and bare.count() == 3
