@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +52,18 @@ def by_hash(share: float, *columns) -> Column:
     return place < F.lit(float(share)) if share < 1 else F.lit(True)
 
 
+def give_back() -> None:
+    """Return memory that is free inside this Python worker to the machine.
+
+    Workers live on between tasks and stages; what one operator has freed would otherwise count
+    against the executor while the next operator runs.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 #: Stands for a null id where ids pass through pandas, which has no null integers.
 NO_ID = -(2**63)
 

@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import by_hash, clean_text, known_id, real_id
+from fleetlens.llm.common import by_hash, clean_text, give_back, known_id, real_id
 
 #: At most about this many documents are learned from.
 SAMPLE = 12_000
@@ -429,6 +429,8 @@ def mask_secrets(documents: DataFrame, field: Field | None) -> DataFrame:
         for texts in batches:
             spans = [sum(find_spans(text, field, cache), []) for text in texts]
             yield pd.Series([redact(t, [(a, b) for a, b, _ in found]) for t, found in zip(texts, spans)], dtype=object)
+        cache = texts = spans = None
+        give_back()
 
     text = F.when(F.col("text").isNotNull(), mask(clean_text(F.col("text"))))
     return documents.withColumn("text", text)

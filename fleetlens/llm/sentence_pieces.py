@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import clean_text, groups, known_id, real_id
+from fleetlens.llm.common import clean_text, give_back, groups, known_id, real_id
 from fleetlens.session import stored
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -410,6 +410,7 @@ def encode(
     is_giant = F.length("text") > giant
 
     def ordinary(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back()
         known = shared.value
         for frame in frames:
             # Small steps: the ids of a batch take more room than its texts.
