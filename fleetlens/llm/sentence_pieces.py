@@ -191,12 +191,14 @@ class Pieces:
         inner = [m.start() for m in _START.finditer(chunk, self.longest)]
         return (inner[0], inner[-1]) if inner else None
 
-    def through(self, chunk: str, ahead: str, entry: list[float], inner: bool = True) -> tuple[list[float], list[int], bytes]:
+    def through(
+        self, chunk: str, ahead: str, entry: list[float], inner: bytes = b""
+    ) -> tuple[list[float], list[int], bytes]:
         """Best sums at the exit states, the entry state each leads to (-1: none), and back pointers.
 
         ``entry`` are the best sums at the entry states.  Between the first and the last
-        place that no piece crosses the words are on their own and have no pointers; without
-        ``inner`` their sum, the same for all states, is left out.
+        place that no piece crosses the words are on their own and have no pointers; their sum,
+        the same for all states, is that of ``inner`` (left out without them).
         """
         text, size = chunk + ahead, len(chunk)
         cut = self.cuts(chunk)
@@ -221,15 +223,15 @@ class Pieces:
         while before[start]:
             start -= before[start]
         if inner:
-            total += self.sum_of(b"".join([self.words[word] for word in _WORD.findall(chunk[first:last])]))
+            total += self.sum_of(inner)
         end, after = [total] + [_NONE] * (len(text) - last), bytearray(len(text) - last + 1)
         self.forward(text[last:], size - last, end, after)
         exits = end[size - last :][: self.longest]
         leads = [start if score != _NONE else -1 for score in exits]
         return exits, leads + [-1] * (self.longest - len(leads)), bytes(before) + bytes(after)
 
-    def transfer(self, chunk: str, ahead: str) -> np.ndarray:
-        """Best sums from entry state to exit state."""
+    def transfer(self, chunk: str, ahead: str, inner: bytes) -> np.ndarray:
+        """Best sums from entry state to exit state; ``inner`` from :meth:`inner`."""
         width = self.longest
         result = np.full((width, width), _NONE)
         cut = self.cuts(chunk)
@@ -245,21 +247,29 @@ class Pieces:
             best[state] = 0.0
             self.forward(chunk[: cut[0]], cut[0], best, bytearray(len(best)))
             to_cut.append(best[-1])
-        exits = np.array(self.through(chunk, ahead, [0.0])[0]) - to_cut[0]
+        exits = np.array(self.through(chunk, ahead, [0.0], inner)[0]) - to_cut[0]
         result[:, : len(exits)] = np.array(to_cut)[:, None] + exits
         return result
 
-    def trace(self, chunk: str, ahead: str, exit_: int, lengths: bytes) -> list[int]:
-        """Ids of the pieces that start in a chunk, from its exit state and back pointers."""
+    def inner(self, chunk: str) -> bytes:
+        """Packed ids of the words between the first and the last place that no piece crosses."""
+        cut = self.cuts(chunk)
+        if cut is None:
+            return b""
+        words = self.words
+        return b"".join([words[word] for word in _WORD.findall(chunk[cut[0] : cut[1]])])
+
+    def trace(self, chunk: str, ahead: str, exit_: int, lengths: bytes, inner: bytes) -> np.ndarray:
+        """Ids of the pieces that start in a chunk, from its exit state, back pointers and inner words."""
         text, size = chunk + ahead, len(chunk)
         cut = self.cuts(chunk)
         if cut is None:
-            return self.back(text, size + exit_, lengths)[1]
+            return np.array(self.back(text, size + exit_, lengths)[1], dtype=np.int32)
         first, last = cut
-        packed = b"".join([self.words[word] for word in _WORD.findall(chunk[first:last])])
         head = self.back(text[:first], first, lengths[: first + 1])[1]
         tail = self.back(text[last:], size - last + exit_, lengths[first + 1 :])[1]
-        return [*head, *np.frombuffer(packed, dtype=np.int32).tolist(), *tail]
+        parts = [np.array(head, dtype=np.int32), np.frombuffer(inner, dtype=np.int32), np.array(tail, dtype=np.int32)]
+        return np.concatenate(parts)
 
 
 class WordCache(dict):
@@ -317,6 +327,13 @@ def _chunks(frames: Iterator[pd.DataFrame], size: int, ahead: int) -> Iterator[p
                 )
 
 
+def _blocks(frames: Iterator[pd.DataFrame], most: int = 64) -> Iterator[pd.DataFrame]:
+    """Few chunks at a time: what is made of a chunk takes several times its room."""
+    for frame in frames:
+        for first in range(0, len(frame), most):
+            yield frame.iloc[first : first + most]
+
+
 def _text(data: bytes) -> str:
     return bytes(data).decode("utf-8", "surrogatepass")
 
@@ -327,9 +344,12 @@ def _giants(texts: DataFrame, shared, longest: int, chunk: int) -> DataFrame:
     chunks = stored(cut.repartition("row_key", "chunk"))
 
     def matrices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = [shared.value.transfer(_text(b), _text(a)).tobytes() for b, a in zip(frame["body"], frame["ahead"])]
-            yield frame[["row_key", "chunk"]].assign(matrix=found)
+        known = shared.value
+        for part in _blocks(frames):
+            bodies, nexts = [_text(b) for b in part["body"]], [_text(a) for a in part["ahead"]]
+            inner = [known.inner(body) for body in bodies]
+            found = [known.transfer(*each).tobytes() for each in zip(bodies, nexts, inner)]
+            yield part[["row_key", "chunk"]].assign(matrix=found, inner=inner)
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in groups(frames, ["row_key"]):
@@ -342,13 +362,13 @@ def _giants(texts: DataFrame, shared, longest: int, chunk: int) -> DataFrame:
             yield group[["row_key", "chunk"]].assign(entry=entries)
 
     def pointers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for part in _blocks(frames):
             found = [
-                shared.value.through(_text(body), _text(ahead), np.frombuffer(entry).tolist(), inner=False)[1:]
-                for body, ahead, entry in zip(frame["body"], frame["ahead"], frame["entry"])
+                shared.value.through(_text(body), _text(ahead), np.frombuffer(entry).tolist())[1:]
+                for body, ahead, entry in zip(part["body"], part["ahead"], part["entry"])
             ]
             leads, lengths = [leads for leads, _ in found], [lengths for _, lengths in found]
-            yield frame[["row_key", "chunk", "body", "ahead"]].assign(lengths=lengths, leads=leads)
+            yield part[["row_key", "chunk"]].assign(lengths=lengths, leads=leads)
 
     def exits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in groups(frames, ["row_key"]):
@@ -359,24 +379,27 @@ def _giants(texts: DataFrame, shared, longest: int, chunk: int) -> DataFrame:
             yield group[["row_key", "chunk"]].assign(exit=found[::-1])
 
     def trace(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for part in _blocks(frames):
+            columns = [part[c] for c in ("body", "ahead", "exit", "lengths", "inner")]
             found = [
-                shared.value.trace(_text(body), _text(ahead), exit_, lengths)
-                for body, ahead, lengths, exit_ in zip(frame["body"], frame["ahead"], frame["lengths"], frame["exit"])
+                shared.value.trace(_text(body), _text(ahead), exit_, lengths, inner)
+                for body, ahead, exit_, lengths, inner in zip(*columns)
             ]
-            yield frame[["row_key", "chunk"]].assign(pieces=found)
+            yield part[["row_key", "chunk"]].assign(pieces=found)
 
     def by_text(df: DataFrame) -> DataFrame:
         return df.repartition("row_key").sortWithinPartitions("row_key", "chunk")
 
-    moves = chunks.mapInPandas(matrices, "row_key long, chunk int, matrix binary")
-    entries = by_text(moves).mapInPandas(scan, "row_key long, chunk int, entry binary")
-    pointed = chunks.join(entries, ["row_key", "chunk"]).mapInPandas(
-        pointers, "row_key long, chunk int, body binary, ahead binary, lengths binary, leads array<int>"
+    moves = stored(chunks.mapInPandas(matrices, "row_key long, chunk int, matrix binary, inner binary"))
+    entries = by_text(moves.select("row_key", "chunk", "matrix")).mapInPandas(scan, "row_key long, chunk int, entry binary")
+    pointed = stored(
+        chunks.join(entries, ["row_key", "chunk"]).mapInPandas(
+            pointers, "row_key long, chunk int, lengths binary, leads array<int>"
+        )
     )
-    pointed = stored(pointed)
     ends = by_text(pointed.select("row_key", "chunk", "leads")).mapInPandas(exits, "row_key long, chunk int, exit int")
-    traced = pointed.drop("leads").join(ends, ["row_key", "chunk"]).mapInPandas(trace, "row_key long, chunk int, pieces array<int>")
+    known = pointed.drop("leads").join(ends, ["row_key", "chunk"]).join(moves.drop("matrix"), ["row_key", "chunk"])
+    traced = chunks.join(known, ["row_key", "chunk"]).mapInPandas(trace, "row_key long, chunk int, pieces array<int>")
     ordered = F.array_sort(F.collect_list(F.struct("chunk", "pieces")))
     return traced.groupBy("row_key").agg(F.flatten(F.transform(ordered, lambda x: x["pieces"])).alias("pieces"))
 

@@ -91,13 +91,14 @@ def in_chunks(pieces, text, size):
     entry[0] = 0
     forward = []
     for body, ahead in chunks:
-        exits, leads, lengths = pieces.through(body, ahead, entry.tolist())
-        forward.append((body, ahead, leads, lengths))
-        entry = (entry[:, None] + pieces.transfer(body, ahead)).max(axis=0)
+        inner = pieces.inner(body)
+        exits, leads, lengths = pieces.through(body, ahead, entry.tolist(), inner)
+        forward.append((body, ahead, leads, lengths, inner))
+        entry = (entry[:, None] + pieces.transfer(body, ahead, inner)).max(axis=0)
         assert entry[: len(exits)].tolist() == pytest.approx(exits)
     state, ids = 0, []
-    for body, ahead, leads, lengths in reversed(forward):
-        ids = pieces.trace(body, ahead, state, lengths) + ids
+    for body, ahead, leads, lengths, inner in reversed(forward):
+        ids = pieces.trace(body, ahead, state, lengths, inner).tolist() + ids
         state = leads[state]
     return ids
 
