@@ -6,9 +6,10 @@ ordered rules.  Sentences that are not known do not appear in the sequence, so a
 be spread over a document.  Rules are tried in order and use up what they match: a longer
 rule stands before the shorter ones it contains.
 
-Known sentences are found as published, too: wrapped before any character, behind comment
-marks, and with the sentence ends they have inside (``software: you``).  Where such a passage
-begins and ends as a sentence does, it is put on one line of its own before the text is cut.
+Text and known sentences are brought to one normal form (``normal_form``), so sentences are found as
+published: wrapped before any character, indented and behind comment marks to any depth, and with
+the sentence ends they have inside (``software: you``).  A text is normalised once, whatever the
+number of known sentences; places that begin like one are found by set look-ups.
 
 Defined results: null and empty texts have no sentences and no licence; repeated rows and
 equal texts get equal answers row by row; of several licences all are reported, in rule
@@ -74,58 +75,115 @@ RULES = [
 ]
 #: Known sentences that a notice joins without a sentence end.
 JOINED = [("apache-header", "apache-comply")]
-#: A line break before a small letter only wraps a sentence.
-WRAP = r"\n[ \t]*([a-z])"
-#: A sentence ends at a line break, or at .!? or : before white space or the end.
-ENDS = r"\n+|[.!?:]+(?:[ \t]+|$)"
+#: What is not a word: white space, quotes, comment marks, sentence ends.
+_FILL = r"[^A-Za-z0-9\x{80}-\x{10FFFF}]"
+#: In the normal form: an end no sentence crosses, and a line break a sentence may cross.
+END, BREAK = "|", "\n"
+#: Words that choose the known sentences a place is compared with.
+ANCHOR_WORDS = 3
 
 
-def sentence_key(sentence: Column) -> Column:
-    """Letters and digits, lower-cased, single spaces."""
-    return F.trim(F.regexp_replace(ascii_lower(sentence), r"[^a-z0-9\x{80}-\x{10FFFF}]+", " "))
+def normal_form(text: Column) -> Column:
+    """Words in lower case, one separator after each: space, ``BREAK`` or ``END``.
 
-
-def _key(sentence: str) -> str:
-    kept = "".join(c if c.isascii() and c.isalnum() else " " for c in sentence.lower())
-    return " ".join(kept.split())
+    ``END`` is a sentence end (``.!?:`` before white space or the end) or a line without words; a line
+    break before a small letter only wraps, any other is ``BREAK``.  Comment marks, quotes and
+    indentation are gone.  The number of passes does not depend on the known sentences.
+    """
+    text = F.translate(text, END, " ")
+    for pattern, to in (
+        (rf"\n{_FILL}*\n", END),
+        (r"\n[ \t]*(?=[a-z])", " "),
+        (r"(?<![.!?:])[.!?:]++(?=[ \t\n|]|\z)", END),
+        (r"[^A-Za-z0-9\x{80}-\x{10FFFF}\n|]+", " "),
+        (r"[ \n]*\|[ \n|]*", END),
+        (r" ?\n ?", BREAK),
+        (r"\A[ \n|]+|[ \n|]+\z", ""),
+    ):
+        text = F.regexp_replace(text, pattern, to)
+    return F.concat(ascii_lower(text), F.lit(END))
+
+
+def _words(sentence: str) -> str:
+    kept = "".join(c if (c.isascii() and c.isalnum()) or c >= "\x80" or c == END else " " for c in sentence)
+    lower = "".join(c.lower() if c.isascii() else c for c in kept)
+    return re.sub(r" *\|[ |]*", END, " ".join(lower.split())).strip(END)
+
+
+def known_keys(sentences: dict[str, str]) -> dict[str, list[str]]:
+    """Normal forms of the known sentences and the identifiers each stands for.
+
+    A sentence may hold the sentence ends it has as published (``software: you``) or not, and an
+    address in it may stand in a paragraph of its own.
+    """
+    found = [((name,), sentence) for name, sentence in sentences.items()]
+    found += [(names, "; ".join(sentences[n] for n in names)) for names in JOINED if all(n in sentences for n in names)]
+    keys = {}
+    for names, sentence in found:
+        plain = sentence.replace(END, " ")
+        for form in (plain, re.sub(r"[.!?:]+(?=\s)", END, plain)):
+            for key in (_words(form), _words(form).replace(" http ", f"{END}http ")):
+                if key:
+                    keys[key] = list(names)
+    return keys
 
 
-#: What is neither a word, a sentence end nor a line break: white space, quotes, comment marks.
-_FILL = r"[^A-Za-z0-9.!?:\n\x{80}-\x{10FFFF}]"
-#: Before a passage: the beginning, an empty line, a sentence end, or a line break if it begins with a capital.
-_BEFORE = (
-    rf"(?:(?<=\A{_FILL}{{0,20}})|(?<=\n{_FILL}{{0,20}}\n{_FILL}{{0,20}})"
-    rf"|(?<=[.!?:]\s{{1,4}}{_FILL}{{0,20}})|(?<=\n{_FILL}{{0,20}})(?-i:(?=[A-Z])))(?<![A-Za-z0-9\x{{80}}-\x{{10FFFF}}])"
-)
-#: After a passage: a sentence end, an empty line or the end.
-_AFTER = rf"(?={_FILL}*(?:[.!?:]+(?:\s|\z)|\n{_FILL}*(?:\n|\z)|\z))"
+def _anchor(text: Column, words: int) -> Column:
+    return F.substring_index(F.translate(text, BREAK + END, "  "), " ", words)
 
 
-def passage(sentence: str) -> str:
-    """Pattern of a published sentence, each gap between its words wrapped or not.
+def recognise(text: Column, keys: dict[str, list[str]]) -> Column:
+    """Identifiers of the known sentences in a text, in text order.
 
-    A gap may hold the sentence ends it has as published, and one line break; two before an
-    address, which stands in a paragraph of its own.
+    A known sentence begins after an ``END``, a ``BREAK`` or at the beginning and ends before one.  Places
+    whose first word, then whose first words, begin a known sentence (set look-ups) are compared with
+    the few sentences that begin alike, longest first; what one has taken is not looked at again.
     """
-    words = re.findall(r"[A-Za-z0-9]+", sentence)
-    gaps = re.findall(r"[^A-Za-z0-9]+", sentence.strip(" .!?:;"))
-    pattern = words[0]
-    for gap, word in zip(gaps, words[1:]):
-        fill = _FILL.replace(".!?:", "".join(c for c in ".!?:" if c not in gap))
-        breaks = 2 if word == "http" else 1
-        pattern += rf"(?={fill}|\n){fill}*+(?:\n{fill}*+){{0,{breaks}}}{word}"
-    return rf"(?i)(?={words[0]}){_BEFORE}{pattern}{_AFTER}"
-
-
-def unwrap(text: Column, sentences: dict[str, str]) -> Column:
-    """``text`` with every passage that is a known sentence on one line, as a sentence of its own."""
-    found = [((name,), sentence) for name, sentence in sentences.items()]
-    found += [(names, "; ".join(sentences[n] for n in names)) for names in JOINED if all(n in sentences for n in names)]
-    for names, sentence in found:
-        if _key(sentence):
-            plain = "".join(f". {_key(sentences[name])}" for name in names)
-            text = F.regexp_replace(text, passage(sentence), plain + ". ")
-    return text
+    nothing = F.array().cast("array<string>")
+    if not keys:
+        return nothing
+    longest = max(len(re.findall("[^ |]+", key)) for key in keys)
+    few = min(ANCHOR_WORDS, *(len(re.findall("[^ |]+", key)) for key in keys), ANCHOR_WORDS)
+    anchors: dict[str, list[str]] = {}
+    for key in sorted(keys, key=lambda k: (-len(k), k)):
+        anchors.setdefault(" ".join(re.findall("[^ |]+", key)[:few]), []).append(key)
+    firsts = sorted({anchor.split(" ")[0] for anchor in anchors})
+
+    def entry(key: str) -> Column:
+        return F.struct(F.lit(key).alias("key"), F.array(*[F.lit(n) for n in keys[key]]).alias("names"))
+
+    table = F.create_map(*[c for anchor, own in anchors.items() for c in (F.lit(anchor), F.array(*[entry(k) for k in own]))])
+
+    def best(window: Column, anchor: Column) -> Column:
+        plain = F.translate(window, BREAK, " ")
+        ends = lambda c: F.substr(window, F.length(c["key"]) + 1, F.lit(1)).isin(BREAK, END)
+        return F.get(F.filter(table[anchor], lambda c: F.startswith(plain, c["key"]) & ends(c)), F.lit(0))
+
+    def hits(parts: Column) -> Column:
+        # A part holds a word at least, so ``few`` parts hold an anchor and ``longest`` any known sentence.
+        starts = F.transform(parts, lambda part, at: F.when(_anchor(part, 1).isin(firsts), at + 1))
+        starts = F.filter(starts, lambda at: at.isNotNull())
+        near = F.transform(
+            starts, lambda at: F.struct(at.alias("at"), _anchor(F.array_join(F.slice(parts, at, F.lit(few)), ""), few).alias("anchor"))
+        )
+        near = F.filter(near, lambda h: h["anchor"].isin(list(anchors)))
+        wide = F.transform(near, lambda h: h.withField("window", F.array_join(F.slice(parts, h["at"], F.lit(longest)), "")))
+        found = F.transform(wide, lambda h: h.withField("best", best(h["window"], h["anchor"])))
+        return F.filter(found, lambda h: h["best"].isNotNull())
+
+    def taken(hit: Column) -> Column:
+        """The first part after the hit."""
+        own = F.substr(hit["window"], F.lit(1), F.length(hit["best"]["key"]) + 1)
+        return hit["at"] + F.length(own) - F.length(F.translate(own, BREAK + END, ""))
+
+    def add(state: Column, hit: Column) -> Column:
+        more = F.struct(taken(hit).alias("next"), F.concat(state["names"], hit["best"]["names"]).alias("names"))
+        return F.when(hit["at"] >= state["next"], more).otherwise(state)
+
+    # One-element arrays name a value, so that lambdas do not work it out again.
+    parts = F.array(F.split(normal_form(text), rf"(?<=[{BREAK}{END}])"))
+    found = F.get(F.transform(parts, hits), F.lit(0))
+    return F.aggregate(found, F.struct(F.lit(0).alias("next"), nothing.alias("names")), add, lambda state: state["names"])
 
 
 def scan_licenses(
@@ -135,14 +193,9 @@ def scan_licenses(
 
     ``rest`` holds the recognised sentences no rule used.
     """
-    sentences = sentences if sentences is not None else SENTENCES
+    keys = known_keys(sentences if sentences is not None else SENTENCES)
     rules = rules if rules is not None else RULES
-    known = {_key(text): name for name, text in sentences.items()}
-    parts = F.split(F.regexp_replace(unwrap(clean_text(F.col("text")), sentences), WRAP, r" $1"), ENDS)
-    keys = F.filter(F.transform(parts, sentence_key), lambda s: s.isin(list(known)) if known else F.lit(False))
-    names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair]) if known else F.lit(None)
-    found = F.transform(keys, lambda s: names[s]) if known else F.array().cast("array<string>")
-    docs = documents.select("doc_id", F.coalesce(found, F.array().cast("array<string>")).alias("ids"))
+    docs = documents.select("doc_id", recognise(clean_text(F.col("text")), keys).alias("ids"))
     # ",,a,,b,,": every identifier has its own pair of commas, so neighbours can both match.
     state = docs.select("doc_id", "ids", F.concat(F.lit(","), F.concat_ws(",,", "ids"), F.lit(",")).alias("rest"))
     matched = []

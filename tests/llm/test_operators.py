@@ -242,6 +242,23 @@ def test_every_known_sentence_wrapped_anywhere(spark):
     assert {r.doc_id: r.sentences for r in found} == want
 
 
+@pytest.mark.parametrize("depth", [4, 19, 21, 40, 400])
+def test_notices_indented_to_any_depth(spark, depth):
+    rows = [(name, "".join(" " * depth + f"{line}\n" for line in text.splitlines())) for name, text in (("a", GPL_NOTICE), ("b", APACHE_NOTICE))]
+    found = scan_licenses(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert {r.doc_id: r.licenses for r in found} == {"a": ["GPL-3.0-or-later"], "b": ["Apache-2.0"]}
+
+
+def test_thousands_of_known_sentences(spark):
+    known = {f"s{i}": f"Clause {i} applies to the work: see section {i * 7}" for i in range(3000)}
+    rules = [("two", ["s5", "s2999"]), ("one", ["s41"])]
+    text = "Intro.\nClause 5 applies to the\nWork: see section 35. Filler\n# Clause 2999 applies to the work see section 20993\nClause 41 applies."
+    rows = [(1, text), (2, None), (3, ". ! | \n | ?:\n\n"), (4, "|Clause 41 applies to the work: see section 287|\n" + "." * 20_000 + "x")]
+    found = scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), known, rules).collect()
+    assert {r.doc_id: (r.sentences, r.licenses) for r in found} == {1: (["s5", "s2999"], ["two"]), 2: ([], []), 3: ([], []), 4: (["s41"], ["one"])}
+    assert [r.sentences for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), {}, []).collect()] == [[]] * 4
+
+
 # --- op 3 ------------------------------------------------------------------------------
 
 
