@@ -15,6 +15,13 @@ only windows around matches, around tokens with digits, and around some other to
 ``WINDOWS`` of each kind, chosen over all those documents by a hash of text and place, and of
 one text at most ``OF_A_TEXT``.  Scanning reads every whole text.
 
+A field that saw the patterns only as they are would repeat them.  So each window around a match
+is learned from as it is and in other forms (``views``; about ``VIEWS`` in all): without its cue word;
+without cue and marks, the value redrawn in another alphabet and length; with its cue, the value
+redrawn.  Tokens outside a
+pattern that are like a random value (``weak``) may be secrets the patterns miss: windows with one
+are not learned from.
+
 A line is decoded only if some token's best inside score, with twice the largest gain any
 transition can add, beats outside; otherwise all tags are outside, which is also what
 Viterbi would return.
@@ -28,7 +35,9 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import random
 import re
+import string
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -46,6 +55,8 @@ SAMPLE = 12_000
 WINDOWS = 3000
 OF_A_TEXT = 16
 REACH = 12
+#: Forms of the windows around matches that are learned from, in all; of each window two at least.
+VIEWS = 6000
 CUES = 200
 ROUNDS = 150
 KINDS = ("assign", "access", "hex")
@@ -215,8 +226,62 @@ def field_spans(text: str, field: Field, cache: TypeCache) -> list[tuple[int, in
     return found
 
 
-def _windows(texts: Iterator[str], of_a_text: int) -> Iterator[tuple[int, int, list, list, str]]:
-    """``(kind, key, tokens, tags, file)`` around matches (0), tokens with digits (1) and others (2).
+#: Alphabets a value is redrawn in.
+_ALPHABETS = (
+    "0123456789abcdef",
+    string.ascii_letters + string.digits,
+    string.ascii_uppercase + string.digits,
+    string.ascii_letters + string.digits + "_-+/",
+)
+
+
+def redrawn(source: random.Random) -> str:
+    """A random value of 12 to 48 characters with digits and letters."""
+    while True:
+        value = "".join(source.choices(source.choice(_ALPHABETS), k=source.randint(12, 48)))
+        if weak(value):
+            return value
+
+
+def weak(token: str) -> bool:
+    """True for a token like a random value: letters and digits that change three times or more."""
+    if len(token) < 12 or not any(c.isalpha() for c in token):
+        return False
+    return sum(a.isdigit() != b.isdigit() for a, b in zip(token, token[1:])) >= 3
+
+
+def views(tokens: list[str], tags: list[int], at: int, cue: int, key: int, most: int) -> Iterator[tuple[list, list]]:
+    """Tokens and tags of a window around the value at ``at``, whose cue and marks are the ``cue`` tokens before it.
+
+    The first form is the window itself; ``key`` decides how the others are drawn.
+    """
+    yield tokens, tags
+    source = random.Random(key)
+    end = at + 1
+    while end < len(tags) and tags[end] == I:
+        end += 1
+    start = max(0, at - cue)
+    marks = [t for t in tokens[start:at] if not t.isalnum()]
+    bare = end + (tokens[end : end + 1] in (['"'], ["'"]))
+    for _ in range(1, most):
+        form = source.choice(("no cue", "bare", "redrawn"))
+        before, value, rest = tokens[start:at], tokens[at:end], end
+        if form == "no cue":
+            before = marks
+        else:
+            value = [redrawn(source)]
+        if form == "bare":
+            before, rest = [], bare
+        yield (
+            [*tokens[:start], *before, *value, *tokens[rest:]],
+            [*tags[:start], *[O] * len(before), B, *[I] * (len(value) - 1), *tags[rest:]],
+        )
+
+
+def _windows(texts: Iterator[str], of_a_text: int) -> Iterator[tuple]:
+    """``(kind, key, tokens, tags, file, place, cue)`` around matches (0), tokens with digits (1) and others (2).
+
+    ``place`` is that of the middle token, ``cue`` the number of tokens that lead to a match's value.
 
     The key is a hash of text and place; of each kind, the smallest of a text are given.
     """
@@ -224,10 +289,12 @@ def _windows(texts: Iterator[str], of_a_text: int) -> Iterator[tuple[int, int, l
         name = hashlib.blake2b(text.encode(), digest_size=16).digest()
         places: dict[int, list] = {0: [], 1: [], 2: []}
         spans = base_spans(text)
-        values = []
+        values, leads = [], {}
+        inner = {m.start(): m.start(2) for m in ASSIGN.finditer(text)} if spans else {}
         for start, end, kind in spans:
             if kind == "assign":
-                start = next(m.start(2) for m in ASSIGN.finditer(text) if m.start() == start)
+                leads[inner[start]] = start
+                start = inner[start]
             values.append((start, end))
         matches = list(TOKEN.finditer(text))
         tags, open_ = [], False
@@ -239,6 +306,7 @@ def _windows(texts: Iterator[str], of_a_text: int) -> Iterator[tuple[int, int, l
             tags.append((I if open_ else B) if inside else O)
             open_ = inside
         tokens = [m[0] for m in matches]
+        unsure = [tag == O and weak(token) for token, tag in zip(tokens, tags)]
         file = file_class(text)
         step = max(1, len(tokens) // 2)
         for at, (token, tag) in enumerate(zip(tokens, tags)):
@@ -250,14 +318,17 @@ def _windows(texts: Iterator[str], of_a_text: int) -> Iterator[tuple[int, int, l
                 kind = 2
             else:
                 continue
-            if tokens[max(0, at - REACH)] == "\n":
+            if tokens[max(0, at - REACH)] == "\n" or any(unsure[max(0, at - REACH) : at + REACH + 1]):
                 continue
             key = int.from_bytes(hashlib.blake2b(b"%d" % at, key=name, digest_size=8).digest())
             places[kind].append((key, at))
         for kind, found in places.items():
             for key, at in heapq.nsmallest(of_a_text, found):
                 low, high = max(0, at - REACH), at + REACH + 1
-                yield kind, key, tokens[low:high], tags[low:high], file
+                lead, cue = leads.get(matches[at].start(), matches[at].start()), 0
+                while cue < at - low and matches[at - cue - 1].start() >= lead:
+                    cue += 1
+                yield kind, key, tokens[low:high], tags[low:high], file, at - low, cue
 
 
 def _chosen(texts: Iterator[str], windows: int, of_a_text: int) -> dict[int, list]:
@@ -270,18 +341,22 @@ def _chosen(texts: Iterator[str], windows: int, of_a_text: int) -> dict[int, lis
             heapq.heappush(kept[kind], entry)
         elif entry[0] > kept[kind][0][0]:
             heapq.heapreplace(kept[kind], entry)
-    return {kind: [window for *_, window in sorted(found, key=lambda e: -e[0])] for kind, found in kept.items()}
+    return {kind: [[-entry[0], *entry[2]] for entry in sorted(found, key=lambda e: -e[0])] for kind, found in kept.items()}
 
 
-def fit(texts: Iterator[str], rounds: int = ROUNDS, windows: int = WINDOWS, of_a_text: int = OF_A_TEXT) -> Field | None:
+def fit(
+    texts: Iterator[str], rounds: int = ROUNDS, windows: int = WINDOWS, of_a_text: int = OF_A_TEXT, forms: int = VIEWS
+) -> Field | None:
     """The field of largest penalised likelihood on the windows, by gradient steps."""
-    kept = _chosen(texts, windows, of_a_text)
-    if not kept[0]:
+    chosen = _chosen(texts, windows, of_a_text)
+    if not chosen[0]:
         return None
+    kept = {kind: [(tokens, tags, file) for _, tokens, tags, file, _, _ in chosen[kind]] for kind in (1, 2)}
+    each = max(2, forms // len(chosen[0]))
+    kept[0] = [(*view, file) for key, tokens, tags, file, at, cue in chosen[0] for view in views(tokens, tags, at, cue, key, each)]
     data = kept[0] + kept[1] + kept[2]
     cues = Counter()
-    for tokens, tags, _ in kept[0]:
-        at = tags.index(B)
+    for _, tokens, _, _, at, _ in chosen[0]:
         cues.update({t.lower() for t in tokens[max(0, at - 4) : at] if t.isalpha()})
     common = Counter(t.lower() for tokens, _, _ in kept[2] for t in set(tokens))
     words = [w for w, n in cues.most_common() if n >= 3 and n > 3 * common[w]][:CUES]

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import itertools
 import math
+import random
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -273,6 +275,60 @@ def test_windows_come_from_all_texts():
     assert all(len(found) <= 50 for found in secrets._chosen(iter(several), 50, 4).values())
 
 
+def test_views_keep_tags_in_step():
+    tokens = ["so", "password", "=", '"', "abcdefgh", "=", "ijk", '"', "end"]
+    tags = [0, 0, 0, 0, 1, 2, 2, 0, 0]
+    got = list(secrets.views(tokens, tags, 4, 3, 7, 40))
+    assert got[0] == (tokens, tags) and got == list(secrets.views(tokens, tags, 4, 3, 7, 40))
+    forms = set()
+    for words, marks in got[1:]:
+        at = marks.index(1)
+        assert len(words) == len(marks) and words[0] == "so" and words[-1] == "end" and marks.count(1) == 1
+        assert words[at] == "abcdefgh" and marks.count(2) == 2 or secrets.weak(words[at]) and marks.count(2) == 0
+        forms.add((*words[1:at], words[at] == "abcdefgh", *words[at + 1 + marks.count(2) :]))
+    assert forms == {("=", '"', True, '"', "end"), (False, "end"), ("password", "=", '"', False, '"', "end")}
+    assert not any(map(secrets.weak, ("", "short1a2b3", "1234567890123456", "mail7.example.com", "abcdefghijklmnop")))
+
+
+@pytest.fixture(scope="module")
+def corpus_field():
+    texts = pd.read_parquet("/root/testdata/sf0.1/documents.parquet", columns=["text"]).text.dropna().drop_duplicates().tolist()
+    return texts, secrets.fit(iter(texts[1::2]))
+
+
+def test_secrets_outside_the_patterns(corpus_field):
+    """Bare values in whole texts that training did not see: nearly all are found, and nothing else."""
+    texts, field = corpus_field
+    cache, source = secrets.TypeCache(field), random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    draw = lambda alphabet, n: "".join(source.choices(alphabet, k=n))
+    kinds = {
+        "hex20": lambda: draw("0123456789abcdef", 20),
+        "hex28": lambda: draw("0123456789ABCDEF", 28),
+        "mixed24": lambda: draw(letters, 24),
+        "prefix": lambda: "ghx_" + draw(letters, 36),
+        "base64": lambda: draw(letters + "+/", 40),
+    }
+    found, planted, false = Counter(), Counter(), 0
+    for at, text in enumerate(texts[0:1200:2]):
+        words = text.split(" ")
+        kind = list(kinds)[at % len(kinds)]
+        value = kinds[kind]()
+        where = source.randrange(len(words) + 1)
+        begin = len(" ".join([*words[:where], ""])) if where else 0
+        whole = " ".join([*words[:where], value, *words[where:]])
+        base, added = secrets.find_spans(whole, field, cache)
+        if any(start < begin + len(value) and begin < end for start, end, _ in base):
+            continue
+        hit = [span for span in added if span[0] <= begin and begin + len(value) <= span[1]]
+        planted[kind] += 1
+        found[kind] += bool(hit)
+        false += len(added) - len(hit)
+    print(dict(found), dict(planted), false)
+    assert all(found[kind] >= 0.9 * planted[kind] for kind in kinds), (found, planted)
+    assert false <= 0.02 * sum(planted.values())
+
+
 def test_no_match_no_field():
     assert secrets.fit(iter(["plain words", "", "more"])) is None
 
