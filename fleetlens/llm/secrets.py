@@ -16,7 +16,7 @@ only windows around matches, around tokens with digits, and around some other to
 one text at most ``OF_A_TEXT``.  Scanning reads every whole text.
 
 A field that saw the patterns only as they are would repeat them.  So each window around a match
-is learned from as it is and in other forms (``views``; about ``VIEWS`` in all): without its cue word;
+is learned from as it is and in other forms (``views``; at most about ``VIEWS`` in all): without its cue word;
 without cue and marks, the value redrawn in another alphabet and length; with its cue, the value
 redrawn.  Tokens outside a
 pattern that are like a random value (``weak``) may be secrets the patterns miss: windows with one
@@ -55,7 +55,7 @@ SAMPLE = 12_000
 WINDOWS = 3000
 OF_A_TEXT = 16
 REACH = 12
-#: Forms of the windows around matches that are learned from, in all; of each window two at least.
+#: Forms of the windows around matches that are learned from, in all; no more than there are other windows.
 VIEWS = 6000
 CUES = 200
 ROUNDS = 150
@@ -352,7 +352,8 @@ def fit(
     if not chosen[0]:
         return None
     kept = {kind: [(tokens, tags, file) for _, tokens, tags, file, _, _ in chosen[kind]] for kind in (1, 2)}
-    each = max(2, forms // len(chosen[0]))
+    # No more forms than other windows: of few texts, the field would learn that everything is secret.
+    each = max(1, min(forms, len(kept[1]) + len(kept[2])) // len(chosen[0]))
     kept[0] = [(*view, file) for key, tokens, tags, file, at, cue in chosen[0] for view in views(tokens, tags, at, cue, key, each)]
     data = kept[0] + kept[1] + kept[2]
     cues = Counter()
