@@ -54,14 +54,15 @@ def op2_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     held_out = in_fold(F.col("doc_id"), 5, 1)
-    model, vocabulary = suffix_tree_lm.train(documents.where(~held_out))
-    found = suffix_tree_lm.score_texts(documents, model, vocabulary)
+    corpus = suffix_tree_lm.encode(documents, ~held_out)
+    tree = suffix_tree_lm.train(corpus)
+    found = suffix_tree_lm.score_texts(corpus, tree)
     return found.select(
         "doc_id",
         held_out.alias("held_out"),
         "n_tokens",
         "n_known",
-        F.lit(model.n).cast("long").alias("train_tokens"),
+        F.lit(tree.n).cast("long").alias("train_tokens"),
         "base_score",
         "score",
     )

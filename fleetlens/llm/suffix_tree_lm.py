@@ -2,8 +2,7 @@
 
 A text is its words, lower-cased A-Z and cut at ASCII white space, and one end token.  The
 next token is drawn from the longest retained suffix of the tokens before it, within the
-text; contexts are up to two words long.  All words that training never saw are one symbol,
-as in the base score.
+text.  All words that training never saw are one symbol, as in the base score.
 
 The empty context: with c occurrences of N tokens and V distinct tokens,
 
@@ -11,50 +10,68 @@ The empty context: with c occurrences of N tokens and V distinct tokens,
 
 A context s, seen n times, lists the next words it was followed by twice or more.  Its
 distribution takes D off every listed count and gives that, and all counts not listed, to
-the next shorter retained context:
-
-    P(word | s) = (max(n(word) - D, 0) + B * P(word | shorter)) / n,   B = D * listed + not listed
-
-Divergence test: a context is retained if, token by token and each token left out of its own
-count, its distribution codes what followed it in at least ``BITS`` bits less than the
-shorter one does.  One word is a candidate if it is frequent (among the ``HEAD`` words and
-seen ``MIN_SEEN`` times); two words are, if the first is a retained context that lists the
-second ``MIN_SEEN`` times.
-
-At scale: words and word pairs are counted with shuffles and never collected.  Only the most
-frequent words (at most ``HEAD``) and the retained lists (at most ``TREE_ROWS`` entries) are
-sent to the tasks; the cut-offs come from counts in powers of two.  A text's other words
-join the whole vocabulary.
+the context without its first word:
+
+    P(word | s) = (n(word) - D + B * P(word | shorter)) / n   if listed,
+    P(word | s) = B * P(word | shorter) / n                   if not;   B = D * listed + not listed
+
+Growth and divergence test: the candidates of length 1 are all words seen ``MIN_SEEN`` times.
+A longer context is a candidate if it was seen ``MIN_SEEN`` times, the context without its
+first word is retained and the one without its last word was a candidate.  A candidate is
+retained if, token by token and each token left out of its own count, its distribution codes
+what followed it in at least ``BITS`` bits less than the shorter one does.  Lengths are tried
+one after the other until no candidate is left or none is retained; there is no longest one,
+and nothing depends on the size of the corpus.
+
+Scoring: the log of P(word | longest) is the log of P(word) plus one term for every retained
+suffix (its share handed on) and one for every retained suffix that lists the word.  The model
+is therefore one table of keys with numbers to add.
+
+At scale: each text is stored once as the 64-bit keys of its tokens, which every length
+reads.  Candidates, lists and the model are stored tables, joined by key, and grow with the
+corpus.  Tasks get two things of fixed size: a bit table of keys (at most ``FILTER_BITS``
+bits; a key found in it wrongly is dropped by the join) and the ``SHORTCUT`` entries of the
+model used most often, which are added where the text is, so that no key of the join is hot.
+Neither changes a result.  Word keys are checked: if two words of the corpus share a key,
+everything is encoded again with another salt.  Keys of contexts are not checked; with n
+entries two share a key with a chance of n * n / 2**65.
 
 Defined results: null is the empty text, one end token; repeated rows are counted and scored
-row by row; without training rows nothing is known, and base and score are 0; other columns
-are not looked at.
+row by row; a null id stays null; without training rows nothing is known, and base and score
+are 0; other columns are not looked at.  Very long texts are worked on ``PIECE`` tokens at a time.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.common import NO_ID, clean_text, known_id, real_id
 from fleetlens.session import stored
 
-HEAD = 150_000
-TREE_ROWS = 300_000
 MIN_SEEN = 8
 BITS = 24.0
 DISCOUNT = 0.75
+#: Entries of the model that every task holds, and bits of a table of keys.
+SHORTCUT = 1_000_000
+FILTER_BITS = 1 << 27
+#: Tokens worked on at once.
+PIECE = 1_000_000
 #: The end token, which no word equals.
-END = "\n"
-#: Words of a context and the next word share one number.
-_WORD_BITS = 18
+END = b"\n"
+#: A key of several tokens is a polynomial in this odd number, modulo 2**64.
+_BASE = np.int64(-7046029254386353131)
+#: Sets the key of a context apart from that of the same words as context and next word.
+_CONTEXT = np.int64(0x5851F42D4C957F2D)
 _FLUSH_WORDS, _FLUSH_PAIRS = 400_000, 2_000_000
 
 
@@ -64,308 +81,414 @@ def tokens(text: str) -> list[bytes]:
 
 
 def _with_end(text: str) -> list[bytes]:
-    return [*tokens(text), END.encode()]
+    return [*tokens(text), END]
+
+
+def _halves(word: bytes, salt: int) -> list[int]:
+    """128 bits of a word as two signed numbers: its key, and what tells words with one key apart."""
+    return np.frombuffer(xxhash.xxh3_128_digest(word, salt), dtype=">i8")[::-1].tolist()
 
 
-def count_words(documents: DataFrame) -> DataFrame:
-    """``(word, c)`` over all ``text``, the end token included."""
+class _Keys(dict):
+    """Keys of the words met so far."""
+
+    def __init__(self, salt: int) -> None:
+        self.salt = salt
+
+    def __missing__(self, word: bytes) -> int:
+        key = self[word] = _halves(word, self.salt)[0]
+        return key
+
+
+def encode_texts(documents: DataFrame, salt: int) -> DataFrame:
+    """``(row_key, doc_id, learn, tokens)``, stored: the keys of each text's tokens as binary."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys = _Keys(salt)
+        for frame in frames:
+            coded = []
+            for text in frame["text"]:
+                words = _with_end(text)
+                coded.append(np.fromiter(map(keys.__getitem__, words), np.int64, len(words)).tobytes())
+                if len(keys) > _FLUSH_WORDS:
+                    keys.clear()
+            yield frame.drop(columns="text").assign(tokens=coded)
+
+    texts = documents.withColumn("row_key", F.monotonically_increasing_id())
+    texts = texts.select("row_key", "doc_id", "learn", "text")
+    return stored(texts.mapInPandas(run, "row_key long, doc_id long, learn boolean, tokens binary"))
+
+
+def count_words(documents: DataFrame, salt: int) -> DataFrame:
+    """``(key, c, clash)``, stored: all words, how often training has them, and whether two share a key."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
 
         def flush() -> pd.DataFrame:
-            table = pd.DataFrame({"word": [word.decode() for word in seen], "c": list(seen.values())})
+            halves = np.array([_halves(word, salt) for word in seen], dtype=np.int64)
+            table = pd.DataFrame({"key": halves[:, 0], "other": halves[:, 1], "c": list(seen.values())})
             seen.clear()
             return table
 
         for frame in frames:
-            for text in frame["text"]:
-                seen.update(_with_end(text))
+            for text, learn in zip(frame["text"], frame["learn"]):
+                if learn:
+                    seen.update(_with_end(text))
+                else:
+                    seen.update(dict.fromkeys(_with_end(text), 0))
                 if len(seen) > _FLUSH_WORDS:
                     yield flush()
         if seen:
             yield flush()
 
-    texts = documents.select(clean_text(F.col("text")).alias("text"))
-    return texts.mapInPandas(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    counted = documents.select("text", "learn").mapInPandas(run, "key long, other long, c long")
+    return stored(
+        counted.groupBy("key").agg(F.sum("c").alias("c"), (F.min("other") != F.max("other")).alias("clash"))
+    )
 
 
-def bounded_cut(table: DataFrame, value: str, rows: str, most: int) -> int:
-    """The smallest power of two such that the rows with ``value`` at or above it fit into ``most``."""
-    level = F.floor(F.log2(F.greatest(F.col(value).cast("double"), F.lit(1.0)))).cast("int")
-    found = {r.level: r.n for r in table.groupBy(level.alias("level")).agg(F.sum(rows).alias("n")).collect()}
-    total, cut = 0, 63
-    for level in range(62, -1, -1):
-        total += found.get(level, 0)
-        if total > most:
-            break
-        cut = level
-    return 1 << cut
+@dataclass
+class Corpus:
+    """Texts as keys, their words, and the salt of the keys."""
 
+    coded: DataFrame
+    vocabulary: DataFrame
+    salt: int
 
-@dataclass
-class Level:
-    """Retained contexts of one length: sorted codes, times seen, mass handed on, listed words."""
 
-    contexts: np.ndarray
-    seen: np.ndarray
-    rest: np.ndarray
-    pairs: np.ndarray
-    times: np.ndarray
+def encode(documents: DataFrame, learn: Column | bool = True) -> Corpus:
+    """All texts as keys; ``learn`` marks the rows that training may use (null: not)."""
+    flag = learn if isinstance(learn, Column) else F.lit(learn)
+    texts = documents.select(
+        known_id(F.col("doc_id")).alias("doc_id"),
+        clean_text(F.col("text")).alias("text"),
+        F.coalesce(flag, F.lit(False)).alias("learn"),
+    )
+    for salt in itertools.count():
+        vocabulary = count_words(texts, salt)
+        if vocabulary.where("clash").isEmpty():
+            return Corpus(encode_texts(texts, salt), vocabulary, salt)
 
-    @classmethod
-    def empty(cls) -> "Level":
-        none = np.zeros(0, dtype=np.int64)
-        return cls(none, none, none.astype(float), none, none)
 
-    def find(self, codes: np.ndarray) -> np.ndarray:
-        """Place of each context, -1 if it is not retained."""
-        return _place(self.contexts, codes)
+@dataclass
+class Filter:
+    """A bit table of keys: says yes to every key it was made from, and to some others."""
 
+    bits: np.ndarray
 
-def _place(table: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    if not len(table):
-        return np.full(len(codes), -1, dtype=np.int64)
-    at = np.minimum(np.searchsorted(table, codes), len(table) - 1)
-    return np.where(table[at] == codes, at, -1)
+    @classmethod
+    def of(cls, table: DataFrame, key: str, most: int = FILTER_BITS) -> "Filter":
+        wanted = 1 << max(16 * table.count(), 64).bit_length()
+        size = min(wanted, most)
+        place = F.col(key).bitwiseAND(F.lit(size - 1))
+        # shiftleft() takes its number of places from a literal only.
+        bit = F.expr("shiftleft(1L, cast(place & 63 as int))")
+        found = table.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("slot"))
+        found = found.agg(F.bit_or(bit).alias("bits")).toArrow()
+        bits = np.zeros(size >> 6, dtype=np.int64)
+        bits[found.column("slot").to_numpy()] = found.column("bits").to_numpy()
+        return cls(bits)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        place = keys & np.int64(len(self.bits) * 64 - 1)
+        return (self.bits[place >> 6] >> (place & 63)) & 1 == 1
 
 
 @dataclass
-class WordTree:
-    """Sums over the training tokens, the frequent words and the retained contexts."""
+class Piece:
+    """Tokens of several texts, or part of a long one: keys, place in the text, and the text's number.
 
-    n: int
-    v: int
-    words: list[str]
-    counts: np.ndarray
-    head_cut: int
-    levels: list[Level] = field(default_factory=list)
-
-    def __post_init__(self) -> None:
-        self.ids = {word.encode(): i for i, word in enumerate(self.words)}
-        self.other = len(self.words)
-        n = max(self.n, 1)
-        # One place more, for the words that are not frequent: their factor is looked up apart.
-        self.p0 = np.append((self.counts - DISCOUNT) / n, 1.0)
-        self.log_base = np.append(np.log10((self.counts + 0.5) / (self.n + 0.5 * (self.v + 1))), 0.0)
-
-    def encode(self, words: list[bytes]) -> np.ndarray:
-        other = self.other
-        get = self.ids.get
-        return np.fromiter((get(word, other) for word in words), dtype=np.int64, count=len(words))
-
-    def context_codes(self, ids: np.ndarray, first: np.ndarray, length: int) -> np.ndarray:
-        """Code of the ``length`` tokens before each token, -1 where there is none.
-
-        ``first`` marks the first token of each text.  A one-word code is the word's id; a
-        two-word code holds both ids.
-        """
-        codes = np.full(len(ids), -1, dtype=np.int64)
-        if len(ids) <= length:
-            return codes
-        crossed = np.zeros(len(ids), dtype=bool)
-        for back in range(length):
-            crossed[back:] |= first[: len(ids) - back]
-        crossed[:length] = True
-        one = np.append(-1, ids[:-1])
-        valid = ~crossed & (one < self.other)
-        if length == 1:
-            return np.where(valid, one, -1)
-        two = np.append([-1, -1], ids[:-2])
-        valid &= two < self.other
-        return np.where(valid, (two << _WORD_BITS) | one, -1)
-
-    def probabilities(self, ids: np.ndarray, first: np.ndarray, upto: int | None = None) -> np.ndarray:
-        """P(token | longest retained suffix); for words that are not frequent, the factor of P(word)."""
-        p = self.p0[ids]
-        for length, level in enumerate(self.levels[:upto], start=1):
-            codes = self.context_codes(ids, first, length)
-            at = level.find(codes)
-            hit = np.flatnonzero(at >= 0)
-            if not len(hit):
-                continue
-            where, word = at[hit], ids[hit]
-            pair = _place(level.pairs, (where << _WORD_BITS) | word)
-            times = np.where((pair >= 0) & (word < self.other), level.times[pair] if len(level.pairs) else 0, 0)
-            p[hit] = (np.maximum(times - DISCOUNT, 0) + level.rest[where] * p[hit]) / level.seen[where]
-        return p
-
-    def rare_log(self, c: int) -> float:
-        """log10 P(word) in the empty context, for a word that is not frequent."""
-        if not self.n:
-            return 0.0
-        return math.log10((c - DISCOUNT) / self.n if c else DISCOUNT * self.v / self.n)
+    Tokens that are there only as context have place -1.
+    """
+
+    x: np.ndarray
+    place: np.ndarray
+    owner: np.ndarray
+
+
+def pieces(coded: list[bytes], depth: int, most: int = PIECE) -> Iterator[Piece]:
+    """All tokens of some texts, about ``most`` at a time, each with ``depth`` tokens of context."""
+    held, size = [], 0
+
+    def joined() -> Piece:
+        piece = Piece(*map(np.concatenate, zip(*held)))
+        held.clear()
+        return piece
+
+    for owner, data in enumerate(coded):
+        x = np.frombuffer(data, dtype=np.int64)
+        for at in range(0, len(x), most):
+            low = max(0, at - depth)
+            part = x[low : at + most]
+            place = np.arange(low, low + len(part))
+            place[: at - low] = -1
+            held.append((part, place, np.full(len(part), owner)))
+            size += len(part)
+            if size >= most:
+                yield joined()
+                size = 0
+    if held:
+        yield joined()
 
 
-def _sequences(frame: pd.DataFrame, tree: WordTree) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all tokens of a batch, and where texts begin."""
-    parts = [tree.encode(_with_end(text)) for text in frame["text"]]
-    sizes = np.array([len(part) for part in parts])
-    first = np.zeros(sizes.sum(), dtype=bool)
-    first[np.cumsum(sizes) - sizes] = True
-    return np.concatenate(parts), first
+def runs(x: np.ndarray, length: int) -> np.ndarray:
+    """Key of the ``length`` tokens that end at each place; the first ones mean nothing."""
+    keys = x.copy()
+    factor = np.ones(1, dtype=np.int64)
+    for back in range(1, length):
+        factor = factor * _BASE
+        keys[back:] += x[:-back] * factor
+    return keys
 
 
-def count_next(documents: DataFrame, shared, candidates, length: int) -> DataFrame:
-    """``(code, n)``: next words of the candidate contexts, listed if seen twice or more.
+def count_next(coded: DataFrame, candidates: Filter, length: int) -> DataFrame:
+    """``(pair, context, lower, n)``, stored: next words seen twice or more of contexts in the filter.
 
-    ``code`` holds the context's place among the sorted candidates and the next word's id.
+    ``pair`` is the key of context and next word, ``lower`` the same without the first word.
     """
+    shared = coded.sparkSession.sparkContext.broadcast(candidates)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree, wanted = shared.value, candidates.value
         held, size = [], 0
 
         def flush() -> pd.DataFrame:
-            codes, n = np.unique(np.concatenate(held), return_counts=True)
+            pair, context, lower = map(np.concatenate, zip(*held))
             held.clear()
-            return pd.DataFrame({"code": codes, "n": n})
+            pair, at, n = np.unique(pair, return_index=True, return_counts=True)
+            return pd.DataFrame({"pair": pair, "context": context[at], "lower": lower[at], "n": n})
 
         for frame in frames:
-            if frame.empty:
-                continue
-            ids, first = _sequences(frame, tree)
-            at = _place(wanted, tree.context_codes(ids, first, length))
-            # Words that are not frequent are never listed; they count as not listed.
-            kept = (at >= 0) & (ids < tree.other)
-            held.append((at[kept] << _WORD_BITS) | ids[kept])
-            size += kept.sum()
-            if size > _FLUSH_PAIRS:
-                yield flush()
-                size = 0
+            for piece in pieces(frame["tokens"].tolist(), length):
+                at = np.flatnonzero(piece.place >= length)
+                keys = runs(piece.x, length)
+                context = keys[at - 1]
+                kept = shared.value.has(context)
+                at, context = at[kept], context[kept]
+                held.append((context * _BASE + piece.x[at], context, keys[at]))
+                size += len(at)
+                if size > _FLUSH_PAIRS:
+                    yield flush()
+                    size = 0
         if held:
             yield flush()
 
-    texts = documents.select(clean_text(F.col("text")).alias("text"))
-    counted = texts.mapInPandas(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    found = coded.select("tokens").mapInPandas(run, "pair long, context long, lower long, n long")
+    counted = found.groupBy("pair", "context", "lower").agg(F.sum("n").alias("n"))
     return stored(counted.where("n >= 2"))
 
 
-def retain(counted: DataFrame, shared, candidates, seen, length: int, bits: float, most: int) -> Level:
-    """The candidate contexts that pass the divergence test, with their lists."""
+def retain(counted: DataFrame, candidates: DataFrame, shorter: DataFrame, bits: float) -> tuple[DataFrame, DataFrame]:
+    """Stored: all listed pairs of the candidates, and the contexts that pass the divergence test.
 
-    def code(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Bits saved on each listed next word, the token itself left out."""
-        tree, wanted, times_seen = shared.value, candidates.value, seen.value
-        for frame in frames:
-            codes, n = frame["code"].to_numpy(), frame["n"].to_numpy()
-            at, word = codes >> _WORD_BITS, codes & ((1 << _WORD_BITS) - 1)
-            # P(word | shorter): the last word of the context, then the next word.
-            before = wanted[at] & ((1 << _WORD_BITS) - 1)
-            pair = np.column_stack([before, word]).ravel()
-            first = np.tile([True, False], len(at))
-            shorter = tree.probabilities(pair, first, upto=length - 1)[1::2]
-            yield pd.DataFrame({"place": at, "code": codes, "n": n, "shorter": shorter, "seen": times_seen[at]})
-
-    rows = stored(counted.mapInPandas(code, "place long, code long, n long, shorter double, seen long"))
-    sums = rows.groupBy("place").agg(
-        F.first("seen").alias("seen"), F.sum("n").alias("listed"), F.count(F.lit(1)).alias("kinds")
-    )
+    Pairs have ``pair, context, lower, n, shorter``, the last being P(word | shorter context);
+    contexts have ``context, seen, rest``.
+    """
+    below = shorter.select(F.col("pair").alias("lower"), F.col("p").alias("shorter"))
+    # Contexts that are in the filter by chance leave here.
+    rows = stored(counted.join(candidates.select("context"), "context", "left_semi").join(below, "lower"))
+    sums = rows.groupBy("context").agg(F.sum("n").alias("listed"), F.count(F.lit(1)).alias("kinds"))
+    sums = sums.join(candidates, "context")
     sums = sums.withColumn("rest", F.lit(DISCOUNT) * F.col("kinds") + F.col("seen") - F.col("listed"))
     left = F.greatest(F.col("n") - 1 - DISCOUNT, F.lit(0.0)) + F.col("rest") * F.col("shorter")
     saved = F.col("n") * F.log2(left / (F.col("seen") * F.col("shorter")))
-    joined = rows.drop("seen").join(sums, "place")
-    gained = joined.groupBy("place").agg(
-        F.sum(saved).alias("saved"), *[F.first(c).alias(c) for c in ("seen", "listed", "kinds", "rest")]
+    gained = (
+        rows.select("context", "n", "shorter")
+        .join(sums, "context")
+        .groupBy("context", "seen", "rest", "listed")
+        .agg(F.sum(saved).alias("saved"))
     )
     # What is not listed costs the bits of the mass handed on.
     unlisted = (F.col("seen") - F.col("listed")) * F.log2(F.col("rest") / F.col("seen"))
-    gained = stored(gained.withColumn("gain", F.col("saved") + unlisted).where(F.col("gain") >= bits))
-    cut = bounded_cut(gained, "gain", "kinds", most)
-    kept = gained.where(F.col("gain") >= cut) if cut > 1 else gained
-    table = kept.select("place", "seen", "rest").orderBy("place").toPandas()
-    lists = rows.select("place", "code", "n").join(kept.select("place"), "place").orderBy("code").toPandas()
-    places = table["place"].to_numpy(dtype=np.int64)
-    own = np.searchsorted(places, lists["place"].to_numpy(dtype=np.int64))
-    word = lists["code"].to_numpy(dtype=np.int64) & ((1 << _WORD_BITS) - 1)
-    return Level(
-        candidates.value[places],
-        table["seen"].to_numpy(dtype=np.int64),
-        table["rest"].to_numpy(dtype=float),
-        (own << _WORD_BITS) | word,
-        lists["n"].to_numpy(dtype=np.int64),
-    )
+    return rows, stored(gained.where(F.col("saved") + unlisted >= bits).select("context", "seen", "rest"))
+
+
+def bounded_cut(table: DataFrame, value: str, most: int) -> int:
+    """The smallest power of two such that the rows with ``value`` at or above it are at most ``most``."""
+    level = F.floor(F.log2(F.greatest(F.col(value).cast("double"), F.lit(1.0)))).cast("int")
+    found = {r.level: r["count"] for r in table.groupBy(level.alias("level")).count().collect()}
+    total, cut = 0, 62
+    for level in range(61, -1, -1):
+        total += found.get(level, 0)
+        if total > most:
+            break
+        cut = level
+    return 1 << cut
+
 
+@dataclass
+class SuffixTree:
+    """Training tokens, distinct ones, contexts retained of each length, and the stored model.
+
+    ``entries`` has ``key, times, known, base, score``: what a key adds to a text, over the
+    text's tokens as unseen words in the empty context.
+    """
 
-def train(
-    documents: DataFrame, head: int = HEAD, bits: float = BITS, min_seen: int = MIN_SEEN, most: int = TREE_ROWS
-) -> tuple[WordTree, DataFrame]:
-    """The model, and the stored vocabulary ``(word, c)`` it was made from."""
-    send = documents.sparkSession.sparkContext.broadcast
-    vocabulary = stored(count_words(documents))
-    sums = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    cut = bounded_cut(vocabulary.withColumn("one", F.lit(1)), "c", "one", min(head, (1 << _WORD_BITS) - 1))
-    frequent = sorted((-row.c, row.word) for row in vocabulary.where(F.col("c") >= cut).collect())
-    counts = np.array([-c for c, _ in frequent], dtype=np.int64)
-    tree = WordTree(sums.n, sums.v, [word for _, word in frequent], counts, cut)
+    n: int
+    v: int
+    sizes: list[int]
+    entries: DataFrame
+
+    @property
+    def unseen(self) -> tuple[float, float]:
+        """Base and score of an unseen word in the empty context."""
+        if not self.n:
+            return 0.0, 0.0
+        return math.log10(0.5 / (self.n + 0.5 * (self.v + 1))), math.log10(DISCOUNT * self.v / self.n)
+
+
+def train(corpus: Corpus, bits: float = BITS, min_seen: int = MIN_SEEN, filter_bits: int = FILTER_BITS) -> SuffixTree:
+    """The tree over the texts that training may use."""
+    coded = corpus.coded.where("learn")
+    words = corpus.vocabulary.where("c > 0")
+    sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+    c = F.col("c")
+    columns = ["key", "times", "known", "base", "score"]
+    none = F.lit(0.0)
+    entries = words.select(
+        "key",
+        c.alias("times"),
+        F.lit(1).alias("known"),
+        F.log10(2 * c + 1).alias("base"),
+        F.log10((c - DISCOUNT) / F.lit(DISCOUNT * sums.v if sums.v else 1.0)).alias("score"),
+    )
     # The end token is never before another one.
-    wanted = np.flatnonzero(counts >= min_seen)
-    wanted = wanted[wanted != tree.ids.get(END.encode(), -1)]
-    seen = counts[wanted]
-    for length in (1, 2):
-        if not len(wanted):
+    end = _halves(END, corpus.salt)[0]
+    candidates = words.where((c >= min_seen) & (F.col("key") != end)).select(F.col("key").alias("context"), c.alias("seen"))
+    shorter = words.select(F.col("key").alias("pair"), ((c - DISCOUNT) / F.lit(float(max(sums.n, 1)))).alias("p"))
+    sizes: list[int] = []
+    while not candidates.isEmpty():
+        counted = count_next(coded, Filter.of(candidates, "context", filter_bits), len(sizes) + 1)
+        rows, contexts = retain(counted, candidates, shorter, bits)
+        size = contexts.count()
+        if not size:
             break
-        shared, candidates, times = send(tree), send(wanted), send(seen)
-        counted = count_next(documents, shared, candidates, length)
-        level = retain(counted, shared, candidates, times, length, bits, most)
-        tree.levels.append(level)
-        if length == 1:
-            often = level.times >= min_seen
-            word = level.pairs[often] & ((1 << _WORD_BITS) - 1)
-            pairs = (level.contexts[level.pairs[often] >> _WORD_BITS] << _WORD_BITS) | word
-            inner = word != tree.ids.get(END.encode(), -1)
-            order = np.argsort(pairs[inner])
-            wanted, seen = pairs[inner][order], level.times[often][inner][order]
-    return tree, vocabulary
-
-
-def score_texts(documents: DataFrame, tree: WordTree, vocabulary: DataFrame) -> DataFrame:
-    """One row per document row: ``doc_id, n_tokens, n_known, base_score, score``."""
-    shared = documents.sparkSession.sparkContext.broadcast(tree)
-    columns = ["row_key", "doc_id", "word", "times", "n_tokens", "n_known", "base", "score"]
-    schema = "row_key long, doc_id long, word string, times long, n_tokens long, n_known long, base double, score double"
+        sizes.append(size)
+        handed = F.log10(F.col("rest") / F.col("seen"))
+        pairs = rows.join(contexts, "context").withColumn(
+            "p", (F.col("n") - DISCOUNT + F.col("rest") * F.col("shorter")) / F.col("seen")
+        )
+        gain = F.log10(F.col("p") / F.col("shorter")) - handed
+        pairs = stored(pairs.select("pair", "n", "p", gain.alias("score")))
+        key = F.col("context").bitwiseXOR(F.lit(int(_CONTEXT)))
+        for part in (
+            contexts.select(key.alias("key"), F.col("seen").alias("times"), F.lit(0).alias("known"), none.alias("base"), handed.alias("score")),
+            pairs.select(F.col("pair").alias("key"), F.col("n").alias("times"), F.lit(0).alias("known"), none.alias("base"), "score"),
+        ):
+            entries = entries.unionByName(part.select(*columns))
+        shorter = pairs
+        kept = contexts.select(F.col("context").alias("lower"))
+        often = rows.where(F.col("n") >= min_seen).join(kept, "lower", "left_semi")
+        candidates = stored(often.select(F.col("pair").alias("context"), F.col("n").alias("seen")))
+    return SuffixTree(sums.n, sums.v, sizes, stored(entries))
+
+
+@dataclass
+class _Shortcut:
+    """What tasks hold of the model: the entries used most, sorted by key, and a filter of the others."""
+
+    key: np.ndarray
+    known: np.ndarray
+    base: np.ndarray
+    score: np.ndarray
+    others: Filter
+    depth: int
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each key (-1: not here), and whether it may be one of the others."""
+        if len(self.key):
+            at = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
+            at = np.where(self.key[at] == keys, at, -1)
+        else:
+            at = np.full(len(keys), -1, dtype=np.int64)
+        return at, (at < 0) & self.others.has(keys)
+
+    def terms(self, piece: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """Known words, base and score of each token, and the places and keys that the join must add."""
+        known = np.zeros(len(piece.x), dtype=np.int64)
+        base, score = np.zeros(len(piece.x)), np.zeros(len(piece.x))
+        open_at, open_keys = [], []
+
+        def add(at: np.ndarray, keys: np.ndarray) -> np.ndarray:
+            entry, other = self.find(keys)
+            hit = entry >= 0
+            where, entry = at[hit], entry[hit]
+            known[where] += self.known[entry]
+            base[where] += self.base[entry]
+            score[where] += self.score[entry]
+            open_at.append(at[other])
+            open_keys.append(keys[other])
+            return hit | other
+
+        at = np.flatnonzero(piece.place >= 0)
+        add(at, piece.x[at])
+        keys, factor = piece.x, np.ones(1, dtype=np.int64)
+        for length in range(1, self.depth + 1):
+            at = at[piece.place[at] >= length]
+            if not len(at):
+                break
+            # A context is retained only if the shorter one is.
+            at = at[add(at, keys[at - 1] ^ _CONTEXT)]
+            add(at, keys[at - 1] * _BASE + piece.x[at])
+            factor = factor * _BASE
+            keys = keys.copy()
+            keys[length:] += piece.x[:-length] * factor
+        return known, base, score, (np.concatenate(open_at), np.concatenate(open_keys))
+
+
+def score_texts(corpus: Corpus, tree: SuffixTree, shortcut: int = SHORTCUT, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """One row per document row: ``doc_id, learn, n_tokens, n_known, base_score, score``."""
+    spark = corpus.coded.sparkSession
+    cut = bounded_cut(tree.entries, "times", shortcut)
+    often = tree.entries.where(F.col("times") >= cut).toArrow()
+    order = np.argsort(often.column("key").to_numpy())
+    held = [often.column(name).to_numpy()[order] for name in ("key", "known", "base", "score")]
+    others = tree.entries.where(F.col("times") < cut)
+    shared = spark.sparkContext.broadcast(_Shortcut(*held, Filter.of(others, "key", filter_bits), len(tree.sizes)))
+    schema = (
+        "row_key long, doc_id long, learn boolean, key long, times int, n_tokens long, n_known long, "
+        "base double, score double"
+    )
+    unseen_base, unseen_score = tree.unseen
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree = shared.value
+        model = shared.value
         for frame in frames:
-            rows = []
-            for key, doc_id, text in zip(frame["row_key"].tolist(), frame["doc_id"].tolist(), frame["text"]):
-                words = _with_end(text)
-                ids = tree.encode(words)
-                first = np.zeros(len(ids), dtype=bool)
-                first[0] = True
-                rare = ids == tree.other
-                if rare.any():
-                    counted = Counter([words[at] for at in np.flatnonzero(rare)])
-                    rows += [(key, NO_ID, word.decode(), times, 0, 0, 0.0, 0.0) for word, times in counted.items()]
-                base = float(tree.log_base[ids].sum())
-                score = float(np.log10(tree.probabilities(ids, first)).sum())
-                # The text's own row takes a key that meets no word and is spread like words are.
-                rows.append((key, doc_id, f"{END}{key}", 0, len(ids), int(len(ids) - rare.sum()), base, score))
-                if len(rows) > 100_000:
-                    yield pd.DataFrame(rows, columns=columns)
-                    rows = []
-            if rows:
-                yield pd.DataFrame(rows, columns=columns)
-
-    # The key ties a row to its words within this one plan.
-    texts = documents.select(
-        known_id(F.col("doc_id")).alias("doc_id"),
-        clean_text(F.col("text")).alias("text"),
-        F.monotonically_increasing_id().alias("row_key"),
-    )
-    rare = vocabulary.where(F.col("c") < tree.head_cut)
-    parts = texts.mapInPandas(run, schema).join(rare, "word", "left")
-    c = F.coalesce("c", F.lit(0))
-    n, v = float(tree.n), float(tree.v)
-    base = F.log10((c + 0.5) / F.lit(n + 0.5 * (v + 1)))
-    score = F.log10(F.when(c == 0, F.lit(DISCOUNT * v)).otherwise(c - DISCOUNT) / F.lit(n)) if n else F.lit(0.0)
-    # A text's own row (times = 0) has no word to add.
+            ids = [frame[name].to_numpy() for name in ("row_key", "doc_id", "learn")]
+            for piece in pieces(frame["tokens"].tolist(), model.depth):
+                known, base, score, (at, keys) = model.terms(piece)
+                n = np.bincount(piece.owner[piece.place >= 0])
+                own = np.flatnonzero(n)
+                size, more = n[own], len(keys)
+                owner = np.concatenate([own, piece.owner[at]])
+                yield pd.DataFrame(
+                    {
+                        "row_key": ids[0][owner],
+                        "doc_id": ids[1][owner],
+                        "learn": ids[2][owner],
+                        # The text's own row adds no entry (times 0); its key only spreads it.
+                        "key": np.concatenate([ids[0][own] * _BASE, keys]),
+                        "times": np.repeat([0, 1], [len(own), more]),
+                        "n_tokens": np.pad(size, (0, more)),
+                        "n_known": np.pad(np.bincount(piece.owner, known)[own], (0, more)),
+                        "base": np.pad(np.bincount(piece.owner, base)[own] + size * unseen_base, (0, more)),
+                        "score": np.pad(np.bincount(piece.owner, score)[own] + size * unseen_score, (0, more)),
+                    }
+                )
+
+    parts = corpus.coded.mapInPandas(run, schema)
+    added = others.select("key", *[F.col(name).alias(f"more_{name}") for name in ("known", "base", "score")])
+    parts = parts.join(added, "key", "left")
+
+    def total(name: str, more: str) -> Column:
+        return F.sum(F.col(name) + F.col("times") * F.coalesce(F.col(more), F.lit(0)))
+
     found = parts.groupBy("row_key").agg(
         F.max("doc_id").alias("doc_id"),
+        F.max("learn").alias("learn"),
         F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(c > 0, F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + F.col("times") * base).alias("base_score"),
-        F.sum(F.col("score") + F.col("times") * score).alias("score"),
+        total("n_known", "more_known").cast("long").alias("n_known"),
+        total("base", "more_base").alias("base_score"),
+        total("score", "more_score").alias("score"),
     )
-    return found.select(real_id("doc_id"), "n_tokens", "n_known", "base_score", "score")
+    return found.select(real_id("doc_id"), "learn", "n_tokens", "n_known", "base_score", "score")

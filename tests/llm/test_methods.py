@@ -1,4 +1,4 @@
-"""The operators' own functions against brute force, without Spark."""
+"""The operators' own functions against brute force, mostly without Spark."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from fleetlens.llm import fingerprints, jaccard_join, repeats, secrets, sentence_pieces, suffix_tree_lm, toxicity
 
@@ -124,37 +125,81 @@ def test_real_vocabulary_round_trip():
 # --- suffix tree -----------------------------------------------------------------------
 
 
-def small_tree():
-    """Words a, b and the end; a lists b, and (a, b) lists a."""
-    one = suffix_tree_lm.Level(np.array([0]), np.array([10]), np.array([0.75 + 4]), np.array([1]), np.array([6]))
-    two = suffix_tree_lm.Level(np.array([1]), np.array([6]), np.array([0.75 + 1]), np.array([0]), np.array([5]))
-    return suffix_tree_lm.WordTree(25, 4, ["a", "b", "\n"], np.array([10, 9, 5]), 2, [one, two])
-
-
-def test_next_words_add_up_to_one():
-    tree = small_tree()
-    for before in ([], [0], [1], [0, 1], [1, 0], [3, 0], [0, 3, 0, 1]):
-        total = 0.0
-        for word in range(4):
-            ids = np.array([*before, word])
-            first = np.arange(len(ids)) == 0
-            p = tree.probabilities(ids, first)[-1]
-            # Rare words: the one seen once, and all unseen ones together.
-            total += p if word < 3 else p * (10 ** tree.rare_log(1) + 10 ** tree.rare_log(0))
-        assert total == pytest.approx(1)
-
-
-def test_longest_retained_suffix():
-    tree = small_tree()
-
-    def p(*ids, first=(0,)):
-        return tree.probabilities(np.array(ids), np.isin(np.arange(len(ids)), first))[-1]
-
-    assert p(0, 1) == pytest.approx((6 - 0.75 + 4.75 * (9 - 0.75) / 25) / 10)
-    assert p(0, 1, 0) == pytest.approx((5 - 0.75 + 1.75 * (10 - 0.75) / 25) / 6)
-    assert p(1, 1, 0) == p(1, 0) == pytest.approx((10 - 0.75) / 25)
-    # A context does not reach into the text before.
-    assert p(0, 1, 0, first=(0, 1)) == p(1, 0) and p(0, 1, first=(0, 1)) == p(1)
+def small_model(spark):
+    """Trained so that a lists b, and (a, b) lists a."""
+    texts = ["a b a", "a b a c", "c b", "b b c", "a b a", "c c b b"] * 3 + ["a b a", "d e"]
+    corpus = suffix_tree_lm.encode(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    return corpus, suffix_tree_lm.train(corpus, bits=2, min_seen=3)
+
+
+def test_next_words_add_up_to_one(spark):
+    corpus, tree = small_model(spark)
+    assert len(tree.sizes) >= 2
+    words = ["a", "b", "c", "d", "e", "unseen"]
+    starts = ["", "a", "b", "a b", "b a", "c b", "unseen a", "a unseen a b", "a b a b"]
+    rows = [(0, s) for s in starts] + [(1, f"{s} {w}") for s in starts for w in words]
+    other = suffix_tree_lm.encode(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string"))
+    assert other.salt == corpus.salt
+    log = {r.doc_id: r.score for r in suffix_tree_lm.score_texts(other, tree).collect()}
+
+    def whole(text):
+        """P of the words alone: the score without the end token's factor, from texts one word longer."""
+        return 10 ** log[[t for _, t in rows].index(text)]
+
+    coded = other.coded.select("doc_id", "tokens").collect()
+    tokens = {r.doc_id: np.frombuffer(r.tokens, dtype=np.int64) for r in coded}
+    assert all(len(tokens[i]) == len(t.split()) + 1 for i, (_, t) in enumerate(rows))
+    entries = {r.key: r.score for r in tree.entries.collect()}
+    base = suffix_tree_lm.SuffixTree.unseen.fget(tree)[1]
+
+    def p(history, word):
+        x = np.array([*history, word], dtype=np.int64)
+        total = base + entries.get(int(word), 0.0)
+        for k in range(1, len(history) + 1):
+            context = suffix_tree_lm.runs(x[:-1], k)[-1]
+            key = int(context ^ suffix_tree_lm._CONTEXT)
+            if key not in entries:
+                break
+            total += entries[key] + entries.get(int(suffix_tree_lm.runs(x, k + 1)[-1]), 0.0)
+        return 10**total
+
+    known = [*(suffix_tree_lm._halves(w.encode(), 0)[0] for w in words), suffix_tree_lm._halves(b"\n", 0)[0]]
+    for at, start in enumerate(starts):
+        history = tokens[at][:-1].tolist()
+        assert sum(p(history, w) for w in known) == pytest.approx(1)
+        text = np.prod([p(history[:i], w) for i, w in enumerate([*history, known[-1]])])
+        assert whole(start) == pytest.approx(text)
+
+
+def test_long_texts_in_pieces():
+    rng = np.random.default_rng(4)
+    coded = [rng.integers(-9, 9, n).astype(np.int64) for n in (1, 250, 3, 99, 1000)]
+    for depth in (0, 1, 5):
+        whole = next(suffix_tree_lm.pieces([x.tobytes() for x in coded], depth, 10_000))
+        seen = []
+        for piece in suffix_tree_lm.pieces([x.tobytes() for x in coded], depth, 100):
+            assert len(piece.x) <= 200 + depth
+            keys = suffix_tree_lm.runs(piece.x, depth + 1)
+            at = np.flatnonzero(piece.place >= depth)
+            seen += zip(piece.owner[at].tolist(), piece.place[at].tolist(), keys[at].tolist())
+        at = np.flatnonzero(whole.place >= depth)
+        keys = suffix_tree_lm.runs(whole.x, depth + 1)
+        assert sorted(seen) == sorted(zip(whole.owner[at].tolist(), whole.place[at].tolist(), keys[at].tolist()))
+
+
+def test_words_that_share_a_key_get_another_salt(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "one two three"), (2, None)], "doc_id long, text string")
+    counted = suffix_tree_lm.count_words
+    salts = []
+
+    def clashing(texts, salt):
+        salts.append(salt)
+        return counted(texts, salt).withColumn("clash", F.lit(salt < 2))
+
+    monkeypatch.setattr(suffix_tree_lm, "count_words", clashing)
+    corpus = suffix_tree_lm.encode(rows)
+    assert salts == [0, 1, 2] and corpus.salt == 2
+    assert suffix_tree_lm.train(corpus).n == 5
 
 
 def test_tokens_know_ascii_space_only():

@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fleetlens.llm import fingerprints, suffix_tree_lm
 from fleetlens.llm.common import by_hash
@@ -262,74 +263,86 @@ def test_thousands_of_known_sentences(spark):
 # --- op 3 ------------------------------------------------------------------------------
 
 
-def brute_tree(texts, head, bits, min_seen):
+def brute_tree(texts, bits, min_seen):
     """The tree from plain counts: {context: (seen, {word: times})} of the retained contexts, and P."""
     sequences = [[*(t or "").encode().lower().split(), b"\n"] for t in texts]
     counts = Counter(w for s in sequences for w in s)
     n, v, d = sum(counts.values()), len(counts), 0.75
-    frequent = set(head)
     states = {}
 
     def p(word, history):
-        for k in (2, 1):
-            context = tuple(history[-k:])
-            if len(context) == k and context in states:
-                seen, listed = states[context]
-                rest = d * len(listed) + seen - sum(listed.values())
-                return (max(listed.get(word, 0) - d, 0) + rest * p(word, context[1:])) / seen
-        return (counts[word] - d) / n if counts[word] else d * v / n
-
-    for k in (1, 2):
+        if not history:
+            return (counts[word] - d) / n if counts[word] else d * v / n
+        context = max((tuple(history[-k:]) for k in range(1, len(history) + 1) if tuple(history[-k:]) in states), key=len, default=())
+        if not context:
+            return p(word, ())
+        seen, listed = states[context]
+        rest = d * len(listed) + seen - sum(listed.values())
+        return (max(listed.get(word, 0) - d, 0) + rest * p(word, context[1:])) / seen
+
+    candidates, k = {(w,) for w, c in counts.items() if c >= min_seen and w != b"\n"}, 1
+    while candidates:
         nexts = {}
         for s in sequences:
             for i in range(k, len(s)):
-                nexts.setdefault(tuple(s[i - k : i]), Counter())[s[i]] += 1
+                context = tuple(s[i - k : i])
+                if context in candidates:
+                    nexts.setdefault(context, Counter())[s[i]] += 1
         new = {}
         for context, after in nexts.items():
             seen = sum(after.values())
-            if not set(context) <= frequent or seen < min_seen:
-                continue
-            if k == 2 and states.get(context[:1], (0, {}))[1].get(context[1], 0) < min_seen:
-                continue
-            listed = {w: c for w, c in after.items() if c >= 2 and w in frequent}
+            listed = {w: c for w, c in after.items() if c >= 2}
             if not listed:
                 continue
             rest = d * len(listed) + seen - sum(listed.values())
-            gain = (seen - sum(listed.values())) * math.log2(rest / seen) if seen > sum(listed.values()) else 0
+            gain = (seen - sum(listed.values())) * math.log2(rest / seen)
             for w, c in listed.items():
                 short = p(w, context[1:])
                 gain += c * math.log2((max(c - 1 - d, 0) + rest * short) / (seen * short))
             if gain >= bits:
                 new[context] = (seen, listed)
         states |= new
+        candidates = {(*s, w) for s, after in nexts.items() for w, c in after.items() if c >= min_seen and (*s, w)[1:] in new}
+        k += 1
     return counts, states, p
 
 
-@pytest.mark.parametrize("head", [100_000, 20])
-def test_suffix_tree_lm(spark, docs, head):
-    train = docs.where("coalesce(crc32(cast(doc_id as string)) % 5 <> 1, true)")
-    tree, vocabulary = suffix_tree_lm.train(train, head=head, bits=4, min_seen=3)
-    assert len(tree.words) <= head and sum(len(level.contexts) for level in tree.levels) >= 3
-    head_words = [w.encode() for w in tree.words]
-    counts, states, p = brute_tree([t for _, t in rows_of(train)], head_words, 4, 3)
+#: Whether two words make a third likely is known from the third before them only.
+CHAINS = ["a m n x", "b m n y", "a m o y", "b m o x", "a q n y", "b q n x"] * 12 + ["a m n x . " * 30, "b b b b b b b b", "m n"]
+
+
+@pytest.mark.parametrize("shortcut, filter_bits", [(1_000_000, 1 << 27), (0, 1 << 27), (20, 64), (0, 64)])
+def test_suffix_tree_lm(spark, docs, shortcut, filter_bits):
+    chains = spark.createDataFrame([(90_000 + i, t) for i, t in enumerate(CHAINS)], "doc_id long, text string")
+    docs = docs.select("doc_id", "text").unionByName(chains)
+    learn = F.expr("crc32(cast(doc_id as string)) % 5 <> 1")
+    train = docs.where(F.coalesce(learn, F.lit(False)))
+    corpus = suffix_tree_lm.encode(docs, learn)
+    tree = suffix_tree_lm.train(corpus, bits=4, min_seen=3, filter_bits=filter_bits)
+    counts, states, p = brute_tree([t for _, t in rows_of(train)], 4, 3)
     assert (tree.n, tree.v) == (sum(counts.values()), len(counts))
-    assert sum(len(level.contexts) for level in tree.levels) == len(states)
+    depths = Counter(map(len, states))
+    assert tree.sizes == [depths[k] for k in sorted(depths)] and len(tree.sizes) >= 3
     want = Counter()
     for doc_id, text in rows_of(docs):
         tokens = [*(text or "").encode().lower().split(), b"\n"]
         base = sum(math.log10((counts[t] + 0.5) / (tree.n + 0.5 * (tree.v + 1))) for t in tokens)
-        score = sum(math.log10(p(t, tokens[:i])) for i, t in enumerate(tokens))
+        score = sum(math.log10(p(t, tokens[max(0, i - 12) : i])) for i, t in enumerate(tokens))
         want[doc_id, len(tokens), sum(t in counts for t in tokens), round(base, 5), round(score, 5)] += 1
-    got = suffix_tree_lm.score_texts(docs, tree, vocabulary).collect()
+    got = suffix_tree_lm.score_texts(corpus, tree, shortcut, filter_bits).collect()
     assert Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 5), round(r.score, 5)) for r in got) == want
+    assert max(map(len, states)) <= 12
 
 
 def test_suffix_tree_lm_without_training(docs, empty):
-    nothing, vocabulary = suffix_tree_lm.train(empty)
-    assert nothing.n == 0
-    assert all(r.n_known == 0 and r.base_score == r.score == 0 for r in suffix_tree_lm.score_texts(docs, nothing, vocabulary).collect())
-    tree, vocabulary = suffix_tree_lm.train(docs)
-    assert suffix_tree_lm.score_texts(empty, tree, vocabulary).collect() == []
+    nothing = suffix_tree_lm.encode(docs, False)
+    tree = suffix_tree_lm.train(nothing)
+    assert tree.n == 0 and tree.sizes == []
+    found = suffix_tree_lm.score_texts(nothing, tree).collect()
+    assert len(found) == docs.count()
+    assert all(r.n_known == 0 and r.base_score == r.score == 0 for r in found)
+    corpus = suffix_tree_lm.encode(empty)
+    assert suffix_tree_lm.score_texts(corpus, suffix_tree_lm.train(corpus)).collect() == []
 
 
 def test_suffix_tree_lm_held_out(spark):
