@@ -77,6 +77,16 @@ def real_id(doc_id: str) -> Column:
     return F.nullif(F.col(doc_id), F.lit(NO_ID)).alias(doc_id)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``stored`` has written and nothing reads any more."""
+    for one in tables:
+        for folder in {name.rpartition("/")[0] for name in one.inputFiles()}:
+            if folder.rpartition("/")[2].startswith("fleetlens-"):
+                jvm = one.sparkSession.sparkContext._jvm
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(one.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clean_text(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

@@ -27,14 +27,14 @@ Scoring: the log of P(word | longest) is the log of P(word) plus one term for ev
 suffix (its share handed on) and one for every retained suffix that lists the word.  The model
 is therefore one table of keys with numbers to add.
 
-At scale: each text is stored once as the 64-bit keys of its tokens, which every length
-reads.  Candidates, lists and the model are stored tables, joined by key, and grow with the
-corpus.  Tasks get two things of fixed size: a bit table of keys (at most ``FILTER_BITS``
-bits; a key found in it wrongly is dropped by the join) and the ``SHORTCUT`` entries of the
-model used most often, which are added where the text is, so that no key of the join is hot.
-Neither changes a result.  Word keys are checked: if two words of the corpus share a key,
-everything is encoded again with another salt.  Keys of contexts are not checked; with n
-entries two share a key with a chance of n * n / 2**65.
+At scale: one pass over the texts counts words and stores each text as the 64-bit keys of its
+tokens, which every length reads.  Candidates, lists and the model are stored tables, joined
+by key, and grow with the corpus.  Tasks get things of fixed size only: bit tables of keys (at
+most ``FILTER_BITS`` bits each; a key found in one wrongly is dropped by the join) and the
+``SHORTCUT`` entries of the model used most often, which are added where the text is, so that
+no key of the join is hot.  Neither changes a result.  Word keys are checked: if two words of
+the corpus share a key, everything is encoded again with another salt.  Keys of contexts are
+not checked; with n entries two share a key with a chance of n * n / 2**65.
 
 Defined results: null is the empty text, one end token; repeated rows are counted and scored
 row by row; a null id stays null; without training rows nothing is known, and base and score
@@ -43,35 +43,37 @@ are 0; other columns are not looked at.  Very long texts are worked on ``PIECE``
 
 from __future__ import annotations
 
+import contextlib
 import itertools
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import NO_ID, clean_text, known_id, real_id
+from fleetlens.llm.common import NO_ID, clean_text, discard, known_id, real_id
 from fleetlens.session import stored
 
 MIN_SEEN = 8
 BITS = 24.0
 DISCOUNT = 0.75
 #: Entries of the model that every task holds, and bits of a table of keys.
-SHORTCUT = 1_000_000
+SHORTCUT = 2_000_000
 FILTER_BITS = 1 << 27
 #: Tokens worked on at once.
 PIECE = 1_000_000
 #: The end token, which no word equals.
 END = b"\n"
-#: A key of several tokens is a polynomial in this odd number, modulo 2**64.
-_BASE = np.int64(-7046029254386353131)
+#: The key of several tokens mixes the keys of all but the last and of all but the first.
+_FACTORS = np.array([-7046029254386353131, -4417276706812531889], dtype=np.int64)
 #: Sets the key of a context apart from that of the same words as context and next word.
 _CONTEXT = np.int64(0x5851F42D4C957F2D)
+#: Bits of a key that give its two places in a bit table.
+_PLACES = (0, 33)
 _FLUSH_WORDS, _FLUSH_PAIRS = 400_000, 2_000_000
 
 
@@ -84,68 +86,83 @@ def _with_end(text: str) -> list[bytes]:
     return [*tokens(text), END]
 
 
-def _halves(word: bytes, salt: int) -> list[int]:
-    """128 bits of a word as two signed numbers: its key, and what tells words with one key apart."""
-    return np.frombuffer(xxhash.xxh3_128_digest(word, salt), dtype=">i8")[::-1].tolist()
+def _key(word: bytes, salt: int) -> int:
+    """The second half of 128 bits of a word; the first half tells words with one key apart."""
+    return int.from_bytes(xxhash.xxh3_128_digest(word, salt)[8:], "big", signed=True)
 
 
-class _Keys(dict):
-    """Keys of the words met so far."""
-
-    def __init__(self, salt: int) -> None:
-        self.salt = salt
+class _Words(dict):
+    """Number of each word met, in order of meeting."""
 
     def __missing__(self, word: bytes) -> int:
-        key = self[word] = _halves(word, self.salt)[0]
-        return key
+        number = self[word] = len(self)
+        return number
+
+    def halves(self, start: int, salt: int) -> np.ndarray:
+        """Both halves of the words from number ``start`` on."""
+        digests = [xxhash.xxh3_128_digest(word, salt) for word in itertools.islice(self, start, None)]
+        return np.frombuffer(b"".join(digests), dtype=">i8").reshape(-1, 2).astype(np.int64)
 
 
 def encode_texts(documents: DataFrame, salt: int) -> DataFrame:
-    """``(row_key, doc_id, learn, tokens)``, stored: the keys of each text's tokens as binary."""
+    """``(row_key, doc_id, learn, tokens)``, stored: the keys of each text's tokens as binary.
+
+    Rows whose ``learn`` is null hold words instead: both halves and how often training has them.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys = _Keys(salt)
+        words, halves, times = _Words(), np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
+
+        def flush() -> pd.DataFrame:
+            table = np.column_stack([halves, times])
+            blocks = [table[at : at + 50_000].tobytes() for at in range(0, len(table), 50_000)]
+            return pd.DataFrame({"row_key": -1, "doc_id": NO_ID, "learn": None, "tokens": blocks})
+
         for frame in frames:
-            coded = []
-            for text in frame["text"]:
-                words = _with_end(text)
-                coded.append(np.fromiter(map(keys.__getitem__, words), np.int64, len(words)).tobytes())
-                if len(keys) > _FLUSH_WORDS:
-                    keys.clear()
-            yield frame.drop(columns="text").assign(tokens=coded)
+            found = [_with_end(text) for text in frame["text"]]
+            sizes = np.array([len(one) for one in found], dtype=np.int64)
+            numbers = np.fromiter(map(words.__getitem__, itertools.chain.from_iterable(found)), np.int64, sizes.sum())
+            del found
+            halves = np.concatenate([halves, words.halves(len(halves), salt)])
+            learn = np.repeat(frame["learn"].to_numpy(dtype=bool), sizes)
+            more = np.bincount(numbers[learn], minlength=len(words))
+            more[: len(times)] += times
+            times = more
+            coded = np.split(halves[numbers, 1], np.cumsum(sizes)[:-1])
+            yield frame.drop(columns="text").assign(tokens=[one.tobytes() for one in coded])
+            if len(words) > _FLUSH_WORDS:
+                yield flush()
+                words, halves, times = _Words(), halves[:0], times[:0]
+        if words:
+            yield flush()
 
     texts = documents.withColumn("row_key", F.monotonically_increasing_id())
     texts = texts.select("row_key", "doc_id", "learn", "text")
     return stored(texts.mapInPandas(run, "row_key long, doc_id long, learn boolean, tokens binary"))
 
 
-def count_words(documents: DataFrame, salt: int) -> DataFrame:
+def count_words(coded: DataFrame) -> DataFrame:
     """``(key, c, clash)``, stored: all words, how often training has them, and whether two share a key."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
+        for frame in frames:
+            for block in frame["tokens"]:
+                yield pd.DataFrame(np.frombuffer(block, np.int64).reshape(-1, 3), columns=["other", "key", "c"])
 
-        def flush() -> pd.DataFrame:
-            halves = np.array([_halves(word, salt) for word in seen], dtype=np.int64)
-            table = pd.DataFrame({"key": halves[:, 0], "other": halves[:, 1], "c": list(seen.values())})
-            seen.clear()
-            return table
+    counted = coded.where("learn is null").select("tokens").mapInPandas(run, "other long, key long, c long")
+    return stored(counted.groupBy("key").agg(F.sum("c").alias("c"), (F.min("other") != F.max("other")).alias("clash")))
 
-        for frame in frames:
-            for text, learn in zip(frame["text"], frame["learn"]):
-                if learn:
-                    seen.update(_with_end(text))
-                else:
-                    seen.update(dict.fromkeys(_with_end(text), 0))
-                if len(seen) > _FLUSH_WORDS:
-                    yield flush()
-        if seen:
-            yield flush()
 
-    counted = documents.select("text", "learn").mapInPandas(run, "key long, other long, c long")
-    return stored(
-        counted.groupBy("key").agg(F.sum("c").alias("c"), (F.min("other") != F.max("other")).alias("clash"))
-    )
+@contextlib.contextmanager
+def _tidy(spark: SparkSession) -> Iterator[None]:
+    """Inside, Spark removes shuffle files when a query ends: each result is stored, none is read again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 @dataclass
@@ -156,6 +173,10 @@ class Corpus:
     vocabulary: DataFrame
     salt: int
 
+    @property
+    def texts(self) -> DataFrame:
+        return self.coded.where("learn is not null")
+
 
 def encode(documents: DataFrame, learn: Column | bool = True) -> Corpus:
     """All texts as keys; ``learn`` marks the rows that training may use (null: not)."""
@@ -166,9 +187,12 @@ def encode(documents: DataFrame, learn: Column | bool = True) -> Corpus:
         F.coalesce(flag, F.lit(False)).alias("learn"),
     )
     for salt in itertools.count():
-        vocabulary = count_words(texts, salt)
+        coded = encode_texts(texts, salt)
+        with _tidy(coded.sparkSession):
+            vocabulary = count_words(coded)
         if vocabulary.where("clash").isEmpty():
-            return Corpus(encode_texts(texts, salt), vocabulary, salt)
+            return Corpus(coded, vocabulary, salt)
+        discard(coded, vocabulary)
 
 
 @dataclass
@@ -179,20 +203,22 @@ class Filter:
 
     @classmethod
     def of(cls, table: DataFrame, key: str, most: int = FILTER_BITS) -> "Filter":
-        wanted = 1 << max(16 * table.count(), 64).bit_length()
-        size = min(wanted, most)
-        place = F.col(key).bitwiseAND(F.lit(size - 1))
+        size = min(1 << (64 * table.count()).bit_length(), most)
+        place = F.explode(F.array(*[F.shiftright(key, by).bitwiseAND(F.lit(size - 1)) for by in _PLACES]))
         # shiftleft() takes its number of places from a literal only.
         bit = F.expr("shiftleft(1L, cast(place & 63 as int))")
         found = table.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("slot"))
         found = found.agg(F.bit_or(bit).alias("bits")).toArrow()
-        bits = np.zeros(size >> 6, dtype=np.int64)
+        bits = np.zeros(max(size >> 6, 1), dtype=np.int64)
         bits[found.column("slot").to_numpy()] = found.column("bits").to_numpy()
         return cls(bits)
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        place = keys & np.int64(len(self.bits) * 64 - 1)
-        return (self.bits[place >> 6] >> (place & 63)) & 1 == 1
+        found = np.ones(len(keys), dtype=bool)
+        for by in _PLACES:
+            place = (keys >> by) & np.int64(len(self.bits) * 64 - 1)
+            found &= (self.bits[place >> 6] >> (place & 63)) & 1 == 1
+        return found
 
 
 @dataclass
@@ -232,22 +258,32 @@ def pieces(coded: list[bytes], depth: int, most: int = PIECE) -> Iterator[Piece]
         yield joined()
 
 
+def mixed(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Key of some tokens from the keys of all but the last and of all but the first of them."""
+    keys = first * _FACTORS[0] + last
+    keys ^= keys >> 31
+    return keys * _FACTORS[1]
+
+
+def longer(keys: np.ndarray) -> np.ndarray:
+    """Keys of the runs of tokens that end at each place, one longer; the first ones mean nothing."""
+    return np.concatenate([keys[:1], mixed(keys[:-1], keys[1:])])
+
+
 def runs(x: np.ndarray, length: int) -> np.ndarray:
     """Key of the ``length`` tokens that end at each place; the first ones mean nothing."""
-    keys = x.copy()
-    factor = np.ones(1, dtype=np.int64)
-    for back in range(1, length):
-        factor = factor * _BASE
-        keys[back:] += x[:-back] * factor
-    return keys
+    for _ in range(length - 1):
+        x = longer(x)
+    return x
 
 
-def count_next(coded: DataFrame, candidates: Filter, length: int) -> DataFrame:
+def count_next(texts: DataFrame, candidates: Filter, lowers: Filter, length: int) -> DataFrame:
     """``(pair, context, lower, n)``, stored: next words seen twice or more of contexts in the filter.
 
-    ``pair`` is the key of context and next word, ``lower`` the same without the first word.
+    ``pair`` is the key of context and next word, ``lower`` the same without the first word.  A
+    pair is seen twice only if its lower one is.
     """
-    shared = coded.sparkSession.sparkContext.broadcast(candidates)
+    shared = texts.sparkSession.sparkContext.broadcast((candidates, lowers))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
@@ -255,17 +291,18 @@ def count_next(coded: DataFrame, candidates: Filter, length: int) -> DataFrame:
         def flush() -> pd.DataFrame:
             pair, context, lower = map(np.concatenate, zip(*held))
             held.clear()
-            pair, at, n = np.unique(pair, return_index=True, return_counts=True)
-            return pd.DataFrame({"pair": pair, "context": context[at], "lower": lower[at], "n": n})
+            _, at, n = np.unique(pair, return_index=True, return_counts=True)
+            return pd.DataFrame({"context": context[at], "lower": lower[at], "n": n})
 
+        candidates, lowers = shared.value
         for frame in frames:
             for piece in pieces(frame["tokens"].tolist(), length):
-                at = np.flatnonzero(piece.place >= length)
                 keys = runs(piece.x, length)
-                context = keys[at - 1]
-                kept = shared.value.has(context)
-                at, context = at[kept], context[kept]
-                held.append((context * _BASE + piece.x[at], context, keys[at]))
+                at = np.flatnonzero(piece.place >= length)
+                at = at[candidates.has(keys[at - 1])]
+                at = at[lowers.has(keys[at])]
+                context, lower = keys[at - 1], keys[at]
+                held.append((mixed(context, lower), context, lower))
                 size += len(at)
                 if size > _FLUSH_PAIRS:
                     yield flush()
@@ -273,9 +310,13 @@ def count_next(coded: DataFrame, candidates: Filter, length: int) -> DataFrame:
         if held:
             yield flush()
 
-    found = coded.select("tokens").mapInPandas(run, "pair long, context long, lower long, n long")
-    counted = found.groupBy("pair", "context", "lower").agg(F.sum("n").alias("n"))
-    return stored(counted.where("n >= 2"))
+    def add_pair(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(pair=mixed(frame["context"].to_numpy(), frame["lower"].to_numpy()))
+
+    found = texts.select("tokens").mapInPandas(run, "context long, lower long, n long")
+    counted = found.groupBy("context", "lower").agg(F.sum("n").alias("n")).where("n >= 2")
+    return stored(counted.mapInPandas(add_pair, "pair long, context long, lower long, n long"))
 
 
 def retain(counted: DataFrame, candidates: DataFrame, shorter: DataFrame, bits: float) -> tuple[DataFrame, DataFrame]:
@@ -320,8 +361,8 @@ def bounded_cut(table: DataFrame, value: str, most: int) -> int:
 class SuffixTree:
     """Training tokens, distinct ones, contexts retained of each length, and the stored model.
 
-    ``entries`` has ``key, times, known, base, score``: what a key adds to a text, over the
-    text's tokens as unseen words in the empty context.
+    ``entries`` has ``key, times, c, score``: how often training uses a key, its count if it is a
+    word (else 0), and what it adds to the score of a text, whose tokens begin as unseen words.
     """
 
     n: int
@@ -339,27 +380,27 @@ class SuffixTree:
 
 def train(corpus: Corpus, bits: float = BITS, min_seen: int = MIN_SEEN, filter_bits: int = FILTER_BITS) -> SuffixTree:
     """The tree over the texts that training may use."""
-    coded = corpus.coded.where("learn")
+    with _tidy(corpus.coded.sparkSession):
+        return _grow(corpus, bits, min_seen, filter_bits)
+
+
+def _grow(corpus: Corpus, bits: float, min_seen: int, filter_bits: int) -> SuffixTree:
+    texts = corpus.texts.where("learn")
     words = corpus.vocabulary.where("c > 0")
     sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     c = F.col("c")
-    columns = ["key", "times", "known", "base", "score"]
-    none = F.lit(0.0)
-    entries = words.select(
-        "key",
-        c.alias("times"),
-        F.lit(1).alias("known"),
-        F.log10(2 * c + 1).alias("base"),
-        F.log10((c - DISCOUNT) / F.lit(DISCOUNT * sums.v if sums.v else 1.0)).alias("score"),
-    )
+    first = F.log10((c - DISCOUNT) / F.lit(DISCOUNT * sums.v if sums.v else 1.0))
+    entries = words.select("key", c.alias("times"), "c", first.alias("score"))
     # The end token is never before another one.
-    end = _halves(END, corpus.salt)[0]
-    candidates = words.where((c >= min_seen) & (F.col("key") != end)).select(F.col("key").alias("context"), c.alias("seen"))
-    shorter = words.select(F.col("key").alias("pair"), ((c - DISCOUNT) / F.lit(float(max(sums.n, 1)))).alias("p"))
+    candidates = words.where((c >= min_seen) & (F.col("key") != _key(END, corpus.salt)))
+    candidates = candidates.select(F.col("key").alias("context"), c.alias("seen"))
+    shorter = words.select(F.col("key").alias("pair"), c.alias("n"), ((c - DISCOUNT) / F.lit(float(max(sums.n, 1)))).alias("p"))
     sizes: list[int] = []
     while not candidates.isEmpty():
-        counted = count_next(coded, Filter.of(candidates, "context", filter_bits), len(sizes) + 1)
+        lowers = Filter.of(shorter.where("n >= 2"), "pair", filter_bits)
+        counted = count_next(texts, Filter.of(candidates, "context", filter_bits), lowers, len(sizes) + 1)
         rows, contexts = retain(counted, candidates, shorter, bits)
+        discard(counted)
         size = contexts.count()
         if not size:
             break
@@ -369,18 +410,16 @@ def train(corpus: Corpus, bits: float = BITS, min_seen: int = MIN_SEEN, filter_b
             "p", (F.col("n") - DISCOUNT + F.col("rest") * F.col("shorter")) / F.col("seen")
         )
         gain = F.log10(F.col("p") / F.col("shorter")) - handed
-        pairs = stored(pairs.select("pair", "n", "p", gain.alias("score")))
+        shorter = stored(pairs.select("pair", "n", "p", gain.alias("score")))
         key = F.col("context").bitwiseXOR(F.lit(int(_CONTEXT)))
-        for part in (
-            contexts.select(key.alias("key"), F.col("seen").alias("times"), F.lit(0).alias("known"), none.alias("base"), handed.alias("score")),
-            pairs.select(F.col("pair").alias("key"), F.col("n").alias("times"), F.lit(0).alias("known"), none.alias("base"), "score"),
-        ):
-            entries = entries.unionByName(part.select(*columns))
-        shorter = pairs
+        no_word = F.lit(0).cast("long").alias("c")
+        entries = entries.unionByName(contexts.select(key.alias("key"), F.col("seen").alias("times"), no_word, handed.alias("score")))
+        entries = entries.unionByName(shorter.select(F.col("pair").alias("key"), F.col("n").alias("times"), no_word, "score"))
         kept = contexts.select(F.col("context").alias("lower"))
         often = rows.where(F.col("n") >= min_seen).join(kept, "lower", "left_semi")
         candidates = stored(often.select(F.col("pair").alias("context"), F.col("n").alias("seen")))
-    return SuffixTree(sums.n, sums.v, sizes, stored(entries))
+        discard(rows)
+    return SuffixTree(sums.n, sums.v, sizes, entries)
 
 
 @dataclass
@@ -388,20 +427,34 @@ class _Shortcut:
     """What tasks hold of the model: the entries used most, sorted by key, and a filter of the others."""
 
     key: np.ndarray
-    known: np.ndarray
-    base: np.ndarray
+    c: np.ndarray
     score: np.ndarray
     others: Filter
     depth: int
 
+    def __post_init__(self) -> None:
+        order = np.argsort(self.key)
+        self.key = np.append(self.key[order], np.iinfo(np.int64).max)
+        self.c = np.append(self.c[order], 0)
+        self.score = np.append(self.score[order], 0.0)
+        # Keys are spread evenly: their first bits nearly give the place.
+        self.shift = max(64 - len(self.key).bit_length(), 1)
+        edges = np.arange(1 << (64 - self.shift), dtype=np.int64) - (1 << (63 - self.shift))
+        self.start = np.searchsorted(self.key, edges << self.shift)
+        self.base = np.log10(2.0 * self.c + 1)
+
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of each key (-1: not here), and whether it may be one of the others."""
-        if len(self.key):
-            at = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
-            at = np.where(self.key[at] == keys, at, -1)
-        else:
-            at = np.full(len(keys), -1, dtype=np.int64)
-        return at, (at < 0) & self.others.has(keys)
+        at = self.start[(keys >> self.shift) + (len(self.start) >> 1)]
+        low = np.flatnonzero(self.key[at] < keys)
+        while len(low):
+            at[low] += 1
+            low = low[self.key[at[low]] < keys[low]]
+        at[self.key[at] != keys] = -1
+        other = np.flatnonzero(at < 0)
+        found = np.zeros(len(keys), dtype=bool)
+        found[other] = self.others.has(keys[other])
+        return at, found
 
     def terms(self, piece: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
         """Known words, base and score of each token, and the places and keys that the join must add."""
@@ -413,7 +466,7 @@ class _Shortcut:
             entry, other = self.find(keys)
             hit = entry >= 0
             where, entry = at[hit], entry[hit]
-            known[where] += self.known[entry]
+            known[where] += self.c[entry] > 0
             base[where] += self.base[entry]
             score[where] += self.score[entry]
             open_at.append(at[other])
@@ -422,17 +475,16 @@ class _Shortcut:
 
         at = np.flatnonzero(piece.place >= 0)
         add(at, piece.x[at])
-        keys, factor = piece.x, np.ones(1, dtype=np.int64)
+        keys = piece.x
         for length in range(1, self.depth + 1):
             at = at[piece.place[at] >= length]
             if not len(at):
                 break
             # A context is retained only if the shorter one is.
             at = at[add(at, keys[at - 1] ^ _CONTEXT)]
-            add(at, keys[at - 1] * _BASE + piece.x[at])
-            factor = factor * _BASE
-            keys = keys.copy()
-            keys[length:] += piece.x[:-length] * factor
+            pairs = longer(keys)
+            add(at, pairs[at])
+            keys = pairs
         return known, base, score, (np.concatenate(open_at), np.concatenate(open_keys))
 
 
@@ -440,9 +492,8 @@ def score_texts(corpus: Corpus, tree: SuffixTree, shortcut: int = SHORTCUT, filt
     """One row per document row: ``doc_id, learn, n_tokens, n_known, base_score, score``."""
     spark = corpus.coded.sparkSession
     cut = bounded_cut(tree.entries, "times", shortcut)
-    often = tree.entries.where(F.col("times") >= cut).toArrow()
-    order = np.argsort(often.column("key").to_numpy())
-    held = [often.column(name).to_numpy()[order] for name in ("key", "known", "base", "score")]
+    often = tree.entries.where(F.col("times") >= cut).select("key", "c", "score").toArrow()
+    held = [often.column(name).to_numpy() for name in ("key", "c", "score")]
     others = tree.entries.where(F.col("times") < cut)
     shared = spark.sparkContext.broadcast(_Shortcut(*held, Filter.of(others, "key", filter_bits), len(tree.sizes)))
     schema = (
@@ -467,7 +518,7 @@ def score_texts(corpus: Corpus, tree: SuffixTree, shortcut: int = SHORTCUT, filt
                         "doc_id": ids[1][owner],
                         "learn": ids[2][owner],
                         # The text's own row adds no entry (times 0); its key only spreads it.
-                        "key": np.concatenate([ids[0][own] * _BASE, keys]),
+                        "key": np.concatenate([ids[0][own] * _FACTORS[0], keys]),
                         "times": np.repeat([0, 1], [len(own), more]),
                         "n_tokens": np.pad(size, (0, more)),
                         "n_known": np.pad(np.bincount(piece.owner, known)[own], (0, more)),
@@ -476,8 +527,11 @@ def score_texts(corpus: Corpus, tree: SuffixTree, shortcut: int = SHORTCUT, filt
                     }
                 )
 
-    parts = corpus.coded.mapInPandas(run, schema)
-    added = others.select("key", *[F.col(name).alias(f"more_{name}") for name in ("known", "base", "score")])
+    parts = corpus.texts.mapInPandas(run, schema)
+    c = F.col("c")
+    added = others.select(
+        "key", (c > 0).cast("long").alias("more_known"), F.log10(2 * c + 1).alias("more_base"), F.col("score").alias("more_score")
+    )
     parts = parts.join(added, "key", "left")
 
     def total(name: str, more: str) -> Column:

@@ -146,7 +146,7 @@ def test_next_words_add_up_to_one(spark):
         """P of the words alone: the score without the end token's factor, from texts one word longer."""
         return 10 ** log[[t for _, t in rows].index(text)]
 
-    coded = other.coded.select("doc_id", "tokens").collect()
+    coded = other.texts.select("doc_id", "tokens").collect()
     tokens = {r.doc_id: np.frombuffer(r.tokens, dtype=np.int64) for r in coded}
     assert all(len(tokens[i]) == len(t.split()) + 1 for i, (_, t) in enumerate(rows))
     entries = {r.key: r.score for r in tree.entries.collect()}
@@ -163,7 +163,7 @@ def test_next_words_add_up_to_one(spark):
             total += entries[key] + entries.get(int(suffix_tree_lm.runs(x, k + 1)[-1]), 0.0)
         return 10**total
 
-    known = [*(suffix_tree_lm._halves(w.encode(), 0)[0] for w in words), suffix_tree_lm._halves(b"\n", 0)[0]]
+    known = [*(suffix_tree_lm._key(w.encode(), 0) for w in words), suffix_tree_lm._key(b"\n", 0)]
     for at, start in enumerate(starts):
         history = tokens[at][:-1].tolist()
         assert sum(p(history, w) for w in known) == pytest.approx(1)
@@ -189,13 +189,17 @@ def test_long_texts_in_pieces():
 
 def test_words_that_share_a_key_get_another_salt(spark, monkeypatch):
     rows = spark.createDataFrame([(1, "one two three"), (2, None)], "doc_id long, text string")
-    counted = suffix_tree_lm.count_words
+    encoded, counted = suffix_tree_lm.encode_texts, suffix_tree_lm.count_words
     salts = []
 
-    def clashing(texts, salt):
+    def salted(texts, salt):
         salts.append(salt)
-        return counted(texts, salt).withColumn("clash", F.lit(salt < 2))
+        return encoded(texts, salt)
 
+    def clashing(coded):
+        return counted(coded).withColumn("clash", F.lit(len(salts) < 3))
+
+    monkeypatch.setattr(suffix_tree_lm, "encode_texts", salted)
     monkeypatch.setattr(suffix_tree_lm, "count_words", clashing)
     corpus = suffix_tree_lm.encode(rows)
     assert salts == [0, 1, 2] and corpus.salt == 2
