@@ -55,17 +55,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import NO_ID, clean_text, discard, known_id, real_id
+from fleetlens.llm.common import NO_ID, clean_text, discard, give_back, known_id, real_id
 from fleetlens.session import stored
 
 MIN_SEEN = 8
 BITS = 24.0
 DISCOUNT = 0.75
 #: Entries of the model that every task holds, and bits of a table of keys.
-SHORTCUT = 2_000_000
+SHORTCUT = 1_000_000
 FILTER_BITS = 1 << 27
 #: Tokens worked on at once.
-PIECE = 1_000_000
+PIECE = 500_000
 #: The end token, which no word equals.
 END = b"\n"
 #: The key of several tokens mixes the keys of all but the last and of all but the first.
@@ -114,15 +114,21 @@ def encode_texts(documents: DataFrame, salt: int) -> DataFrame:
         words, halves, times = _Words(), np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
 
         def flush() -> pd.DataFrame:
-            table = np.column_stack([halves, times])
+            # Half of the other half is enough to tell two words apart.
+            table = np.column_stack([halves[:, 0] >> 32, halves[:, 1], times])
             blocks = [table[at : at + 50_000].tobytes() for at in range(0, len(table), 50_000)]
             return pd.DataFrame({"row_key": -1, "doc_id": NO_ID, "learn": None, "tokens": blocks})
 
         for frame in frames:
-            found = [_with_end(text) for text in frame["text"]]
-            sizes = np.array([len(one) for one in found], dtype=np.int64)
-            numbers = np.fromiter(map(words.__getitem__, itertools.chain.from_iterable(found)), np.int64, sizes.sum())
-            del found
+            sizes: list[int] = []
+
+            def cut(text: str) -> list[bytes]:
+                found = _with_end(text)
+                sizes.append(len(found))
+                return found
+
+            found = itertools.chain.from_iterable(map(cut, frame["text"]))
+            numbers = np.fromiter(map(words.__getitem__, found), np.int64)
             halves = np.concatenate([halves, words.halves(len(halves), salt)])
             learn = np.repeat(frame["learn"].to_numpy(dtype=bool), sizes)
             more = np.bincount(numbers[learn], minlength=len(words))
@@ -135,6 +141,8 @@ def encode_texts(documents: DataFrame, salt: int) -> DataFrame:
                 words, halves, times = _Words(), halves[:0], times[:0]
         if words:
             yield flush()
+        words.clear()
+        give_back()
 
     texts = documents.withColumn("row_key", F.monotonically_increasing_id())
     texts = texts.select("row_key", "doc_id", "learn", "text")
@@ -155,14 +163,19 @@ def count_words(coded: DataFrame) -> DataFrame:
 
 @contextlib.contextmanager
 def _tidy(spark: SparkSession) -> Iterator[None]:
-    """Inside, Spark removes shuffle files when a query ends: each result is stored, none is read again."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "true")
+    """Inside, tables are written small and shuffle files go when a query ends: each result is stored."""
+    settings = {
+        "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+        "spark.sql.parquet.compression.codec": "zstd",
+    }
+    before = {name: spark.conf.get(name) for name in settings}
     try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 @dataclass
@@ -187,8 +200,8 @@ def encode(documents: DataFrame, learn: Column | bool = True) -> Corpus:
         F.coalesce(flag, F.lit(False)).alias("learn"),
     )
     for salt in itertools.count():
-        coded = encode_texts(texts, salt)
-        with _tidy(coded.sparkSession):
+        with _tidy(documents.sparkSession):
+            coded = encode_texts(texts, salt)
             vocabulary = count_words(coded)
         if vocabulary.where("clash").isEmpty():
             return Corpus(coded, vocabulary, salt)
@@ -203,13 +216,13 @@ class Filter:
 
     @classmethod
     def of(cls, table: DataFrame, key: str, most: int = FILTER_BITS) -> "Filter":
-        size = min(1 << (64 * table.count()).bit_length(), most)
+        size = min(1 << max(32 * table.count(), 64).bit_length(), most)
         place = F.explode(F.array(*[F.shiftright(key, by).bitwiseAND(F.lit(size - 1)) for by in _PLACES]))
         # shiftleft() takes its number of places from a literal only.
         bit = F.expr("shiftleft(1L, cast(place & 63 as int))")
         found = table.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("slot"))
         found = found.agg(F.bit_or(bit).alias("bits")).toArrow()
-        bits = np.zeros(max(size >> 6, 1), dtype=np.int64)
+        bits = np.zeros(size >> 6, dtype=np.int64)
         bits[found.column("slot").to_numpy()] = found.column("bits").to_numpy()
         return cls(bits)
 
@@ -309,6 +322,7 @@ def count_next(texts: DataFrame, candidates: Filter, lowers: Filter, length: int
                     size = 0
         if held:
             yield flush()
+        give_back()
 
     def add_pair(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -316,7 +330,9 @@ def count_next(texts: DataFrame, candidates: Filter, lowers: Filter, length: int
 
     found = texts.select("tokens").mapInPandas(run, "context long, lower long, n long")
     counted = found.groupBy("context", "lower").agg(F.sum("n").alias("n")).where("n >= 2")
-    return stored(counted.mapInPandas(add_pair, "pair long, context long, lower long, n long"))
+    found = stored(counted.mapInPandas(add_pair, "pair long, context long, lower long, n long"))
+    shared.destroy()
+    return found
 
 
 def retain(counted: DataFrame, candidates: DataFrame, shorter: DataFrame, bits: float) -> tuple[DataFrame, DataFrame]:
@@ -433,19 +449,27 @@ class _Shortcut:
     depth: int
 
     def __post_init__(self) -> None:
-        order = np.argsort(self.key)
-        self.key = np.append(self.key[order], np.iinfo(np.int64).max)
-        self.c = np.append(self.c[order], 0)
-        self.score = np.append(self.score[order], 0.0)
         # Keys are spread evenly: their first bits nearly give the place.
         self.shift = max(64 - len(self.key).bit_length(), 1)
         edges = np.arange(1 << (64 - self.shift), dtype=np.int64) - (1 << (63 - self.shift))
-        self.start = np.searchsorted(self.key, edges << self.shift)
+        self.start = np.searchsorted(self.key, edges << self.shift).astype(np.int32)
         self.base = np.log10(2.0 * self.c + 1)
 
+    @classmethod
+    def of(cls, entries: DataFrame, others: Filter, depth: int) -> "_Shortcut":
+        found = entries.select("key", "c", "score").toArrow()
+        key, c, score = (found.column(name).to_numpy() for name in ("key", "c", "score"))
+        order = np.argsort(key)
+        # One key more, so that there always is one not below the key looked for.
+        last = np.iinfo(np.int64).max
+        return cls(np.append(key[order], last), np.append(c[order], 0), np.append(score[order], 0.0), others, depth)
+
+    def __reduce__(self) -> tuple:
+        return _Shortcut, (self.key, self.c, self.score, self.others, self.depth)
+
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of each key (-1: not here), and whether it may be one of the others."""
-        at = self.start[(keys >> self.shift) + (len(self.start) >> 1)]
+        at = self.start[(keys >> self.shift) + (len(self.start) >> 1)].astype(np.int64)
         low = np.flatnonzero(self.key[at] < keys)
         while len(low):
             at[low] += 1
@@ -492,10 +516,10 @@ def score_texts(corpus: Corpus, tree: SuffixTree, shortcut: int = SHORTCUT, filt
     """One row per document row: ``doc_id, learn, n_tokens, n_known, base_score, score``."""
     spark = corpus.coded.sparkSession
     cut = bounded_cut(tree.entries, "times", shortcut)
-    often = tree.entries.where(F.col("times") >= cut).select("key", "c", "score").toArrow()
-    held = [often.column(name).to_numpy() for name in ("key", "c", "score")]
-    others = tree.entries.where(F.col("times") < cut)
-    shared = spark.sparkContext.broadcast(_Shortcut(*held, Filter.of(others, "key", filter_bits), len(tree.sizes)))
+    often, others = tree.entries.where(F.col("times") >= cut), tree.entries.where(F.col("times") < cut)
+    with _tidy(spark):
+        rest = Filter.of(others, "key", filter_bits)
+        shared = spark.sparkContext.broadcast(_Shortcut.of(often, rest, len(tree.sizes)))
     schema = (
         "row_key long, doc_id long, learn boolean, key long, times int, n_tokens long, n_known long, "
         "base double, score double"
