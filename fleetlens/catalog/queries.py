@@ -821,7 +821,7 @@ def sr_create(f):
 
 
 def _fault_model(f: Frames) -> tuple[fault_model.FaultModel, DataFrame]:
-    rows = fault_model.training_frame(f.silver, f.as_of)
+    rows = fault_model.training_rows(f.silver, f.as_of)
     return fault_model.FaultModel.fit(rows), rows
 
 

@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import (
     Imputer,
     OneHotEncoder,
@@ -20,10 +19,12 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.expr import before, rows_since
 from fleetlens.functions.scores import HORIZONS
+from fleetlens.ml.curves import areas
 from fleetlens.ml.store import ModelStore, NoModel
 from fleetlens.operators.labels import label_future_fault
 from fleetlens.operators.scoring import FEATURES, drop_incomplete
 from fleetlens.plans.semantic import AsOf
+from fleetlens.session import stored
 
 KIND = "fault"
 LABEL = "label_fault_next_5m"
@@ -46,6 +47,17 @@ def training_frame(silver: DataFrame, as_of: AsOf, horizon_s: int = HORIZON_S) -
     return drop_incomplete(labelled, [*FEATURES, "state"])
 
 
+def training_rows(silver: DataFrame, as_of: AsOf, horizon_s: int = HORIZON_S) -> DataFrame:
+    """What the model reads of :func:`training_frame`, stored.
+
+    Training and its figures read the rows about ten times; the events behind them are read once
+    for the rows and once for the labels.  Spread evenly, since a file of few row groups is read
+    by few tasks.
+    """
+    rows = training_frame(silver, as_of, horizon_s).select(*FEATURES, "state", LABEL)
+    return stored(rows.hint("rebalance"))
+
+
 def _prepared(df: DataFrame) -> DataFrame:
     """Feature columns as doubles under private names; NULLs are left to the pipeline."""
     return df.withColumns({n: F.col(c).cast("double") for n, c in zip(_NUMBERS, FEATURES)})
@@ -115,15 +127,10 @@ class FaultModel:
         return scored.select(*df.columns, vector_to_array("_probability")[1].alias(name))
 
     def metrics(self, labelled: DataFrame) -> dict[str, float]:
-        scored = self._transform(labelled).withColumn("_label", F.col(LABEL).cast("double"))
-        out = {}
-        for name, metric in (("roc_auc", "areaUnderROC"), ("avg_precision", "areaUnderPR")):
-            evaluator = BinaryClassificationEvaluator(
-                # 0 bins: the curve keeps every distinct score.
-                rawPredictionCol="_raw", labelCol="_label", metricName=metric, numBins=0
-            )
-            out[name] = evaluator.evaluate(scored)
-        return out
+        """Areas under both curves, every distinct score a point."""
+        scored = self._transform(labelled).select(vector_to_array("_raw")[1].alias("raw"), LABEL)
+        roc, precision_recall = areas(scored, "raw", F.col(LABEL) == 1)
+        return {"roc_auc": roc, "avg_precision": precision_recall}
 
     def save(self, store: ModelStore, summary: dict | None = None) -> "FaultModel":
         run_id, folder = store.new_run(KIND)
@@ -145,7 +152,7 @@ def train_or_reuse(silver: DataFrame, as_of: AsOf, store: ModelStore) -> FaultMo
     When the window has one class only, the last saved model is used; without one, or
     without any rows, it is an error.
     """
-    rows = training_frame(silver, as_of)
+    rows = training_rows(silver, as_of)
     try:
         model = FaultModel.fit(rows)
     except NotTrainable as reason:
