@@ -941,7 +941,8 @@ def anomaly_cut_checks(f):
 @query
 def model_registry_lookup(f):
     store = ModelStore(f.spark, f.work_dir())
-    rows = isolation_forest.training_frame(f.silver, f.as_of)
+    # Two models are trained on the rows and one scores them.
+    rows = stored(isolation_forest.training_frame(f.silver, f.as_of).select(*TIE, *isolation_forest.FEATURES))
     first = IsolationForest(n_trees=20).fit(rows).save(store)
     second = IsolationForest(n_trees=20, seed=7).fit(rows).save(store)
     found = IsolationForestModel.load_latest(store)

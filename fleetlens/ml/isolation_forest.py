@@ -91,15 +91,24 @@ class IsolationForest:
     sample_size: int = 256
     features: Sequence[str] = FEATURES
 
+    def _base(self, rows: DataFrame) -> DataFrame:
+        """(id, features) of all rows, stored: counted, drawn from and scored.
+
+        Spread evenly, since a file of few row groups is read by few tasks.
+        """
+        # The row itself decides, so another partitioning draws the same rows.
+        values = [F.col(c).cast("double").alias(c) for c in self.features]
+        return stored(rows.select(F.xxhash64(*rows.columns).alias("_id"), *values).hint("rebalance"))
+
     def _samples(self, rows: DataFrame) -> DataFrame:
+        return self._draw(self._base(rows))
+
+    def _draw(self, pool: DataFrame) -> DataFrame:
         """(tree, order, features): about 1.5 sample sizes of random rows per tree."""
-        total = rows.count()
+        total = pool.count()
         if total == 0:
             raise ValueError("no complete rows to train on")
         wanted = self.n_trees * self.sample_size * _SPARE
-        # The row itself decides, so another partitioning draws the same rows.
-        values = [F.col(c).cast("double").alias(c) for c in self.features]
-        pool = rows.select(F.xxhash64(*rows.columns).alias("_id"), *values)
         chance = F.pmod(F.xxhash64("_id", F.lit(self.seed), F.lit("pool")), F.lit(_BUCKETS))
         pool = pin(pool.where(chance < min(1.0, wanted / total) * _BUCKETS))
         share = min(1.0, self.sample_size * _SPARE / max(1, pool.count()))
@@ -115,7 +124,7 @@ class IsolationForest:
     def fit(self, df: DataFrame) -> "IsolationForestModel":
         """Grow the trees and set the cut so that ``contamination`` of the rows lie below it."""
         ship(df.sparkSession)
-        rows = drop_incomplete(df, self.features)
+        rows = self._base(drop_incomplete(df, self.features))
         names, size, seed = list(self.features), self.sample_size, self.seed
 
         def build(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -124,7 +133,7 @@ class IsolationForest:
             grown = grow(kept[names].to_numpy(), tree, np.random.default_rng([seed, tree]))
             return pd.DataFrame(grown, columns=[f.split()[0] for f in NODES.split(", ")])
 
-        drawn = pin(self._samples(rows))
+        drawn = pin(self._draw(rows))
         nodes = drawn.groupBy("tree").applyInPandas(build, NODES).toPandas()
         per_tree = drawn.groupBy("tree").agg(F.count("*").alias("n")).agg(F.avg(F.least("n", F.lit(size))))
         model = IsolationForestModel(nodes, float(per_tree.first()[0]), 0.0, tuple(names))
