@@ -64,8 +64,9 @@ DISCOUNT = 0.75
 #: Entries of the model that every task holds, and bits of a table of keys.
 SHORTCUT = 1_000_000
 FILTER_BITS = 1 << 27
-#: Tokens worked on at once.
-PIECE = 500_000
+#: Tokens worked on at once, and rows handed to Spark at once: two tasks and Spark itself share an executor.
+PIECE = 125_000
+BATCH = 50_000
 #: The end token, which no word equals.
 END = b"\n"
 #: The key of several tokens mixes the keys of all but the last and of all but the first.
@@ -74,7 +75,7 @@ _FACTORS = np.array([-7046029254386353131, -4417276706812531889], dtype=np.int64
 _CONTEXT = np.int64(0x5851F42D4C957F2D)
 #: Bits of a key that give its two places in a bit table.
 _PLACES = (0, 33)
-_FLUSH_WORDS, _FLUSH_PAIRS = 400_000, 2_000_000
+_FLUSH_WORDS, _FLUSH_PAIRS = 400_000, 500_000
 
 
 def tokens(text: str) -> list[bytes]:
@@ -271,6 +272,12 @@ def pieces(coded: list[bytes], depth: int, most: int = PIECE) -> Iterator[Piece]
         yield joined()
 
 
+def batches(columns: dict[str, np.ndarray]) -> Iterator[pd.DataFrame]:
+    """Rows of equally long columns, ``BATCH`` at a time."""
+    for at in range(0, len(next(iter(columns.values()))), BATCH):
+        yield pd.DataFrame({name: values[at : at + BATCH] for name, values in columns.items()})
+
+
 def mixed(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Key of some tokens from the keys of all but the last and of all but the first of them."""
     keys = first * _FACTORS[0] + last
@@ -301,11 +308,11 @@ def count_next(texts: DataFrame, candidates: Filter, lowers: Filter, length: int
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
 
-        def flush() -> pd.DataFrame:
+        def flush() -> Iterator[pd.DataFrame]:
             pair, context, lower = map(np.concatenate, zip(*held))
             held.clear()
             _, at, n = np.unique(pair, return_index=True, return_counts=True)
-            return pd.DataFrame({"context": context[at], "lower": lower[at], "n": n})
+            return batches({"context": context[at], "lower": lower[at], "n": n})
 
         candidates, lowers = shared.value
         for frame in frames:
@@ -318,10 +325,10 @@ def count_next(texts: DataFrame, candidates: Filter, lowers: Filter, length: int
                 held.append((mixed(context, lower), context, lower))
                 size += len(at)
                 if size > _FLUSH_PAIRS:
-                    yield flush()
+                    yield from flush()
                     size = 0
         if held:
-            yield flush()
+            yield from flush()
         give_back()
 
     def add_pair(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -536,7 +543,7 @@ def score_texts(corpus: Corpus, tree: SuffixTree, shortcut: int = SHORTCUT, filt
                 own = np.flatnonzero(n)
                 size, more = n[own], len(keys)
                 owner = np.concatenate([own, piece.owner[at]])
-                yield pd.DataFrame(
+                yield from batches(
                     {
                         "row_key": ids[0][owner],
                         "doc_id": ids[1][owner],
@@ -550,6 +557,7 @@ def score_texts(corpus: Corpus, tree: SuffixTree, shortcut: int = SHORTCUT, filt
                         "score": np.pad(np.bincount(piece.owner, score)[own] + size * unseen_score, (0, more)),
                     }
                 )
+        give_back()
 
     parts = corpus.texts.mapInPandas(run, schema)
     c = F.col("c")

@@ -187,6 +187,17 @@ def test_long_texts_in_pieces():
         assert sorted(seen) == sorted(zip(whole.owner[at].tolist(), whole.place[at].tolist(), keys[at].tolist()))
 
 
+def test_rows_go_to_spark_in_bounded_batches():
+    n = 2 * suffix_tree_lm.BATCH + 5
+    found = list(suffix_tree_lm.batches({"a": np.arange(n), "b": np.arange(n) * 2}))
+    assert [len(frame) for frame in found] == [suffix_tree_lm.BATCH] * 2 + [5]
+    assert [a for frame in found for a in frame["a"]] == list(range(n))
+    assert all((frame["b"] == 2 * frame["a"]).all() for frame in found)
+    # What a task holds of its texts: keys, places and owners, and the pairs not yet counted.
+    held = 3 * 8 * (suffix_tree_lm.PIECE + suffix_tree_lm._FLUSH_PAIRS)
+    assert held <= 16 << 20
+
+
 def test_words_that_share_a_key_get_another_salt(spark, monkeypatch):
     rows = spark.createDataFrame([(1, "one two three"), (2, None)], "doc_id long, text string")
     encoded, counted = suffix_tree_lm.encode_texts, suffix_tree_lm.count_words
