@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import by_hash, clean_text, known_id, real_id
+from fleetlens.llm.common import by_hash, clean_text, give_back, known_id, real_id
 
 #: At most about this many labelled rows are learned from.
 SAMPLE = 12_000
@@ -136,10 +136,13 @@ def train_toxicity(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE
     rows = training_rows(documents, labels, sample)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back()
         parts = list(frames)
         data = pd.concat(parts) if parts else pd.DataFrame({"text": [], "label": []})
         data = data.sort_values("text", ignore_index=True)
         model = fit(data["text"].tolist(), data["label"].to_numpy())
+        parts = data = None
+        give_back()
         yield pd.DataFrame({"word": ["", *model.weights], "weight": [model.leak, *model.weights.values()]})
 
     found = rows.coalesce(1).mapInPandas(run, "word string, weight double").collect()
