@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,14 +20,17 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Rows and bytes of an Arrow batch; texts are long, and a worker holds a batch several times over.
 BATCH_ROWS = 2000
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
+#: Bytes of a Parquet row group, which a writing task holds whole.
+ROW_GROUP = 16 << 20
 
 
 def ready(spark: SparkSession) -> None:
-    """Python workers get the package, and batches they can hold."""
+    """Python workers get the package and batches they can hold; tables are written in small row groups."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("parquet.block.size", ROW_GROUP)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +67,16 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def giving_back(run: Callable) -> Callable:
+    """``run``, a function over batches, whose worker gives memory back after the last batch."""
+
+    def wrapped(frames: Iterator) -> Iterator:
+        yield from run(frames)
+        give_back()
+
+    return wrapped
+
+
 #: Stands for a null id where ids pass through pandas, which has no null integers.
 NO_ID = -(2**63)
 

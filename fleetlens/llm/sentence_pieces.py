@@ -26,6 +26,7 @@ are not looked at.
 
 from __future__ import annotations
 
+import itertools
 import re
 from array import array
 from collections.abc import Iterator
@@ -36,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import clean_text, give_back, groups, known_id, real_id
+from fleetlens.llm.common import clean_text, give_back, giving_back, groups, known_id, real_id
 from fleetlens.session import stored
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -45,8 +46,10 @@ CHUNK = 16_384
 UNKNOWN = 10.0
 #: Characters of the texts that are encoded before their pieces are handed on.
 STEP = 1 << 20
-#: Words whose pieces a worker remembers, twice over.
-WORDS = 200_000
+#: Words whose pieces a worker remembers within a task, twice over.
+WORDS = 100_000
+#: Characters of the words that are segmented side by side, and of a word that is too long to be remembered.
+SIDE, LONG_WORD = 1 << 16, 64
 MARK = "▁"
 #: Stands for a mark that belongs to the text; no valid text holds a lone surrogate.
 OWN_MARK = "\ud800"
@@ -98,6 +101,7 @@ class Pieces:
         self.score_of[[i for _, i in self.scores.values()]] = [score for score, _ in self.scores.values()]
         self.words = WordCache(self)
         self.table: list[bytes] | None = None
+        self.steps: Steps | None = None
 
     def __getstate__(self) -> tuple:
         return self.scores, self.byte_ids, self.unknown
@@ -180,6 +184,21 @@ class Pieces:
         pieces.reverse()
         return best[size], pieces
 
+    def segment_all(self, words: list[str]) -> Iterator[tuple[list[str], list[bytes]]]:
+        """Words and their packed ids, as :meth:`segment` finds them, many words side by side."""
+        if not words:
+            return
+        if self.steps is None:
+            self.steps = Steps.of(self)
+        for first, last in _steps(list(map(len, words)), SIDE):
+            yield words[first:last], self.steps.segment(words[first:last])
+
+    def forget(self) -> None:
+        """Let the words go that were looked up; the worker outlives the task."""
+        self.words.clear()
+        self.words.older = {}
+        give_back()
+
     def sum_of(self, packed: bytes) -> float:
         """Sum of scores of packed ids; a character in bytes costs the unknown score once."""
         return float(self.score_of[np.frombuffer(packed, dtype=np.int32)].sum())
@@ -256,8 +275,9 @@ class Pieces:
         cut = self.cuts(chunk)
         if cut is None:
             return b""
-        words = self.words
-        return b"".join([words[word] for word in _WORD.findall(chunk[cut[0] : cut[1]])])
+        found = _WORD.findall(chunk[cut[0] : cut[1]])
+        self.words.learn(set(found))
+        return b"".join(map(self.words.__getitem__, found))
 
     def trace(self, chunk: str, ahead: str, exit_: int, lengths: bytes, inner: bytes) -> np.ndarray:
         """Ids of the pieces that start in a chunk, from its exit state, back pointers and inner words."""
@@ -272,6 +292,154 @@ class Pieces:
         return np.concatenate(parts)
 
 
+@dataclass
+class Steps:
+    """The trie of the pieces as a hash table from ``node * letters + letter`` to the next node.
+
+    Letters are numbered from 1; 0 is the gap after a word or a letter of no piece, which no
+    piece crosses.  Node 0 is the root, and as the end of a piece a letter in bytes.
+    """
+
+    pieces: Pieces
+    letters: np.ndarray
+    single: np.ndarray
+    keys: np.ndarray
+    nexts: np.ndarray
+    scores: np.ndarray
+    ids: np.ndarray
+
+    @classmethod
+    def of(cls, pieces: Pieces) -> "Steps":
+        scores = pieces.scores
+        known = sorted(set("".join(scores)))
+        # The last place stands for all letters beyond.
+        letters = np.zeros(ord(known[-1]) + 2, dtype=np.int64)
+        letters[[ord(letter) for letter in known]] = np.arange(1, len(known) + 1)
+        number = {letter: i + 1 for i, letter in enumerate(known)}
+        nodes: dict[int, int] = {}
+        ends: dict[int, tuple[float, int]] = {}
+        for piece, end in scores.items():
+            node = 0
+            for letter in piece:
+                node = nodes.setdefault(node * (len(known) + 1) + number[letter], len(nodes) + 1)
+            ends[node] = end
+        size = 1 << (4 * len(nodes)).bit_length()
+        single = np.array([False, *(letter in scores for letter in known)])
+        table = cls(
+            pieces, letters, single, np.full(size, -1), np.zeros(size, np.int64),
+            np.full(len(nodes) + 1, np.nan), np.zeros(len(nodes) + 1, np.int32),
+        )
+        table.scores[0], table.ids[0] = pieces.unknown, -1
+        table.scores[list(ends)] = [score for score, _ in ends.values()]
+        table.ids[list(ends)] = [i for _, i in ends.values()]
+        left, to = np.array(list(nodes)), np.array(list(nodes.values()))
+        slot = table.slot(left)
+        while len(left):
+            # Of several keys for a free slot one gets it; the others try the next slot.
+            free = np.flatnonzero(table.keys[slot] < 0)
+            table.keys[slot[free]] = left[free]
+            got = table.keys[slot] == left
+            table.nexts[slot[got]] = to[got]
+            left, to, slot = left[~got], to[~got], (slot[~got] + 1) & (size - 1)
+        table.__post_init__()
+        table.first = table.follow(np.zeros(len(single), np.int64), np.arange(len(single)))
+        return table
+
+    def __post_init__(self) -> None:
+        self.ends = ~np.isnan(self.scores)
+        self.first = np.zeros(len(self.single), np.int64)
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * 0x9E3779B97F4A7C1 >> 20) & (len(self.keys) - 1)
+
+    def follow(self, nodes: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """The node each letter leads to, 0 if no piece goes on with it."""
+        wanted = nodes * len(self.single) + letters
+        slot = self.slot(wanted)
+        there = self.keys[slot]
+        other = np.flatnonzero((there != wanted) & (there >= 0))
+        while len(other):
+            slot[other] = (slot[other] + 1) & (len(self.keys) - 1)
+            there[other] = self.keys[slot[other]]
+            other = other[(there[other] != wanted[other]) & (there[other] >= 0)]
+        return np.where(there == wanted, self.nexts[slot], 0)
+
+    def segment(self, words: list[str]) -> list[bytes]:
+        """Packed ids of the best pieces of each word."""
+        longest = self.pieces.longest
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        text = np.frombuffer("\0".join([*words, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        starts = np.cumsum(sizes + 1) - sizes - 1
+        letters = np.zeros(len(text) + longest, dtype=np.int64)
+        letters[: len(text)] = self.letters[np.minimum(text, len(self.letters) - 1)]
+        letters[starts + sizes] = 0
+        inside = np.arange(len(text)) - np.repeat(starts, sizes + 1)
+        # All pieces from each place: where they start, how long they are and their node.
+        bare = ~self.single[letters[: len(text)]]
+        bare[starts + sizes] = False
+        bare = np.flatnonzero(bare)
+        found = [(bare, np.ones(len(bare), np.int64), np.zeros(len(bare), np.int64))]
+        at = np.flatnonzero(letters[: len(text)])
+        node = self.first[letters[at]]
+        for length in range(1, longest + 1):
+            if length > 1:
+                node = self.follow(node, letters[at + length - 1])
+            on = np.flatnonzero(node)
+            if not len(on):
+                break
+            at, node = at[on], node[on]
+            ends = np.flatnonzero(self.ends[node])
+            found.append((at[ends], np.full(len(ends), length), node[ends]))
+        start, length, node = map(np.concatenate, zip(*found))
+        # Place by place in all words at once; within a step no two pieces end at one place.
+        step = inside[start] * (longest + 1) + length
+        # Numbers of 16 bits are sorted by counting.
+        order = np.argsort(step.astype(np.int16) if step.max() < 1 << 15 else step, kind="stable")
+        start, length, node, step = start[order], length[order], node[order], step[order]
+        best, last = np.full(len(text), _NONE), np.zeros(len(text), dtype=np.int64)
+        best[starts] = 0.0
+        edges = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), len(step)]
+        to, score = start + length, self.scores[node]
+        for low, high in zip(edges, edges[1:]):
+            ends, total = to[low:high], best[start[low:high]] + score[low:high]
+            more = np.flatnonzero(total > best[ends])
+            best[ends[more]] = total[more]
+            last[ends[more]] = low + more
+        # Back from the ends, one piece of every word at a time.
+        at, word, owners, taken = starts + sizes, np.arange(len(words)), [], []
+        while len(at):
+            piece = last[at]
+            owners.append(word)
+            taken.append(piece)
+            at = start[piece]
+            on = np.flatnonzero(at > starts[word])
+            at, word = at[on], word[on]
+        owner, piece = np.concatenate(owners), np.concatenate(taken)
+        turn = np.repeat(np.arange(len(owners)), [len(each) for each in owners])
+        ends = np.cumsum(np.bincount(owner, minlength=len(words)))
+        place = ends[owner] - 1 - turn
+        ids, letter = np.empty(len(piece), np.int32), np.empty(len(piece), np.uint32)
+        ids[place], letter[place] = self.ids[node[piece]], text[start[piece]]
+        if (ids < 0).any():
+            ids, ends = self.in_bytes(ids, letter, ends)
+        data, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+        return [data[low:high] for low, high in zip(cuts, cuts[1:])]
+
+    def in_bytes(self, ids: np.ndarray, letter: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids with the byte pieces of their letter for each -1, and where the words then end."""
+        spelled = {code: self.pieces.ids_of(chr(code)) for code in np.unique(letter[ids < 0]).tolist()}
+        size = np.ones(len(ids), dtype=np.int64)
+        for code, parts in spelled.items():
+            size[(ids < 0) & (letter == code)] = len(parts)
+        first = np.cumsum(size) - size
+        found = np.repeat(ids, size)
+        for code, parts in spelled.items():
+            at = first[(ids < 0) & (letter == code)]
+            for turn, part in enumerate(parts):
+                found[at + turn] = part
+        return found, np.cumsum(size)[ends - 1]
+
+
 class WordCache(dict):
     """Packed ids by word.  A full cache becomes the older one, whose words are looked up once more."""
 
@@ -284,13 +452,26 @@ class WordCache(dict):
         found = self.older.get(word)
         if found is None:
             found = array("i", self.pieces.segment(word)[1]).tobytes()
-        if len(word) < 64:
-            if len(self) >= self.most:
-                self.older = dict(self)
-                self.clear()
-            self[word] = found
+        if len(word) < LONG_WORD:
+            self.keep([word], [found])
         return found
 
+    def keep(self, words: list[str], found: list[bytes]) -> None:
+        if len(self) + len(words) > self.most:
+            self.older = dict(self)
+            self.clear()
+        self.update(zip(words, found))
+
+    def learn(self, words: set[str]) -> None:
+        """Look up the words that are not known, all at once."""
+        new = [word for word in words if word not in self and len(word) < LONG_WORD]
+        older = self.older
+        known = [word for word in new if word in older]
+        new = [word for word in new if word not in older]
+        self.keep(known, [older[word] for word in known])
+        for some, found in self.pieces.segment_all(new):
+            self.keep(some, found)
+
 
 def shown(text: str) -> str:
     """A text as pieces see it: a mark before it and for every space."""
@@ -299,11 +480,17 @@ def shown(text: str) -> str:
 
 def encode_text(text: str, pieces: Pieces) -> np.ndarray:
     """Ids of one text."""
-    text = shown(text)
+    return encode_texts([text], pieces)[0]
+
+
+def encode_texts(texts: list[str], pieces: Pieces) -> list[np.ndarray]:
+    """Ids of several texts, whose new words are segmented side by side."""
     if not pieces.marks_start:
-        return np.array(pieces.segment(text)[1], dtype=np.int32)
+        return [np.array(pieces.segment(shown(text))[1], dtype=np.int32) for text in texts]
+    found = [_WORD.findall(shown(text)) for text in texts]
     words = pieces.words
-    return np.frombuffer(b"".join([words[word] for word in _WORD.findall(text)]), dtype=np.int32)
+    words.learn(set(itertools.chain.from_iterable(found)))
+    return [np.frombuffer(b"".join(map(words.__getitem__, each)), dtype=np.int32) for each in found]
 
 
 def _chunks(frames: Iterator[pd.DataFrame], size: int, ahead: int) -> Iterator[pd.DataFrame]:
@@ -350,6 +537,7 @@ def _giants(texts: DataFrame, shared, longest: int, chunk: int) -> DataFrame:
             inner = [known.inner(body) for body in bodies]
             found = [known.transfer(*each).tobytes() for each in zip(bodies, nexts, inner)]
             yield part[["row_key", "chunk"]].assign(matrix=found, inner=inner)
+        known.forget()
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in groups(frames, ["row_key"]):
@@ -394,12 +582,12 @@ def _giants(texts: DataFrame, shared, longest: int, chunk: int) -> DataFrame:
     entries = by_text(moves.select("row_key", "chunk", "matrix")).mapInPandas(scan, "row_key long, chunk int, entry binary")
     pointed = stored(
         chunks.join(entries, ["row_key", "chunk"]).mapInPandas(
-            pointers, "row_key long, chunk int, lengths binary, leads array<int>"
+            giving_back(pointers), "row_key long, chunk int, lengths binary, leads array<int>"
         )
     )
     ends = by_text(pointed.select("row_key", "chunk", "leads")).mapInPandas(exits, "row_key long, chunk int, exit int")
     known = pointed.drop("leads").join(ends, ["row_key", "chunk"]).join(moves.drop("matrix"), ["row_key", "chunk"])
-    traced = chunks.join(known, ["row_key", "chunk"]).mapInPandas(trace, "row_key long, chunk int, pieces array<int>")
+    traced = chunks.join(known, ["row_key", "chunk"]).mapInPandas(giving_back(trace), "row_key long, chunk int, pieces array<int>")
     ordered = F.array_sort(F.collect_list(F.struct("chunk", "pieces")))
     return traced.groupBy("row_key").agg(F.flatten(F.transform(ordered, lambda x: x["pieces"])).alias("pieces"))
 
@@ -439,9 +627,10 @@ def encode(
             # Small steps: the ids of a batch take more room than its texts.
             for first, last in _steps(frame["text"].str.len().tolist()):
                 part = frame.iloc[first:last]
-                found = [encode_text(text, known) for text in part["text"]]
+                found = encode_texts(part["text"].tolist(), known)
                 part = part.drop(columns="text").assign(pieces=found)
                 yield part.assign(text=[known.spell(ids) for ids in found]) if spell else part
+        known.forget()
 
     schema = "doc_id long, text_hash long, pieces array<int>" + (", text string" if spell else "")
     short = docs.where(~is_giant).mapInPandas(ordinary, schema)
