@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.bytes import BYTE_IDS, mix, scramble, signed
-from fleetlens.llm.common import NO_ID, clean_text, groups, known_id, real_id
+from fleetlens.llm.common import NO_ID, clean_text, giving_back, groups, known_id, real_id
 from fleetlens.llm.graph import components
 from fleetlens.session import bounded_broadcast, stored
 
@@ -265,7 +265,7 @@ def jaccard_join(
         known_id(F.col("doc_id")).alias("doc_id"), F.xxhash64("text").alias("text_hash"), clean_text(F.col("text")).alias("text")
     )
     schema = "doc_id long, text_hash long, name1 long, name2 long, shingles long, keys array<long>"
-    sketch = stored(docs.mapInPandas(_sketch(depth, trees, shingle), schema))
+    sketch = stored(docs.mapInPandas(giving_back(_sketch(depth, trees, shingle)), schema))
     # One node per word sequence; its name stands for it, its first row offers the text.
     texts = sketch.where(F.col("name1").isNotNull() & (F.col("doc_id") != NO_ID)).groupBy("name1", "name2").agg(
         F.min(F.struct("doc_id", "text_hash")).alias("first"),
@@ -289,14 +289,14 @@ def jaccard_join(
     members = stored(members)
     sets = docs.join(bounded_broadcast(members), ["doc_id", "text_hash"])
     sets = sets.select("cluster", "node", "copies", "blocks", "block", "text").mapInPandas(
-        _sets(shingle), "cluster long, node long, copies long, blocks int, block int, ids binary"
+        giving_back(_sets(shingle)), "cluster long, node long, copies long, blocks int, block int, ids binary"
     )
     pairs = sets.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     pairs = pairs.select(
         "cluster", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "node", "block", "copies", "ids"
     )
     checked = pairs.repartition("cluster", "one", "two").sortWithinPartitions("cluster", "one", "two", "node")
-    checked = stored(checked.mapInPandas(_verify(similarity), "node long, links long, root long"))
+    checked = stored(checked.mapInPandas(giving_back(_verify(similarity)), "node long, links long, root long"))
     linked = components(checked.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
     found = texts.join(links, "node", "left").join(linked, "node", "left").withColumn("label", F.coalesce("label", "node"))

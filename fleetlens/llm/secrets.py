@@ -47,7 +47,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import by_hash, clean_text, give_back, known_id, real_id
+from fleetlens.llm.common import by_hash, clean_text, give_back, giving_back, known_id, real_id
 
 #: At most about this many documents are learned from.
 SAMPLE = 12_000
@@ -448,7 +448,7 @@ def train(documents: DataFrame, sample: int = SAMPLE, windows: int = WINDOWS) ->
         field = fit((text for frame in frames for text in frame["text"]), windows=windows)
         yield pd.DataFrame({"field": [pickle.dumps(field)]})
 
-    found = chosen.mapInPandas(run, "field binary").collect()
+    found = chosen.mapInPandas(giving_back(run), "field binary").collect()
     return pickle.loads(found[0].field) if found else None
 
 
@@ -478,7 +478,7 @@ def scan_secrets(documents: DataFrame, field: Field | None) -> DataFrame:
         known_id(F.col("doc_id")).alias("doc_id"), F.xxhash64("text").alias("text_hash"), clean_text(F.col("text")).alias("text")
     )
     spans = "array<struct<start:int,end:int,kind:string>>"
-    found = docs.mapInPandas(run, f"doc_id long, text_hash long, base {spans}, added {spans}")
+    found = docs.mapInPandas(giving_back(run), f"doc_id long, text_hash long, base {spans}, added {spans}")
     return found.select(real_id("doc_id"), "text_hash", "base", "added")
 
 

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import by_hash, clean_text, give_back, known_id, real_id
+from fleetlens.llm.common import by_hash, clean_text, give_back, giving_back, known_id, real_id
 
 #: At most about this many labelled rows are learned from.
 SAMPLE = 12_000
@@ -176,7 +176,7 @@ def score_toxicity(documents: DataFrame, model: ToxicityModel, threshold: float
     docs = documents.select(
         known_id(F.col("doc_id")).alias("doc_id"), F.xxhash64("text").alias("text_hash"), clean_text(F.col("text")).alias("text")
     )
-    found = docs.mapInPandas(run, schema)
+    found = docs.mapInPandas(giving_back(run), schema)
     return found.select(real_id("doc_id"), "text_hash", "score", "predicted", "sentences")
 
 
@@ -184,7 +184,10 @@ def keep_clean(documents: DataFrame, model: ToxicityModel, threshold: float = TH
     """Rows of ``documents``, all columns, that score below ``threshold``."""
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.score(text)[0] for text in texts], dtype=float)
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([model.score(text)[0] for text in texts], dtype=float)
+        texts = None
+        give_back()
 
     return documents.where(score(clean_text(F.col("text"))) < threshold)
