@@ -32,7 +32,11 @@ tokens, which every length reads.  Candidates, lists and the model are stored ta
 by key, and grow with the corpus.  Tasks get things of fixed size only: bit tables of keys (at
 most ``FILTER_BITS`` bits each; a key found in one wrongly is dropped by the join) and the
 ``SHORTCUT`` entries of the model used most often, which are added where the text is, so that
-no key of the join is hot.  Neither changes a result.  Word keys are checked: if two words of
+no key of the join is hot.  Neither changes a result.  What is counted and looked up goes between tasks
+packed: the pairs or keys of many texts that fall into one bucket, a range of keys, are one row,
+and numpy counts or finds them a bucket at a time; there are as many buckets as the pairs or
+entries need.  Texts are scored in up to ``PARTS`` parts, one after the other, so that only a part's keys
+are on disk at once.  Word keys are checked: if two words of
 the corpus share a key, everything is encoded again with another salt.  Keys of contexts are
 not checked; with n entries two share a key with a chance of n * n / 2**65.
 
@@ -44,6 +48,7 @@ are 0; other columns are not looked at.  Very long texts are worked on ``PIECE``
 from __future__ import annotations
 
 import contextlib
+import functools
 import itertools
 import math
 from collections.abc import Iterator
@@ -51,7 +56,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +83,17 @@ _CONTEXT = np.int64(0x5851F42D4C957F2D)
 #: Bits of a key that give its two places in a bit table.
 _PLACES = (0, 33)
 _FLUSH_WORDS, _FLUSH_PAIRS = 400_000, 500_000
+#: Pairs or entries of a bucket, which a task holds whole; a text's tokens give about one pair each.
+BUCKET = 1_000_000
+#: Parts in which texts are scored, and tokens that are worth a part of their own.
+PARTS, PART = 4, 1 << 24
+#: Packed rows of the scoring: entries of the model, the texts of a block, keys looked up for it.
+_MODEL, _TEXTS, _KEYS = 0, 1, 2
+_ENTRY = (np.int64, np.int64, np.float64)
+_TEXT = (np.int64, np.int64, np.bool_, np.int64, np.int64, np.float64, np.float64)
+_WANTED = (np.int64, np.uint32)
+_ANSWER = (np.uint32, np.uint32, np.float64, np.float64)
+_PAIR = (np.int64, np.int64, np.uint32)
 
 
 def tokens(text: str) -> list[bytes]:
@@ -278,6 +296,43 @@ def batches(columns: dict[str, np.ndarray]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({name: values[at : at + BATCH] for name, values in columns.items()})
 
 
+def pack(*columns: np.ndarray) -> bytes:
+    """Equally long columns in one binary."""
+    return pa.compress(b"".join(column.tobytes() for column in columns), codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes, size: int, kinds: tuple) -> list[np.ndarray]:
+    """The inverse of :func:`pack`, for columns of ``size`` values."""
+    raw = pa.decompress(data, size * sum(np.dtype(kind).itemsize for kind in kinds), codec="zstd")
+    found, at = [], 0
+    for kind in kinds:
+        found.append(np.frombuffer(raw, kind, size, at))
+        at += found[-1].nbytes
+    return found
+
+
+def bucket_bits(n: int) -> int:
+    """Bits of the number of a bucket, such that ``n`` keys give at most about ``BUCKET`` each."""
+    return max(0, (max(n, 1) - 1) // BUCKET).bit_length()
+
+
+def bucket_of(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Number of each key's bucket: its first bits, so buckets are ranges of keys."""
+    return (keys >> (64 - bits)) + (1 << (bits - 1)) if bits else np.zeros(len(keys), dtype=np.int64)
+
+
+def in_buckets(bucket: np.ndarray, *columns: np.ndarray) -> pd.DataFrame:
+    """``(bucket, size, data)`` of columns that are in order of their bucket."""
+    cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)] if len(bucket) else [0]
+    rows = [(bucket[a], b - a, pack(*(column[a:b] for column in columns))) for a, b in zip(cuts, cuts[1:])]
+    return pd.DataFrame(rows, columns=["bucket", "size", "data"])
+
+
+def by_bucket(packed: DataFrame, *order: str) -> DataFrame:
+    """Packed rows, those with equal first column together and in order."""
+    return packed.repartition(order[0]).sortWithinPartitions(*order)
+
+
 def mixed(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Key of some tokens from the keys of all but the last and of all but the first of them."""
     keys = first * _FACTORS[0] + last
@@ -297,22 +352,34 @@ def runs(x: np.ndarray, length: int) -> np.ndarray:
     return x
 
 
-def count_next(texts: DataFrame, candidates: Filter, lowers: Filter, length: int) -> DataFrame:
+def count_next(texts: DataFrame, candidates: Filter, lowers: Filter, length: int, bits: int) -> DataFrame:
     """``(pair, context, lower, n)``, stored: next words seen twice or more of contexts in the filter.
 
     ``pair`` is the key of context and next word, ``lower`` the same without the first word.  A
-    pair is seen twice only if its lower one is.
+    pair is seen twice only if its lower one is.  Pairs are counted in ``2**bits`` buckets.
     """
     shared = texts.sparkSession.sparkContext.broadcast((candidates, lowers))
 
+    def total(context: np.ndarray, lower: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """Distinct pairs in order: key, context, lower and how often."""
+        pair = mixed(context, lower)
+        order = np.argsort(pair)
+        pair = pair[order]
+        first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+        n = np.diff(first, append=len(pair)) if n is None else np.add.reduceat(n[order], first, dtype=np.int64)
+        at = order[first]
+        return pair[first], context[at], lower[at], n
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
 
-        def flush() -> Iterator[pd.DataFrame]:
-            pair, context, lower = map(np.concatenate, zip(*held))
+        def flush() -> pd.DataFrame:
+            pair, context, lower, n = total(*map(np.concatenate, zip(*held)))
             held.clear()
-            _, at, n = np.unique(pair, return_index=True, return_counts=True)
-            return batches({"context": context[at], "lower": lower[at], "n": n})
+            bucket = bucket_of(pair, bits)
+            # In order of contexts the pairs take less room.
+            order = np.lexsort((context, bucket))
+            return in_buckets(bucket, context[order], lower[order], n[order].astype(np.uint32))
 
         candidates, lowers = shared.value
         for frame in frames:
@@ -321,23 +388,36 @@ def count_next(texts: DataFrame, candidates: Filter, lowers: Filter, length: int
                 at = np.flatnonzero(piece.place >= length)
                 at = at[candidates.has(keys[at - 1])]
                 at = at[lowers.has(keys[at])]
-                context, lower = keys[at - 1], keys[at]
-                held.append((mixed(context, lower), context, lower))
+                held.append((keys[at - 1], keys[at]))
                 size += len(at)
                 if size > _FLUSH_PAIRS:
-                    yield from flush()
+                    yield flush()
                     size = 0
-        if held:
-            yield from flush()
+        if size:
+            yield flush()
         give_back()
 
-    def add_pair(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def add_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held = None, []
+
+        def flush() -> Iterator[pd.DataFrame]:
+            if held:
+                pair, context, lower, n = total(*map(np.concatenate, zip(*held)))
+                held.clear()
+                on = n >= 2
+                yield from batches({"pair": pair[on], "context": context[on], "lower": lower[on], "n": n[on]})
+
         for frame in frames:
-            yield frame.assign(pair=mixed(frame["context"].to_numpy(), frame["lower"].to_numpy()))
+            for bucket, size, data in zip(frame["bucket"], frame["size"], frame["data"]):
+                if bucket != now:
+                    yield from flush()
+                    now = bucket
+                held.append(unpack(data, size, _PAIR))
+        yield from flush()
+        give_back()
 
-    found = texts.select("tokens").mapInPandas(run, "context long, lower long, n long")
-    counted = found.groupBy("context", "lower").agg(F.sum("n").alias("n")).where("n >= 2")
-    found = stored(counted.mapInPandas(add_pair, "pair long, context long, lower long, n long"))
+    found = texts.select("tokens").mapInPandas(run, "bucket int, size int, data binary")
+    found = stored(by_bucket(found, "bucket").mapInPandas(add_up, "pair long, context long, lower long, n long"))
     shared.destroy()
     return found
 
@@ -419,9 +499,10 @@ def _grow(corpus: Corpus, bits: float, min_seen: int, filter_bits: int) -> Suffi
     candidates = candidates.select(F.col("key").alias("context"), c.alias("seen"))
     shorter = words.select(F.col("key").alias("pair"), c.alias("n"), ((c - DISCOUNT) / F.lit(float(max(sums.n, 1)))).alias("p"))
     sizes: list[int] = []
+    bits_of_pairs = bucket_bits(sums.n)
     while not candidates.isEmpty():
         lowers = Filter.of(shorter.where("n >= 2"), "pair", filter_bits)
-        counted = count_next(texts, Filter.of(candidates, "context", filter_bits), lowers, len(sizes) + 1)
+        counted = count_next(texts, Filter.of(candidates, "context", filter_bits), lowers, len(sizes) + 1, bits_of_pairs)
         rows, contexts = retain(counted, candidates, shorter, bits)
         discard(counted)
         size = contexts.count()
@@ -519,62 +600,173 @@ class _Shortcut:
         return known, base, score, (np.concatenate(open_at), np.concatenate(open_keys))
 
 
-def score_texts(corpus: Corpus, tree: SuffixTree, shortcut: int = SHORTCUT, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """One row per document row: ``doc_id, learn, n_tokens, n_known, base_score, score``."""
-    spark = corpus.coded.sparkSession
-    cut = bounded_cut(tree.entries, "times", shortcut)
-    often, others = tree.entries.where(F.col("times") >= cut), tree.entries.where(F.col("times") < cut)
-    with _tidy(spark):
-        rest = Filter.of(others, "key", filter_bits)
-        shared = spark.sparkContext.broadcast(_Shortcut.of(often, rest, len(tree.sizes)))
-    schema = (
-        "row_key long, doc_id long, learn boolean, key long, times int, n_tokens long, n_known long, "
-        "base double, score double"
-    )
-    unseen_base, unseen_score = tree.unseen
+def pack_entries(entries: DataFrame, bits: int) -> DataFrame:
+    """``(bucket, size, data)``, stored: entries of the model."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
+        held, size = [], 0
+
+        def flush() -> pd.DataFrame:
+            key, c, score = map(np.concatenate, zip(*held))
+            held.clear()
+            order = np.argsort(key)
+            return in_buckets(bucket_of(key[order], bits), key[order], c[order], score[order])
+
+        for frame in frames:
+            held.append([frame[name].to_numpy() for name in ("key", "c", "score")])
+            size += len(frame)
+            if size > _FLUSH_PAIRS:
+                yield flush()
+                size = 0
+        if size:
+            yield flush()
+        give_back()
+
+    return stored(entries.select("key", "c", "score").mapInPandas(run, "bucket int, size int, data binary"))
+
+
+def open_blocks(texts: DataFrame, shared, unseen: tuple[float, float], bits: int) -> DataFrame:
+    """Packed rows of blocks of texts: what tasks know of their scores, and the keys to look up."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, number = shared.value, itertools.count(TaskContext.get().partitionId() << 32)
+        texts, wanted, size, n_texts = [], [], 0, 0
+
+        def flush() -> pd.DataFrame:
+            block = next(number)
+            own = pack(*map(np.concatenate, zip(*texts)))
+            keys, owner = map(np.concatenate, zip(*wanted))
+            texts.clear()
+            wanted.clear()
+            bucket = bucket_of(keys, bits)
+            order = np.lexsort((owner, bucket))
+            rows = in_buckets(bucket[order], keys[order], owner[order].astype(np.uint32)).assign(kind=_KEYS)
+            # The texts' own row is in some bucket, only to be spread.
+            first = pd.DataFrame({"bucket": [block % (1 << bits)], "size": n_texts, "data": [own], "kind": _TEXTS})
+            return pd.concat([first, rows]).assign(block=block)
+
         for frame in frames:
             ids = [frame[name].to_numpy() for name in ("row_key", "doc_id", "learn")]
             for piece in pieces(frame["tokens"].tolist(), model.depth):
                 known, base, score, (at, keys) = model.terms(piece)
                 n = np.bincount(piece.owner[piece.place >= 0])
                 own = np.flatnonzero(n)
-                size, more = n[own], len(keys)
-                owner = np.concatenate([own, piece.owner[at]])
-                yield from batches(
-                    {
-                        "row_key": ids[0][owner],
-                        "doc_id": ids[1][owner],
-                        "learn": ids[2][owner],
-                        # The text's own row adds no entry (times 0); its key only spreads it.
-                        "key": np.concatenate([ids[0][own] * _FACTORS[0], keys]),
-                        "times": np.repeat([0, 1], [len(own), more]),
-                        "n_tokens": np.pad(size, (0, more)),
-                        "n_known": np.pad(np.bincount(piece.owner, known)[own], (0, more)),
-                        "base": np.pad(np.bincount(piece.owner, base)[own] + size * unseen_base, (0, more)),
-                        "score": np.pad(np.bincount(piece.owner, score)[own] + size * unseen_score, (0, more)),
-                    }
-                )
+                sums = [np.bincount(piece.owner, each)[own] for each in (known, base, score)]
+                row_key, doc_id, learn = (each[own] for each in ids)
+                texts.append(
+                    (
+                        row_key, doc_id, learn.astype(bool), n[own], sums[0].astype(np.int64),
+                        sums[1] + n[own] * unseen[0], sums[2] + n[own] * unseen[1],
+                    )
+                )
+                wanted.append((keys, np.searchsorted(own, piece.owner[at]) + n_texts))
+                n_texts += len(own)
+                size += len(keys) + len(own)
+                if size > _FLUSH_PAIRS:
+                    yield flush()
+                    size = n_texts = 0
+        if n_texts:
+            yield flush()
         give_back()
 
-    parts = corpus.texts.mapInPandas(run, schema)
-    c = F.col("c")
-    added = others.select(
-        "key", (c > 0).cast("long").alias("more_known"), F.log10(2 * c + 1).alias("more_base"), F.col("score").alias("more_score")
-    )
-    parts = parts.join(added, "key", "left")
-
-    def total(name: str, more: str) -> Column:
-        return F.sum(F.col(name) + F.col("times") * F.coalesce(F.col(more), F.lit(0)))
-
-    found = parts.groupBy("row_key").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max("learn").alias("learn"),
-        F.sum("n_tokens").alias("n_tokens"),
-        total("n_known", "more_known").cast("long").alias("n_known"),
-        total("base", "more_base").alias("base_score"),
-        total("score", "more_score").alias("score"),
-    )
-    return found.select(real_id("doc_id"), "learn", "n_tokens", "n_known", "base_score", "score")
+    return texts.mapInPandas(run, "bucket int, size int, data binary, kind int, block long")
+
+
+def answer(rows: DataFrame) -> DataFrame:
+    """Packed rows in buckets, the model's among them: per block what the keys found add to each text."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held, model = None, [], None
+
+        def found(size: int, data: bytes) -> tuple[int, bytes]:
+            keys, owner = unpack(data, size, _WANTED)
+            at = np.minimum(np.searchsorted(model[0], keys), len(model[0]) - 1)
+            hit = np.flatnonzero(model[0][at] == keys)
+            at, owner = at[hit], owner[hit]
+            if not len(at):
+                return 0, b""
+            first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            known, base, score = (np.add.reduceat(each[at], first) for each in model[1:])
+            return len(first), pack(owner[first], known.astype(np.uint32), base, score)
+
+        for frame in frames:
+            out = []
+            for bucket, kind, block, size, data in frame[["bucket", "kind", "block", "size", "data"]].itertuples(index=False):
+                if bucket != now:
+                    now, held, model = bucket, [], None
+                if kind == _MODEL:
+                    held.append(unpack(data, size, _ENTRY))
+                elif kind == _TEXTS:
+                    out.append((block, kind, size, data))
+                elif held or model:
+                    if model is None:
+                        key, c, score = map(np.concatenate, zip(*held))
+                        order, held = np.argsort(key), []
+                        model = key[order], (c[order] > 0).astype(np.int64), np.log10(2.0 * c[order] + 1), score[order]
+                    more, packed = found(size, data)
+                    if more:
+                        out.append((block, kind, more, packed))
+            yield pd.DataFrame(out, columns=["block", "kind", "size", "data"])
+        give_back()
+
+    return by_bucket(rows, "bucket", "kind").mapInPandas(run, "block long, kind int, size int, data binary")
+
+
+def close_blocks(rows: DataFrame) -> DataFrame:
+    """``(row_key, doc_id, learn, n_tokens, n_known, base, score)`` of the texts of each block."""
+    names = ["row_key", "doc_id", "learn", "n_tokens", "n_known", "base", "score"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        texts: dict[str, np.ndarray] = {}
+        for frame in frames:
+            for kind, size, data in zip(frame["kind"], frame["size"], frame["data"]):
+                if kind == _TEXTS:
+                    if texts:
+                        yield from batches(texts)
+                    texts = {name: each.copy() for name, each in zip(names, unpack(data, size, _TEXT))}
+                else:
+                    owner, *more = unpack(data, size, _ANSWER)
+                    for name, each in zip(names[4:], more):
+                        texts[name][owner] += each
+        if texts:
+            yield from batches(texts)
+        give_back()
+
+    schema = "row_key long, doc_id long, learn boolean, n_tokens long, n_known long, base double, score double"
+    return by_bucket(rows, "block", "kind").mapInPandas(run, schema)
+
+
+def score_texts(corpus: Corpus, tree: SuffixTree, shortcut: int = SHORTCUT, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """One row per document row, stored: ``doc_id, learn, n_tokens, n_known, base_score, score``."""
+    with _tidy(corpus.coded.sparkSession):
+        return _score(corpus, tree, shortcut, filter_bits)
+
+
+def _score(corpus: Corpus, tree: SuffixTree, shortcut: int, filter_bits: int) -> DataFrame:
+    spark = corpus.coded.sparkSession
+    cut = bounded_cut(tree.entries, "times", shortcut)
+    often, others = tree.entries.where(F.col("times") >= cut), tree.entries.where(F.col("times") < cut)
+    rest = Filter.of(others, "key", filter_bits)
+    shared = spark.sparkContext.broadcast(_Shortcut.of(often, rest, len(tree.sizes)))
+    bits = bucket_bits(others.count())
+    packed = pack_entries(others, bits)
+    model = packed.withColumns({"kind": F.lit(_MODEL), "block": F.lit(-1).cast("long")})
+    n_tokens = corpus.texts.agg(F.sum(F.octet_length("tokens").cast("long"))).first()[0] or 0
+    parts = min(PARTS, 1 + n_tokens // 8 // PART)
+
+    found = []
+    for part in range(parts):
+        texts = corpus.texts.where(F.col("row_key") % parts == part)
+        rows = open_blocks(texts, shared, tree.unseen, bits).unionByName(model)
+        # A text that is longer than a piece may be in several blocks.
+        sums = close_blocks(answer(rows)).groupBy("row_key").agg(
+            F.max("doc_id").alias("doc_id"),
+            F.max("learn").alias("learn"),
+            *(F.sum(name).alias(name) for name in ("n_tokens", "n_known")),
+            F.sum("base").alias("base_score"),
+            F.sum("score").alias("score"),
+        )
+        found.append(stored(sums.select(real_id("doc_id"), "learn", "n_tokens", "n_known", "base_score", "score")))
+    discard(packed)
+    shared.destroy()
+    return functools.reduce(DataFrame.unionByName, found)

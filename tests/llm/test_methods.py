@@ -198,6 +198,37 @@ def test_rows_go_to_spark_in_bounded_batches():
     assert held <= 16 << 20
 
 
+def test_packed_rows_and_buckets():
+    rng = np.random.default_rng(5)
+    keys = np.sort(rng.integers(-(2**63), 2**63 - 1, 70_000))
+    for bits in (0, 1, 5):
+        bucket = suffix_tree_lm.bucket_of(keys, bits)
+        assert bucket.min() == 0 and bucket.max() == (1 << bits) - 1 and (np.diff(bucket) >= 0).all()
+        rows = suffix_tree_lm.in_buckets(bucket, keys, bucket.astype(np.uint32))
+        assert len(rows) == 1 << bits and rows["size"].sum() == len(keys)
+        parts = [suffix_tree_lm.unpack(r.data, r.size, (np.int64, np.uint32)) for r in rows.itertuples()]
+        assert (np.concatenate([part[0] for part in parts]) == keys).all()
+        assert all((part[1] == r.bucket).all() for part, r in zip(parts, rows.itertuples()))
+        assert rows["data"].map(len).sum() < 9 * len(keys)
+    assert suffix_tree_lm.in_buckets(keys[:0], keys[:0]).empty
+    assert [suffix_tree_lm.bucket_bits(n * suffix_tree_lm.BUCKET) for n in (0, 1, 2, 3, 4, 5)] == [0, 0, 1, 2, 2, 3]
+
+
+def test_scores_do_not_depend_on_buckets_and_parts(spark, monkeypatch):
+    corpus, tree = small_model(spark)
+
+    def scores(tree, shortcut):
+        found = suffix_tree_lm.score_texts(corpus, tree, shortcut)
+        return sorted((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 9), round(r.score, 9)) for r in found.collect())
+
+    want = scores(tree, 1_000_000)
+    monkeypatch.setattr(suffix_tree_lm, "BUCKET", 3)
+    monkeypatch.setattr(suffix_tree_lm, "PART", 10)
+    again = suffix_tree_lm.train(corpus, bits=2, min_seen=3)
+    assert again.sizes == tree.sizes and again.entries.count() == tree.entries.count()
+    assert scores(again, 0) == scores(again, 4) == want
+
+
 def test_words_that_share_a_key_get_another_salt(spark, monkeypatch):
     rows = spark.createDataFrame([(1, "one two three"), (2, None)], "doc_id long, text string")
     encoded, counted = suffix_tree_lm.encode_texts, suffix_tree_lm.count_words
