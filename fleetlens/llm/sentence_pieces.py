@@ -34,6 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +47,7 @@ CHUNK = 16_384
 UNKNOWN = 10.0
 #: Characters of the texts that are encoded before their pieces are handed on.
 STEP = 1 << 20
-#: Words whose pieces a worker remembers within a task, twice over.
+#: Words whose pieces a worker remembers within a task, and as many that it may meet besides.
 WORDS = 100_000
 #: Characters of the words that are segmented side by side, and of a word that is too long to be remembered.
 SIDE, LONG_WORD = 1 << 16, 64
@@ -100,7 +101,7 @@ class Pieces:
         self.score_of[[i for value, i in enumerate(self.byte_ids) if not 0x80 <= value < 0xC0]] = self.unknown
         self.score_of[[i for _, i in self.scores.values()]] = [score for score, _ in self.scores.values()]
         self.words = WordCache(self)
-        self.table: list[bytes] | None = None
+        self.table: pa.Array | None = None
         self.steps: Steps | None = None
 
     def __getstate__(self) -> tuple:
@@ -110,11 +111,20 @@ class Pieces:
         self.scores, self.byte_ids, self.unknown = state
         self.__post_init__()
 
-    def spell(self, ids: np.ndarray) -> str:
-        """The text of pieces; unknown ids spell nothing."""
+    def spell(self, texts: list[np.ndarray]) -> list[str]:
+        """The texts of known pieces, spelled all at once."""
         if self.table is None:
-            self.table = [self.spelled.get(i, b"") for i in range(max(self.spelled) + 1)]
-        return _spell(ids, self.table)
+            self.table = pa.array([self.spelled.get(i, b"") for i in range(max(self.spelled) + 1)], pa.large_binary())
+        if not texts:
+            return []
+        ends = np.cumsum(list(map(len, texts)))
+        taken = self.table.take(pa.array(np.concatenate(texts)))
+        if not len(taken):
+            return [""] * len(texts)
+        _, places, data = taken.buffers()
+        cuts = [0, *np.frombuffer(places, np.int64, len(taken) + 1)[ends].tolist()]
+        data = memoryview(data)
+        return [str(data[low:high], "utf-8", "replace")[1:] for low, high in zip(cuts, cuts[1:])]
 
     def ids_of(self, piece: str) -> list[int]:
         found = self.scores.get(piece)
@@ -195,8 +205,7 @@ class Pieces:
 
     def forget(self) -> None:
         """Let the words go that were looked up; the worker outlives the task."""
-        self.words.clear()
-        self.words.older = {}
+        self.words.reset()
         give_back()
 
     def sum_of(self, packed: bytes) -> float:
@@ -275,9 +284,7 @@ class Pieces:
         cut = self.cuts(chunk)
         if cut is None:
             return b""
-        found = _WORD.findall(chunk[cut[0] : cut[1]])
-        self.words.learn(set(found))
-        return b"".join(map(self.words.__getitem__, found))
+        return self.words.encode(_marked(chunk[cut[0] : cut[1]]))[0].tobytes()
 
     def trace(self, chunk: str, ahead: str, exit_: int, lengths: bytes, inner: bytes) -> np.ndarray:
         """Ids of the pieces that start in a chunk, from its exit state, back pointers and inner words."""
@@ -441,36 +448,76 @@ class Steps:
 
 
 class WordCache(dict):
-    """Packed ids by word.  A full cache becomes the older one, whose words are looked up once more."""
+    """Numbers of words, which stand without their first mark, and the ids of the pieces of each number.
+
+    Of a full cache the words that were met first stay, among them nearly all frequent ones.
+    """
 
     def __init__(self, pieces: Pieces, most: int = WORDS) -> None:
         super().__init__()
         self.pieces, self.most = pieces, most
-        self.older: dict[str, bytes] = {}
-
-    def __missing__(self, word: str) -> bytes:
-        found = self.older.get(word)
-        if found is None:
-            found = array("i", self.pieces.segment(word)[1]).tobytes()
-        if len(word) < LONG_WORD:
-            self.keep([word], [found])
-        return found
-
-    def keep(self, words: list[str], found: list[bytes]) -> None:
-        if len(self) + len(words) > self.most:
-            self.older = dict(self)
-            self.clear()
-        self.update(zip(words, found))
-
-    def learn(self, words: set[str]) -> None:
-        """Look up the words that are not known, all at once."""
-        new = [word for word in words if word not in self and len(word) < LONG_WORD]
-        older = self.older
-        known = [word for word in new if word in older]
-        new = [word for word in new if word not in older]
-        self.keep(known, [older[word] for word in known])
-        for some, found in self.pieces.segment_all(new):
-            self.keep(some, found)
+        self.reset()
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        return number
+
+    def reset(self) -> None:
+        self.clear()
+        #: How many words stayed when the cache was full.
+        self.older = 0
+        #: Ids of all words one after the other, and where each word's begin.
+        self.ids, self.first = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def age(self) -> None:
+        """Let the words go that were met last."""
+        fit = int(np.searchsorted(self.first, 8 * self.most, "right")) - 1
+        stay, ids, first = list(itertools.islice(self, min(self.most, fit))), self.ids, self.first
+        self.reset()
+        self.older = len(stay)
+        self.update(zip(stay, itertools.count()))
+        self.first = first[: len(stay) + 1]
+        self.ids = ids[: self.first[-1]]
+
+    def learn(self, new: list[str]) -> None:
+        """Add the pieces of the words that were numbered last; only long ones are not done side by side."""
+        short = [MARK + word for word in new if len(word) < LONG_WORD]
+        found = list(itertools.chain.from_iterable(packed for _, packed in self.pieces.segment_all(short)))
+        if len(short) < len(new):
+            side = iter(found)
+            found = [
+                next(side) if len(word) < LONG_WORD else array("i", self.pieces.segment(MARK + word)[1]).tobytes()
+                for word in new
+            ]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), np.int32)])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words one after the other, and where those of each word end."""
+        if len(self) > 2 * self.most or len(self.ids) > 16 * self.most:
+            self.age()
+        before = len(self)
+        numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if len(self) > before:
+            self.learn(list(itertools.islice(self, before, None)))
+        first = self.first[numbers]
+        sizes = self.first[numbers + 1] - first
+        ends = np.cumsum(sizes)
+        at = np.repeat(first - ends + sizes, sizes)
+        at += np.arange(len(at))
+        return self.ids[at], ends
+
+
+def _marked(text: str) -> list[str]:
+    """Words of a text that begins with a mark, each without its first mark."""
+    return [word[1:] for word in _WORD.findall(text)]
+
+
+def _words(text: str) -> list[str]:
+    """Words of a text, each without its first mark."""
+    plain = text and MARK not in text and "  " not in text and text[0] != " " and text[-1] != " "
+    return text.split(" ") if plain else _marked(shown(text))
 
 
 def shown(text: str) -> str:
@@ -487,10 +534,11 @@ def encode_texts(texts: list[str], pieces: Pieces) -> list[np.ndarray]:
     """Ids of several texts, whose new words are segmented side by side."""
     if not pieces.marks_start:
         return [np.array(pieces.segment(shown(text))[1], dtype=np.int32) for text in texts]
-    found = [_WORD.findall(shown(text)) for text in texts]
-    words = pieces.words
-    words.learn(set(itertools.chain.from_iterable(found)))
-    return [np.frombuffer(b"".join(map(words.__getitem__, each)), dtype=np.int32) for each in found]
+    found = list(map(_words, texts))
+    ids, ends = pieces.words.encode(list(itertools.chain.from_iterable(found)))
+    # Where the words of each text end, as a place in the ids.
+    cuts = np.concatenate([[0], ends]).astype(np.int64)[np.cumsum(list(map(len, found)))] if texts else []
+    return np.split(ids, cuts[:-1]) if texts else []
 
 
 def _chunks(frames: Iterator[pd.DataFrame], size: int, ahead: int) -> Iterator[pd.DataFrame]:
@@ -629,7 +677,7 @@ def encode(
                 part = frame.iloc[first:last]
                 found = encode_texts(part["text"].tolist(), known)
                 part = part.drop(columns="text").assign(pieces=found)
-                yield part.assign(text=[known.spell(ids) for ids in found]) if spell else part
+                yield part.assign(text=known.spell(found)) if spell else part
         known.forget()
 
     schema = "doc_id long, text_hash long, pieces array<int>" + (", text string" if spell else "")

@@ -122,6 +122,22 @@ def test_real_vocabulary_round_trip():
         assert total(pieces, ids.tolist()) <= 0
 
 
+def test_words_met_first_are_not_segmented_again(monkeypatch):
+    pieces, alone = sentence_pieces.Pieces.load(), sentence_pieces.Pieces.load()
+    pieces.words.most = 50
+    done, all_at_once = [], pieces.segment_all
+    monkeypatch.setattr(pieces, "segment_all", lambda words: done.extend(words) or all_at_once(words))
+    long = "long" * sentence_pieces.LONG_WORD
+    texts = ["the common words", f"  spaces  and {long} ▁ ", "", *(f"n{i} m{i} k{i}" for i in range(200)), "common the"]
+    for text in texts:
+        assert sentence_pieces.encode_texts([text], pieces)[0].tolist() == alone.segment(sentence_pieces.shown(text))[1]
+        assert len(pieces.words) <= 2 * 50 + 10
+    assert done.count("▁common") == done.count("▁the") == 1
+    together = sentence_pieces.encode_texts(texts, pieces)
+    assert [ids.tolist() for ids in together] == [alone.segment(sentence_pieces.shown(text))[1] for text in texts]
+    assert pieces.spell(together) == texts and pieces.spell([]) == []
+
+
 # --- suffix tree -----------------------------------------------------------------------
 
 
