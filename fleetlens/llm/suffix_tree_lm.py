@@ -234,15 +234,52 @@ class Filter:
     bits: np.ndarray
 
     @classmethod
-    def of(cls, table: DataFrame, key: str, most: int = FILTER_BITS) -> "Filter":
-        size = min(1 << max(32 * table.count(), 64).bit_length(), most)
-        place = F.explode(F.array(*[F.shiftright(key, by).bitwiseAND(F.lit(size - 1)) for by in _PLACES]))
-        # shiftleft() takes its number of places from a literal only.
-        bit = F.expr("shiftleft(1L, cast(place & 63 as int))")
-        found = table.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("slot"))
-        found = found.agg(F.bit_or(bit).alias("bits")).toArrow()
+    def of(cls, table: DataFrame, key: str, most: int = FILTER_BITS, n: int | None = None) -> "Filter":
+        """The table of the keys of ``table``; ``n`` is how many there are, if that is known."""
+        size = min(1 << max(32 * (table.count() if n is None else n), 64).bit_length(), most)
+        span = max(size >> 6, 64)
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held, n = [], 0
+
+            def flush() -> pd.DataFrame:
+                place = np.unique(np.concatenate(held))
+                held.clear()
+                return in_buckets(place // span, place)
+
+            for frame in frames:
+                keys = frame[key].to_numpy()
+                held.extend((keys >> by) & np.int64(size - 1) for by in _PLACES)
+                n += len(keys)
+                if n > _FLUSH_PAIRS:
+                    yield flush()
+                    n = 0
+            if n:
+                yield flush()
+            give_back()
+
+        def gather(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            now, on = None, np.zeros(span, dtype=bool)
+
+            def flush() -> pd.DataFrame:
+                return pd.DataFrame({"bucket": [now], "data": [np.packbits(on, bitorder="little").tobytes()]})
+
+            for frame in frames:
+                for bucket, n, data in zip(frame["bucket"], frame["size"], frame["data"]):
+                    if bucket != now:
+                        if now is not None:
+                            yield flush()
+                        now, on[:] = bucket, False
+                    on[unpack(data, n, (np.int64,))[0] - bucket * span] = True
+            if now is not None:
+                yield flush()
+            give_back()
+
+        found = table.select(key).mapInPandas(run, "bucket int, size int, data binary")
+        found = by_bucket(found, "bucket").mapInPandas(gather, "bucket int, data binary").toArrow()
         bits = np.zeros(size >> 6, dtype=np.int64)
-        bits[found.column("slot").to_numpy()] = found.column("bits").to_numpy()
+        for bucket, data in zip(found.column("bucket").to_pylist(), found.column("data")):
+            bits[bucket * span >> 6 : (bucket + 1) * span >> 6] = np.frombuffer(data.as_buffer(), np.int64)
         return cls(bits)
 
     def has(self, keys: np.ndarray) -> np.ndarray:
@@ -297,8 +334,15 @@ def batches(columns: dict[str, np.ndarray]) -> Iterator[pd.DataFrame]:
 
 
 def pack(*columns: np.ndarray) -> bytes:
-    """Equally long columns in one binary."""
-    return pa.compress(b"".join(column.tobytes() for column in columns), codec="zstd", asbytes=True)
+    """Equally long columns in one binary: of the first the steps, which are small if it is in order.
+
+    Of the steps and of short numbers the first bytes of all values come first, then the second ones: the high
+    bytes are much the same.  Other columns have values that repeat, which are found as a whole.
+    """
+    steps = np.diff(columns[0], prepend=columns[0].dtype.type(0))
+    rows = [np.ascontiguousarray(column).view(np.uint8).reshape(len(column), column.itemsize) for column in (steps, *columns[1:])]
+    data = [(row.T if not at or row.shape[1] < 8 else row).tobytes() for at, row in enumerate(rows)]
+    return pa.compress(b"".join(data), codec="zstd", asbytes=True)
 
 
 def unpack(data: bytes, size: int, kinds: tuple) -> list[np.ndarray]:
@@ -306,8 +350,14 @@ def unpack(data: bytes, size: int, kinds: tuple) -> list[np.ndarray]:
     raw = pa.decompress(data, size * sum(np.dtype(kind).itemsize for kind in kinds), codec="zstd")
     found, at = [], 0
     for kind in kinds:
-        found.append(np.frombuffer(raw, kind, size, at))
-        at += found[-1].nbytes
+        width = np.dtype(kind).itemsize
+        if found and width == 8:
+            found.append(np.frombuffer(raw, kind, size, at))
+        else:
+            rows = np.frombuffer(raw, np.uint8, size * width, at).reshape(width, size).T
+            found.append(np.ascontiguousarray(rows).view(kind).reshape(size))
+        at += size * width
+    found[0] = np.cumsum(found[0], dtype=kinds[0])
     return found
 
 
@@ -447,17 +497,17 @@ def retain(counted: DataFrame, candidates: DataFrame, shorter: DataFrame, bits:
     return rows, stored(gained.where(F.col("saved") + unlisted >= bits).select("context", "seen", "rest"))
 
 
-def bounded_cut(table: DataFrame, value: str, most: int) -> int:
-    """The smallest power of two such that the rows with ``value`` at or above it are at most ``most``."""
+def bounded_cut(table: DataFrame, value: str, most: int) -> tuple[int, int]:
+    """The smallest power of two such that the rows with ``value`` at or above it are at most ``most``; rows below it."""
     level = F.floor(F.log2(F.greatest(F.col(value).cast("double"), F.lit(1.0)))).cast("int")
     found = {r.level: r["count"] for r in table.groupBy(level.alias("level")).count().collect()}
     total, cut = 0, 62
     for level in range(61, -1, -1):
-        total += found.get(level, 0)
-        if total > most:
+        if total + found.get(level, 0) > most:
             break
+        total += found.get(level, 0)
         cut = level
-    return 1 << cut
+    return 1 << cut, sum(found.values()) - total
 
 
 @dataclass
@@ -638,9 +688,10 @@ def open_blocks(texts: DataFrame, shared, unseen: tuple[float, float], bits: int
             keys, owner = map(np.concatenate, zip(*wanted))
             texts.clear()
             wanted.clear()
-            bucket = bucket_of(keys, bits)
-            order = np.lexsort((owner, bucket))
-            rows = in_buckets(bucket[order], keys[order], owner[order].astype(np.uint32)).assign(kind=_KEYS)
+            # In order of keys, which is also that of buckets, they take less room.
+            order = np.argsort(keys)
+            keys, owner = keys[order], owner[order]
+            rows = in_buckets(bucket_of(keys, bits), keys, owner.astype(np.uint32)).assign(kind=_KEYS)
             # The texts' own row is in some bucket, only to be spread.
             first = pd.DataFrame({"bucket": [block % (1 << bits)], "size": n_texts, "data": [own], "kind": _TEXTS})
             return pd.concat([first, rows]).assign(block=block)
@@ -685,9 +736,9 @@ def answer(rows: DataFrame) -> DataFrame:
             at, owner = at[hit], owner[hit]
             if not len(at):
                 return 0, b""
-            first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-            known, base, score = (np.add.reduceat(each[at], first) for each in model[1:])
-            return len(first), pack(owner[first], known.astype(np.uint32), base, score)
+            own = np.flatnonzero(np.bincount(owner)).astype(np.uint32)
+            known, base, score = (np.bincount(owner, each[at])[own] for each in model[1:])
+            return len(own), pack(own, known.astype(np.uint32), base, score)
 
         for frame in frames:
             out = []
@@ -744,11 +795,11 @@ def score_texts(corpus: Corpus, tree: SuffixTree, shortcut: int = SHORTCUT, filt
 
 def _score(corpus: Corpus, tree: SuffixTree, shortcut: int, filter_bits: int) -> DataFrame:
     spark = corpus.coded.sparkSession
-    cut = bounded_cut(tree.entries, "times", shortcut)
+    cut, n_others = bounded_cut(tree.entries, "times", shortcut)
     often, others = tree.entries.where(F.col("times") >= cut), tree.entries.where(F.col("times") < cut)
-    rest = Filter.of(others, "key", filter_bits)
+    rest = Filter.of(others, "key", filter_bits, n_others)
     shared = spark.sparkContext.broadcast(_Shortcut.of(often, rest, len(tree.sizes)))
-    bits = bucket_bits(others.count())
+    bits = bucket_bits(n_others)
     packed = pack_entries(others, bits)
     model = packed.withColumns({"kind": F.lit(_MODEL), "block": F.lit(-1).cast("long")})
     n_tokens = corpus.texts.agg(F.sum(F.octet_length("tokens").cast("long"))).first()[0] or 0

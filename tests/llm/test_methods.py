@@ -230,6 +230,42 @@ def test_packed_rows_and_buckets():
     assert [suffix_tree_lm.bucket_bits(n * suffix_tree_lm.BUCKET) for n in (0, 1, 2, 3, 4, 5)] == [0, 0, 1, 2, 2, 3]
 
 
+def test_packed_keys_in_order_take_less_room():
+    rng = np.random.default_rng(6)
+    some = rng.integers(-(2**63), 2**63 - 1, 60_000)
+    keys = np.sort(np.concatenate([some, some[:40_000]]))
+    owner = rng.integers(0, 1500, len(keys)).astype(np.uint32)
+    data = suffix_tree_lm.pack(keys, owner)
+    # Eight bytes of a key and three of an owner otherwise; most steps have the same two high bytes.
+    assert len(data) < 6.5 * len(keys)
+    got = suffix_tree_lm.unpack(data, len(keys), (np.int64, np.uint32))
+    assert (got[0] == keys).all() and (got[1] == owner).all()
+    shuffled = rng.permutation(keys), rng.random(len(keys)), owner % 2 == 0
+    for one in ((0, 0), (5, 5), (len(keys), len(keys))):
+        columns = [column[: one[0]] for column in shuffled]
+        got = suffix_tree_lm.unpack(suffix_tree_lm.pack(*columns), one[1], (np.int64, np.float64, np.bool_))
+        assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(got, columns))
+
+
+def test_bit_table_is_made_of_packed_rows(spark, monkeypatch):
+    monkeypatch.setattr(suffix_tree_lm, "_FLUSH_PAIRS", 700)
+    keys = np.random.default_rng(7).integers(-(2**63), 2**63 - 1, 5000)
+    table = spark.createDataFrame(pd.DataFrame({"key": keys})).repartition(3)
+    made = []
+    monkeypatch.setattr(suffix_tree_lm, "by_bucket", lambda rows, *order, f=suffix_tree_lm.by_bucket: made.append(rows.count()) or f(rows, *order))
+    for most in (64, 1 << 12, 1 << 27):
+        found = suffix_tree_lm.Filter.of(table, "key", most)
+        size = min(1 << 18, most)
+        want = np.zeros(size, dtype=bool)
+        for by in (0, 33):
+            want[(keys >> by) & (size - 1)] = True
+        assert (np.unpackbits(found.bits.view(np.uint8), bitorder="little").astype(bool) == want).all()
+        assert found.has(keys).all()
+    # Not a row for every key goes between tasks.
+    assert len(made) == 3 and max(made) < 1000
+    assert not suffix_tree_lm.Filter.of(table.where("false"), "key").bits.any()
+
+
 def test_scores_do_not_depend_on_buckets_and_parts(spark, monkeypatch):
     corpus, tree = small_model(spark)
 
